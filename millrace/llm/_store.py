@@ -81,7 +81,7 @@ def _arrow(mask: np.ndarray):
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's input as the optimiser states it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:

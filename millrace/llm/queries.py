@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licences, ppm, quality
+from millrace.llm import decontaminate, licences, lines, paragraphs, pieces, ppm, quality
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece_nbest(spark, sf_dir):
+    return pieces.encode(_read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_quality_cotraining(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark, sf_dir):
+    docs = lines.dedup_lines(_read(spark, sf_dir, "documents"), details=True)
+    return docs.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_paragraph_dedup(spark, sf_dir):
+    docs = paragraphs.dedup_paragraphs(_read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_paragraphs", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_ppm_scoring(spark, sf_dir):
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     return ppm.score(_read(spark, sf_dir, "documents"), F.crc32(key) % 5 == 1)
@@ -30,7 +47,8 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op5_quality_cotraining, op7_benchmark_decontamination, op9_ppm_scoring, op10_license_scan)}
+    every = (op2_sentencepiece_nbest, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
