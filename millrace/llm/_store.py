@@ -39,44 +39,25 @@ def forget(df: DataFrame) -> None:
 
 
 def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter (one hash) of a long column, as ``bits / 64`` words.
+    """A one-hash Bloom filter of a long column by its lowest bits, as ``bits / 64`` words.
 
     Its size is fixed whatever the table holds.  It lets a rescan skip texts
     that no later join can use; false positives are removed by that join.
     """
-    at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     rows = (
-        keys.select(at.alias("b"))
+        keys.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("b"))
         .select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
         .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    )
+    )
     words = np.zeros(bits // 64, np.int64)
-    words[rows["w"].to_numpy()] = rows["m"].to_numpy()
+    words[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
     return words
 
 
-def maybe_in(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """Rows whose key may be in the filter; the filter travels as one fixed-size literal."""
-    bits = len(words) * 64
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-
-    def keep(batches):
-        table = shared.value
-        for b in batches:
-            at = b.column("__at").to_numpy(zero_copy_only=False)
-            ok = (table[at >> 6] >> (at & 63)) & 1
-            yield b.filter(_arrow(ok.astype(bool))).drop_columns(["__at"])
-
-    if df.schema.fieldNames().count("__at"):
-        raise ValueError("column name __at is reserved")
-    return df.withColumn("__at", F.pmod(F.xxhash64(F.col(column)), F.lit(bits))).mapInArrow(keep, df.schema)
-
-
-def _arrow(mask: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(mask)
+def maybe_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Mask of the 64-bit keys that may be in the filter."""
+    at = keys.view(np.int64) & np.int64(len(words) * 64 - 1)
+    return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
 def input_bytes(df: DataFrame) -> int:

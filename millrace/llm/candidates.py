@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _text
 from millrace.llm._graph import components
-from millrace.llm._store import stored
+from millrace.llm._store import forget, stored
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 BLOCK_DDL = "bucket int, block binary"
@@ -121,6 +121,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
         sizes = rest.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.sum("n").alias("n"))
         cross, n = sizes.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not cross:
+            forget(members)
             return edges
         if cross <= 8 * n:
             break
@@ -128,4 +129,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
         pairs = rest.join(lead, "sig").where("c <> l.c").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
     other = rest.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"))
     pairs = rest.select("sig", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+    forget(members)
     return stored(edges.unionByName(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -105,17 +105,19 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
 
     def verify(pairs):
         pairs = stored(pairs)
-        wanted = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+        filters = spark.sparkContext.broadcast(key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
 
         def sets(batches):
+            seen = np.zeros(0, np.uint64)
             for b in _text.pieces(batches):
                 _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
                 use = use[np.unique(code[use], return_index=True)[1]]
+                use = use[maybe_in(filters.value, code[use]) & ~np.isin(code[use], seen)]
+                seen = np.concatenate([seen, code[use]])[-500_000:]
                 if len(use):
                     yield _text.batch_of(set_schema, id=code[use].view(np.int64), s=[np.unique(s[at[i] : at[i + 1]]).tobytes() for i in use])
 
-        found = maybe_in(_keyed(docs).mapInArrow(sets, "id long, s binary"), "id", wanted).groupBy("id").agg(F.first("s").alias("s"))
-        return verified(pairs, stored(found), percent)
+        return verified(pairs, _keyed(docs).mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), percent)
 
     edges = linked(members, verify)
     return where, components(edges)

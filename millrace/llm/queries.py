@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licences, lines, paragraphs, pieces, ppm, quality
+from millrace.llm import decontaminate, jaccard, licences, lines, paragraphs, pieces, ppm, quality
 
 
 def _read(spark, sf_dir, table):
@@ -18,6 +18,10 @@ def op2_sentencepiece_nbest(spark, sf_dir):
     return pieces.encode(_read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_cotraining(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
@@ -47,7 +51,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    every = (op2_sentencepiece_nbest, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
+    every = (op2_sentencepiece_nbest, op3_ngram_jaccard, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
     return {f.__name__: f for f in every}
 
 
