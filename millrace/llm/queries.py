@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard, licences, lines, paragraphs, pieces, ppm, quality
+from millrace.llm import decontaminate, jaccard, licences, lines, paragraphs, pieces, ppm, quality, suffixes
 
 
 def _read(spark, sf_dir, table):
@@ -14,6 +14,11 @@ def _read(spark, sf_dir, table):
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    out = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sentencepiece_nbest(spark, sf_dir):
     return pieces.encode(_read(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -51,7 +56,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    every = (op2_sentencepiece_nbest, op3_ngram_jaccard, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
+    every = (op1_suffix_array_dedup, op2_sentencepiece_nbest, op3_ngram_jaccard, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
     return {f.__name__: f for f in every}
 
 
