@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard, licences, lines, paragraphs, pieces, ppm, quality, suffixes
+from millrace.llm import decontaminate, jaccard, licences, lines, neighbours, paragraphs, pieces, ppm, quality, suffixes
 
 
 def _read(spark, sf_dir, table):
@@ -27,6 +27,10 @@ def op3_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    return neighbours.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_cotraining(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
@@ -56,7 +60,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    every = (op1_suffix_array_dedup, op2_sentencepiece_nbest, op3_ngram_jaccard, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
+    every = (op1_suffix_array_dedup, op2_sentencepiece_nbest, op3_ngram_jaccard, op4_embedding_near_dedup, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
     return {f.__name__: f for f in every}
 
 
