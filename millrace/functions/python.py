@@ -9,9 +9,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -52,7 +53,7 @@ def alpha_rename(text: str | None) -> str | None:
     return "\n".join(out) + "\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def alpha_normalise(text: pd.Series) -> pd.Series:
     return text.map(alpha_rename, na_action="ignore")
 
@@ -87,7 +88,7 @@ def tree_facts(text: str | None):
     return max(map(_depth, statements), default=0), _indexed(tree), any({"end_stmt", "loop_var"} <= s.keys() for s in statements)
 
 
-@F.pandas_udf("depth int, indexed boolean, loop boolean")
+@F.pandas_udf(StructType().add("depth", IntegerType()).add("indexed", BooleanType()).add("loop", BooleanType()))
 def tree_columns(tree: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tree_facts(t) for t in tree], columns=["depth", "indexed", "loop"])
 

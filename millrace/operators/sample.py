@@ -43,12 +43,11 @@ def round_robin(df: DataFrame, limit: int, salt: str, ident="alpha_hash", key: s
 
 
 def weighted_round_robin(df: DataFrame, limit: int, salt: str, weights: dict[str, int], ident="alpha_hash", key: str = "id", band: str = "band") -> DataFrame:
-    """A band's turn takes its weight of rows (1 where none is given, and at least); keys of ``weights`` are upper-cased."""
+    """A band's turn takes its weight of rows (1 where none is given, and at least); names of ``weights`` match in any case."""
     if limit <= 0:
         return df.limit(0)
-    wanted = {str(k).upper(): max(1, int(v)) for k, v in weights.items()}
     weight = F.lit(1)
-    for name, n in sorted(wanted.items()):
-        weight = F.when(F.col(band) == name, n).otherwise(weight)
+    for name, n in sorted(weights.items()):
+        weight = F.when(F.upper(band) == str(name).upper(), max(1, int(n))).otherwise(weight)
     turns = _turns(df, limit, salt, ident, key, band).withColumn("_turn", F.floor(F.col("_rn") / weight))
     return turns.orderBy("_turn", band, "_rn").limit(limit).drop("_turn", "_rn")
