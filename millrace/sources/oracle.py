@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def run_commands(df: DataFrame, command: list[str], input_column: str = "input", output_file: str = "output", seconds: float = 30.0) -> DataFrame:
@@ -18,7 +19,7 @@ def run_commands(df: DataFrame, command: list[str], input_column: str = "input",
     and ``{output}`` in the command are replaced by paths.  A lost executor
     only runs its rows again.
     """
-    schema = df.schema.add("status", "string").add("output", "string").add("log", "string")
+    schema = StructType(list(df.schema.fields)).add("status", "string").add("output", "string").add("log", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
