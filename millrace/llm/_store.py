@@ -66,5 +66,6 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
-    """Shuffle partitions for ``size`` bytes: in proportion, at least the session's own number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    """Shuffle partitions for ``size`` bytes: in proportion, at least the session's own number; that number where the size is unknown."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return own if size > 1 << 60 else min(max(own, -(-size // each)), 100_000)

@@ -47,7 +47,7 @@ class _Index:
     """The size partitions of a bounded item table: sketch values with their items, and whole sets."""
 
     def __init__(self, rows, percent: int):
-        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.ids = [r[0] for r in rows]
         self.sets = [np.sort(np.array(r[2], np.int64).view(np.uint64)) for r in rows]
         self.need = needed([len(s) for s in self.sets], percent) if rows else np.zeros(0, np.int64)
         self.parts = []
@@ -117,7 +117,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
             hits = ix.hits(*_text.column_bytes(b.column("text")), shingle)
             if hits:
                 row, item, n = (list(x) for x in zip(*hits, strict=True))
-                yield _text.batch_of(schema, doc_id=ids.take(pa.array(row)), item_id=ix.ids[item], n_item=[len(ix.sets[i]) for i in item], n_shared=n)
+                yield _text.batch_of(schema, doc_id=ids.take(pa.array(row)), item_id=[ix.ids[i] for i in item], n_item=[len(ix.sets[i]) for i in item], n_shared=n)
 
     return docs.mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long")
 

@@ -69,7 +69,7 @@ RULES = [
 
 #: A sentence is looked at only if it holds one of these; every sentence above does.
 TRIGGER = re.compile(r"licen[cs]e|licensed|copyright|permission|warrant|redistribut|spdx|\bmpl\b|rights reserved|public domain|\(c\)|©", re.I)
-_SPLIT = re.compile(r"\n\s*\n|\n|(?<=[.;:!?])\s+")
+_SPLIT = re.compile(r"\n\s*\n|\n|(?<=[.;!?])\s+|(?<=:)(?<!dentifier:)\s+")
 _NOT_WORD = re.compile(r"[^a-z0-9.+]+")
 _DOTS = re.compile(r"\.+(?= |$)|(?<![0-9a-z])\.+")
 _KNOWN = [(name, re.compile(rf"(?:{body})", re.S)) for name, body in SENTENCES]

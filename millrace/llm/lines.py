@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm import _text
 from millrace.llm._store import forget, stored
@@ -103,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, details: bool = Fal
     spans = runs.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("s"))  # of one document each
     spans = spans.select("d", "th", F.expr("transform(s, x -> x.pos)").alias("__from"), F.expr("transform(s, x -> x.len)").alias("__len"))
     joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["d"]) & (keyed["__th"] == spans["th"]), "left").select(*names, "__from", "__len")
-    schema = docs.schema
+    schema = StructType(list(docs.schema.fields))
     extra = ["n_lines", "n_removed", "n_spans"] if details else []
     for c in extra:
         schema = schema.add(c, "long")
