@@ -81,7 +81,7 @@ def normalise_source(text) -> Column:
         s = strip(line)
         term = F.lower(F.regexp_extract(s, STATEMENT, 3))
         body = F.lower(single_spaced(F.regexp_extract(s, STATEMENT, 2)))
-        number = F.lpad(F.regexp_extract(s, STATEMENT, 1).cast("int").cast("string"), 4, "0")
+        number = F.lpad(F.regexp_extract(s, STATEMENT, 1).try_cast("int").cast("string"), 4, "0")
         return F.struct(
             F.concat(number, F.lit("+ "), body, F.lit(" "), term).alias("line"),
             F.when(lstrip(line).startswith("+"), "continuation").when(~s.rlike(STATEMENT), "statement").alias("error"),
@@ -205,7 +205,7 @@ def signed_accumulator(text) -> Column:
     """``123-`` as -123, ``123+`` and ``123`` as 123, null for anything else."""
     s = strip(text)
     n = F.regexp_extract(s, r"^(\d+)[+-]?$", 1)
-    return F.when(s.rlike(r"^\d+[+-]?$"), F.when(s.endswith("-"), -n.cast("long")).otherwise(n.cast("long")))
+    return F.when(s.rlike(r"^\d+[+-]?$"), F.when(s.endswith("-"), -n.try_cast("long")).otherwise(n.try_cast("long")))
 
 
 def last_progress(text, tail: int = 250) -> Column:
@@ -213,7 +213,7 @@ def last_progress(text, tail: int = 250) -> Column:
     lines = splitlines(text)
     hits = F.filter(F.slice(lines, F.greatest(F.size(lines) - tail + 1, F.lit(1)), tail), lambda x: x.rlike(r"\d+/\d+"))
     found = F.try_element_at(F.regexp_extract_all(F.try_element_at(hits, F.lit(-1)), F.lit(r"(\d+/\d+)"), F.lit(1)), F.lit(-1))
-    return F.when(found.isNotNull(), F.struct(F.split(found, "/")[0].cast("long").alias("done"), F.split(found, "/")[1].cast("long").alias("total")))
+    return F.when(found.isNotNull(), F.struct(F.split(found, "/")[0].try_cast("long").alias("done"), F.split(found, "/")[1].try_cast("long").alias("total")))
 
 
 def drop_one_line(text) -> Column:

@@ -46,7 +46,7 @@ def admit(df: DataFrame, quotas: dict[str, int], key: str = "alpha_hash", band:
                     reasons.append(None)
             return part[names].assign(reason=reasons)
 
-        out = df.groupBy(F.lit(0)).applyInPandas(one_pass, schema)
+        out = df.groupBy().applyInPandas(one_pass, schema)
     status = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     out = out.withColumn("status", status)
     ordinal = F.row_number().over(Window.partitionBy("status").orderBy(*order))
