@@ -34,7 +34,7 @@ def splitlines(c) -> Column:
     """Lines without their ends; a last empty one does not count, an empty text has none."""
     parts = F.split(_col(c), LINE_END)
     size = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, size - 1)).otherwise(parts)
+    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, size - 1)).otherwise(parts)
 
 
 def words(c) -> Column:
@@ -93,7 +93,7 @@ def normalise_source(text) -> Column:
     ends = F.transform(every, lambda x: x["final"] | x["error"].isNotNull())
     stop = F.array_position(ends, True)
     used = F.when(stop > 0, F.slice(every, 1, stop.cast("int"))).otherwise(every)
-    wrong = F.element_at(F.filter(F.transform(used, lambda x: x["error"]), lambda e: e.isNotNull()), 1)
+    wrong = F.try_element_at(F.filter(F.transform(used, lambda x: x["error"]), lambda e: e.isNotNull()), F.lit(1))
     head = normalise_header(F.try_element_at(lines, F.lit(1)))
     error = (
         F.when(F.size(lines) == 0, "empty").when(head.isNull(), "header").when(wrong.isNotNull(), wrong)
