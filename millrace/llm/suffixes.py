@@ -33,6 +33,8 @@ from millrace.llm._store import forget, input_bytes, key_filter, maybe_in, parti
 LENGTH = 400
 GRAM = 128
 CELL = 64
+#: Windows sorted at once where a group of cells is larger.
+MOST_WINDOWS = 500_000
 _STEP = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -94,11 +96,11 @@ def repeated_windows(buf: np.ndarray, starts: np.ndarray, length: int, group: np
     out = np.zeros(len(starts), bool)
     live = np.arange(len(starts))
     part = np.unique(group, return_inverse=True)[1].astype(np.int64)
-    byte = np.arange(8)
+    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
     for depth in range(-8, length, 8):
         if depth >= 0:
             at = min(depth, length - 8)  # the last step may look at some bytes again
-            word = buf[(starts[live] + at)[:, None] + byte].view(">u8").ravel().astype(np.uint64)
+            word = eight[starts[live] + at].view(">u8").ravel().astype(np.uint64)
             order = np.lexsort((word, part))
             live, part, word = live[order], part[order], word[order]
             new = np.concatenate([[True], (part[1:] != part[:-1]) | (word[1:] != word[:-1])])
@@ -170,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
             yield b.filter(pa.array(maybe_in(wanted.value, b.column("th").to_numpy())))
 
     texts = keyed.where("text is not null").mapInArrow(chosen, keyed.schema).select("th", "text").dropDuplicates(["th"])
-    cells = pa.schema([("lead", pa.int64()), ("core", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("ask", pa.bool_()), ("x", pa.binary())])
+    cells = pa.schema([("lead", pa.int64()), ("core", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("far", pa.int64()), ("ask", pa.bool_()), ("x", pa.binary())])
 
     def cut(batches):
         for b in _text.pieces(batches):
@@ -190,11 +192,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
                 core = _text.mix((p[core_e] - p[core_s]) * down[core_s] + j.astype(np.uint64))
                 lead = buf[core_s[:, None] + np.arange(8)].view(">i8").ravel().astype(np.int64)
                 yield _text.batch_of(
-                    cells, lead=lead, core=core.view(np.int64), th=np.full(len(own), b.column("th")[i].as_py()), s=begin, n=many, ask=ask[own],
+                    cells, lead=lead, core=core.view(np.int64), th=np.full(len(own), b.column("th")[i].as_py()), s=begin, n=many, far=a_hi, ask=ask[own],
                     x=[buf[x : x + y + length].tobytes() for x, y in zip(begin, many, strict=True)],
                 )
 
-    ready = texts.join(per_text, "th").mapInArrow(cut, "lead long, core long, th long, s long, n long, ask boolean, x binary")
+    ready = texts.join(per_text, "th").mapInArrow(cut, "lead long, core long, th long, s long, n long, far long, ask boolean, x binary")
     parts = partitions_for(spark, input_bytes(docs), 8 << 20)
     spans = pa.schema([("th", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
@@ -204,7 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
             core = b.column("core").to_numpy()
             held.append(b)
             size += b.column("x").nbytes
-            if size > 32 << 20 and len(core):
+            if size > 2 << 20 and len(core):
                 table = pa.Table.from_batches(held)
                 all_core = table.column("core").to_numpy()
                 cut_at = int(np.flatnonzero(all_core != all_core[-1])[-1]) + 1 if (all_core != all_core[-1]).any() else 0
@@ -217,17 +219,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
 
     def answer(table):
         buf, offs = _text.column_bytes(table.column("x"))
-        n, core, ask = (table.column(c).to_numpy() for c in ("n", "core", "ask"))
+        n, core, far, ask = (table.column(c).to_numpy() for c in ("n", "core", "far", "ask"))
         _, inverse, count = np.unique(core, return_inverse=True, return_counts=True)
         use = np.flatnonzero(count[inverse] > 1)
         if not len(use):
             return
         windows = n[use] + 1
-        own = np.repeat(use, windows)
-        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        twice = repeated_windows(buf, offs[:-1][own] + step, length, core[own]) & ask[own]
-        own, step = own[twice], step[twice]
-        if len(own):
+        # equal windows lie equally far before their anchors, so a large group is compared distance by distance
+        turns = [(0, 1 << 62)] if windows.sum() <= MOST_WINDOWS else [(d, d + 1) for d in range(int((far - n)[use].min()), int(far[use].max()) + 1)]
+        for low, high in turns:
+            begin = np.maximum(far[use] - high + 1, 0)
+            many = np.maximum(np.minimum(n[use], far[use] - low) - begin + 1, 0)
+            own = np.repeat(use, many)
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - begin, many)
+            if not len(own):
+                continue
+            twice = repeated_windows(buf, offs[:-1][own] + step, length, core[own]) & ask[own]
+            own, step = own[twice], step[twice]
+            if not len(own):
+                continue
             th, s = table.column("th").to_numpy(), table.column("s").to_numpy()
             new = np.concatenate([[True], (own[1:] != own[:-1]) | (step[1:] != step[:-1] + 1)])
             head = np.flatnonzero(new)
