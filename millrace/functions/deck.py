@@ -62,6 +62,8 @@ def line_at(deck, index) -> Column:
     return F.coalesce(F.try_element_at(_col(deck), (index + 1).cast("int")), F.lit(""))
 
 
-def overpunch(digit, negative: bool) -> Column:
-    """Sign over a digit of a fixed-column word: letters stand for negative digits."""
-    return F.translate(_col(digit), "0123456789", "}JKLMNOPQR") if negative else _col(digit)
+def negative_overpunch(digit) -> Column:
+    """The letter of a digit, or of a digit with a plus over it, with a minus over it; ``!`` for anything else."""
+    d = _col(digit)
+    letters = F.translate(d, "0123456789?ABCDEFGHI", "!JKLMNOPQR!JKLMNOPQR")
+    return F.when(letters.rlike("^[!JKLMNOPQR]$"), letters).otherwise("!")

@@ -59,3 +59,26 @@ def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
         assert spark.read.parquet(target).count() == want
     n = incremental.run_to_table(incremental.progress(incremental.read_folder(spark, source, schema), "k"), "progress_of_k")
     assert {r.k: r.n for r in n.collect()} == {"a": 2, "b": 2, "c": 1}
+
+
+def test_sinks(spark, tmp_path):
+    import json as j
+
+    import pytest
+
+    from millrace.sources import sinks
+
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25)], "k string, n int, x double")
+    assert j.loads(sinks.json_document(df, "k")) == {"a": {"n": 1, "x": 0.5}, "b": {"n": 2, "x": 0.25}}
+    assert "- a: n 1, x 0.5000" in sinks.markdown_report("t", {"s": df})
+    path = f"file://{tmp_path}/w"
+    with sinks.single_writer(spark, path), pytest.raises(sinks.Locked), sinks.single_writer(spark, path):
+        pass
+    assert j.loads(sinks.read_text(spark, f"{path}/_state"))["status"] == "done"
+    with pytest.raises(KeyError), sinks.single_writer(spark, path):
+        raise KeyError("x")
+    assert j.loads(sinks.read_text(spark, f"{path}/_state"))["status"] == "failed"
+    assert sinks.archive(df, f"{path}/arch", "k", "n").count() == 2
+    rows = spark.createDataFrame([(f"i{k}", f"B{k % 2}", f"h{k}") for k in range(10)], "id string, band string, alpha_hash string")
+    index = sinks.slice_dataset({"train": rows, "dev": rows.limit(3)}, f"{path}/cut", {"train": 4}, "s")
+    assert {r.split: r.n for r in index.groupBy("split").agg(F.count("*").alias("n")).collect()}["train"] == 4
