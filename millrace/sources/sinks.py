@@ -77,8 +77,8 @@ class Locked(RuntimeError):
 
 @contextmanager
 def single_writer(spark: SparkSession, path: str) -> Iterator[None]:
-    """Hold ``path``/_lock while writing; ``path``/_state says running, done or failed."""
-    lock, state = f"{path}/_lock", f"{path}/_state"
+    """Hold ``path``.lock while writing; ``path``.state says running, done or failed."""
+    lock, state = f"{path}.lock", f"{path}.state"
     try:
         write_text(spark, lock, str(time.time()), overwrite=False)
     except Exception as error:

@@ -74,10 +74,10 @@ def test_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     with sinks.single_writer(spark, path), pytest.raises(sinks.Locked), sinks.single_writer(spark, path):
         pass
-    assert j.loads(sinks.read_text(spark, f"{path}/_state"))["status"] == "done"
+    assert j.loads(sinks.read_text(spark, f"{path}.state"))["status"] == "done"
     with pytest.raises(KeyError), sinks.single_writer(spark, path):
         raise KeyError("x")
-    assert j.loads(sinks.read_text(spark, f"{path}/_state"))["status"] == "failed"
+    assert j.loads(sinks.read_text(spark, f"{path}.state"))["status"] == "failed"
     assert sinks.archive(df, f"{path}/arch", "k", "n").count() == 2
     rows = spark.createDataFrame([(f"i{k}", f"B{k % 2}", f"h{k}") for k in range(10)], "id string, band string, alpha_hash string")
     index = sinks.slice_dataset({"train": rows, "dev": rows.limit(3)}, f"{path}/cut", {"train": 4}, "s")
