@@ -52,9 +52,9 @@ def markdown_report(title: str, sections: dict[str, DataFrame]) -> str:
 
 
 def archive(cases: DataFrame, target: str, name: str, by: str) -> DataFrame:
-    """Write cases below ``target`` in one folder for each ``by``; returns the manifest (by, n, names)."""
+    """Write cases below ``target`` in one folder for each ``by``; returns the manifest (by, n_cases, first, last)."""
     cases.write.mode("overwrite").partitionBy(by).parquet(f"{target}/cases")
-    manifest = cases.groupBy(by).agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
+    manifest = cases.groupBy(by).agg(F.count("*").alias("n_cases"), F.min(name).alias("first"), F.max(name).alias("last"))
     manifest.write.mode("overwrite").json(f"{target}/manifest")
     return manifest
 
