@@ -1,7 +1,7 @@
 """Vectorised byte, word and shingle helpers used inside Arrow map functions.
 
 Texts are handled as whole UTF-8 byte strings.  A record batch is cut into
-pieces of a few megabytes so that memory depends on the longest single text
+pieces of about a megabyte so that memory depends on the longest single text
 and not on the number of rows in a batch.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Odd multiplier of the polynomial hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -31,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             column = np.full(size, step, dtype=np.uint64)
             column[0] = 1
             _powers[name] = np.multiply.accumulate(column)
-        if size > 4 * PIECE_BYTES:  # one very long text must not stay in memory
+        if size > 16 * PIECE_BYTES:  # one very long text must not stay in memory
             up, down = _powers.pop("up"), _powers.pop("down")
             return up[:n], down[:n]
     return _powers["up"][:n], _powers["down"][:n]

@@ -62,8 +62,8 @@ def bucket_bits(partitions: int) -> int:
 
 
 def groups(blocks: DataFrame, partitions: int) -> DataFrame:
-    """(sig, id, leader): signatures that two or more ids share, with all their ids; leader is the smallest."""
-    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("leader", pa.int64())])
+    """(sig, id, n): signatures that two or more ids share, with all their ids and how many they are."""
+    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def reduce(batches):
         held: dict[int, list] = {}
@@ -90,44 +90,127 @@ def groups(blocks: DataFrame, partitions: int) -> DataFrame:
                 continue
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             count = np.diff(np.append(start, len(sig)))
-            leader = np.repeat(ident[start], count)
-            keep = np.repeat(count > 1, count)
+            count = np.repeat(count, count)
+            keep = count > 1
             if keep.any():
                 full = (sig[keep] | np.uint64(k << 48)).view(np.int64)
-                yield _text.batch_of(schema, sig=full, id=ident[keep], leader=leader[keep])
+                yield _text.batch_of(schema, sig=full, id=ident[keep], n=count[keep])
 
-    return blocks.repartition(partitions, "bucket").mapInArrow(reduce, "sig long, id long, leader long")
+    return blocks.repartition(partitions, "bucket").mapInArrow(reduce, "sig long, id long, n long")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame:
+def sketch(values: np.ndarray) -> bytes:
+    """Counts of a set's values by their lowest bits, in about size / 2 classes; bounds an intersection from above."""
+    bits = max(3, min(14, (len(values) // 2).bit_length()))
+    count = np.bincount((values & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(count, 65535).astype(np.uint16).tobytes() if count.max() > 255 else count.astype(np.uint8).tobytes() + b"\1"
+
+
+def _counts(x: bytes) -> np.ndarray:
+    return (np.frombuffer(x[:-1], np.uint8) if len(x) & 1 else np.frombuffer(x, np.uint16)).astype(np.int32)
+
+
+def _folded(x: np.ndarray, classes: int) -> np.ndarray:
+    """The same counts in fewer classes: classes are the lowest bits, so they nest."""
+    return x if len(x) == classes else x.reshape(-1, classes).sum(0)
+
+
+def may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """False only if the sketches prove that the similarity is below the threshold."""
+    a, b = _counts(x), _counts(y)
+    classes = min(len(a), len(b))
+    most = int(np.minimum(_folded(a, classes), _folded(b, classes)).sum())
+    return 100 * most >= percent * (nx + ny - most)
+
+
+#: Members of a group that are compared at once; larger groups are cut into blocks, compared two by two.
+BLOCK_MEMBERS = 512
+
+
+def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of one group but two components that the sketches leave possible.
+
+    ``rest`` has (sig, id, c), ``facts`` (id, n, sketch).  Blocks of a group
+    meet in one task and only possible pairs leave it.
+    """
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = rest.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_MEMBERS))).cast("int").alias("blocks"))
+    rows = rest.select("sig", "id", "c").join(sizes, "sig").join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
+    mine = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "c", "size", "sketch")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches):
+        key, held, seen = None, [], np.zeros((0, 2), np.int64)
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("sig", "lo", "hi", "mine", "id", "c", "size", "sketch")), strict=True):
+                if row[:3] != key:
+                    if held:
+                        seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
+        for s in range(0, len(seen), 100_000):
+            yield _text.batch_of(pair, a=seen[s : s + 100_000, 0], b=seen[s : s + 100_000, 1])
+
+    keys = ("sig", "lo", "hi")
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _possible(key, held, percent: int) -> np.ndarray:
+    """Pairs of two blocks, or of one block with itself."""
+    _, lo, hi = key
+    mine, ident, comp, size = (np.array([h[i] for h in held], np.int64) for i in range(4))
+    counts = [_counts(h[4]) for h in held]
+    classes = min(map(len, counts))
+    table = np.stack([_folded(x, classes) for x in counts])
+    left = np.flatnonzero(mine == lo)
+    right = left if lo == hi else np.flatnonzero(mine == hi)
+    out = [np.zeros((0, 2), np.int64)]
+    for i in left:
+        j = right[(comp[right] != comp[i]) & (np.minimum(size[right], size[i]) * 100 >= np.maximum(size[right], size[i]) * percent)]
+        if lo == hi:
+            j = j[ident[j] > ident[i]]
+        most = np.minimum(table[j], table[i]).sum(1)
+        j = j[100 * most >= percent * (size[j] + size[i] - most)]
+        if len(j):
+            out.append(np.column_stack([np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])]))
+    return np.concatenate(out)
+
+
+def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """Edges (u, v) whose components are those of all verified pairs within groups.
 
-    ``members`` has (sig, id, leader).  ``verify`` takes distinct pairs (a, b),
-    a < b, and returns those that are linked.  ``rounds`` leaders are tried;
-    then every pair of members that are in one group but not in one component
-    is verified, so no link is lost.
+    ``members`` has (sig, id, n), ``facts`` (id, n, sketch).  ``verify`` takes distinct pairs (a, b),
+    a < b, and returns those that are linked.  A group's leader is its member
+    with the most company over all groups: of a text and its edited copies
+    that is the text itself, which shares every unedited part, so one turn
+    joins them.  Up to ``rounds`` turns are taken, each with a leader outside
+    the component of the one before.  Then every pair of members that are in
+    one group but not in one component is compared, by sketches within blocks
+    and exactly where those leave it possible, so no link is lost.
     """
-    members = stored(members)
-    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    company = members.groupBy("id").agg(F.sum("n").alias("w"))
+    members = stored(members.select("sig", "id").join(company, "id"))
+    rank = F.struct("w", F.col("id"))
+    lead = members.groupBy("sig").agg(F.max_by("id", rank).alias("l"))
+    pairs = members.join(lead, "sig").where("id <> l").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
     edges = None
-    for turn in range(rounds):
+    for _ in range(rounds):
         good = verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = stored(good if edges is None else edges.unionByName(good))
         comp = components(edges).select(F.col("u").alias("id"), F.col("v").alias("c"))
-        now = members.select("sig", "id").join(comp, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids")).where("lo <> hi")
-        apart = apart.groupBy("ids").agg(F.min("sig").alias("sig"))  # groups of the same ids once
-        rest = stored(now.join(apart.select("sig"), "sig", "left_semi"))
-        sizes = rest.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.sum("n").alias("n"))
-        cross, n = sizes.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not cross:
+        now = members.join(comp, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"), F.max_by("c", rank).alias("top")).where("lo <> hi")
+        apart = apart.groupBy("ids").agg(F.min("sig").alias("sig"), F.first("top").alias("top"))  # groups of the same ids once
+        rest = stored(now.join(apart.select("sig", "top"), "sig"))
+        if not rest.head(1):
             forget(members)
             return edges
-        if cross <= 8 * n:
-            break
-        lead = rest.groupBy("sig").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("l"))
+        lead = rest.where("c <> top").groupBy("sig").agg(F.max_by(F.struct("id", "c"), rank).alias("l"))
         pairs = rest.join(lead, "sig").where("c <> l.c").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-    other = rest.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = rest.select("sig", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
     forget(members)
+    pairs = near_pairs(rest, facts, percent)
     return stored(edges.unionByName(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 from millrace.llm._graph import components
 from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, stored
-from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked
+from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, may_link, sketch
 from millrace.llm.paragraphs import verified
 
 #: Ratio of the largest to the smallest size of a band.
@@ -175,28 +175,6 @@ def _sets(b, shingle: int):
     return values, out, ident
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Counts of a set's values by their lowest bits, in about size / 2 classes; bounds an intersection from above."""
-    bits = max(3, min(14, (len(values) // 2).bit_length()))
-    count = np.bincount((values & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(count, 65535).astype(np.uint16 if count.max() > 255 else np.uint8).tobytes() + bytes([bits, 2 if count.max() > 255 else 1])
-
-
-def _counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(x[:-2], np.uint16 if x[-1] == 2 else np.uint8).astype(np.int64)
-
-
-def may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
-    """False only if the sketches prove that the similarity is below the threshold."""
-    a, b = _counts(x), _counts(y)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > len(a):
-        b = b.reshape(-1, len(a)).sum(0)
-    most = int(np.minimum(a, b).sum())
-    return 100 * most >= percent * (nx + ny - most)
-
-
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles found in four or more of every 64th text, the most frequent ones: a cost estimate, not a filter."""
     schema = pa.schema([("h", pa.int64())])
@@ -295,7 +273,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5) ->
 
         return verified(left, docs.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), percent)
 
-    edges = linked(members, verify)
+    edges = linked(members, facts, verify, percent)
     label = components(edges)
     # components of set identities become smallest document ids
     ids = facts.select("id", "doc_id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 from millrace.llm._graph import components
 from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, stored
-from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked
+from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, sketch
 from millrace.llm.lines import line_spans
 
 MIN_WORDS = 20
@@ -101,25 +101,28 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
 
     where = stored(_keyed(docs).mapInArrow(scan, "d long, th long, pos long, id long").dropDuplicates(["d", "th", "pos"]))
     members = groups(_keyed(docs).mapInArrow(sign, BLOCK_DDL), parts)
-    set_schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+    set_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("s", pa.binary())])
+
+    members = stored(members)
+    filters = spark.sparkContext.broadcast(key_filter(members.select("id").distinct(), "id", 1 << 25))
+
+    def sets(batches):
+        seen = np.zeros(0, np.uint64)
+        for b in _text.pieces(batches):
+            _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
+            use = use[np.unique(code[use], return_index=True)[1]]
+            use = use[maybe_in(filters.value, code[use]) & ~np.isin(code[use], seen)]
+            seen = np.concatenate([seen, code[use]])[-500_000:]
+            if len(use):
+                own = [np.unique(s[at[i] : at[i + 1]]) for i in use]
+                yield _text.batch_of(set_schema, id=code[use].view(np.int64), n=[len(x) for x in own], sketch=[sketch(x) for x in own], s=[x.tobytes() for x in own])
+
+    found = stored(_keyed(docs).mapInArrow(sets, "id long, n long, sketch binary, s binary").dropDuplicates(["id"]))
 
     def verify(pairs):
-        pairs = stored(pairs)
-        filters = spark.sparkContext.broadcast(key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
-
-        def sets(batches):
-            seen = np.zeros(0, np.uint64)
-            for b in _text.pieces(batches):
-                _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
-                use = use[np.unique(code[use], return_index=True)[1]]
-                use = use[maybe_in(filters.value, code[use]) & ~np.isin(code[use], seen)]
-                seen = np.concatenate([seen, code[use]])[-500_000:]
-                if len(use):
-                    yield _text.batch_of(set_schema, id=code[use].view(np.int64), s=[np.unique(s[at[i] : at[i + 1]]).tobytes() for i in use])
-
-        return verified(pairs, _keyed(docs).mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), percent)
-
-    edges = linked(members, verify)
+        return verified(pairs, found, percent)
+
+    edges = linked(members, found, verify, percent)
     return where, components(edges)
 
 
