@@ -8,6 +8,8 @@ operator is a limit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from millrace.functions import text as T
 from millrace.functions.python import alpha_normalise, edit_distance
 from millrace.operators import admit as A
 from millrace.operators import dedupe, monitor, report, retrieve, review, sample, sft, split
+from millrace.plans import corpus, evaluate
 from millrace.streaming import incremental
 
 QUERIES: dict = {}
@@ -397,8 +400,6 @@ def q36_stream_progress(spark, d):
 
 
 def _name() -> str:
-    import uuid
-
     return f"millrace_{uuid.uuid4().hex}"
 
 
@@ -454,3 +455,34 @@ def q44_progress(spark, d):
     events = _t(spark, d, "events")
     kinds = [r[0] for r in events.select("event_type").distinct().collect()]
     return monitor.progress(events, "event_type", dict.fromkeys(kinds, 2000))
+
+
+@query()
+def q45_corpus(spark, d):
+    """Programs for as many seeds a band as there are regions, hashed, admitted and split by hash."""
+    quotas = {f"B{k}": 3 for k in range(6)}
+    made = corpus.candidates(spark, quotas, _t(spark, d, "region").count()).withColumn("id", F.concat("band", F.lit("-"), "seed"))
+    accepted, _ = corpus.build(made, quotas)
+    return corpus.split_corpus(accepted).select("id", "band", "seed", "alpha_hash", "shape_hash", "split", "ordinal")
+
+
+@query(f"""with p as (select c.conv_id, c.turn, string_split(c.text, ' ') as cand, string_split(r.text, ' ') as ref, c.turn % 3 <> 0 as assembles, c.turn % 2 = 0 as runs
+    from conversations c left join conversations r on r.conv_id = c.conv_id and r.turn = c.turn - c.turn % 2),
+  k as (select *, cand = ref as exact, contains(array_to_string(cand, chr(10)), '<IT>') or contains(array_to_string(cand, chr(10)), 'User:') or contains(array_to_string(cand, chr(10)), 'Assistant:') as echo,
+    len(list_filter(cand, lambda x: regexp_matches(trim(x), '^\\+\\s+\\d+\\s+\\d+\\s+\\d+\\s+\\d+\\s+\\d+\\s*$') or regexp_matches(trim(x), '(?i)^\\d{{4}}\\+\\s+.+\\s+f{{1,2}}\\s*$'))) >= greatest(2, len(cand) // 2) as looks from p),
+  a as (select *, assembles and (exact or (not echo and not looks and len(cand) >= 10)) as asm from k), f as (select *, asm and runs as fun from a)
+  select conv_id, turn, exact as exact_match, asm as assemblable, fun as functional,
+    case when exact and (not asm or not fun) then 'evaluator_invariant_failure' when exact then 'exact_match' when echo then 'malformed_source_echo_in_output' when looks then 'returned_it_source_instead_of_pit'
+      when len(cand) < 10 then 'malformed_pit_card' when not asm and not assembles then 'wrong_reservation_handling_or_symbolic_output' when not asm then 'unassemblable_output'
+      when fun then 'functional_success_exact_failure' else 'assembles_but_misexecutes' end as failure_type from f""")
+def q46_reevaluate(spark, d):
+    """Turns as decks of words: even turns are references of themselves and of the odd turn after them."""
+    c = _t(spark, d, "conversations").withColumn("cards", F.split("text", " "))
+    out = F.array(F.lit("out"))
+    preds = c.select(
+        F.struct("conv_id", F.col("turn") - F.col("turn") % 2).cast("string").alias("id"), "conv_id", "turn", F.col("cards").alias("candidate_cards"),
+        F.when(F.col("turn") % 3 != 0, "ok").otherwise("assemble_error").alias("assemble_status"), F.lit("ok").alias("run_status"),
+        F.when(F.col("turn") % 2 == 0, out).otherwise(F.array(F.lit("other"))).alias("output_cards"),
+    )
+    refs = c.select(F.struct("conv_id", "turn").cast("string").alias("id"), F.col("cards").alias("reference_cards"), out.alias("reference_output"))
+    return evaluate.reevaluate(preds, refs).select("conv_id", "turn", "exact_match", "assemblable", "functional", "failure_type")
