@@ -372,7 +372,7 @@ def q32_alpha_rename(spark, d):
 @query()
 def q33_nearest(spark, d):
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("element_at(split(text, '\\n'), 1)").alias("text"))
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(T.splitlines("text")).alias("text")).where(F.length("text") > 80)
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(T.splitlines("text")).alias("text"))
     examples = lines.groupBy("text").agg(F.min("doc_id").alias("example_id"))
     return retrieve.nearest(items, examples, mode="levenshtein")
 
