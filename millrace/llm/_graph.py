@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm._store import forget, stored
 
+#: Edges (16 bytes each) that one task may hold.
+SMALL = 100_000
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its component) of one block of edges, by repeated minimum."""
@@ -62,10 +65,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``edges`` has long columns u and v.  Blocks of edges are first reduced to
     forests where they lie; each round then moves every neighbour to the local
     minimum and ends in the shared folder, so that a lost executor costs one
-    round.  Loops and null ends are dropped.  An empty table gives an empty table.
+    round.  Where the forests have at most ``SMALL`` edges together, one task
+    finishes instead.  Loops and null ends are dropped.  An empty table gives
+    an empty table.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     now = stored(edges.mapInPandas(_block_forest, "u long, v long"))
+    if now.count() <= SMALL:
+        return stored(now.coalesce(1).mapInPandas(_block_forest, "u long, v long"))
     seen = None
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
