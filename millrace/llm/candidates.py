@@ -24,7 +24,7 @@ from millrace.llm._store import forget, stored
 BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 BLOCK_DDL = "bucket int, block binary"
 #: Pairs that a task gathers before it emits blocks.
-GATHER = 1 << 20
+GATHER = 1 << 19
 
 
 class Packer:
@@ -99,9 +99,9 @@ def groups(blocks: DataFrame, partitions: int) -> DataFrame:
     return blocks.repartition(partitions, "bucket").mapInArrow(reduce, "sig long, id long, n long")
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Counts of a set's values by their lowest bits, in about size / 2 classes; bounds an intersection from above."""
-    bits = max(3, min(14, (len(values) // 2).bit_length()))
+def sketch(values: np.ndarray, finer: int = 0) -> bytes:
+    """Counts of a set's values by their lowest bits, in about size / 2 classes, or 2 ** finer times as many; bounds an intersection from above."""
+    bits = max(3, min(14, (len(values) // 2).bit_length() + finer))
     count = np.bincount((values & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.minimum(count, 65535).astype(np.uint16).tobytes() if count.max() > 255 else count.astype(np.uint8).tobytes() + b"\1"
 

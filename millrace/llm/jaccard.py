@@ -212,7 +212,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5) ->
             n = np.diff(at)
             yield _text.batch_of(
                 table, doc_id=b.column("doc_id"), n=n, id=pa.array(ident.view(np.int64), mask=n == 0),
-                sketch=[sketch(values[at[i] : at[i + 1]]) if n[i] else None for i in range(len(n))],
+                sketch=[sketch(values[at[i] : at[i + 1]], 1) if n[i] else None for i in range(len(n))],
             )
 
     every = stored(docs.mapInArrow(describe, "doc_id long, n long, id long, sketch binary"))

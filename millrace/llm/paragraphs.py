@@ -5,6 +5,9 @@ identity; each distinct paragraph's shingle set gets a MinHash signature whose
 bands are tuned so that a pair at the threshold collides with probability
 ``recall``.  Colliding paragraphs are verified by exact Jaccard similarity,
 linked to components, and every copy but a component's first is removed.
+
+A passage may also lie inside longer paragraphs.  Texts are therefore also cut
+at content-defined words, and equal pieces count as paragraphs of their own.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from millrace.llm._graph import components
 from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, stored
 from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, sketch
 from millrace.llm.lines import line_spans
+from millrace.llm.suffixes import _merge, _sliding_minimum
 
 MIN_WORDS = 20
+#: Words on both sides that decide where a passage is cut; pieces are about twice as long.
+REACH = 8
 ROWS = 4
 
 
@@ -115,7 +121,7 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
             seen = np.concatenate([seen, code[use]])[-500_000:]
             if len(use):
                 own = [np.unique(s[at[i] : at[i + 1]]) for i in use]
-                yield _text.batch_of(set_schema, id=code[use].view(np.int64), n=[len(x) for x in own], sketch=[sketch(x) for x in own], s=[x.tobytes() for x in own])
+                yield _text.batch_of(set_schema, id=code[use].view(np.int64), n=[len(x) for x in own], sketch=[sketch(x, 3) for x in own], s=[x.tobytes() for x in own])
 
     found = stored(_keyed(docs).mapInArrow(sets, "id long, n long, sketch binary, s binary").dropDuplicates(["id"]))
 
@@ -149,33 +155,114 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).mapInArrow(compare, "a long, b long")
 
 
-def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = MIN_WORDS, recall: float = 0.999) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed, text): texts without the later copies of repeated paragraphs.
+def passage_cuts(hashes: np.ndarray) -> np.ndarray:
+    """Words at which a piece starts: those with the smallest hash within REACH words on both sides, the first on a tie.
+
+    Where a piece starts depends on the words around it only, so a passage
+    that is copied into other text is cut in the same places, but for its
+    first and last REACH words.
+    """
+    n = len(hashes)
+    if n <= 2 * REACH:
+        return np.zeros(0, np.int64)
+    # the place is part of the key, so that the first of equal values is smaller
+    key = (hashes & ~np.uint64((1 << 22) - 1)) | np.arange(n, dtype=np.uint64)
+    low = _sliding_minimum(key, 2 * REACH + 1)
+    return np.flatnonzero(low == key[REACH : n - REACH]) + REACH
+
 
-    Only paragraphs of ``min_words`` words or more are compared; all others
-    stay.  Of each component the first paragraph by doc_id (null last), text
-    hash and position stays.  ``removed`` lists positions.  Null and empty
-    texts stay as they are, with no paragraphs.  Rows alike in doc_id and text
-    are treated alike.
+def _passages(b):
+    """Of a piece of texts: (owner, start byte, end byte, identity) of runs of words between cuts, of REACH words or more."""
+    buf, offs = _text.column_bytes(b.column("text"))
+    h, starts, ends, first = _text.words(buf, offs)
+    none = np.zeros(0, np.int64)
+    if not len(h):
+        return none, none, none, none.astype(np.uint64)
+    edge = np.unique(np.concatenate([passage_cuts(h), first[:-1][np.diff(first) > 0]]))
+    stop = np.append(edge[1:], len(h))
+    rank = np.arange(len(h)) - np.repeat(edge, stop - edge)
+    up, _ = _text.powers(int(rank.max()) + 1)
+    code = _text.mix(np.add.reduceat(_text.mix(h) * up[rank], edge) + (stop - edge).astype(np.uint64))
+    keep = stop - edge >= REACH
+    edge, stop = edge[keep], stop[keep]
+    owner = np.searchsorted(first, edge, "right") - 1
+    return owner, starts[edge] - offs[owner], ends[stop - 1] - offs[owner], code[keep]
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(d, th, s, e): byte spans of later copies of word runs between content-defined cuts."""
+    spark = docs.sparkSession
+    counted = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+    found = pa.schema([(c, pa.int64()) for c in ("d", "th", "s", "e", "id")])
+
+    def count(batches):
+        for b in _text.pieces(batches):
+            code, n = np.unique(_passages(b)[3], return_counts=True)
+            yield _text.batch_of(counted, id=code.view(np.int64), n=n)
+
+    again = stored(_keyed(docs).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select("id"))
+    filters = spark.sparkContext.broadcast(key_filter(again, "id", 1 << 25))
+
+    def find(batches):
+        for b in _text.pieces(batches):
+            owner, s, e, code = _passages(b)
+            hit = maybe_in(filters.value, code)
+            take = pa.array(owner[hit])
+            yield _text.batch_of(found, d=b.column("doc_id").take(take), th=b.column("th").take(take), s=s[hit], e=e[hit], id=code[hit].view(np.int64))
+
+    rows = _keyed(docs).mapInArrow(find, "d long, th long, s long, e long, id long").join(again, "id", "left_semi").dropDuplicates(["d", "th", "s"])
+    order = F.struct(F.col("d").isNull(), "d", "th", "s")
+    rows = stored(rows)
+    first = rows.groupBy("id").agg(F.min(order).alias("f"))
+    return rows.join(first, "id").where(order > F.col("f")).select("d", "th", "s", "e")
+
+
+def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = MIN_WORDS, recall: float = 0.999, passages: bool = True) -> DataFrame:
+    """(doc_id, n_paragraphs, removed, n_bytes, n_removed, n_spans, starts, ends, kept): texts without later copies.
+
+    Of each component of near-duplicate paragraphs the first by doc_id (null
+    last), text hash and position stays; ``removed`` lists the positions of
+    the others, which go with their line breaks.  Paragraphs of fewer than
+    ``min_words`` words are not compared.  A passage inside longer paragraphs
+    is no near-duplicate paragraph: with ``passages``, word runs between
+    content-defined cuts count as paragraphs of their own, and later copies of
+    equal ones go too.  ``starts`` and ``ends`` are the maximal removed byte
+    spans, n_removed their bytes, ``kept`` the rest.  Null texts count as
+    empty.  Rows alike in doc_id and text are treated alike.
     """
     where, comp = paragraph_components(docs, percent, shingle, min_words, recall)
     order = F.struct(F.col("d").isNull(), "d", "th", "pos")
     named = where.join(comp.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
     first = named.groupBy("c").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = named.join(first, "c").where(order > F.col("f")).groupBy("d", "th").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    later = named.join(first, "c").where(order > F.col("f")).select("d", "th", F.col("pos").alias("s"), F.lit(-1).cast("long").alias("e"))
+    if passages:
+        later = later.unionByName(repeated_passages(docs))
+    spans = later.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("w"))  # of one text each
+    spans = spans.select("d", "th", F.expr("transform(w, x -> x.s)").alias("s"), F.expr("transform(w, x -> x.e)").alias("e"))
     docs = _keyed(docs)
-    joined = docs.join(later, docs["doc_id"].eqNullSafe(later["d"]) & (docs["th"] == later["th"]), "left").select("doc_id", "text", "removed")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int64())), ("text", pa.string())])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["th"] == spans["th"]), "left").select("doc_id", "text", "s", "e")
+    kinds = {"doc_id": "long", "n_paragraphs": "long", "removed": "array<long>", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "starts": "array<long>", "ends": "array<long>", "kept": "binary"}
+    arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    schema = pa.schema([(c, arrow[k]) for c, k in kinds.items()])
 
     def cut(batches):
         for b in _text.pieces(batches):
-            texts, removed, count = b.column("text").to_pylist(), b.column("removed").to_pylist(), []
-            for i, t in enumerate(texts):
-                lines = t.split("\n") if t else []
-                count.append(len(lines) - (bool(lines) and lines[-1] == ""))
-                if removed[i]:
-                    gone = set(removed[i])
-                    texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-            yield _text.batch_of(schema, doc_id=b.column("doc_id"), n_paragraphs=count, n_removed=[len(x or ()) for x in removed], removed=[x or [] for x in removed], text=texts)
-
-    return joined.mapInArrow(cut, "doc_id long, n_paragraphs long, n_removed long, removed array<long>, text string")
+            buf, offs = _text.column_bytes(b.column("text"))
+            starts, _, first = line_spans(buf, offs) if len(buf) else (np.zeros(0, np.int64), None, np.zeros(b.num_rows + 1, np.int64))
+            rows = []
+            for i in range(b.num_rows):
+                x, s, e = buf[offs[i] : offs[i + 1]].tobytes(), b.column("s")[i].as_py(), b.column("e")[i].as_py()
+                n = int(first[i + 1] - first[i])
+                if not s:
+                    rows.append((n, [], len(x), 0, 0, [], [], x))
+                    continue
+                s, e = np.array(s), np.array(e)
+                own = np.append(starts[first[i] : first[i + 1]] - offs[i], len(x))
+                line = e < 0
+                gone = np.sort(s[line])
+                s, e = _merge(np.concatenate([s[~line], own[gone]]), np.concatenate([e[~line], own[gone + 1]]))
+                kept = b"".join(x[a:c] for a, c in zip([0, *e], [*s, len(x)], strict=True))
+                rows.append((n, gone.tolist(), len(x), len(x) - len(kept), len(s), s.tolist(), e.tolist(), kept))
+            yield _text.batch_of(schema, doc_id=b.column("doc_id"), **dict(zip(list(kinds)[1:], map(list, zip(*rows, strict=True)), strict=True)))
+
+    return joined.mapInArrow(cut, ", ".join(f"{c} {k}" for c, k in kinds.items()))

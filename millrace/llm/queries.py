@@ -47,7 +47,7 @@ def op7_benchmark_decontamination(spark, sf_dir):
 
 def op8_paragraph_dedup(spark, sf_dir):
     docs = paragraphs.dedup_paragraphs(_read(spark, sf_dir, "documents"))
-    return docs.select("doc_id", "n_paragraphs", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return docs.select("doc_id", "n_paragraphs", "n_bytes", "n_removed", "n_spans", "removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_ppm_scoring(spark, sf_dir):

@@ -39,16 +39,39 @@ def test_against_brute_force(docs_of):
     base = [prose(k, r.choice([20, 25, 40, 90])) for k in range(8)]
     pick = lambda: r.choice([lambda: r.choice(base), lambda: edited(r.choice(base), r, 1), lambda: edited(r.choice(base), r, 3), lambda: prose(r.randrange(10**6), 25), lambda: "short one"])()
     texts = ["\n".join(pick() for _ in range(r.randint(1, 6))) for _ in range(50)]
-    got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts))), passages=False).orderBy("doc_id").collect()
     want = brute(texts, paragraphs.MIN_WORDS)
     assert [list(r.removed) for r in got] == want
     for row, t, gone in zip(got, texts, want, strict=True):
-        assert row.text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        assert bytes(row.kept).decode() == "".join(x for k, x in enumerate(t.splitlines(keepends=True)) if k not in gone)
+        assert row.n_bytes - row.n_removed == len(row.kept)
+
+
+def test_passages_inside_longer_paragraphs(docs_of):
+    shared = [prose(500 + k, 60) for k in range(3)]
+    texts = [f"{prose(k, 30 + k)} {shared[k % 3]} {prose(900 + k, 40)}" for k in range(12)] + [prose(2000 + k, 200) for k in range(5)]
+    got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert all(r.n_removed == 0 for r in got[:3] + got[12:])
+    for k, r in enumerate(got[3:12], 3):
+        start = len(texts[k].partition(shared[k % 3])[0])
+        assert r.n_removed > 0 and all(start <= a < b <= start + len(shared[k % 3]) for a, b in zip(r.starts, r.ends))
+
+
+def test_cuts_depend_on_nearby_words_only():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    a, b = (np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), shared, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for n in (17, 41))
+    inside = lambda x, n: [c - n for c in paragraphs.passage_cuts(x) if n + 8 <= c < n + 52]
+    assert inside(a, 17) == inside(b, 41) and len(inside(a, 17)) >= 2
+    assert len(paragraphs.passage_cuts(shared[:10])) == 0
 
 
 def test_odd_rows(odd, none):
     out = paragraphs.dedup_paragraphs(odd)
     rows = {r.doc_id: r for r in out.collect()}
     assert out.count() == odd.count()
-    assert rows[1].text is None and rows[2].n_paragraphs == 0 and list(rows[5].removed) == [0] and list(rows[4].removed) == [] and rows[6].n_paragraphs == 40
+    assert bytes(rows[1].kept) == b"" == bytes(rows[2].kept) and rows[2].n_paragraphs == 0 and list(rows[5].removed) == [0] and bytes(rows[5].kept) == b""
+    assert list(rows[4].removed) == [] and rows[4].n_removed == 0 and rows[6].n_paragraphs == 40 and rows[6].n_removed == 0
     assert paragraphs.dedup_paragraphs(none).count() == 0
