@@ -62,8 +62,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def pieces(batches, column: str = "text", limit: int = PIECE_BYTES):
+#: Caches that a worker process keeps between tasks of one operator; any other operator's scan empties them.
+worker_caches: list[dict] = []
+
+
+def pieces(batches, column: str = "text", limit: int = PIECE_BYTES, keep_caches: bool = False):
     """Slices of record batches of at most ``limit`` text bytes, or of one row."""
+    if not keep_caches:
+        for cache in worker_caches:
+            cache.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

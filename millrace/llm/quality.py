@@ -24,8 +24,8 @@ from millrace.llm._store import stored
 TEXT_DIMS = 1 << 16
 META_DIMS = 1 << 12
 SHAPES = 12
-MAX_LABELLED = 6000
-MAX_UNLABELLED = 6000
+MAX_LABELLED = 4000
+MAX_UNLABELLED = 4000
 
 
 def text_features(buf: np.ndarray, offs: np.ndarray):
