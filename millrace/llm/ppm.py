@@ -7,6 +7,11 @@ probability is that of its longest matching context; escapes follow method C
 (as many escape counts as distinct symbols) and symbols already seen in the
 longer context are excluded from the shorter one, which makes the
 probabilities of all 256 symbols sum to one.
+
+The frequent contexts are broadcast.  A gram whose longest context is not
+among them is looked up in the table of all counts: that is dealt out by the
+last bytes of the context, so a task holds every longer context that ends in
+them, and the few short ones are broadcast whole.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from millrace.llm._store import forget, partitions_for, stored
 MARK = 0xFF
 #: 255 bytes and the end.
 SYMBOLS = 256
-#: Bound of the broadcast trie: entries of each order kept at most (24 bytes each); rarer contexts of that order fall back to the next shorter one.
+#: Bound of the broadcast trie: entries of each order kept at most (24 bytes each); grams after rarer contexts are scored by a shuffle.
 TRIE_ENTRIES = 1 << 20
 #: Bound of the broadcast word table; rarer words are scored by a shuffle join.
 COMMON_WORDS = 1 << 18
@@ -213,28 +218,66 @@ def _summed(gram: np.ndarray, n: np.ndarray):
     return gram[start], np.add.reduceat(n, start) if len(gram) else n
 
 
+def _shorter(levels: list, order: int, least: int) -> list:
+    """The levels from ``least`` up to the given one of ``order``: counts of shorter contexts are sums of longer ones."""
+    for k in range(order - 1, least - 1, -1):
+        levels = [_summed(levels[0][0] & np.int64((1 << (8 * (k + 1))) - 1), levels[0][1]), *levels]
+    return levels
+
+
+def _fit(docs: DataFrame, order: int, entries: int):
+    """The bounded trie, and unless it is whole the stored counts of all grams, their number and the short levels, all of them."""
+    whole = stored(gram_counts(docs, order))
+    size = whole.count()
+    if size <= entries:
+        trie = Trie(_shorter([_summed(*_columns(whole, "gram", "n"))], order, 0))
+        forget(whole)
+        return trie, None, size, None
+    levels, parents, short = [], None, None
+    for k in range(order + 1):
+        cut = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+        counts = whole if k == order else whole.groupBy(cut.alias("gram")).agg(F.sum("n").alias("n"))
+        kept = _bounded(counts, k, entries)
+        g, n = _summed(*_columns(kept, "gram", "n"))
+        if k < order and (k < 2 or k == 2 and kept is counts):  # 2^8, 2^16 and at most ``entries`` grams
+            short = (g, n) if kept is counts else _summed(*_columns(counts, "gram", "n"))
+            base = k
+        if k > 1:  # a context stays only if the next shorter one did
+            ok = np.isin((g >> 8) & np.int64((1 << (8 * (k - 1))) - 1), parents)
+            g, n = g[ok], n[ok]
+        parents = np.unique(g >> 8)
+        levels.append((g, n))
+    return Trie(levels), whole, size, _shorter([short], base, 0)
+
+
 def train(docs: DataFrame, order: int = 5, entries: int = TRIE_ENTRIES) -> Trie:
     """A trie over the whole texts of ``docs``; its size is bounded by ``entries`` per order."""
-    whole = stored(gram_counts(docs, order))
-    levels = [None] * (order + 1)
-    if whole.count() <= entries:  # counts of shorter contexts are sums of these
-        levels[order] = _summed(*_columns(whole, "gram", "n"))
-        for k in range(order - 1, -1, -1):
-            levels[k] = _summed(levels[k + 1][0] & np.int64((1 << (8 * (k + 1))) - 1), levels[k + 1][1])
-    else:
-        parents = None
-        for k in range(order + 1):
-            cut = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-            counts = whole if k == order else whole.groupBy(cut.alias("gram")).agg(F.sum("n").alias("n"))
-            g, n = _summed(*_columns(_bounded(counts, k, entries), "gram", "n"))
-            if k > 1:  # a context stays only if the next shorter one did
-                up = (g >> 8) & np.int64((1 << (8 * (k - 1))) - 1)
-                ok = parents[np.minimum(np.searchsorted(parents, up), len(parents) - 1)] == up
-                g, n = g[ok], n[ok]
-            parents = np.unique(g >> 8)
-            levels[k] = (g, n)
-    forget(whole)
-    return Trie(levels)
+    trie, whole, _, _ = _fit(docs, order, entries)
+    if whole is not None:
+        forget(whole)
+    return trie
+
+
+def _exact(grams_: DataFrame, whole: DataFrame, size: int, short: list, order: int) -> DataFrame:
+    """(gram, p): log10 probabilities of distinct grams by all counts of the training texts."""
+    spark = whole.sparkSession
+    base = len(short) - 1
+    given = spark.sparkContext.broadcast(short)
+    schema = pa.schema([("gram", pa.int64()), ("p", pa.float64())])
+
+    def run(batches):
+        parts = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        gram, n = (np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        ask = gram[n == 0]
+        if not len(ask):
+            return
+        trie = Trie(given.value + _shorter([_summed(gram[n > 0], n[n > 0])], order, base + 1))
+        for i in range(0, len(ask), 500_000):
+            yield _text.batch_of(schema, gram=ask[i : i + 500_000], p=trie.log10p(ask[i : i + 500_000].view(np.uint64)))
+
+    last = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * (base + 1))) - 1))
+    rows = whole.select("gram", "n").unionByName(grams_.select("gram", F.lit(0).cast("long").alias("n")))
+    return rows.repartition(partitions_for(spark, 64 * size), last).mapInArrow(run, "gram long, p double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -272,7 +315,8 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = docs.where("not held_out")
-    trie = train(training, order, entries)
+    trie, whole, size, short = _fit(training, order, entries)
+    partial = whole is not None
     counts = stored(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = (counts.where("word is null").select("n").first() or [0])[0]
@@ -285,7 +329,7 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
     lookup = Table(common.view(np.uint64), np.log10((common_n + 0.5) / scale))
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((trie, lookup))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("far", pa.list_(pa.int64()))])
     end_cost = float(np.log10((ends + 0.5) / scale))
     ready: dict = {}
 
@@ -300,7 +344,13 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
             p, found = ready["t"].get(g)
             new, inverse = np.unique(g[~found], return_inverse=True)
             p[~found] = trie.log10p(new)[inverse]
+            far = np.zeros(0, np.int64)
+            if partial:  # the trie may lack what follows these contexts
+                _, there = trie._find(trie.ctx[trie.order], new >> np.uint64(8))
+                far = np.flatnonzero(~found)[~there[inverse]]
+                p[far] = 0
             total = np.add.reduceat(p, at)
+            far_split = np.searchsorted(far, np.append(at, len(g)))
             h, _, _, first = _text.words(buf, offs)
             value, known = lookup.get(h)
             sums = np.concatenate([[0.0], np.cumsum(value)])
@@ -312,9 +362,10 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
                 n_tokens=np.diff(first) + 1, n_known=hits[first[1:]] - hits[first[:-1]] + int(ends > 0),
                 base=sums[first[1:]] - sums[first[:-1]] + end_cost, score=total, n_bytes=np.diff(offs),
                 rare=pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(h[rare].view(np.int64))),
+                far=pa.ListArray.from_arrays(pa.array(far_split.astype(np.int32)), pa.array(g[far].view(np.int64))),
             )
 
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>"
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, far array<long>"
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl))
     rest = (
         rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
@@ -324,9 +375,18 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
             F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))).alias("rare_base"),
         )
     )
-    return rows.drop("rare").join(rest, "row", "left").select(
+    rows_out = rows.drop("rare", "far").join(rest, "row", "left")
+    far_score = F.lit(0.0)
+    if partial:
+        far = rows.select("row", F.explode("far").alias("gram"))
+        exact = stored(_exact(far.select("gram").distinct(), whole, size, short, order))
+        forget(whole)
+        far = far.groupBy("row", "gram").agg(F.count("*").alias("k")).join(exact, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("far_score"))
+        rows_out = rows_out.join(far, "row", "left")
+        far_score = F.coalesce("far_score", F.lit(0.0))
+    return rows_out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score", "n_bytes",
+        (F.col("score") + far_score).alias("score"), "n_bytes",
     )
 

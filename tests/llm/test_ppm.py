@@ -99,6 +99,14 @@ def test_score_against_plain_counts(docs_of, texts, common):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(plain.score(every[i] or ""))
 
 
+@pytest.mark.parametrize("entries, order", [(150, 3), (1, 3), (400, 4), (30, 1)])
+def test_scores_do_not_depend_on_the_bound_of_the_trie(docs_of, texts, entries, order):
+    every = [*texts, "ZZZ", "日本", None]
+    rows = ppm.score(docs_of(list(enumerate(every))), F.col("doc_id") % 3 == 1, order=order, entries=entries).orderBy("doc_id").collect()
+    plain = Plain([every[i] or "" for i in range(len(every)) if i % 3 != 1], order)
+    assert [r.score for r in rows] == pytest.approx([plain.score(t or "") for t in every])
+
+
 def test_odd_rows(odd, none):
     out = ppm.score(odd, F.coalesce(F.col("doc_id") == 4, F.lit(False)))
     assert out.count() == odd.count() and out.where("score is null or base_score is null").count() == 0
