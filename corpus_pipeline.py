@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go from the texts, and documents that held nothing else; n_chars follows the text."""
     ship(spark)
-    cut = lines.dedup_lines(docs, details=True)
+    cut = lines.dedup_lines(docs, details=True, whole_runs=True)
     gone = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", chars).select(*docs.columns)

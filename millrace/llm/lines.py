@@ -6,8 +6,11 @@ neighbouring runs of level k.  Positions whose run is unique drop out, as their
 longest common prefix with any other suffix is known to be shorter.  A run of
 any length l, 2**k <= l < 2**(k + 1), is named by two overlapping runs of level
 k, so an interval of suffixes with a common prefix of l lines is one name.
-Runs that reach ``min_words`` words are looked up this way; every later copy is
-deleted and overlapping copies merge to the maximal repeated runs.
+The shortest runs that reach ``min_words`` words are looked up this way, from
+each line on and (``whole_runs``) up to each line.  A repeated run of enough words is the union
+of those inside it: a line with enough words from it to the run's end begins
+one, any other line is in the one that ends with the run.  So every later copy
+is deleted and overlapping copies merge to the maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ def line_spans(buf: np.ndarray, offs: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _lines(batches, min_words):
-    schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("len", pa.int64())])
+def _lines(batches, min_words, whole_runs):
+    schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("lens", pa.list_(pa.int64()))])
     for b in _text.pieces(batches):
         buf, offs = _text.column_bytes(b.column("text"))
         if not len(buf):
@@ -50,25 +53,33 @@ def _lines(batches, min_words):
         last = first[1:][owner]
         own = np.arange(len(starts))
         run = np.where(reach <= last - 1, reach, np.where(total - so_far >= min_words, last, -1)) - own
-        yield _text.batch_of(schema, d=b.column("doc_id").take(pa.array(owner)), th=b.column("th").take(pa.array(owner)), pos=own - first[:-1][owner], h=h.view(np.int64), len=np.where(run > 0, run, 0))
+        until = np.append(so_far[1:], len(word_starts))
+        begin = np.searchsorted(so_far, until - min_words, side="right") - 1  # last line from which there are enough words up to this one's end
+        back = np.flatnonzero(begin >= first[:-1][owner])
+        start, length = begin[back], back + 1 - begin[back]
+        more = (length != run[start]) & whole_runs
+        start, length = np.concatenate([own[run > 0], start[more]]), np.concatenate([run[run > 0], length[more]])
+        order = np.argsort(start, kind="stable")
+        lens = pa.ListArray.from_arrays(pa.array(np.searchsorted(start[order], np.arange(len(starts) + 1)).astype(np.int32)), pa.array(length[order].astype(np.int64)))
+        yield _text.batch_of(schema, d=b.column("doc_id").take(pa.array(owner)), th=b.column("th").take(pa.array(owner)), pos=own - first[:-1][owner], h=h.view(np.int64), lens=lens)
 
 
 KEY = ("d", "th")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (d, th, pos, len): later copies of runs of lines that together reach ``min_words`` words."""
-    lines = stored(docs.mapInArrow(lambda it: _lines(it, min_words), "d long, th long, pos long, h long, len long").dropDuplicates(["d", "th", "pos"]))
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+    """Rows (d, th, pos, len): later copies of runs of lines that together reach ``min_words`` words; see dedup_lines()."""
+    lines = stored(docs.mapInArrow(lambda it: _lines(it, min_words, whole_runs), "d long, th long, pos long, h long, lens array<long>").dropDuplicates(["d", "th", "pos"]))
     seen = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    level = stored(lines.join(seen, "h", "left_semi").select(*KEY, "pos", F.col("h").alias("r"), "len"))
+    level = stored(lines.join(seen, "h", "left_semi").select(*KEY, "pos", F.col("h").alias("r"), "lens"))
     forget(lines)
     found, k = None, 0
     while True:
         step = 1 << k
-        most = level.agg(F.max("len")).first()[0]
+        most = level.agg(F.max(F.array_max("lens"))).first()[0]
         if not most or most < step:
             break
-        pairs = level.where(f"len >= {step} and len < {2 * step}")
+        pairs = level.select(*KEY, "pos", "r", F.explode("lens").alias("len")).where(f"len >= {step} and len < {2 * step}")
         if k:
             other = level.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"))
             pairs = pairs.join(other, F.col("d").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") + F.col("len") - step == F.col("pos2")))
@@ -82,25 +93,28 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         ahead = level.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"))
         grown = level.join(ahead, F.col("d").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") + step == F.col("pos2")))
-        grown = grown.select(*KEY, "pos", F.xxhash64("r", "r2").alias("r"), "len")
+        grown = grown.select(*KEY, "pos", F.xxhash64("r", "r2").alias("r"), "lens")
         again = grown.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
         level = stored(grown.join(again, "r", "left_semi"))
         k += 1
-    return found if found is not None else level.select(*KEY, "pos", "len").limit(0)
+    return found if found is not None else level.select(*KEY, "pos", F.lit(0).cast("long").alias("len")).limit(0)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, details: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, details: bool = False, whole_runs: bool = False) -> DataFrame:
     """``docs`` (all columns) with later copies of repeated line runs deleted from ``text``.
 
     Copies are ordered by doc_id (null last), then text hash, then line, so
     every deleted line is kept at its first place.  Rows alike in doc_id and
     text count as one document and are treated alike.  Null and empty texts
     stay as they are; lines of a run are deleted with their line breaks.
+    With ``whole_runs`` maximal repeated runs go to their last line; without it
+    only the shortest run from each line does, which leaves the last lines of a
+    run if fewer than ``min_words`` words are left in it.
     ``details`` adds n_lines, n_removed, n_spans (maximal deleted runs).
     """
     names = docs.columns
     keyed = docs.withColumn("__th", F.xxhash64("text"))
-    runs = repeated_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")), min_words)
+    runs = repeated_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")), min_words, whole_runs)
     spans = runs.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("s"))  # of one document each
     spans = spans.select("d", "th", F.expr("transform(s, x -> x.pos)").alias("__from"), F.expr("transform(s, x -> x.len)").alias("__len"))
     joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["d"]) & (keyed["__th"] == spans["th"]), "left").select(*names, "__from", "__len")

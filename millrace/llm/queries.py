@@ -37,7 +37,7 @@ def op5_quality_cotraining(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    docs = lines.dedup_lines(_read(spark, sf_dir, "documents"), details=True)
+    docs = lines.dedup_lines(_read(spark, sf_dir, "documents"), details=True, whole_runs=True)
     return docs.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -43,6 +43,30 @@ def test_long_runs_of_short_lines(docs_of):
     check(docs_of, ["\n".join(run), "x\n" + "\n".join(run[3:35]) + "\ny", "\n".join(run[:10]), "\n".join(run)], 20)
 
 
+def brute_maximal(texts, min_words):
+    """Lines of each text inside any later copy of a run of any length of at least min_words words."""
+    split = [t.split("\n") for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for d, x in enumerate(split):
+        for p in range(len(x)):
+            for e in range(p + 1, len(x) + 1):
+                if sum(len(y.split()) for y in x[p:e]) >= min_words and first.setdefault(tuple(x[p:e]), (d, p)) < (d, p):
+                    gone[d] |= set(range(p, e))
+    return [(len(g), "\n".join(y for k, y in enumerate(x) if k not in g)) for x, g in zip(split, gone, strict=True)]
+
+
+def test_whole_maximal_runs_go(docs_of):
+    r = random.Random(4)
+    a, b = prose(1, 60), prose(2, 30)
+    pool = [prose(k, r.choice([1, 2, 3, 9])) for k in range(30)]
+    runs = [[r.choice(pool) for _ in range(9)] for _ in range(6)]
+    texts = [f"{a}\n{b}\n{prose(3, 9)}", f"{a}\n{b}\n{prose(4, 9)}", f"{a}\n{b}"]
+    texts += ["\n".join([r.choice(pool), *r.choice(runs)[r.randrange(3) :], r.choice(pool), *r.choice(runs)]) for _ in range(30)]
+    for n in (12, 50):
+        got = lines.dedup_lines(docs_of(list(enumerate(texts))), n, details=True, whole_runs=True).orderBy("doc_id").collect()
+        assert [(x.n_removed, x.text) for x in got] == brute_maximal(texts, n)
+
+
 def test_every_line_stays_somewhere(docs_of):
     r = random.Random(2)
     texts = ["\n".join(prose(r.randrange(6), 12) for _ in range(8)) for _ in range(30)]
