@@ -59,7 +59,7 @@ def _block_forest(frames):
         yield pd.DataFrame(flush(), columns=["u", "v"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (u, v): v is the smallest id reachable from u, for every u that is not itself the smallest.
 
     ``edges`` has long columns u and v.  Blocks of edges are first reduced to
@@ -74,7 +74,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if now.count() <= SMALL:
         return stored(now.coalesce(1).mapInPandas(_block_forest, "u long, v long"))
     seen = None
-    for _ in range(most_rounds):
+    while True:  # ends: each round lowers some label until none can be lowered
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -90,6 +90,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         forget(now)
         now = new
         if state == seen or not state[0]:
-            break
+            return now
         seen = state
-    return now

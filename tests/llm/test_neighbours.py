@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from millrace.llm import neighbours
 
@@ -18,13 +19,14 @@ def brute(ids, x, labels, cosine=0.93):
         comp = new
 
 
-def test_recall_and_components(spark):
+@pytest.mark.parametrize("bounds", [{}, {"group": 600, "hold": 500, "block": 100, "sample": 1000}])
+def test_recall_and_components(spark, bounds):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 32))
     x = np.concatenate([rng.normal(size=(3000, 32)), *(base + 0.12 * rng.normal(size=base.shape) for _ in range(6)), np.repeat(base[:1], 40, 0)]).astype(np.float32).astype(float)
     ids = rng.permutation(len(x)).astype(np.int64)
     labels = np.concatenate([rng.integers(0, 2, 3000), np.tile(np.arange(60) % 2, 6), np.zeros(40, int)])
-    got = neighbours.near_duplicates(frame(spark, [(int(i), [float(c) for c in v], int(g), 0, "x") for i, v, g in zip(ids, x, labels)]), leaf=150).toPandas().set_index("vec_id").loc[ids]
+    got = neighbours.near_duplicates(frame(spark, [(int(i), [float(c) for c in v], int(g), 0, "x") for i, v, g in zip(ids, x, labels)]), leaf=150, **bounds).toPandas().set_index("vec_id").loc[ids]
     links, comp = brute(ids, x, labels)
     assert (got.n_links.to_numpy() <= links).all()
     assert got.n_links.sum() >= 0.95 * links.sum()
@@ -51,3 +53,13 @@ def test_odd_vectors(spark):
     assert len(got) == len(rows) and by[1][1:] == (3, 1, True) and by[2][1:] == (3, 1, False) and by[14][1:] == (3, 1, False)
     assert all(by[i][1:] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)) and by[None][1:] == (0, None, False)
     assert neighbours.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_close_vectors_are_counted_once(spark):
+    """One tight group of a third of all vectors meets in leaves of every tree; its links count once."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(800, 16)), rng.normal(size=16) + 0.02 * rng.normal(size=(500, 16)), rng.normal(size=(40, 16)).repeat(3, 0)]).astype(np.float32)
+    got = neighbours.near_duplicates(frame(spark, [(i, v.tolist(), 1, 0, "") for i, v in enumerate(x)]), leaf=60, block=64).toPandas().set_index("vec_id").loc[range(len(x))]
+    links, comp = brute(np.arange(len(x)), x.astype(float), np.ones(len(x)))
+    assert (got.n_links.to_numpy() <= links).all() and got.n_links.sum() >= 0.99 * links.sum()
+    assert (got.component_id.to_numpy() == comp).mean() > 0.99
