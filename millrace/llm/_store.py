@@ -60,6 +60,26 @@ def maybe_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
+#: Keys that spread_join() broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: list, total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row for each value of ``keys``, its number of rows in ``count``).
+
+    A key with more than its share of rows is dealt by the columns ``by`` to
+    several tasks, in each of which its row of ``groups`` has a copy.  ``total``
+    is the number of rows or more, so such keys are at most ``HOT_KEYS``.
+    """
+    each = max(1000, -(-total // HOT_KEYS))
+    groups = groups.withColumn("__parts", F.ceil(F.col(count) / F.lit(float(each))).cast("int"))
+    hot = groups.where("__parts > 1").select(*keys, F.col("__parts").alias("__k"))
+    salt = F.when(F.col("__k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.col("__k")).cast("int"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__k")
+    groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return rows.join(groups, [*keys, "__salt"], how).drop("__salt")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's input as the optimiser states it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

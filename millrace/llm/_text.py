@@ -7,6 +7,8 @@ and not on the number of rows in a batch.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -84,13 +86,42 @@ def pieces(batches, column: str = "text", limit: int = PIECE_BYTES, keep_caches:
 
 
 def prefix_hash(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers: ``(p[e] - p[s]) * inv[s]`` is the hash of bytes s to e."""
+    """Prefix sums and inverse powers: ``(p[e] - p[s]) * inv[s]`` is the hash of bytes s to e.
+
+    Regular byte patterns can be made to collide modulo 2**64, so this hash
+    only brings candidates together; bytes or a digest decide.
+    """
     up, down = powers(len(buf) + 1)
     p = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[buf] * up[:-1], out=p[1:])
     return p, down
 
 
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 2048
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes a step, mixed after each, so that no regular pattern of bytes cancels out."""
+    size = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) + np.uint64(BASE))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[live], size[live]
+    value = h[live]
+    while len(live):
+        value = mix(value ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+        end = left <= 8
+        h[live[end]] = value[end]
+        more = ~end
+        live, at, left, value = live[more], at[more] + 8, left[more] - 8, value[more]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True):
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (hashes, starts, ends, first word of each text)."""
     n = len(buf)
@@ -106,8 +137,7 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True):
     after = np.empty(n, bool)
     after[-1], after[:-1] = True, ~solid[1:]
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    p, down = prefix_hash(LOWER[buf] if lower else buf)
-    hashes = mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hash(LOWER[buf] if lower else buf, starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offs)
 
 
@@ -146,5 +176,17 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
+_PLACES = np.uint64(0xD6E8FEB86659FD93)
+
+
+def sequence_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each run ``h[at[i]:at[i + 1]]`` of hashes by value and place; the runs cover ``h``."""
+    count = np.diff(at)
+    place = np.arange(len(h)) - np.repeat(at[:-1], count)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h + place.astype(np.uint64) * _PLACES), out=total[1:])
+    return mix(total[at[1:]] - total[at[:-1]] + count.astype(np.uint64))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

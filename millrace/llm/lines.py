@@ -43,8 +43,7 @@ def _lines(batches, min_words, whole_runs):
         if not len(buf):
             continue
         starts, ends, first = line_spans(buf, offs)
-        p, down = _text.prefix_hash(buf)
-        h = _text.mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        h = _text.span_hash(buf, starts, ends)
         _, word_starts, _, _ = _text.words(buf, offs)
         so_far = np.searchsorted(word_starts, starts)
         owner = np.repeat(np.arange(b.num_rows), np.diff(first))

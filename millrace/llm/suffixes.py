@@ -5,7 +5,7 @@ byte string of ``GRAM`` bytes with the smallest hash in it, the leftmost on a
 tie.  Equal windows have equal anchors at equal places, so only suffixes at
 anchors, one in about a hundred bytes, travel.
 
-1. A scan emits each anchor with the hash of its token and the hash of its
+1. A scan emits each anchor with the hash of its token and a digest of its
    reach, which is all windows that share it.  Tokens found once are done with.
 2. A reach found twice is repeated as a whole.
 3. For reaches that differ under one token, the windows are compared byte by
@@ -14,21 +14,24 @@ anchors, one in about a hundred bytes, travel.
    splitters sampled by Spark.  Every partition sorts its windows by multikey
    quicksort, eight bytes a step; windows that share all bytes are repeated.
 
-Hashes of tokens and reaches are 64 bits each and are used together, so step 2
-decides by 128 bits; step 3 decides by the bytes themselves.  Windows with
-equal shared parts have equal range keys, so none of their copies is on the
-other side of a partition boundary.
+Hashes of tokens only bring candidates together.  Step 2 decides by 128 bits of
+a cryptographic digest of the bytes, step 3 by the bytes themselves.  Windows
+with equal shared parts have equal range keys, so none of their copies is on
+the other side of a partition boundary.  A text is named by doc_id and its
+64-bit hash ``th``; two texts with one ``th`` would be taken for copies.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._store import forget, input_bytes, key_filter, maybe_in, partitions_for, stored
+from millrace.llm._store import forget, input_bytes, key_filter, maybe_in, partitions_for, spread_join, stored
 
 LENGTH = 400
 GRAM = 128
@@ -52,11 +55,11 @@ def _sliding_minimum(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """Of each run of windows with one anchor: (text, first window, last window, anchor, token hash, reach hash)."""
+    """Of each run of windows with one anchor: (text, first window, last window, anchor, token hash)."""
     n, width = len(buf), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     p, down = _text.prefix_hash(buf)
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     first, last, anchor = [], [], []
@@ -78,12 +81,17 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
         last.append(start[np.append(head[1:], len(start)) - 1])
         anchor.append(pick[head])
     if not first:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     first, last, anchor = np.concatenate(first), np.concatenate(last), np.concatenate(anchor)
     token = _text.mix((p[anchor + gram] - p[anchor]) * down[anchor])
-    end = last + length
-    reach = _text.mix((p[end] - p[first]) * down[first] + ((end - first) * 4096 + anchor - first).astype(np.uint64))
-    return owner[first], first, last, anchor, token, reach
+    return owner[first], first, last, anchor, token
+
+
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of byte spans as two columns."""
+    view, one = memoryview(buf), hashlib.blake2b
+    made = b"".join([one(view[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
 
 
 def repeated_windows(buf: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray) -> np.ndarray:
@@ -138,30 +146,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    schema = pa.schema([(c, pa.int64()) for c in ("d", "th", "s", "n", "off", "token", "reach")])
+    schema = pa.schema([(c, pa.int64()) for c in ("d", "th", "s", "n", "off", "token", "reach", "reach2")])
 
     def find(batches):
         for b in _text.pieces(batches):
             buf, offs = _text.column_bytes(b.column("text"))
-            owner, first, last, anchor, token, reach = anchors(buf, offs, length, gram)
+            owner, first, last, anchor, token = anchors(buf, offs, length, gram)
             if len(owner):
-                take = pa.array(owner)
+                take, reach = pa.array(owner), digests(buf, first, last + length)
                 yield _text.batch_of(
                     schema, d=b.column("doc_id").take(take), th=b.column("th").take(take), s=first - offs[:-1][owner], n=last - first,
-                    off=anchor - first, token=token.view(np.int64), reach=reach.view(np.int64),
+                    off=anchor - first, token=token.view(np.int64), reach=reach[:, 0], reach2=reach[:, 1],
                 )
 
-    found = stored(keyed.mapInArrow(find, "d long, th long, s long, n long, off long, token long, reach long"))
-    tokens = found.groupBy("token").agg(F.count("*").alias("k"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).where("k > 1")
-    again = stored(found.join(tokens.select("token", (F.col("lo") != F.col("hi")).alias("mixed")), "token"))
+    found = stored(keyed.mapInArrow(find, ", ".join(f"{c} long" for c in schema.names)))
+    mixed = (F.min("reach") != F.max("reach")) | (F.min("reach2") != F.max("reach2"))
+    tokens = found.groupBy("token").agg(F.count("*").alias("k"), mixed.alias("mixed")).where("k > 1")
+    place = ["d", "th", "s"]
+    again = stored(spread_join(found, tokens, ["token"], place, found.count(), "k").drop("k"))
     forget(found)
     mixed = again.where("mixed")
-    same = mixed.groupBy("token", "reach").agg(F.count("*").alias("k"), F.min("th").alias("th1"))
+    same = mixed.groupBy("token", "reach", "reach2").agg(F.count("*").alias("k"), F.min("th").alias("th1"))
     whole = again.where("not mixed").select("d", "th", "s", (F.col("s") + F.col("n") + length).alias("e"))
-    judged = stored(mixed.join(same, ["token", "reach"]))
+    judged = stored(spread_join(mixed, same, ["token", "reach", "reach2"], place, again.count(), "k"))
     whole = whole.unionByName(judged.where("k > 1").select("d", "th", "s", (F.col("s") + F.col("n") + length).alias("e")))
     # of a reach found twice one copy stands for all; it needs no answer itself
-    one = judged.where("k > 1 and th = th1").groupBy("token", "reach").agg(F.min("th").alias("th"), F.min_by("s", F.struct("th", "s")).alias("s"), F.min("n").alias("n"), F.min("off").alias("off"))
+    one = judged.where("k > 1 and th = th1").groupBy("token", "reach", "reach2").agg(F.min("th").alias("th"), F.min_by("s", F.struct("th", "s")).alias("s"), F.min("n").alias("n"), F.min("off").alias("off"))
     asked = judged.where("k = 1").select("th", "s", "n", "off", F.lit(True).alias("ask")).unionByName(one.select("th", "s", "n", "off", F.lit(False).alias("ask")))
     per_text = asked.groupBy("th").agg(F.collect_list(F.struct("s", "n", "off", "ask")).alias("w"))  # at most one for each byte of a text
     per_text = per_text.select("th", *(F.expr(f"transform(w, x -> x.{c})").alias(c) for c in ("s", "n", "off", "ask")))
@@ -263,8 +273,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
     spark = docs.sparkSession
     spans = stored(repeated_spans(docs, length, gram, cell))
     wanted = spark.sparkContext.broadcast(key_filter(spans.select("th").distinct(), "th"))
-    per_text = spans.groupBy("th").agg(F.collect_set(F.struct("s", "e")).alias("w"))  # at most one for each byte of a text
-    per_text = per_text.select("th", F.expr("transform(w, x -> x.s)").alias("s"), F.expr("transform(w, x -> x.e)").alias("e"))
+    per_text = spans.groupBy("th").agg(F.collect_set(F.struct("s", "e")).alias("w"), F.count("*").alias("k"))  # at most one for each byte of a text
+    per_text = stored(per_text.select("th", F.expr("transform(w, x -> x.s)").alias("s"), F.expr("transform(w, x -> x.e)").alias("e"), (F.col("k") / F.size("w")).alias("copies")))
+    total = int(per_text.agg(F.coalesce(F.sum("copies"), F.lit(0.0))).first()[0])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
     keyed = _keyed(docs)
@@ -297,5 +308,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
             names = schema.names[1:]
             yield _text.batch_of(schema, doc_id=b.column("doc_id"), **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return keyed.mapInArrow(clean, ddl).unionByName(keyed.mapInArrow(hit, keyed.schema).join(per_text, "th", "left").select("doc_id", "text", "s", "e").mapInArrow(cut, ddl))
+    removed = spread_join(keyed.mapInArrow(hit, keyed.schema), per_text, ["th"], ["doc_id", F.monotonically_increasing_id()], total, "copies", "left")
+    return keyed.mapInArrow(clean, ddl).unionByName(removed.select("doc_id", "text", "s", "e").mapInArrow(cut, ddl))
 

@@ -65,3 +65,20 @@ def test_odd_rows(odd, none):
     assert out.where("doc_id = 7").first().n_removed == 5000
     assert out.where("doc_id in (1, 2)").agg(F.sum("n_bytes")).first()[0] == 0
     assert run(none).count() == 0
+
+
+def test_regular_patterns_are_told_apart(docs_of):
+    """Thue-Morse strings and their complements collide under any polynomial hash modulo 2**64."""
+    bits = [bin(k).count("1") & 1 for k in range(256)]
+    one, two = "".join("Y-"[b] for b in bits), "".join("-Y"[b] for b in bits)
+    token = prose(77, 60)[:128]
+    check(docs_of, [one + token + two, two + token + one], length=400, gram=128, cell=64)
+
+
+def test_copies_of_one_text_are_dealt_out(docs_of, monkeypatch):
+    from millrace.llm import _store
+
+    monkeypatch.setattr(_store, "HOT_KEYS", 1)
+    x = prose(9, 80)
+    rows = run(docs_of([(k % 700, x) for k in range(2500)] + [(9000, prose(10, 90))]), length=80, gram=24, cell=16).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in rows} == {(len(x.encode()), 2500), (0, 1)}
