@@ -6,8 +6,12 @@ bands are tuned so that a pair at the threshold collides with probability
 ``recall``.  Colliding paragraphs are verified by exact Jaccard similarity,
 linked to components, and every copy but a component's first is removed.
 
-A passage may also lie inside longer paragraphs.  Texts are therefore also cut
-at content-defined words, and equal pieces count as paragraphs of their own.
+A passage may also lie inside longer paragraphs.  Runs of words are therefore
+selected by winnowing, equal ones are matched, and each match is followed word
+by word to the passage's ends; later copies of ``PASSAGE`` words or more go.
+
+Words, shingles and paragraphs are named by 64-bit hashes, selected runs by 128
+bits.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _text
 from millrace.llm._graph import components
-from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, stored
+from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, spread_join, stored
 from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, sketch
 from millrace.llm.lines import line_spans
 from millrace.llm.suffixes import _merge, _sliding_minimum
 
 MIN_WORDS = 20
-#: Words on both sides that decide where a passage is cut; pieces are about twice as long.
-REACH = 8
+#: Words of the shortest passage that goes although it is no paragraph, and words of the runs that find it.
+PASSAGE = 50
+PASSAGE_GRAM = 26
 ROWS = 4
 
 
@@ -47,13 +52,7 @@ def _paragraphs(b, shingle: int, min_words: int):
     pos = np.arange(len(starts)) - first[:-1][owner]
     enough = np.diff(at) >= max(1, min_words)
     s, s_at = _text.shingles(h, at, shingle)
-    factor = np.uint64(0x9FB21C651E98DF25)
-    code = np.zeros(len(starts), np.uint64)
-    if len(h):  # identity: order-dependent hash of the words
-        rank = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-        up, _ = _text.powers(int(rank.max()) + 1 if len(rank) else 1)
-        code = np.add.reduceat(np.append(h * up[rank] * factor, np.uint64(0)), np.minimum(at[:-1], len(h)))
-        code = _text.mix(code + np.diff(at).astype(np.uint64))
+    code = _text.sequence_hash(h, at)  # identity: the words in their order
     return owner, pos, code, s, s_at, np.flatnonzero(enough)
 
 
@@ -155,66 +154,137 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).mapInArrow(compare, "a long, b long")
 
 
-def passage_cuts(hashes: np.ndarray) -> np.ndarray:
-    """Words at which a piece starts: those with the smallest hash within REACH words on both sides, the first on a tie.
+def selected_grams(hashes: np.ndarray, first: np.ndarray, gram: int, least: int):
+    """(text, word, identity, second identity) of the selected runs of ``gram`` words.
 
-    Where a piece starts depends on the words around it only, so a passage
-    that is copied into other text is cut in the same places, but for its
-    first and last REACH words.
+    Winnowing: of each ``least - gram + 1`` neighbouring runs the one with the
+    smallest identity is selected, the leftmost on a tie.  So every common
+    passage of ``least`` words holds a selected run of both texts, and
+    neighbouring selected runs of a passage overlap or touch.
     """
-    n = len(hashes)
-    if n <= 2 * REACH:
-        return np.zeros(0, np.int64)
-    # the place is part of the key, so that the first of equal values is smaller
-    key = (hashes & ~np.uint64((1 << 22) - 1)) | np.arange(n, dtype=np.uint64)
-    low = _sliding_minimum(key, 2 * REACH + 1)
-    return np.flatnonzero(low == key[REACH : n - REACH]) + REACH
-
-
-def _passages(b):
-    """Of a piece of texts: (owner, start byte, end byte, identity) of runs of words between cuts, of REACH words or more."""
-    buf, offs = _text.column_bytes(b.column("text"))
-    h, starts, ends, first = _text.words(buf, offs)
+    width, n = least - gram + 1, len(hashes) - gram + 1
     none = np.zeros(0, np.int64)
-    if not len(h):
-        return none, none, none, none.astype(np.uint64)
-    edge = np.unique(np.concatenate([passage_cuts(h), first[:-1][np.diff(first) > 0]]))
-    stop = np.append(edge[1:], len(h))
-    rank = np.arange(len(h)) - np.repeat(edge, stop - edge)
-    up, _ = _text.powers(int(rank.max()) + 1)
-    code = _text.mix(np.add.reduceat(_text.mix(h) * up[rank], edge) + (stop - edge).astype(np.uint64))
-    keep = stop - edge >= REACH
-    edge, stop = edge[keep], stop[keep]
-    owner = np.searchsorted(first, edge, "right") - 1
-    return owner, starts[edge] - offs[owner], ends[stop - 1] - offs[owner], code[keep]
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(d, th, s, e): byte spans of later copies of word runs between content-defined cuts."""
-    spark = docs.sparkSession
+    if n < width:
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(gram):
+        step = np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
+        one += _text.mix(hashes[j : j + n] + step)
+        two += _text.mix(hashes[j : j + n] ^ step)
+    one, two = _text.mix(one), _text.mix(two)
+    count = np.diff(first)
+    owner = np.repeat(np.arange(len(count)), count)
+    start = np.arange(n - width + 1)
+    whole = owner[start] == owner[start + least - 1]
+    # the place is part of the key, so that the first of equal values is smaller
+    places = np.uint64((1 << 22) - 1)
+    picks = []
+    for s in range(0, len(start), 1 << 21):
+        e = min(len(start), s + (1 << 21))
+        key = (one[s : e + width - 1] & ~places) | np.arange(e + width - 1 - s, dtype=np.uint64)
+        picks.append((_sliding_minimum(key, width) & places).astype(np.int64)[whole[s:e]] + s)
+    at = np.unique(np.concatenate(picks))
+    return owner[at], at, one[at], two[at]
+
+
+def repeated_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(d, th, s, e): byte spans of passages of ``least`` words or more that an earlier text, or an earlier place, holds too.
+
+    Selected runs of ``gram`` words that occur before are matched with their
+    first occurrence.  Where the neighbouring selected run is no match, the
+    words up to the passage's end are compared one by one.  Matches that
+    overlap or touch are one passage; shorter ones stay.
+    """
+    if 2 * gram < least + 1:
+        raise ValueError("selected runs must be longer than the gaps between them")
+    spark, reach = docs.sparkSession, least - gram
     counted = pa.schema([("id", pa.int64()), ("n", pa.int64())])
-    found = pa.schema([(c, pa.int64()) for c in ("d", "th", "s", "e", "id")])
+    names = ("d", "th", "at", "id", "id2")
+    found = pa.schema([*((c, pa.int64()) for c in names), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
 
     def count(batches):
         for b in _text.pieces(batches):
-            code, n = np.unique(_passages(b)[3], return_counts=True)
-            yield _text.batch_of(counted, id=code.view(np.int64), n=n)
+            h, _, _, first = _text.words(*_text.column_bytes(b.column("text")))
+            ids, n = np.unique(selected_grams(h, first, gram, least)[2], return_counts=True)
+            yield _text.batch_of(counted, id=ids.view(np.int64), n=n)
 
     again = stored(_keyed(docs).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select("id"))
     filters = spark.sparkContext.broadcast(key_filter(again, "id", 1 << 25))
 
     def find(batches):
         for b in _text.pieces(batches):
-            owner, s, e, code = _passages(b)
-            hit = maybe_in(filters.value, code)
-            take = pa.array(owner[hit])
-            yield _text.batch_of(found, d=b.column("doc_id").take(take), th=b.column("th").take(take), s=s[hit], e=e[hit], id=code[hit].view(np.int64))
+            h, _, _, first = _text.words(*_text.column_bytes(b.column("text")))
+            owner, at, one, two = selected_grams(h, first, gram, least)
+            hit = maybe_in(filters.value, one)
+            owner, at, one, two = owner[hit], at[hit], one[hit], two[hit]
+            if not len(at):
+                continue
+            joins = (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] <= gram)  # with the next match
+            low = np.where(np.concatenate([[False], joins]), at, np.maximum(at - reach, first[owner]))
+            high = np.where(np.concatenate([joins, [False]]), at + gram, np.minimum(at + gram + reach, first[owner + 1]))
+            take = pa.array(owner)
+            yield _text.batch_of(
+                found, d=b.column("doc_id").take(take), th=b.column("th").take(take), at=at - first[owner], id=one.view(np.int64), id2=two.view(np.int64),
+                before=_lists(h, low, at), after=_lists(h, at + gram, high),
+            )
+
+    rows = _keyed(docs).mapInArrow(find, ", ".join(f"{c} long" for c in names) + ", before array<long>, after array<long>")
+    rows = stored(rows.join(again, "id", "left_semi").dropDuplicates(["d", "th", "at"]))
+    order = F.struct(F.col("d").isNull(), "d", "th", "at")
+    heads = stored(rows.groupBy("id", "id2").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1"))
+    later = spread_join(rows, heads, ["id", "id2"], ["d", "th", "at"], rows.count()).where(order > F.col("f"))
+    later = stored(later.select("d", "th", "at", "before", "after", F.col("f.th").alias("th0"), F.col("f.at").alias("at0")))
+    edge = F.size("before") + F.size("after") > 0
+    there = _words_around(docs, later.where(edge).select(F.col("th0").alias("th"), F.col("at0").alias("at")).distinct(), gram, reach)
+    there = there.select(F.col("th").alias("th0"), F.col("at").alias("at0"), F.col("before").alias("b0"), F.col("after").alias("a0"))
+
+    def shared(mine, other):
+        place = F.array_position(F.zip_with(mine, other, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        return F.when(place == 0, F.greatest(F.size(mine), F.size(other))).otherwise(place - 1)
+
+    ends = later.where(edge).join(there, ["th0", "at0"]).select(
+        "d", "th", (F.col("at") - shared(F.reverse("before"), F.reverse("b0"))).alias("s"), (F.col("at") + gram + shared(F.col("after"), F.col("a0"))).alias("e")
+    )
+    inner = later.where(~edge).select("d", "th", F.col("at").alias("s"), (F.col("at") + gram).alias("e"))
+    return inner.unionByName(ends).select("d", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+
+
+def _lists(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """Lists ``h[start[i]:end[i]]``."""
+    size = end - start
+    offs = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=offs[1:])
+    pick = np.arange(offs[-1]) + np.repeat(start - offs[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(h[pick].view(np.int64)))
+
+
+def _words_around(docs: DataFrame, places: DataFrame, gram: int, reach: int) -> DataFrame:
+    """(th, at, before, after): hashes of up to ``reach`` words on both sides of the run at ``at`` of the texts ``th``."""
+    spark = docs.sparkSession
+    places = stored(places)
+    wanted = spark.sparkContext.broadcast(key_filter(places.select("th").distinct(), "th"))
+    per_text = places.groupBy("th").agg(F.collect_list("at").alias("at"))  # at most one for each word of a text
+    schema = pa.schema([("th", pa.int64()), ("at", pa.int64()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+    keyed = _keyed(docs).select("th", "text")
+
+    def chosen(batches):
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(wanted.value, b.column("th").to_numpy())))
 
-    rows = _keyed(docs).mapInArrow(find, "d long, th long, s long, e long, id long").join(again, "id", "left_semi").dropDuplicates(["d", "th", "s"])
-    order = F.struct(F.col("d").isNull(), "d", "th", "s")
-    rows = stored(rows)
-    first = rows.groupBy("id").agg(F.min(order).alias("f"))
-    return rows.join(first, "id").where(order > F.col("f")).select("d", "th", "s", "e")
+    def around(batches):
+        for b in _text.pieces(batches):
+            h, _, _, first = _text.words(*_text.column_bytes(b.column("text")))
+            lists = b.column("at")
+            owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            own = lists.flatten().to_numpy()
+            at = own + first[owner]
+            yield _text.batch_of(
+                schema, th=b.column("th").take(pa.array(owner)), at=own, before=_lists(h, np.maximum(at - reach, first[owner]), at),
+                after=_lists(h, at + gram, np.minimum(at + gram + reach, first[owner + 1])),
+            )
+
+    texts = keyed.where("text is not null").mapInArrow(chosen, keyed.schema).dropDuplicates(["th"])
+    return texts.join(per_text, "th").mapInArrow(around, "th long, at long, before array<long>, after array<long>")
 
 
 def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = MIN_WORDS, recall: float = 0.999, passages: bool = True) -> DataFrame:
@@ -224,17 +294,19 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
     last), text hash and position stays; ``removed`` lists the positions of
     the others, which go with their line breaks.  Paragraphs of fewer than
     ``min_words`` words are not compared.  A passage inside longer paragraphs
-    is no near-duplicate paragraph: with ``passages``, word runs between
-    content-defined cuts count as paragraphs of their own, and later copies of
-    equal ones go too.  ``starts`` and ``ends`` are the maximal removed byte
+    is no near-duplicate paragraph: with ``passages``, later copies of equal
+    passages of ``PASSAGE`` words or more go too; see repeated_passages().  ``starts`` and ``ends`` are the maximal removed byte
     spans, n_removed their bytes, ``kept`` the rest.  Null texts count as
     empty.  Rows alike in doc_id and text are treated alike.
     """
     where, comp = paragraph_components(docs, percent, shingle, min_words, recall)
     order = F.struct(F.col("d").isNull(), "d", "th", "pos")
-    named = where.join(comp.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    first = named.groupBy("c").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = named.join(first, "c").where(order > F.col("f")).select("d", "th", F.col("pos").alias("s"), F.lit(-1).cast("long").alias("e"))
+    each = where.groupBy("id").agg(F.min(order).alias("own"), F.count("*").alias("n"))
+    each = each.join(comp.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    first = each.groupBy("c").agg(F.min("own").alias("f"), F.sum("n").alias("all")).where("all > 1")
+    first = stored(each.join(first, "c").select("id", "f", "n"))
+    later = spread_join(where, first, ["id"], ["d", "th", "pos"], where.count()).where(order > F.col("f"))
+    later = later.select("d", "th", F.col("pos").alias("s"), F.lit(-1).cast("long").alias("e"))
     if passages:
         later = later.unionByName(repeated_passages(docs))
     spans = later.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("w"))  # of one text each
@@ -249,6 +321,7 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
         for b in _text.pieces(batches):
             buf, offs = _text.column_bytes(b.column("text"))
             starts, _, first = line_spans(buf, offs) if len(buf) else (np.zeros(0, np.int64), None, np.zeros(b.num_rows + 1, np.int64))
+            _, word_starts, word_ends, word_first = _text.words(buf, offs)
             rows = []
             for i in range(b.num_rows):
                 x, s, e = buf[offs[i] : offs[i + 1]].tobytes(), b.column("s")[i].as_py(), b.column("e")[i].as_py()
@@ -260,7 +333,15 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
                 own = np.append(starts[first[i] : first[i + 1]] - offs[i], len(x))
                 line = e < 0
                 gone = np.sort(s[line])
-                s, e = _merge(np.concatenate([s[~line], own[gone]]), np.concatenate([e[~line], own[gone + 1]]))
+                from_, to = own[gone], own[gone + 1]
+                if not line.all():
+                    s, e = _merge(s[~line], e[~line])
+                    s, e = s[e - s >= PASSAGE] + word_first[i], e[e - s >= PASSAGE] + word_first[i]
+                    from_, to = np.concatenate([from_, word_starts[s] - offs[i]]), np.concatenate([to, word_ends[e - 1] - offs[i]])
+                if not len(from_):
+                    rows.append((n, [], len(x), 0, 0, [], [], x))
+                    continue
+                s, e = _merge(from_, to)
                 kept = b"".join(x[a:c] for a, c in zip([0, *e], [*s, len(x)], strict=True))
                 rows.append((n, gone.tolist(), len(x), len(x) - len(kept), len(s), s.tolist(), e.tolist(), kept))
             yield _text.batch_of(schema, doc_id=b.column("doc_id"), **dict(zip(list(kinds)[1:], map(list, zip(*rows, strict=True)), strict=True)))

@@ -48,24 +48,60 @@ def test_against_brute_force(docs_of):
 
 
 def test_passages_inside_longer_paragraphs(docs_of):
-    shared = [prose(500 + k, 60) for k in range(3)]
+    shared = [prose(500 + k, (51, 60, 120)[k]) for k in range(3)]
     texts = [f"{prose(k, 30 + k)} {shared[k % 3]} {prose(900 + k, 40)}" for k in range(12)] + [prose(2000 + k, 200) for k in range(5)]
+    texts += [f"{prose(3000 + k, 60)} {prose(4000, 45)} {prose(5000 + k, 60)}" for k in range(4)]  # 45 words are no passage
     got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
     assert all(r.n_removed == 0 for r in got[:3] + got[12:])
     for k, r in enumerate(got[3:12], 3):
         start = len(texts[k].partition(shared[k % 3])[0])
-        assert r.n_removed > 0 and all(start <= a < b <= start + len(shared[k % 3]) for a, b in zip(r.starts, r.ends))
-
-
-def test_cuts_depend_on_nearby_words_only():
+        assert list(r.starts) == [start] and list(r.ends) == [start + len(shared[k % 3])]
+
+
+def test_passages_against_brute_force(docs_of):
+    """Every removed word is in a run that an earlier place holds, and nearly all such passages of enough words go as a whole."""
+    r = random.Random(5)
+    bank = [prose(700 + k, 130).split() for k in range(4)]
+    texts = []
+    for k in range(30):
+        parts = [prose(10_000 + k, r.randint(5, 40)).split()]
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(bank)
+            s = r.randrange(0, 60)
+            parts += [own[s : s + r.randint(20, 110)], prose(r.randrange(10**6), r.randint(1, 30)).split()]
+        texts.append(" ".join(w for p in parts for w in p))
+    got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts))), min_words=10_000).orderBy("doc_id").collect()
+    words = [t.split() for t in texts]
+    seen, left, whole = set(), 0, 0
+    for k, w in enumerate(words):
+        must, may = set(), set()
+        for n, out in ((50, must), (26, may)):
+            for i in range(len(w) - n + 1):
+                g = tuple(w[i : i + n])
+                if (n, g) in seen or any(tuple(w[j : j + n]) == g for j in range(i)):
+                    out.update(range(i, i + n))
+        gone, at = set(), 0
+        for i, x in enumerate(w):
+            if any(s <= at < e for s, e in zip(got[k].starts, got[k].ends)):
+                gone.add(i)
+            at += len(x) + 1
+        assert gone <= may
+        left, whole = left + len(must - gone), whole + len(must)
+        seen |= {(n, tuple(w[i : i + n])) for n in (50, 26) for i in range(len(w) - n + 1)}
+    assert whole > 500 and left <= 0.1 * whole  # a run first found elsewhere with other words around it may keep the passage's ends
+
+
+def test_selected_runs_are_in_every_common_passage():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    shared = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    a, b = (np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), shared, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for n in (17, 41))
-    inside = lambda x, n: [c - n for c in paragraphs.passage_cuts(x) if n + 8 <= c < n + 52]
-    assert inside(a, 17) == inside(b, 41) and len(inside(a, 17)) >= 2
-    assert len(paragraphs.passage_cuts(shared[:10])) == 0
+    for size in (50, 57, 200):
+        shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        a, b = (np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), shared, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for n in (17, 41))
+        inside = lambda x, n: {int(c) - n for c in paragraphs.selected_grams(x, np.array([0, len(x)]), 26, 50)[1] if n <= c <= n + size - 26}
+        both = sorted(inside(a, 17) & inside(b, 41))
+        assert both and both[0] <= 24 and size - 26 - both[-1] <= 24 and all(y - x <= 25 for x, y in zip(both, both[1:]))
+    assert len(paragraphs.selected_grams(shared[:10], np.array([0, 10]), 26, 50)[0]) == 0
 
 
 def test_odd_rows(odd, none):
