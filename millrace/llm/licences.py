@@ -1,157 +1,364 @@
-"""License scan by sentence rules: known sentences become identifiers, ordered rules over identifiers name licences."""
+"""License scan by sentence rules.
+
+A paragraph's words are normalised, so that line breaks, comment marks, case,
+punctuation and spelling do not matter.  From every place where a sentence may
+begin, the spans up to the next ends of sentences are looked up in a map of
+known licence sentences; the longest known one is an identifier.  Ordered rules
+over the sequence of identifiers name the licences.
+
+A sentence of the kind "this software is licensed under ..." is a known
+opening, from a table made of subjects and verbs, followed by a known name, from
+a table made of families, versions and forms.
+"""
 
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
 
-# Normalised licence sentences (regular expressions over lower-case
-# words joined by single spaces) and the identifiers that the rules use.
+# Known licence sentences by identifier.  Numbers stand for any number.
 SENTENCES = [
-    ("spdx", r"spdx license identifier (?P<spdx>[a-z0-9.+ ]+)"),
-    ("mit-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:released|licensed|distributed|available|provided) under the (?:terms of the )?(?:mit|expat) licen[cs]e"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("asis-software", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("apache2-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?apache licen[cs]e,? version 2(?:\.0)?(?: the license)?"),
-    ("apache2-only", r"you may not use this file except in compliance with the license"),
-    ("apache2-copy", r"you may obtain a copy of the license at.*"),
-    ("apache2-asis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("gpl-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?gnu general public licen[cs]e,? (?:version|v) ?(?P<gpl>[123])(?:\.0)?(?P<gplplus> or (?:any |at your option any )?later(?: version)?)?"),
-    ("lgpl-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?gnu (?:lesser|library) general public licen[cs]e,? (?:version|v) ?(?P<lgpl>2|2\.1|3)(?:\.0)?(?P<lgplplus> or (?:any |at your option any )?later(?: version)?)?"),
-    ("agpl-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?gnu affero general public licen[cs]e,? (?:version|v) ?(?P<agpl>3)(?:\.0)?"),
-    ("gpl-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version (?P<gplfree>[123]) of the license(?P<gplfreeplus> or at your option any later version)?"),
-    ("gpl-warranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
-    ("gpl-received", r"you should have received a copy of the gnu general public license along with this program.*"),
-    ("mpl2-name", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)?\.? ?2\.0"),
-    ("mpl2-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
-    ("cc-name", r"(?:this (?:work|text|page|article|document|content) is )?(?:licensed|released|distributed|available) under (?:a |the )?(?:creative commons |cc )(?P<cc>by(?: nc| sa| nd)*|zero|0)(?: (?P<ccversion>[1-4]\.[05]))?(?: licen[cs]e| international)*"),
-    ("cc-long", r"(?:this (?:work|text|page|article|document|content) is )?(?:licensed|released|distributed|available) under (?:a |the )?creative commons (?P<cclong>attribution(?: noncommercial| non commercial| sharealike| share alike| noderivatives| noderivs)*)(?: (?P<cclongversion>[1-4]\.[05]))?(?: licen[cs]e| international| public)*"),
-    ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", r"(?:1 )?redistributions of source code must retain the above copyright notice.*"),
-    ("bsd-binary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd-endorse", r"(?:3 )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-name", r"(?:this (?:work|software|project|file|code|program) is )?(?:licensed|released|distributed|available) under the (?P<bsd>2|3|two|three) clause bsd licen[cs]e"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("reserved", r"all rights reserved"),
-    ("copyright", r"(?:copyright|c) (?:c )?[12][0-9]{3}.*"),
-]
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit-notice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+    ("mit-asis", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("mit-liable", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("isc-asis", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-adverts", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("bsd-asis", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("apache2-only", "you may not use this file except in compliance with the License."),
+    ("apache2-copy", "You may obtain a copy of the License at"),
+    ("apache2-asis", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache2-see", "See the License for the specific language governing permissions and limitations under the License."),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    ("gpl-implied", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl-received", "You should have received a copy of the GNU General Public License along with this program"),
+    ("zlib-asis", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("wtfpl", "You just DO WHAT THE FUCK YOU WANT TO."),
+    ("reserved", "All rights reserved."),
+]
 
-# Ordered rules; a rule matches when its identifiers occur in this
-# order among a document's known sentences.  Longer rules stand before shorter.
+# Ordered rules; a rule matches where its identifiers follow each
+# other in this order.  Longer rules stand before shorter ones.  An identifier
+# ending in * is followed by the licence that the sentence itself names.
 RULES = [
-    ("MIT", ["mit-grant", "mit-notice", "asis-software"]),
-    ("MIT", ["mit-name"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-grant"]),
-    ("Apache-2.0", ["apache2-name", "apache2-only", "apache2-copy", "apache2-asis"]),
-    ("Apache-2.0", ["apache2-name"]),
-    ("GPL-{gplfree}.0{gplfreeplus}", ["gpl-free", "gpl-warranty", "gpl-received"]),
-    ("GPL-{gplfree}.0{gplfreeplus}", ["gpl-free"]),
-    ("GPL-{gpl}.0{gplplus}", ["gpl-name"]),
-    ("LGPL-{lgpl}{lgplplus}", ["lgpl-name"]),
-    ("AGPL-{agpl}.0", ["agpl-name"]),
-    ("MPL-2.0", ["mpl2-name", "mpl2-copy"]),
-    ("MPL-2.0", ["mpl2-name"]),
-    ("CC-{cc}{ccversion}", ["cc-name"]),
-    ("CC-{cclong}{cclongversion}", ["cc-long"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-adverts", "bsd-endorse"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("BSD-{bsd}-Clause", ["bsd-name"]),
+    ("BSD-1-Clause", ["bsd-grant", "bsd-source"]),
+    ("*", ["named*", "apache2-only", "apache2-copy", "apache2-asis", "apache2-see"]),
+    ("*", ["named*", "mpl-copy"]),
+    ("*", ["gpl-free*", "gpl-warranty", "gpl-implied", "gpl-received"]),
+    ("*", ["gpl-free*"]),
+    ("*", ["named*"]),
+    ("*", ["spdx*"]),
+    ("Zlib", ["zlib-asis", "zlib-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
     ("Unlicense", ["unlicense"]),
-    ("{spdx}", ["spdx"]),
+    ("WTFPL", ["wtfpl"]),
 ]
 
-#: A sentence is looked at only if it holds one of these; every sentence above does.
-TRIGGER = re.compile(r"licen[cs]e|licensed|copyright|permission|warrant|redistribut|spdx|\bmpl\b|rights reserved|public domain|\(c\)|©", re.I)
-_SPLIT = re.compile(r"\n\s*\n|\n|(?<=[.;!?])\s+|(?<=:)(?<!dentifier:)\s+")
-_NOT_WORD = re.compile(r"[^a-z0-9.+]+")
-_DOTS = re.compile(r"\.+(?= |$)|(?<![0-9a-z])\.+")
-_KNOWN = [(name, re.compile(rf"(?:{body})", re.S)) for name, body in SENTENCES]
-_LONG = {"attribution": "BY", "noncommercial": "NC", "non commercial": "NC", "sharealike": "SA", "share alike": "SA", "noderivatives": "ND", "noderivs": "ND"}
-
-
-def normalise(sentence: str) -> str:
-    """Lower-case words joined by single spaces; dots stay only inside words and numbers."""
-    return " ".join(_DOTS.sub(" ", _NOT_WORD.sub(" ", sentence.lower().replace("(c)", " c ").replace("©", " c "))).split())
-
-
-def sentences(text: str):
-    """(start, end, sentence): lines, and within a line after . ; : ! ? and white space."""
-    at = 0
-    for m in _SPLIT.finditer(text):
-        if m.start() > at:
-            yield at, m.start(), text[at : m.start()]
-        at = m.end()
-    if at < len(text):
-        yield at, len(text), text[at:]
-
-
-def identify(sentence: str):
-    """(identifier, fields) of a known sentence, or None."""
-    line = normalise(sentence)
-    for name, pattern in _KNOWN:
-        if m := pattern.fullmatch(line):
-            return name, m.groupdict()
+# Registered names of licences and the words that name them.
+NAMES = {
+    "MIT": ["MIT License", "MIT", "Expat License", "MIT/Expat License", "MIT style license"],
+    "ISC": ["ISC License", "ISC"],
+    "0BSD": ["Zero-Clause BSD License", "0BSD License", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["2-clause BSD License", "two-clause BSD License", "BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["3-clause BSD License", "three-clause BSD License", "BSD 3-Clause License", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "BSD-4-Clause": ["4-clause BSD License", "four-clause BSD License", "BSD 4-Clause License", "Original BSD License"],
+    "Apache-1.1": ["Apache License, Version 1.1", "Apache Software License 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache Software License, Version 2.0", "Apache 2.0 License", "Apache 2.0", "ASL 2.0"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL version 2.0"],
+    "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0", "EPL 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "EPL 2.0"],
+    "CDDL-1.0": ["Common Development and Distribution License, Version 1.0", "Common Development and Distribution License 1.0", "CDDL 1.0"],
+    "EUPL-1.2": ["European Union Public License, Version 1.2", "EUPL 1.2", "EUPL version 1.2"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Artistic-2.0": ["Artistic License 2.0", "Artistic License, Version 2.0"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "Open Font License 1.1"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "Python-2.0": ["Python Software Foundation License", "PSF License"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["Unlicense"],
+    "WTFPL": ["Do What The Fuck You Want To Public License", "WTFPL"],
+    "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons Zero 1.0", "Creative Commons Zero 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+}
+GNU = {"GPL": ("General Public License", "GPL"), "LGPL": ("Lesser General Public License", "Library General Public License", "LGPL"), "AGPL": ("Affero General Public License", "AGPL")}
+GNU_VERSIONS = {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",)}
+LATER = ("or later", "or any later version", "or later version", "or newer", "or at your option any later version")
+CC_WORDS = {"BY": ("by", "attribution"), "NC": ("nc", "noncommercial", "non commercial"), "SA": ("sa", "sharealike", "share alike"), "ND": ("nd", "noderivatives", "noderivs", "no derivatives")}
+CC_KINDS = (("BY",), ("BY", "SA"), ("BY", "ND"), ("BY", "NC"), ("BY", "NC", "SA"), ("BY", "NC", "ND"))
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+CC_ENDS = ("", "license", "international", "international license", "public license", "international public license", "unported", "unported license", "generic", "generic license")
+SUBJECTS = ("", *(f"{this}{thing} is" for this in ("this ", "") for thing in ("work", "software", "project", "file", "code", "source code", "program", "library", "package", "module", "text", "page", "article", "document", "content", "dataset", "material")))
+VERBS = ("licensed", "released", "distributed", "available", "made available", "provided", "published", "offered", "free software released", "open source software released", "dual licensed")
+TERMS = ("", "terms of", "terms and conditions of", "conditions of")
+#: What may follow a name in the same sentence.
+TAILS = ("", "license", "as published by free software foundation", "see license", "see license file", "see license file for details")
+OPENERS = ("this source code form is subject to terms of", "subject to terms of", "this program and accompanying materials are made available under terms of")
+
+TRIGGER = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|\bspdx|\bmpl\b|rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)|unencumbered|\b(?:under|by) (?:the )?(?:mit|gpl|lgpl|agpl|apache|bsd|isc|wtfpl|epl|eupl|cddl)\b"
+_TRIGGER = re.compile(TRIGGER)
+_WORD = re.compile(r"[A-Za-z0-9+]+(?:\.[0-9A-Za-z+]+)*")
+_SPELLING = {"licence": "license", "licences": "licenses", "licenced": "licensed", "relicenced": "relicensed", "ver": "version", "v": "version", "cc0": "cc0", "sublicence": "sublicense"}
+_DROPPED = {"the", "a", "an"}
+#: Kinds of ends: of a paragraph, a sentence, a line.
+_BREAK, _END, _SOFT = 3, 2, 1
+#: Words of the beginning that is enough to know a longer sentence by.
+BEGINNING = 8
+
+
+def _normal(word: str) -> tuple[str, ...]:
+    """Normalised words of one word: lower case, one spelling, versions without a last zero."""
+    w = word.lower()
+    if len(w) > 1 and w[0] == "v" and w[1].isdigit():
+        return ("version", *_normal(w[1:]))
+    if w[0].isdigit() and w.endswith(".0"):
+        w = w[:-2]
+    w = _SPELLING.get(w, w)
+    return () if w in _DROPPED else (w,)
+
+
+def normalise(sentence: str) -> tuple[str, ...]:
+    return tuple(w for m in _WORD.finditer(sentence) for w in _normal(m.group()))
+
+
+def _unnumbered(words: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple("#" if w[0].isdigit() else w for w in words)
+
+
+def _name_table() -> dict[tuple[str, ...], str]:
+    out = {normalise(form): name for name, forms in NAMES.items() for form in forms}
+    for family, forms in GNU.items():
+        for form, version, gnu, word in product(forms, GNU_VERSIONS[family], ("GNU ", ""), ("version ", "")):
+            base = f"{gnu}{form} {word}{version}"
+            out |= {normalise(base): f"{family}-{version}-only", normalise(base + " only"): f"{family}-{version}-only"}
+            out |= {normalise(f"{base} {x}"): f"{family}-{version}-or-later" for x in LATER}
+    for kind, version, end in product(CC_KINDS, CC_VERSIONS, CC_ENDS):
+        for words in product(*(CC_WORDS[k] for k in kind)):
+            for first in ("creative commons", "cc", "creative commons cc"):
+                out[normalise(f"{first} {' '.join(words)} {version} {end}")] = f"CC-{'-'.join(kind)}-{version}"
+                out[normalise(f"{first} {' '.join(words)} {end.partition(' ')[2] or end} {version}")] = f"CC-{'-'.join(kind)}-{version}"
+    return out
+
+
+def _opening_table() -> set[tuple[str, ...]]:
+    made = {normalise(f"{s} {v} under {t}") for s, v, t in product(SUBJECTS, VERBS, TERMS)}
+    return made | {normalise(x) for x in OPENERS}
+
+
+_NAMES, _OPENINGS = _name_table(), _opening_table()
+_TAILS = {normalise(x) for x in TAILS}
+_LONGEST_TAIL = max(map(len, _TAILS))
+_OPENING_SIZES = sorted({len(x) for x in _OPENINGS}, reverse=True)
+_WHOLE = {_unnumbered(normalise(text)): name for name, text in SENTENCES}
+_BEGUN = {k[:BEGINNING]: name for k, name in reversed(_WHOLE.items()) if len(k) >= BEGINNING + 2 and name != "0bsd-grant"}
+_REGISTERED = {x.lower(): x for x in (*_NAMES.values(), *NAMES)}
+_REGISTERED |= {x.lower().removesuffix("-only"): x for x in _NAMES.values() if x.endswith("-only")}  # names of older lists
+_REGISTERED |= {x.lower().removesuffix("-or-later") + "+": x for x in _NAMES.values() if x.endswith("-or-later")}
+_GNU_NAMES = {_unnumbered(normalise("GNU " + form)): family for family, forms in GNU.items() for form in forms}
+_FREE = normalise("free software you can redistribute it and or modify it under the terms of the")
+_ENDORSE = normalise("may be used to endorse or promote products derived from this software without specific prior written permission")
+MOST_WORDS = max(max(map(len, _WHOLE)), 60)
+_FIRST = {x[0] for x in (*_WHOLE, *_OPENINGS)} | {"neither", "spdx", "copyright", "c"}
+
+
+def _free_software(words: tuple[str, ...]) -> str | None:
+    """The licence of a notice "X is free software; you can redistribute it ... either version 2 of the License, or later"."""
+    for i in range(min(8, len(words))):
+        if words[i] == "is" and words[i + 1 : i + 1 + len(_FREE)] == _FREE:
+            rest = words[i + 1 + len(_FREE) :]
+            for size in range(2, 6):
+                family = _GNU_NAMES.get(rest[:size])
+                if family and "version" in rest[:16]:
+                    at = rest.index("version")
+                    number = rest[at + 1] if at + 1 < len(rest) else ""
+                    number = number if "." in number else number + ".0"
+                    if number not in GNU_VERSIONS[family]:
+                        return None
+                    later = any(rest[k : k + 2] == ("later", "version") for k in range(at, len(rest)))
+                    return f"{family}-{number}-{'or-later' if later else 'only'}"
     return None
 
 
-def _named(template: str, fields: dict) -> str:
-    values = {}
-    for k, v in fields.items():
-        v = v or ""
-        if k.endswith("plus"):
-            v = "-or-later" if v else ""
-        elif k.endswith("version"):
-            v = f"-{v}" if v else ""
-        elif k == "cc":
-            v = "0" if v in ("zero", "0") else v.upper().replace(" ", "-")
-        elif k == "cclong":
-            v = "-".join(_LONG[x] for x in re.findall("|".join(sorted(_LONG, key=len, reverse=True)), v))
-        elif k == "bsd":
-            v = {"two": "2", "three": "3"}.get(v, v)
-        elif k == "spdx":
-            v = v.replace(" ", "-").upper()
-        values[k] = v
-    return template.format(**values)
+def _registered(expression: str) -> str:
+    """An SPDX expression with its licences named as registered."""
+    words = re.findall(r"[A-Za-z0-9.+-]+|[()]", expression)
+    return " ".join(w.upper() if w.upper() in ("AND", "OR", "WITH") else _REGISTERED.get(w.lower(), w) for w in words).replace("( ", "(").replace(" )", ")")
 
 
-def scan(text: str):
-    """Licences, known sentence identifiers, their spans in characters, and the number of unknown legal sentences."""
-    known, spans, unknown = [], [], 0
-    for start, end, sentence in sentences(text):
-        if not TRIGGER.search(sentence):
+def identify(words: tuple[str, ...]) -> tuple[str, str | None, int] | None:
+    """(identifier, licence that the sentence names or None, how it may end) of the normalised words of a known sentence, or None.
+
+    A sentence known as a whole ends with its last word; one known by its
+    beginning goes on to the end of a sentence, a copyright line to that of a line.
+    """
+    if words and (words[0].isdigit() or len(words[0]) == 1 and words[0] != "c"):  # numbers of a list
+        words = words[1:]
+    if not words:
+        return None
+    key = _unnumbered(words)
+    if name := _WHOLE.get(key):
+        return name, None, 0
+    for size in _OPENING_SIZES:
+        if words[:size] in _OPENINGS:
+            rest = words[size:]
+            for tail in range(min(_LONGEST_TAIL, len(rest) - 1) + 1):
+                licence = _NAMES.get(rest[: len(rest) - tail])
+                if licence and rest[len(rest) - tail :] in _TAILS:
+                    return "named", licence, 0
+    if words[0] == "neither" and words[-len(_ENDORSE) :] == _ENDORSE:
+        return "bsd-endorse", None, 0
+    if len(key) >= BEGINNING and (name := _BEGUN.get(key[:BEGINNING])):
+        return name, None, _END
+    if words[0] in ("copyright", "c") and any(len(w) == 4 and w.isdigit() for w in words[1:4]):
+        return "copyright", None, _SOFT
+    licence = _free_software(words)
+    return ("gpl-free", licence, _END) if licence else None
+
+
+_MARKS = re.compile(r"[.;:!?](?:\s|[\"')\]]|$)")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+ ()-]*[A-Za-z0-9.+)])", re.I)
+
+
+def _gap(text: str) -> int:
+    """What lies between two words: a paragraph's end, a sentence's end, a line's end or nothing."""
+    lines = text.count("\n")
+    return _BREAK if lines > 1 else _END if _MARKS.search(text) else _SOFT if lines else 0
+
+
+def paragraphs(text: str):
+    """(start, end) of the paragraphs, parted by blank lines, that hold a legal word."""
+    last = -1
+    for m in _TRIGGER.finditer(text):
+        if m.start() < last:
             continue
-        if hit := identify(sentence):
-            known.append(hit)
-            spans.append((start, end))
-        else:
-            unknown += 1
-    found: list[str] = []
+        start = text.rfind("\n\n", 0, m.start())
+        start = 0 if start < 0 else start + 2
+        last = text.find("\n\n", m.end())
+        last = len(text) if last < 0 else last
+        yield start, last
+
+
+def _subject(words: tuple[str, ...], after: list[int], i: int) -> bool:
+    """Whether some words and "is" stand in one line."""
+    for k in range(i + 1, min(i + 8, len(words))):
+        if after[k - 1]:
+            return False
+        if words[k] == "is":
+            return True
+    return False
+
+
+def _known(text: str, offset: int):
+    """Known sentences of a paragraph as (identifier, licence, start, end), and how many others look legal."""
+    words, place, stop = [], [], []  # normalised words, their token; kind of end after each
+    spans = []
+    for m in _WORD.finditer(text):
+        if spans:
+            stop.append(_gap(text[spans[-1][1] : m.start()]))
+        for w in _normal(m.group()):
+            words.append(w)
+            place.append(len(spans))
+        spans.append(m.span())
+    if not spans:
+        return [], 0
+    stop.append(_BREAK)
+    last_of = [i + 1 == len(place) or place[i + 1] != place[i] for i in range(len(place))]
+    # the gap after a word also counts the gaps of dropped words that follow it
+    after = []
+    for i in range(len(words)):
+        if not last_of[i]:
+            after.append(0)
+            continue
+        until = place[i + 1] if i + 1 < len(words) else len(spans)
+        after.append(max(stop[place[i] : until]))
+    spdx = [(m.start(), m.end(), _registered(m.group(1))) for m in _SPDX.finditer(text)]
+    found, i, covered = [], 0, -1
+    sentence_known, unknown, sentence_start = False, 0, 0
+    every = tuple(words)
+    while i < len(words):
+        begins = i == 0 or after[i - 1]
+        got = None
+        if begins and i >= covered:
+            at = spans[place[i]][0]
+            inside = next((x for x in spdx if x[0] <= at < x[1]), None)
+            if inside:
+                j = i
+                while j < len(words) and spans[place[j]][0] < inside[1]:
+                    j += 1
+                got = (("spdx", inside[2]), j)
+            elif every[i] in _FIRST or every[i].isdigit() or len(every[i]) == 1 or _subject(every, after, i):
+                for j in range(i + 1, min(len(words), i + MOST_WORDS) + 1):
+                    if after[j - 1]:
+                        hit = identify(every[i:j])
+                        if hit and after[j - 1] >= hit[2] and not (got and hit[2]):
+                            got = (hit[:2], j)
+                            if hit[2]:
+                                break
+                        if after[j - 1] == _BREAK:
+                            break
+        if got:
+            (name, licence), covered = got
+            found.append((name, licence, offset + spans[place[i]][0], offset + spans[place[covered - 1]][1]))
+            sentence_known = True
+        if after[i] >= _END or i + 1 == len(words):
+            if not sentence_known and i >= covered and _TRIGGER.search(text, spans[place[sentence_start]][0], spans[place[i]][1]):
+                unknown += 1
+            sentence_start, sentence_known = i + 1, i + 1 < covered
+        i += 1
+    return found, unknown
+
+
+def match_rules(known: list[tuple[str, str | None]]) -> list[str]:
+    """Sorted licences that the rules find in a sequence of identifiers; one pass for each rule, each identifier is used once."""
     free = [True] * len(known)
-    for template, order in RULES:
-        while True:
-            at, used = 0, []
-            for want in order:
-                while at < len(known) and not (free[at] and known[at][0] == want):
-                    at += 1
-                if at == len(known):
-                    break
-                used.append(at)
-                at += 1
-            if len(used) < len(order):
-                break
-            fields: dict = {}
-            for i in used:
-                free[i] = False
-                fields |= known[i][1]
-            found.append(_named(template, fields))
-    return sorted(set(found)), [k[0] for k in known], spans, unknown
+    found = set()
+    for licence, order in RULES:
+        state, used = 0, []
+        for i, (name, own) in enumerate(known):
+            want = order[state]
+            if free[i] and name == want.removesuffix("*") and (own or not want.endswith("*")):
+                used.append(i)
+                state += 1
+                if state == len(order):
+                    found.add(known[used[0]][1] if licence == "*" else licence)
+                    for u in used:
+                        free[u] = False
+                    state, used = 0, []
+    return sorted(found)
+
+
+def scan(text: str):
+    """Licences, known sentence identifiers, their spans in characters, and the number of unknown legal sentences."""
+    known, unknown = [], 0
+    for start, end in paragraphs(text):
+        found, other = _known(text[start:end], start)
+        known += found
+        unknown += other
+    return match_rules([k[:2] for k in known]), [k[0] for k in known], [k[2:] for k in known], unknown
 
 
 SCHEMA = "doc_id long, licences array<string>, sentences array<string>, span_starts array<long>, span_ends array<long>, n_unknown long"
@@ -160,21 +367,22 @@ SCHEMA = "doc_id long, licences array<string>, sentences array<string>, span_sta
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document that holds a known licence sentence.
 
-    Columns: doc_id, licences (sorted names), sentences (identifiers in text
-    order), span_starts and span_ends (characters), n_unknown (sentences that
-    look legal but are unknown).  Null and empty texts give no row; repeated
-    rows give a row each; a null doc_id is kept.
+    Columns: doc_id, licences (sorted registered names), sentences
+    (identifiers in text order), span_starts and span_ends (characters),
+    n_unknown (sentences that look legal but are unknown).  Null and empty
+    texts give no row; repeated rows give a row each; a null doc_id is kept;
+    extra columns are ignored; an empty table gives an empty table.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.string())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("n_unknown", pa.int64())])
 
     def run(batches):
         for b in _text.pieces(batches):
+            b = b.filter(pc.fill_null(pc.match_substring_regex(b.column("text"), TRIGGER), False))
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text and TRIGGER.search(text):
-                    names, ids, spans, unknown = scan(text)
-                    if ids:
-                        rows.append((i, names, ids, [s for s, _ in spans], [e for _, e in spans], unknown))
+                names, ids, spans, unknown = scan(text)
+                if ids:
+                    rows.append((i, names, ids, [s for s, _ in spans], [e for _, e in spans], unknown))
             if rows:
                 yield _text.batch_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from millrace.llm import licences
@@ -5,47 +7,132 @@ from millrace.llm import licences
 from .conftest import prose
 
 
-
 @pytest.mark.parametrize("text, names", [
     ("Released under the MIT License.", ["MIT"]),
     ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
-    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
     ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+    ("This work is available under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Released under Creative Commons Attribution 4.0.", ["CC-BY-4.0"]),
     ("licensed under  the GNU Lesser General Public License, version 2.1 or later.", ["LGPL-2.1-or-later"]),
     ("Licensed under the Apache License, Version 2.0 (the \"License\");", ["Apache-2.0"]),
     ("SPDX-License-Identifier: MPL-2.0", ["MPL-2.0"]),
+    ("# spdx-license-identifier: gpl-2.0-only or mit", ["GPL-2.0-only OR MIT"]),
+    ("// SPDX-License-Identifier: (APACHE-2.0 OR GPL-3.0+)", ["(Apache-2.0 OR GPL-3.0-or-later)"]),
     ("Licensed under the 3-clause BSD license.", ["BSD-3-Clause"]),
     ("I have a licence to drive. All rights reserved.", []),
+    ("It is licensed under the moon.", []),
 ])
 def test_names(text, names):
     assert licences.scan(f"{prose(1, 9)}.\n{text}\n{prose(2, 9)}")[0] == names
 
 
+def wrapped(text, width, mark=""):
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) + 1 > width and line:
+            lines.append(mark + line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*lines, mark + line])
+
+
+def sentence(name):
+    return next(t for n, t in licences.SENTENCES if n == name)
+
+
+FULL = {
+    "MIT": ["MIT License", "Copyright (c) 2020 Ann Other", sentence("mit-grant"), sentence("mit-notice"), f"{sentence('mit-asis')} {sentence('mit-liable')}"],
+    "BSD-3-Clause": ["Copyright 2019, Some Body", f"All rights reserved. {sentence('bsd-grant')}", f"1. {sentence('bsd-source')}", f"2. {sentence('bsd-binary')}", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", sentence("bsd-asis")],
+    "BSD-2-Clause": [sentence("bsd-grant"), f"* {sentence('bsd-source')}", f"* {sentence('bsd-binary')}", sentence("bsd-asis")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", f"{sentence('apache2-asis')} {sentence('apache2-see')}"],
+    "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", f"{sentence('gpl-warranty')} {sentence('gpl-implied')} See the GNU General Public License for more details.", f"{sentence('gpl-received')}; if not, see <https://www.gnu.org/licenses/>."],
+    "LGPL-2.1-only": ["Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1 of the License."],
+    "MPL-2.0": [f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. {sentence('mpl-copy')} https://mozilla.org/MPL/2.0/."],
+    "ISC": [sentence("isc-grant"), sentence("isc-asis")],
+    "Unlicense": [sentence("unlicense")],
+    "Zlib": [sentence("zlib-asis"), sentence("zlib-grant")],
+    "BSL-1.0": [sentence("bsl-grant")],
+}
+
+
+@pytest.mark.parametrize("name", FULL)
+@pytest.mark.parametrize("width, mark", [(10_000, ""), (72, ""), (40, "// "), (55, " * "), (60, "# ")])
+def test_wrapped_and_commented_texts(name, width, mark):
+    body = f"\n{mark.rstrip()}\n".join(wrapped(p, width, mark) for p in FULL[name])
+    assert licences.scan(f"{prose(1, 9)}.\n\n{body}\n\n{prose(2, 9)}")[0] == [name]
+
+
 def test_ordered_rule_and_spans():
-    bsd = [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "2. Redistributions in binary form must reproduce the above copyright notice.",
-    ]
+    bsd = [sentence("bsd-grant"), f"1. {sentence('bsd-source')}", "2. Redistributions in binary form must reproduce the above copyright notice."]
     names, ids, spans, unknown = licences.scan("\n".join(bsd))
     assert names == ["BSD-2-Clause"] and ids == ["bsd-grant", "bsd-source", "bsd-binary"]
-    assert ["\n".join(bsd)[a:b] for a, b in spans][0] == bsd[0]
+    assert ["\n".join(bsd)[a:b] for a, b in spans] == [x.rstrip(".:") for x in bsd]
     assert licences.scan("\n".join(reversed(bsd)))[0] == []
 
 
-def test_every_known_sentence_has_a_trigger():
-    for name, pattern in licences.SENTENCES:
-        assert licences.TRIGGER.search(pattern.replace("(?:", "(").replace("[cs]", "s")) or name in ("spdx", "copyright"), name
-
-
 def test_several_licences_in_one_text():
     names, ids, _, unknown = licences.scan("Released under the MIT License.\nfiller words\nLicensed under CC BY-NC 4.0.\nThe warranty is unknown here.")
-    assert names == ["CC-BY-NC-4.0", "MIT"] and ids == ["mit-name", "cc-name"] and unknown == 1
+    assert names == ["CC-BY-NC-4.0", "MIT"] and ids == ["named", "named"] and unknown == 1
+
+
+def test_rules_take_one_pass_each():
+    """Texts of many sentences: what a plain search for each rule finds, and time in proportion."""
+    import time
+
+    r = random.Random(4)
+    names = ["mit-grant", "mit-notice", "mit-asis", "bsd-grant", "bsd-source", "bsd-binary", "isc-grant", "zlib-asis", "zlib-grant", "reserved"]
+
+    def plain(known):
+        left, out = list(known), set()
+        for licence, order in licences.RULES:
+            while not any(x.endswith("*") for x in order):
+                at, used = -1, []
+                for want in order:
+                    at = next((i for i in range(at + 1, len(left)) if left[i] == want), None)
+                    if at is None:
+                        break
+                    used.append(at)
+                if at is None:
+                    break
+                out.add(licence)
+                for i in used:
+                    left[i] = None
+        return sorted(out)
+
+    for _ in range(300):
+        known = [r.choice(names) for _ in range(r.randint(0, 9))]
+        assert licences.match_rules([(k, None) for k in known]) == plain(known)
+    text = "Released under the MIT License.\n"
+    took = []
+    for n in (500, 4000):
+        began = time.process_time()
+        assert len(licences.scan(text * n)[1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
 
 
-def test_scan_of_a_table_is_the_scan_of_its_texts(spark, docs_of, odd, none):
-    texts = [prose(k, 60) + (".\nReleased under the MIT License.\n" if k % 3 == 0 else ".\n") + prose(k + 50, 20) for k in range(40)]
-    got = {r.doc_id: (list(r.licences), list(r.sentences), r.n_unknown) for r in licences.license_scan(docs_of(list(enumerate(texts)))).collect()}
-    want = {i: licences.scan(t) for i, t in enumerate(texts)}
-    assert got == {i: (w[0], w[1], w[3]) for i, w in want.items() if w[1]}
+def test_scan_of_a_table_finds_what_was_planted(docs_of, odd, none):
+    """Built texts: the licences of each document are known beforehand."""
+    r = random.Random(6)
+    short = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3."}
+    rows, want = [], {}
+    for k in range(80):
+        body, has = [prose(k, 60) + "."], set()
+        for _ in range(r.randint(0, 2)):
+            if r.random() < 0.5:
+                name = r.choice(sorted(short))
+                body.append(short[name])
+            else:
+                name = r.choice(sorted(FULL))
+                body.append("\n" + "\n\n".join(wrapped(p, r.choice([50, 72, 500]), r.choice(["", "// "])) for p in FULL[name]) + "\n")
+            has.add(name)
+            body.append(prose(1000 + k, 20) + ".")
+        rows.append((k, "\n".join(body)))
+        if has:
+            want[k] = sorted(has)
+    got = licences.license_scan(docs_of([*rows, (None, short["MIT"]), (5000, short["MIT"]), (5000, short["MIT"])])).collect()
+    # of BSD-2 and BSD-3 in one text the longer rule may take sentences of both; they are apart in these texts
+    assert {x.doc_id: list(x.licences) for x in got if x.doc_id is not None and x.doc_id < 5000} == want
+    assert [list(x.licences) for x in got if x.doc_id is None or x.doc_id == 5000] == [["MIT"]] * 3
     assert licences.license_scan(odd).count() == 0 and licences.license_scan(none).count() == 0
