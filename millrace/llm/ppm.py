@@ -9,9 +9,9 @@ longer context are excluded from the shorter one, which makes the
 probabilities of all 256 symbols sum to one.
 
 The frequent contexts are broadcast.  A gram whose longest context is not
-among them is looked up in the table of all counts: that is dealt out by the
-last bytes of the context, so a task holds every longer context that ends in
-them, and the few short ones are broadcast whole.
+among them is scored by the table of all counts: both are dealt out by the last
+bytes of the context, so a task holds every longer context that ends in them,
+and the few short ones are broadcast whole.  A document's sums come back.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _text
 from millrace.llm._store import forget, partitions_for, stored
+from millrace.llm.candidates import bucket_bits
 
 #: 0xFF is no byte of UTF-8: it stands for the marks before a text and its end.
 MARK = 0xFF
@@ -258,26 +259,81 @@ def train(docs: DataFrame, order: int = 5, entries: int = TRIE_ENTRIES) -> Trie:
     return trie
 
 
-def _exact(grams_: DataFrame, whole: DataFrame, size: int, short: list, order: int) -> DataFrame:
-    """(gram, p): log10 probabilities of distinct grams by all counts of the training texts."""
+#: Pairs of 64-bit numbers that a task gathers before it emits blocks.
+GATHER = 1 << 19
+BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+BLOCKS_DDL = "bucket int, kind int, block binary"
+
+
+def _blocks(bucket: np.ndarray, one: np.ndarray, two: np.ndarray):
+    """(bucket, bytes) of pairs of 64-bit columns: a block for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, pairs = bucket[order], np.column_stack([one[order].view(np.int64), two[order].view(np.int64)])
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(bucket))
+    return bucket[start].astype(np.int32), [pairs[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def _unpacked(blocks: list) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(b"".join(blocks), np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (_text.mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _context_bucket(gram: np.ndarray, base: int, bits: int) -> np.ndarray:
+    """Grams whose contexts end in the same ``base`` + 1 bytes, which share all counts that they need, are in one bucket."""
+    return _bucket((gram.view(np.uint64) >> np.uint64(8)) & np.uint64((1 << (8 * (base + 1))) - 1), bits)
+
+
+def _far_scores(far: DataFrame, whole: DataFrame, size: int, short: list, order: int, bits: int) -> DataFrame:
+    """(row, far_score): for each row the log10 probabilities, by all counts of the training texts, of its grams in the blocks ``far``, summed.
+
+    Grams and counts meet by the last bytes of their contexts; only sums for
+    rows leave a task.
+    """
     spark = whole.sparkSession
     base = len(short) - 1
     given = spark.sparkContext.broadcast(short)
-    schema = pa.schema([("gram", pa.int64()), ("p", pa.float64())])
+
+    def counts(batches):
+        for b in batches:
+            gram = b.column("gram").to_numpy()
+            bucket, block = _blocks(_context_bucket(gram, base, bits), gram, b.column("n").to_numpy())
+            yield _text.batch_of(BLOCKS, bucket=bucket, kind=np.zeros(len(bucket), np.int32), block=block)
 
     def run(batches):
-        parts = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        gram, n = (np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
-        ask = gram[n == 0]
-        if not len(ask):
+        held: tuple[list, list] = ([], [])
+        for b in batches:
+            for kind, x in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
+                held[kind].append(x)
+        if not held[1]:
             return
-        trie = Trie(given.value + _shorter([_summed(gram[n > 0], n[n > 0])], order, base + 1))
-        for i in range(0, len(ask), 500_000):
-            yield _text.batch_of(schema, gram=ask[i : i + 500_000], p=trie.log10p(ask[i : i + 500_000].view(np.uint64)))
-
-    last = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * (base + 1))) - 1))
-    rows = whole.select("gram", "n").unionByName(grams_.select("gram", F.lit(0).cast("long").alias("n")))
-    return rows.repartition(partitions_for(spark, 64 * size), last).mapInArrow(run, "gram long, p double")
+        trie = Trie(given.value + _shorter([_summed(*_unpacked(held[0]))], order, base + 1))
+        held[0].clear()
+        gram, row = _unpacked(held[1])
+        held[1].clear()
+        own, inverse = np.unique(gram, return_inverse=True)
+        p = trie.log10p(own.view(np.uint64))[inverse]
+        rows, inverse = np.unique(row, return_inverse=True)
+        bucket, block = _blocks(_bucket(rows.view(np.uint64), bits), rows, np.bincount(inverse, p, len(rows)))
+        yield _text.batch_of(BLOCKS, bucket=bucket, kind=np.zeros(len(bucket), np.int32), block=block)
+
+    schema = pa.schema([("row", pa.int64()), ("far_score", pa.float64())])
+
+    def add(batches):
+        blocks = [x for b in batches for x in b.column("block").to_pylist()]
+        if blocks:
+            row, part = _unpacked(blocks)
+            own, inverse = np.unique(row, return_inverse=True)
+            yield _text.batch_of(schema, row=own, far_score=np.bincount(inverse, part.view(np.float64), len(own)))
+
+    pairs = far.agg(F.coalesce(F.sum(F.length("block")), F.lit(0))).first()[0]
+    parts = partitions_for(spark, 16 * size + pairs)
+    met = far.unionByName(whole.mapInArrow(counts, BLOCKS_DDL)).repartition(parts, "bucket").mapInArrow(run, BLOCKS_DDL)
+    return met.repartition(partitions_for(spark, pairs // 16), "bucket").mapInArrow(add, "row long, far_score double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -329,7 +385,8 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
     lookup = Table(common.view(np.uint64), np.log10((common_n + 0.5) / scale))
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((trie, lookup))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("far", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), *BLOCKS])
+    base, bits = (len(short) - 1 if partial else 0), bucket_bits(partitions_for(spark, 16 * size))
     end_cost = float(np.log10((ends + 0.5) / scale))
     ready: dict = {}
 
@@ -338,6 +395,15 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
         if "t" not in ready:
             top = trie.gram[trie.order]
             ready["t"] = Table(top, trie.full[trie.order])
+        held: list = []  # grams after contexts that the trie may lack, and their rows
+
+        def flush():
+            gram, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket, block = _blocks(_context_bucket(gram, base, bits), gram, row)
+            columns = {f.name: pa.nulls(len(bucket), f.type) for f in schema} | {"bucket": bucket, "kind": np.ones(len(bucket), np.int32), "block": block}
+            return _text.batch_of(schema, **columns)
+
         for b in _text.pieces(batches):
             buf, offs = _text.column_bytes(b.column("text"))
             g, at = grams(buf, offs, trie.order)
@@ -350,7 +416,6 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
                 far = np.flatnonzero(~found)[~there[inverse]]
                 p[far] = 0
             total = np.add.reduceat(p, at)
-            far_split = np.searchsorted(far, np.append(at, len(g)))
             h, _, _, first = _text.words(buf, offs)
             value, known = lookup.get(h)
             sums = np.concatenate([[0.0], np.cumsum(value)])
@@ -362,11 +427,18 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
                 n_tokens=np.diff(first) + 1, n_known=hits[first[1:]] - hits[first[:-1]] + int(ends > 0),
                 base=sums[first[1:]] - sums[first[:-1]] + end_cost, score=total, n_bytes=np.diff(offs),
                 rare=pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(h[rare].view(np.int64))),
-                far=pa.ListArray.from_arrays(pa.array(far_split.astype(np.int32)), pa.array(g[far].view(np.int64))),
+                **{c: pa.nulls(b.num_rows, t) for c, t in zip(BLOCKS.names, BLOCKS.types, strict=True)},
             )
-
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, far array<long>"
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl))
+            if len(far):
+                held.append((g[far], b.column("row").to_numpy()[np.searchsorted(at, far, "right") - 1].view(np.uint64)))
+                if sum(len(x) for x, _ in held) >= GATHER:
+                    yield flush()
+        if held:
+            yield flush()
+
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, " + BLOCKS_DDL
+    made = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl))
+    rows = made.where("bucket is null").drop(*BLOCKS.names)
     rest = (
         rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
         .join(counts.where(F.col("word").isNotNull() & (F.col("n") < low)), "word", "left")
@@ -375,13 +447,11 @@ def score(docs: DataFrame, held_out, order: int = 5, entries: int = TRIE_ENTRIES
             F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))).alias("rare_base"),
         )
     )
-    rows_out = rows.drop("rare", "far").join(rest, "row", "left")
+    rows_out = rows.drop("rare").join(rest, "row", "left")
     far_score = F.lit(0.0)
     if partial:
-        far = rows.select("row", F.explode("far").alias("gram"))
-        exact = stored(_exact(far.select("gram").distinct(), whole, size, short, order))
+        far = stored(_far_scores(made.where("bucket is not null").select(*BLOCKS.names), whole, size, short, order, bits))
         forget(whole)
-        far = far.groupBy("row", "gram").agg(F.count("*").alias("k")).join(exact, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("far_score"))
         rows_out = rows_out.join(far, "row", "left")
         far_score = F.coalesce("far_score", F.lit(0.0))
     return rows_out.select(
