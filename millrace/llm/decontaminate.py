@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._store import stored
+from millrace.llm._store import key_filter, maybe_in, stored
 
 #: Largest number of benchmark shingles that is broadcast (16 bytes each); above it both sides are shuffled.
 BROADCAST_SHINGLES = 2_000_000
@@ -93,6 +93,10 @@ def _bounded_index(items: DataFrame, percent: int, limit: int):
     return _Index(items.collect(), percent) if total <= limit else None
 
 
+def _given(items: DataFrame, shingle: int) -> DataFrame:
+    return stored(item_table(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id", shingle))
+
+
 def contaminated_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", percent: int = 80, shingle: int = 5, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared) where 100 * n_shared >= percent * n_item.
 
@@ -100,13 +104,17 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer words the whole
     sequence is the only shingle.  Null or empty texts and items match
     nothing.  Repeated rows give repeated pairs on the document side; repeated
-    item ids are separate items.  Extra columns are ignored.
+    item ids are separate items.  A null doc_id is kept.  Extra columns are
+    ignored.  Whether the items are broadcast or shuffled changes no row.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stored(item_table(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id", shingle))
+    table = _given(items, shingle)
     index = _bounded_index(table, percent, broadcast_shingles)
     if index is None:
-        return _shuffled(docs, table, percent, shingle)
+        hits = _shuffled(docs, table, percent, shingle)
+        rows = docs.select("doc_id", F.xxhash64("text").alias("th"))  # repeated rows of one text each get its pairs
+        hits = hits.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "h")
+        return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "item_id", "n_item", "n_shared")
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_item", "n_shared")])
 
@@ -123,12 +131,17 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 80, shingle: int = 5, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text contains no item; see contaminated_pairs()."""
-    table = stored(item_table(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id", shingle))
+    """The rows of ``docs``, all columns, whose text contains no item; see contaminated_pairs().
+
+    Null and empty texts stay; every row is judged by its own text, whatever its doc_id.
+    """
+    table = _given(items, shingle)
     index = _bounded_index(table, percent, broadcast_shingles)
     if index is None:
-        hits = _shuffled(docs.select("doc_id", "text"), table, percent, shingle)
-        return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        hits = _shuffled(keyed, table, percent, shingle).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
+        same = docs["doc_id"].cast("long").eqNullSafe(hits["__d"]) & (F.xxhash64(docs["text"].cast("string")) == hits["__h"])
+        return docs.join(hits, same, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def clean(batches):
@@ -141,31 +154,48 @@ def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 80, shingle
 
 
 def _shuffled(docs: DataFrame, items: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The same search for an item table of any size: sketch values and sets meet by shuffle joins."""
+    """(doc_id, th, item_id, n_item, n_shared) of each distinct text and doc_id, for an item table of any size.
+
+    Texts are scanned for sketch values, those of candidates again for whole
+    sets; filters of a fixed size keep other shingles out of the shuffles.
+    """
+    spark = docs.sparkSession
     need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("long")
     unsigned = F.transform("h", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # signed order is then unsigned order
     items = items.withColumn("row", F.monotonically_increasing_id()).withColumn("need", need).withColumn("u", F.sort_array(unsigned))
     items = stored(items)
     sketch = items.select("row", F.explode(F.slice("u", 1, (F.col("n") - F.col("need") + 1).cast("int"))).alias("x"))
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64())])
-
-    def sets(batches):
-        for b in _text.pieces(batches):
-            hashes, _, _, first = _text.words(*_text.column_bytes(b.column("text")))
-            s, at = _text.shingles(hashes, first, shingle)
-            ids = b.column("doc_id")
-            own = [np.unique(s[at[i] : at[i + 1]]) for i in range(b.num_rows)]
-            owner = np.repeat(np.arange(b.num_rows), [len(x) for x in own])
-            if len(owner):
-                x = (np.concatenate(own) ^ np.uint64(1 << 63)).view(np.int64)
-                yield _text.batch_of(schema, doc_id=ids.take(pa.array(owner)), x=x)
-
-    values = docs.mapInArrow(sets, "doc_id long, x long")
-    pairs = values.join(sketch, "x").select("doc_id", "row").distinct()
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("x", pa.int64())])
+    docs = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th"))
+
+    def values(values_filter, texts_filter=None):
+        shared = spark.sparkContext.broadcast((values_filter, texts_filter))
+
+        def run(batches):
+            wanted, texts = shared.value
+            for b in _text.pieces(batches):
+                if texts is not None:
+                    b = b.filter(pa.array(maybe_in(texts, b.column("th").to_numpy())))
+                hashes, _, _, first = _text.words(*_text.column_bytes(b.column("text")))
+                s, at = _text.shingles(hashes, first, shingle)
+                x = (s ^ np.uint64(1 << 63)).view(np.int64)
+                keep = maybe_in(wanted, x)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(at))[keep]
+                take = pa.array(owner)
+                yield _text.batch_of(schema, doc_id=b.column("doc_id").take(take), th=b.column("th").take(take), x=x[keep])
+
+        return docs.mapInArrow(run, "doc_id long, th long, x long").distinct()
+
+    found = values(key_filter(sketch, "x", 1 << 25))
+    pairs = stored(found.join(sketch, "x").select("doc_id", "th", "row").distinct())
+    sought = items.join(pairs.select("row").distinct(), "row", "left_semi").select(F.explode("u").alias("x"))
+    whole = values(key_filter(sought, "x", 1 << 25), key_filter(pairs, "th"))
     wanted = pairs.join(items.select("row", "item_id", "n", "need", F.explode("u").alias("x")), "row")
+    whole = whole.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("x").alias("y"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("x") == F.col("y"))
     return (
-        wanted.join(values.distinct(), ["doc_id", "x"])
-        .groupBy("doc_id", "row", "item_id", "n", "need").agg(F.count("*").alias("n_shared"))
+        wanted.join(whole, same)
+        .groupBy("doc_id", "th", "row", "item_id", "n", "need").agg(F.count("*").alias("n_shared"))
         .where("n_shared >= need")
-        .select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared")
+        .select("doc_id", "th", "item_id", F.col("n").alias("n_item"), "n_shared")
     )

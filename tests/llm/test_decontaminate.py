@@ -42,3 +42,16 @@ def test_odd_rows(spark, odd, none, limit):
     assert clean.columns == odd.columns and clean.count() == odd.count() - 3
     assert decontaminate.contaminated_pairs(none, items, broadcast_shingles=limit).count() == 0
     assert decontaminate.decontaminated(odd, items.limit(0), broadcast_shingles=limit).count() == odd.count()
+
+
+def test_both_ways_give_the_same_rows(spark, docs_of):
+    """Null ids, repeated rows, different texts of one id, clashing columns, repeated items."""
+    item = prose(900, 30)
+    first, second = " ".join(item.split()[:16]), " ".join(item.split()[14:])
+    docs = docs_of([(None, f"{prose(1, 9)} {item}"), (1, item), (1, item), (2, first), (2, second), (3, None), (4, ""), (2, f"x {item}"), (None, None), (5, prose(5, 200))])
+    items = spark.createDataFrame([(7, item, 1), (7, item, 2), (8, None, 3), (None, first, 4)], "item_id long, text string, doc_id long")
+    ways = [sorted(decontaminate.contaminated_pairs(docs, items, broadcast_shingles=n).collect(), key=str) for n in (1_000_000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 13
+    left = [sorted(decontaminate.decontaminated(docs, items, broadcast_shingles=n).collect(), key=str) for n in (1_000_000, 0)]
+    assert left[0] == left[1] and sorted(str(r.doc_id) for r in left[0]) == ["2", "3", "4", "5", "None"]
+    assert decontaminate.decontaminated(docs, items, broadcast_shingles=0).columns == docs.columns
