@@ -2,13 +2,18 @@
 
 The text view is a logistic regression over hashed words and a few shape
 ratios of the text; the metadata view is one over source, language and length
-classes.  Each round, every view labels the unlabelled rows it is most sure
-of and hands them to the other.  Both are then calibrated on held-out labelled
-rows and combined, weighted by how much each improves on the base rate.
-
-Fitting uses bounded samples of labelled and unlabelled rows
-(``max_labelled``, ``max_unlabelled``; chosen by hash of doc_id, so the same
-rows at every run); every document is scored.
+classes.  In each round both views score every unlabelled row of the table, and
+each hands the rows that it is most sure of to the other.  Both are then
+calibrated on held-out labelled rows and combined, weighted by how much each
+improves on the base rate.
+
+Rows labelled toxic also teach a lexicon: the weight of a hashed word is its
+log-odds between toxic and other rows, less twice its standard error, and the
+strongest word of a text is its toxicity.  A document is kept if its quality is good and it is not toxic.
+
+Fitting uses at most ``max_labelled`` labelled rows and ``handed`` rows that a
+view hands over in a round; candidates are all rows, and every document is
+scored.
 """
 
 from __future__ import annotations
@@ -19,17 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._store import stored
+from millrace.llm._store import forget, stored
 
 TEXT_DIMS = 1 << 16
 META_DIMS = 1 << 12
 SHAPES = 12
-MAX_LABELLED = 4000
-MAX_UNLABELLED = 4000
+#: Labelled rows on which the views are fitted and calibrated.
+MAX_LABELLED = 6000
+ROUNDS = 3
+#: Rows that each view hands to the other in a round.
+HANDED = 300
+#: Words of the lexicon at most.
+LEXICON = 4096
 
 
 def text_features(buf: np.ndarray, offs: np.ndarray):
-    """Sparse rows (row start, column, value): distinct hashed words of unit length, and shape ratios."""
+    """Sparse rows (row, column, value): distinct hashed words of unit length, and shape ratios."""
     h, starts, ends, first = _text.words(buf, offs)
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
@@ -55,7 +65,17 @@ def text_features(buf: np.ndarray, offs: np.ndarray):
     rows = np.concatenate([row, np.repeat(np.arange(len(n)), SHAPES)])
     cols = np.concatenate([col, np.tile(TEXT_DIMS + np.arange(SHAPES), len(n))])
     values = np.concatenate([1 / np.sqrt(distinct[row]), dense.ravel()])
-    return rows, cols, values
+    return rows.astype(np.int32), cols.astype(np.int32), values
+
+
+_BARE = np.arange(256, dtype=np.uint8)
+_BARE[[i for i in range(128) if not chr(i).isalnum()]] = 32
+
+
+def bare_words(buf: np.ndarray, offs: np.ndarray):
+    """(hashes, first word of each text) of words without ASCII punctuation."""
+    h, _, _, first = _text.words(_BARE[buf], offs)
+    return h, first
 
 
 def meta_features(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +89,7 @@ def meta_features(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for key in (f"s={s}", f"l={g}", f"n={n}", f"s={s} n={n}", f"l={g} n={n}"):
             rows.append(i)
             cols.append(zlib.crc32(key.encode()) % META_DIMS)
-    return np.array(rows, np.int64), np.array(cols, np.int64), np.full(len(rows), 5**-0.5)
+    return np.array(rows, np.int32), np.array(cols, np.int32), np.full(len(rows), 5**-0.5)
 
 
 class Linear:
@@ -128,11 +148,45 @@ def _loss(p, y):
     return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
 
+class Lexicon:
+    """Weights of words (64-bit hashes) for one class of rows against the others, and the threshold above which a text is of that class."""
+
+    def __init__(self, words: list[np.ndarray], y: np.ndarray, keep: float = 0.9995):
+        """words: the distinct words of each row."""
+        self.word, self.weight, self.threshold = np.zeros(0, np.uint64), np.zeros(0), np.inf
+        held = np.arange(len(y)) % 4 == 0
+        if len(y) < 20 or y[~held].min() == y[~held].max():
+            return
+        inside, outside = (np.unique(np.concatenate([words[i] for i in np.flatnonzero(~held & (y == k))]), return_counts=True) for k in (1, 0))
+        at = np.minimum(np.searchsorted(outside[0], inside[0]), len(outside[0]) - 1)
+        other = np.where(outside[0][at] == inside[0], outside[1][at], 0)
+        n, m = (y[~held] == 1).sum(), (y[~held] == 0).sum()
+        odds = np.log((inside[1] + 0.5) / (n + 1)) - np.log((other + 0.5) / (m + 1))
+        weight = odds - 2 * np.sqrt(1 / (inside[1] + 0.5) + 1 / (other + 0.5))  # a word seen a few times proves little
+        best = np.sort(np.argsort(-weight, kind="stable")[:LEXICON])
+        best = best[weight[best] > 0]
+        self.word, self.weight = inside[0][best], weight[best]
+        sizes = np.array([0, *(len(w) for w in words)])
+        own = self.score(np.concatenate(words), np.cumsum(sizes))
+        clean = own[held & (y == 0)]
+        self.threshold = max(float(np.quantile(clean, keep)) if len(clean) else 0.0, 1.0)
+
+    def score(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Weight of the strongest word of each text ``h[first[i]:first[i + 1]]``."""
+        out = np.zeros(len(first) - 1)
+        if len(self.word) and len(h):
+            at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+            hit = np.flatnonzero(self.word[at] == h)
+            np.maximum.at(out, np.searchsorted(first, hit, "right") - 1, self.weight[at[hit]])
+        return out
+
+
 class CoTrained:
-    """Both calibrated views, their weights and the threshold below which a document is rejected."""
+    """Both calibrated views, their weights, the threshold below which a document is rejected, and the toxic lexicon."""
 
     def __init__(self, text, meta, cal_text, cal_meta, weights, threshold, prior):
         self.text, self.meta, self.cal_text, self.cal_meta, self.weights, self.threshold, self.prior = text, meta, cal_text, cal_meta, weights, threshold, prior
+        self.toxic: Lexicon | None = None
 
     def combined(self, zt, zm):
         return 1 / (1 + np.exp(-np.clip(self.prior + self.weights[0] * (zt - self.prior) + self.weights[1] * (zm - self.prior), -30, 30)))
@@ -152,38 +206,28 @@ def _joined(a, b):
     return np.concatenate([a[0], b[0] + a[3]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]]), a[3] + b[3]
 
 
-def cotrain(xt, xm, y: np.ndarray, ut, um, rounds: int = 3, share: float = 0.05, sure: float = 0.95, keep_good: float = 0.998) -> CoTrained | None:
-    """Fit both views on labelled rows (xt, xm, y) and unlabelled rows (ut, um); None without both classes."""
+def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS, keep_good: float = 0.998) -> CoTrained | None:
+    """Fit both views on labelled rows (xt, xm, y) and on the rows that each hands to the other; None without both classes.
+
+    ``confident(views, good)`` takes (model, slope, intercept) of the text and
+    the metadata view and the share of good rows, and returns new unlabelled
+    rows for the text view and for the metadata view as (features, labels).
+    """
     if len(y) < 20 or y.min() == y.max():
         return None
-    n = len(y)
-    held = np.arange(n) % 4 == 0
+    held = np.arange(len(y)) % 4 == 0
     if y[held].min() == y[held].max():
         return None
     lt, lm, ly = _rows(xt, ~held), _rows(xm, ~held), y[~held]
-    extra_t = {}  # unlabelled rows handed to the text view, with their label
-    extra_m = {}
-    text = meta = None
-    for _ in range(rounds + 1):
-        fitted = []
-        for own, more, pool, dims in ((lt, extra_t, ut, TEXT_DIMS + SHAPES), (lm, extra_m, um, META_DIMS)):
-            at = np.array(sorted(more), np.int64)
-            x = _joined(own, _rows(pool, at)) if len(at) else own
-            label = np.concatenate([ly, np.array([more[i] for i in at], float)]) if len(at) else ly
-            weight = np.concatenate([np.ones(len(ly)), np.full(len(at), 0.5)])
-            fitted.append(Linear(dims).fit(x, label, weight))
-        text, meta = fitted
-        if not ut[3]:
+    data = [(lt, ly, np.ones(len(ly))), (lm, ly, np.ones(len(ly)))]
+    dims = (TEXT_DIMS + SHAPES, META_DIMS)
+    for step in range(rounds + 1):
+        text, meta = (Linear(d).fit(*own) for own, d in zip(data, dims, strict=True))
+        if step == rounds:
             break
-        quota = max(1, int(share * ut[3]))
-        for view, x, own, y_own, to in ((text, ut, lt, ly, extra_m), (meta, um, lm, ly, extra_t)):
-            a, b = _calibrate(view.logit(own), y_own)
-            p = 1 / (1 + np.exp(-np.clip(a * view.logit(x) + b, -30, 30)))
-            for rank, label in ((np.argsort(-p, kind="stable"), 1.0), (np.argsort(p, kind="stable"), 0.0)):
-                part = max(1, int(quota * (ly.mean() if label else 1 - ly.mean())))
-                for i in rank[:part]:
-                    if (p[i] >= sure) if label else (p[i] <= 1 - sure):
-                        to.setdefault(int(i), label)
+        views = [(view, *_calibrate(view.logit(own), ly)) for view, own in ((text, lt), (meta, lm))]
+        more = confident(views, float(ly.mean()))
+        data = [(_joined(x, new), np.concatenate([z, label]), np.concatenate([w, np.full(len(label), 0.5)])) for (x, z, w), (new, label) in zip(data, more, strict=True)]
     yh = y[held]
     zt, zm = text.logit(_rows(xt, held)), meta.logit(_rows(xm, held))
     ct, cm = _calibrate(zt, yh), _calibrate(zm, yh)
@@ -198,16 +242,6 @@ def cotrain(xt, xm, y: np.ndarray, ut, um, rounds: int = 3, share: float = 0.05,
     return model
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int) -> DataFrame:
-    """Bounded samples by hash order of doc_id: labelled rows (y 0 or 1) and others (y null)."""
-    y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    pool = docs.where("doc_id is not null and text is not null").select("doc_id").distinct()
-    rank = F.xxhash64("doc_id", F.lit(11))
-    known = y.join(pool, "doc_id", "left_semi").orderBy(rank, "doc_id").limit(max_labelled)
-    other = pool.join(y, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(None).cast("double").alias("y"))
-    return known.unionByName(other)
-
-
 def _view_columns(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
@@ -215,76 +249,150 @@ def _view_columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> CoTrained | None:
-    """Co-train on bounded samples of ``docs`` with ``labels`` (doc_id, quality)."""
-    view = _view_columns(docs)
-    chosen = stored(_sample(view, labels, max_labelled, max_unlabelled))
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), *[(c, pa.list_(t)) for c, t in (("tc", pa.int32()), ("tv", pa.float32()), ("mc", pa.int32()), ("mv", pa.float32()))]])
+_SPARSE = [(c, pa.list_(t)) for c, t in (("tc", pa.int32()), ("tv", pa.float32()), ("mc", pa.int32()), ("mv", pa.float32()))]
+
+
+def _features(rows: DataFrame):
+    """Rows (doc_id, th, y, toxic) of a bounded table with their features, on the driver, in the order of doc_id and th."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("y", pa.float64()), ("toxic", pa.float64()), ("words", pa.list_(pa.int64())), *_SPARSE])
 
-    def features(batches):
+    def run(batches):
         for b in _text.pieces(batches):
-            t = text_features(*_text.column_bytes(b.column("text")))
-            m = meta_features(b)
             lists = {}
-            for name, (rows, cols, values) in (("t", t), ("m", m)):
+            buf, offs = _text.column_bytes(b.column("text"))
+            h, first = bare_words(buf, offs)
+            own = [np.unique(h[s:e]).view(np.int64) for s, e in zip(first[:-1], first[1:], strict=True)]
+            for name, (rows, cols, values) in (("t", text_features(buf, offs)), ("m", meta_features(b))):
                 order = np.argsort(rows, kind="stable")
                 at = pa.array(np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32))
-                lists[name + "c"] = pa.ListArray.from_arrays(at, pa.array(cols[order].astype(np.int32)))
+                lists[name + "c"] = pa.ListArray.from_arrays(at, pa.array(cols[order]))
                 lists[name + "v"] = pa.ListArray.from_arrays(at, pa.array(values[order].astype(np.float32)))
-            yield _text.batch_of(schema, doc_id=b.column("doc_id"), y=b.column("y"), **lists)
+            yield _text.batch_of(schema, **{c: b.column(c) for c in ("doc_id", "th", "y", "toxic")}, words=own, **lists)
 
-    # at most max_labelled + max_unlabelled ids: the bound of this broadcast
-    rows = view.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y double, tc array<int>, tv array<float>, mc array<int>, mv array<float>")
-    table = rows.toArrow().sort_by([("doc_id", "ascending")])
-    known = np.isfinite(y := table.column("y").fill_null(np.nan).to_numpy())
+    ddl = "doc_id long, th long, y double, toxic double, words array<long>, tc array<int>, tv array<float>, mc array<int>, mv array<float>"
+    table = rows.mapInArrow(run, ddl).dropDuplicates(["doc_id", "th"]).toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
 
     def matrix(c, v):
         lists = table.column(c).combine_chunks()
         at = lists.offsets.to_numpy()
-        return np.repeat(np.arange(len(lists)), np.diff(at)), lists.flatten().to_numpy().astype(np.int64), table.column(v).combine_chunks().flatten().to_numpy().astype(np.float64), len(lists)
+        return np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(at)), lists.flatten().to_numpy(), table.column(v).combine_chunks().flatten().to_numpy(), len(lists)
+
+    if not table.num_rows:
+        none = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), 0
+        return table, none, none
+    return table, matrix("tc", "tv"), matrix("mc", "mv")
 
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, handed: int = HANDED, sure: float = 0.95) -> CoTrained | None:
+    """Co-train on a bounded sample of the labelled rows of ``docs`` (``labels``: doc_id, quality, toxic) and on all its other rows.
+
+    Labelled rows are sampled by a hash of doc_id and text, so the same rows
+    at every run; of several labels of one doc_id the larger one holds.  Rows
+    alike in doc_id and text count once.
+    """
+    spark = docs.sparkSession
+    view = _view_columns(docs).withColumn("th", F.xxhash64("text"))
+    names = [c for c in ("quality", "toxic") if c in labels.columns]
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(c).cast("double").alias(c) for c in names))
+    known = known.select("doc_id", F.col("quality").alias("y"), (F.col("toxic") if "toxic" in names else F.lit(None)).cast("double").alias("toxic"))
+    keys = view.where("doc_id is not null and text is not null").select("doc_id", "th")
+    labelled = keys.join(known.where("y is not null"), "doc_id").dropDuplicates(["doc_id", "th"])
+    rank = F.xxhash64("doc_id", "th", F.lit(11))
+    chosen = stored(labelled.orderBy(rank, "doc_id", "th").limit(max_labelled))
+    # at most max_labelled rows: the bound of this broadcast
+    table, xt, xm = _features(view.join(F.broadcast(chosen), ["doc_id", "th"]))
     if not table.num_rows:
         return None
-    xt, xm = matrix("tc", "tv"), matrix("mc", "mv")
-    return cotrain(_rows(xt, known), _rows(xm, known), y[known], _rows(xt, ~known), _rows(xm, ~known))
+    y = table.column("y").to_numpy()
+    used: list[DataFrame] = []
+
+    def confident(views, good):
+        """Of all unlabelled rows those that a view is most sure of, as many of each class as its share."""
+        shared = spark.sparkContext.broadcast(views)
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pt", pa.float64()), ("pm", pa.float64())])
+
+        def judge(batches):
+            (text, a, b0), (meta, c, d) = shared.value
+            for b in _text.pieces(batches):
+                zt = a * text.logit((*text_features(*_text.column_bytes(b.column("text"))), b.num_rows)) + b0
+                zm = c * meta.logit((*meta_features(b), b.num_rows)) + d
+                yield _text.batch_of(schema, doc_id=b.column("doc_id"), th=b.column("th"), pt=zt, pm=zm)
+
+        judged = view.where("doc_id is not null and text is not null").mapInArrow(judge, "doc_id long, th long, pt double, pm double")
+        judged = stored(judged.join(known.select("doc_id"), "doc_id", "left_anti"))
+        fresh = judged
+        for before in used:
+            fresh = fresh.join(F.broadcast(before), ["doc_id", "th"], "left_anti")  # at most 4 * handed rows each
+        bound, picks = float(np.log(sure / (1 - sure))), []
+        for column, to in (("pt", "m"), ("pm", "t")):
+            for label, order in ((1.0, F.desc(column)), (0.0, F.asc(column))):
+                n = max(1, int(handed * (good if label else 1 - good)))
+                some = fresh.where((F.col(column) >= bound) if label else (F.col(column) <= -bound))
+                some = some.orderBy(order, rank, "doc_id", "th").limit(n)
+                picks.append(some.select("doc_id", "th", F.lit(label).alias("y"), F.lit(to).alias("to")))
+        pick = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
+        # a row given to a view with both labels is given with none
+        pick = pick.groupBy("doc_id", "th").agg(F.max(F.when(F.col("to") == "t", F.col("y"))).alias("y"), F.max(F.when(F.col("to") == "m", F.col("y"))).alias("toxic"))
+        pick = stored(pick)
+        forget(judged)
+        used.append(pick.select("doc_id", "th"))
+        shared.destroy()
+        more, ut, um = _features(view.join(F.broadcast(pick), ["doc_id", "th"]))
+        out = []
+        for x, name in ((ut, "y"), (um, "toxic")):  # the label for the text view, the label for the metadata view
+            label = more.column(name).fill_null(np.nan).to_numpy() if more.num_rows else np.zeros(0)
+            keep = np.isfinite(label)
+            out.append((_rows(x, keep), label[keep]))
+        return out
+
+    model = cotrain(xt, xm, y, confident, rounds)
+    if model is not None:
+        words = table.column("words").combine_chunks()
+        at = words.offsets.to_numpy()
+        flat = words.flatten().to_numpy().view(np.uint64)
+        model.toxic = Lexicon([flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], table.column("toxic").fill_null(0.0).to_numpy())
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, keep_columns: bool = False) -> DataFrame:
     """Score every document.
 
     Columns: doc_id, text_score, meta_score, score (probability of good
-    quality), kept.  Null and empty texts have no text evidence: their text
-    score is the base rate and they are kept.  Without a model (no labels, or
-    labels of one class) every score is 0.5 and everything is kept.  Repeated
-    rows get a row each.  ``keep_columns`` returns the kept rows of ``docs``
-    with their own columns instead.
+    quality), toxicity (above 1: toxic), toxic, kept.  Null and empty texts
+    have no text evidence: their text score is the base rate and they are
+    kept.  Without a model (no labels, or labels of one class) every score is
+    0.5 and everything is kept.  Repeated rows get a row each.  An empty table
+    gives an empty table; extra columns are ignored.  ``keep_columns`` returns
+    the kept rows of ``docs`` with their own columns instead.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.float64()) for c in ("text_score", "meta_score", "score", "toxicity")), ("toxic", pa.bool_()), ("kept", pa.bool_())])
 
     def judge(b):
         m = shared.value
         if m is None:
             half = np.full(b.num_rows, 0.5)
-            return half, half, half, np.ones(b.num_rows, bool)
+            return half, half, half, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
         buf, offs = _text.column_bytes(b.column("text"))
-        zt = m.cal_text[0] * m.text.logit((*text_features(buf, offs), b.num_rows)) + m.cal_text[1]
+        x = (*text_features(buf, offs), b.num_rows)
+        zt = m.cal_text[0] * m.text.logit(x) + m.cal_text[1]
         zm = m.cal_meta[0] * m.meta.logit((*meta_features(b), b.num_rows)) + m.cal_meta[1]
+        toxicity = m.toxic.score(*bare_words(buf, offs)) / m.toxic.threshold if m.toxic else np.zeros(b.num_rows)
         blank = np.bincount(np.repeat(np.arange(b.num_rows), np.diff(offs))[~_text.SPACE[buf]], minlength=b.num_rows) == 0
         zt[blank] = m.prior
         p = m.combined(zt, zm)
-        return 1 / (1 + np.exp(-zt)), 1 / (1 + np.exp(-zm)), p, (p >= m.threshold) | blank
+        return 1 / (1 + np.exp(-zt)), 1 / (1 + np.exp(-zm)), p, toxicity, ((p >= m.threshold) & (toxicity <= 1)) | blank
 
     def scores(batches):
         for b in _text.pieces(batches):
-            t, m, p, kept = judge(b)
-            yield _text.batch_of(schema, doc_id=b.column("doc_id"), text_score=t, meta_score=m, score=p, kept=kept)
+            t, m, p, toxicity, kept = judge(b)
+            yield _text.batch_of(schema, doc_id=b.column("doc_id"), text_score=t, meta_score=m, score=p, toxicity=toxicity, toxic=toxicity > 1, kept=kept)
 
     def good(batches):
         for b in _text.pieces(batches):
-            yield b.filter(pa.array(judge(b)[3]))
+            yield b.filter(pa.array(judge(b)[4]))
 
     if keep_columns:
         return docs.mapInArrow(good, docs.schema)
-    return _view_columns(docs).mapInArrow(scores, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return _view_columns(docs).mapInArrow(scores, "doc_id long, text_score double, meta_score double, score double, toxicity double, toxic boolean, kept boolean")

@@ -28,17 +28,51 @@ def test_held_out_accuracy(labelled):
     assert sum(not r.kept for r in unseen if truth[r.doc_id]) <= 2
 
 
-def test_pseudo_labels_reach_the_other_view(docs_of):
-    import numpy as np
-
-    n = 200
-    y = (np.arange(n) % 5 > 0).astype(float)
-    text = (np.arange(n), np.where(y > 0, 1, 2).astype(np.int64), np.ones(n), n)
-    meta = (np.arange(n), np.full(n, 3), np.ones(n), n)
-    pool_t = (np.arange(n), np.where(np.arange(n) % 2, 1, 2).astype(np.int64), np.ones(n), n)
-    pool_m = (np.arange(n), np.where(np.arange(n) % 2, 5, 6).astype(np.int64), np.ones(n), n)  # columns that no label covers
-    model = quality.cotrain(text, meta, y, pool_t, pool_m)
-    assert model.meta.w[5] > 0 > model.meta.w[6]
+def view(spark, rows):
+    return spark.createDataFrame([(i, t, "en", src, len(t or ""), 1) for i, t, src in rows], "doc_id long, text string, lang string, source string, n_chars long, th long")
+
+
+def test_pseudo_labels_reach_the_other_view(spark):
+    """Sources that no label covers get weights from rows that the text view is sure of, wherever they are in the table."""
+    r = random.Random(9)
+    rows = []
+    for i in range(1500):
+        bad = r.random() < 0.3
+        text = " ".join(w.upper() + "!!" for w in prose(i, 40).split()) if bad else prose(i, 40)
+        rows.append((i, text, ("dirty" if bad else "clean") if i >= 500 else "known"))
+    labels = spark.createDataFrame([(i, int(t.islower()), 0) for i, t, _ in rows[:500]], "doc_id long, quality int, toxic int")
+    docs = view(spark, rows)
+    models = [quality.fit(docs, labels, rounds=k) for k in (0, 3)]
+    blank = view(spark, [(1, prose(7, 5), "clean"), (2, prose(7, 5), "dirty")])
+    scores = [{x.doc_id: x.meta_score for x in quality.score(blank, m).collect()} for m in models]
+    assert abs(scores[0][1] - scores[0][2]) < 0.05 and scores[1][1] > scores[1][2] + 0.1
+
+
+def test_toxic_words_are_learnt(spark):
+    r = random.Random(3)
+    bad = ["grubby", "vile", "rotten", "foul"]
+    rows, toxic = [], {}
+    for i in range(1200):
+        words = prose(i % 400, 60).split()
+        toxic[i] = r.random() < 0.15
+        if toxic[i]:
+            words[r.randrange(60) : 0] = r.sample(bad, 2)
+        rows.append((i, " ".join(words), "s"))
+    labels = spark.createDataFrame([(i, int(i % 9 > 0), int(toxic[i])) for i in range(700)], "doc_id long, quality int, toxic int")
+    docs = view(spark, rows)
+    got = {x.doc_id: x for x in quality.score(docs, quality.fit(docs, labels)).collect()}
+    unseen = range(700, 1200)
+    assert sum(got[i].toxic for i in unseen if toxic[i]) >= 0.95 * sum(toxic[i] for i in unseen)
+    assert sum(got[i].toxic for i in unseen if not toxic[i]) <= 5 and not any(got[i].kept for i in unseen if got[i].toxic)
+
+
+def test_samples_are_bounded_by_rows(spark, labelled):
+    """Texts of one id and copies: at most ``max_labelled`` rows are taken, and a copied row counts once."""
+    docs, labels, truth = labelled
+    copies = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id = 1").withColumn("text", docs["source"]))
+    model = quality.fit(copies, labels, max_labelled=120, handed=20)
+    out = quality.score(docs, model).collect()
+    assert sum(r.kept == truth[r.doc_id] for r in out) / len(out) > 0.95
 
 
 def test_without_labels_everything_stays(spark, odd, none):
