@@ -60,6 +60,14 @@ def maybe_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one where a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Keys that spread_join() broadcasts at most.
 HOT_KEYS = 10_000
 

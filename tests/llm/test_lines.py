@@ -80,3 +80,23 @@ def test_odd_rows(odd, none):
     assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
     assert rows[1].text is None and rows[2].text == "" and rows[4].n_removed == 0 and rows[5].text == "" and rows[7].n_removed == 0
     assert lines.dedup_lines(none).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    a = prose(1, 60)
+    names = ["doc_id", "text", "d", "th", "pos", "len", "n_removed", "own_d", "begin", "__th", "r"]
+    docs = spark.createDataFrame([(i, t, *"abcdefghi") for i, t in ((1, a), (2, f"{a}\nx"), (None, f"y\n{a}"))], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:]))
+    out = lines.dedup_lines(docs, details=True, whole_runs=True)
+    assert out.columns == [*names, "n_lines", "_n_removed", "n_spans"]
+    assert {r.doc_id: (r.text, r.th, r.n_removed, r._n_removed) for r in out.collect()} == {1: (a, "b", "e", 0), 2: ("x", "b", "e", 1), None: ("y", "b", "e", 1)}
+
+
+def test_ranks_are_places_in_the_suffix_array(docs_of):
+    """Ranks of repeated line runs are the starts of their intervals in the sorted list of all repeated ones."""
+    r = random.Random(7)
+    texts = ["\n".join(prose(r.randrange(5), 3) for _ in range(12)) for _ in range(9)]
+    frame = docs_of(list(enumerate(texts))).selectExpr("doc_id as d", "0L as th", "posexplode(split(text, '\\n')) as (pos, h)")
+    got = {(x.d, x.pos): x.r for x in lines.ranked(frame, ["h"], 1000).collect()}
+    every = sorted(h for t in texts for h in t.split("\n"))
+    want = {(d, p): every.index(h) for d, t in enumerate(texts) for p, h in enumerate(t.split("\n")) if every.count(h) > 1}
+    assert got == want
