@@ -6,6 +6,11 @@ scores are exact heuristics for an A-star search backwards from the end, which
 therefore expands only arcs of the N best paths.  No piece spans the start of a
 new word, so the lattice falls apart into segments: each distinct segment is
 searched once per worker and a text's N best follow from its segments' lists.
+
+Scores are those of the model file, but a piece that the file keeps and never
+merges (score -1e9) costs as much as an unknown character.  Only model files
+whose normalisation leaves texts as they are, but for the space before the
+first word, are taken.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 
 SPACE = "▁"
-#: Distinct segments kept by a worker before its cache starts anew.
-CACHE = 500_000
+#: Estimated bytes of distinct segments kept by a worker before its cache starts anew, and those of an entry without its characters.
+CACHE_BYTES = 400 << 20
+ENTRY_BYTES = 600
 #: Characters without a piece cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -35,6 +41,9 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        probe = "Ａ ﬁ　x\n\tz  é́"
+        if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError(f"{model_file} changes texts before it segments them")
         n = sp.get_piece_size()
         self.arc, self.byte, self.raw = {}, {}, [b""] * n
         for i in range(n):
@@ -83,8 +92,8 @@ class Vocabulary:
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte.get(b, self.unk) for b in char.encode("utf-8", "replace"))
 
-    def nbest(self, segment: str, n: int) -> tuple[tuple[int, ...], list[float]]:
-        """Ids of the best path of a segment, and the scores of its n best paths, best first.
+    def nbest(self, segment: str, n: int) -> tuple[list[tuple[int, ...]], list[float]]:
+        """Ids and scores of the n best paths of a segment, best first.
 
         On a tie the path with the longer last piece is the best.
         """
@@ -102,44 +111,48 @@ class Vocabulary:
                 children, hit = node
                 if hit is not None:
                     score = here + hit[1]
-                    into[j].append((i, score))
+                    into[j].append((i, score, hit[0]))
                     if score > best[j]:
                         best[j] = score
                         back[j] = (i, hit[0])
             j = i + 1
             if segment[i] not in self.single:
-                into[j].append((i, here + unknown))
+                into[j].append((i, here + unknown, -1))
                 if here + unknown > best[j]:
                     best[j] = here + unknown
                     back[j] = (i, -1)
-        ids: list[int] = []
-        at = size
-        while at:
-            at, i = back[at]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids += self.fallback(segment[at])[::-1]
         # backward A-star: an open path's value is its exact best total, so only
         # what it loses against the best path counts and the first n ends are the n best
-        top, found, heap, bound, spare = best[size], [], [(0.0, size)], [], n - 1
+        top, ids, found, heap, bound, spare = best[size], [], [], [(0.0, 0, size, None)], [], n - 1
+        count = 0
         while heap and len(found) < n:
-            loss, at = heappop(heap)
+            loss, _, at, path = heappop(heap)
             found.append(top - loss)
-            while at and spare:  # follow the best way to the start, leave every other arc open
-                follow, value = back[at][0], best[at] + loss
-                for start, score in into[at]:
-                    if start != follow:
-                        other = value - score
-                        if len(bound) < spare:
-                            insort(bound, other)
-                            heappush(heap, (other, start))
-                        elif other < bound[-1]:
+            while at:  # follow the best way to the start, leave every other arc open
+                follow, piece = back[at]
+                if spare:
+                    value = best[at] + loss
+                    for start, score, other_piece in into[at]:
+                        if start != follow:
+                            other = value - score
+                            if len(bound) >= spare:
+                                if other >= bound[-1]:
+                                    continue
+                                bound.pop()
                             insort(bound, other)
-                            bound.pop()
-                            heappush(heap, (other, start))
+                            count += 1
+                            heappush(heap, (other, count, start, (other_piece, start, path)))
+                path = (piece, follow, path)
                 at = follow
-        return tuple(ids[::-1]), found
+            own: list[int] = []
+            while path:
+                piece, start, path = path
+                if piece >= 0:
+                    own.append(piece)
+                else:
+                    own += self.fallback(segment[start])
+            ids.append(tuple(own))
+        return ids, found
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; the space before the first word is no part of it."""
@@ -147,16 +160,16 @@ class Vocabulary:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def document_nbest(lists: list[list[float]], n: int) -> list[float]:
-    """Scores of the n best sums that take one entry of every list; lists are sorted, best first."""
-    total = [0.0]
+def document_nbest(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best sums that take one entry of every list, and which entry of each; lists are sorted, best first."""
+    total: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for options in lists:
-        total = sorted((a + b for a in total for b in options), reverse=True)[:n]
+        total = sorted(((a + b, (*way, k)) for a, way in total for k, b in enumerate(options)), key=lambda x: -x[0])[:n]
     return total
 
 
 class Encoder:
-    """Segment cache of one worker: ids of each segment's best path and what its other paths lose."""
+    """Segment cache of one worker: ids of each segment's best path, what its other paths lose, and their ids."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
@@ -164,6 +177,8 @@ class Encoder:
 
     def _new(self):
         self.index: dict[str, int] = {}
+        self.bytes = 0
+        self.others: list[list[tuple[int, ...]]] = []
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.best, self.lost = np.zeros(0), np.zeros((0, max(0, self.n - 1)))
 
@@ -171,10 +186,11 @@ class Encoder:
         """Append newly searched segments to the arrays."""
         if not paths:
             return
-        ids = np.array([i for p, _ in paths for i in p], np.int32)
-        ends = np.cumsum([len(p) for p, _ in paths])
+        ids = np.array([i for p, _ in paths for i in p[0]], np.int32)
+        ends = np.cumsum([len(p[0]) for p, _ in paths])
         self.start = np.concatenate([self.start, self.start[-1] + ends])
         self.flat = np.concatenate([self.flat, ids])
+        self.others += [p[1:] for p, _ in paths]
         self.best = np.concatenate([self.best, [s[0] for _, s in paths]])
         lost = np.full((len(paths), self.n), -np.inf)
         for row, (_, s) in zip(lost, paths, strict=True):
@@ -182,8 +198,8 @@ class Encoder:
         self.lost = np.concatenate([self.lost, lost[:, 1:] - lost[:, :1]])
 
     def encode(self, texts: list[str]):
-        """(ids, first id of each text, scores of each text's n best)."""
-        if len(self.index) > CACHE:
+        """(ids of the best segmentation, first id of each text, of each text the scores of its n best, and the ids of those after the best)."""
+        if self.bytes > CACHE_BYTES:
             self._new()
         index, found, new = self.index, [], []
         for text in texts:
@@ -196,6 +212,7 @@ class Encoder:
                         i = index.get(seg)
                         if i is None:
                             i = index[seg] = len(index)
+                            self.bytes += ENTRY_BYTES + 40 * len(seg)
                             new.append(self.v.nbest(seg, self.n))
                         own[k] = i
             found.append(np.array(own, np.int64))
@@ -206,41 +223,59 @@ class Encoder:
         count = start[every + 1] - start[every]
         shift = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         ids = flat[np.arange(shift[-1]) + np.repeat(start[every] - shift[:-1], count)]
-        scores = []
+        scores, more = [], []
         for i in range(len(texts)):
-            own = every[at[i] : at[i + 1]]
+            low = at[i]
+            own = every[low : at[i + 1]]
             top = float(best[own].sum())
             if self.n > 1 and len(own):
                 first = lost[own, 0]
                 near = np.argpartition(-first, min(self.n - 2, len(own) - 1))[: self.n - 1]
-                rest = [[0.0, *(x for x in lost[own[k]].tolist() if x > -np.inf)] for k in near]
-                scores.append([top + d for d in document_nbest(rest, self.n)])
+                near.sort()
+                ways = document_nbest([[0.0, *(x for x in lost[own[k]].tolist() if x > -np.inf)] for k in near], self.n)
+                scores.append([top + d for d, _ in ways])
+                for _, way in ways[1:]:
+                    parts, begin = [], shift[low]
+                    for k, option in zip(near, way, strict=True):
+                        if option:
+                            parts += [ids[begin : shift[low + k]], np.array(self.others[own[k]][option - 1], np.int32)]
+                            begin = shift[low + k + 1]
+                    more.append(np.concatenate([*parts, ids[begin : shift[at[i + 1]]]]))
             else:
                 scores.append([top])
-        return ids, shift[at], scores
+        return ids, shift[at], scores, more
 
 
 def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
     """Encode whole texts.
 
     Columns: doc_id, ids (best segmentation), scores (of the n best
-    segmentations, best first; fewer where a text has fewer), round_trip
-    (decoding ids gives the text back; U+2581 counts as a space).  Null and
-    empty texts have no ids and the score 0.  Repeated rows get a row each.
-    ``model_file`` must exist on every executor.
+    segmentations, best first; fewer where a text has fewer), others (ids of
+    the segmentations after the best, in that order), round_trip (decoding ids
+    gives the text back; U+2581 counts as a space).  Null and empty texts have
+    no ids, no others and the score 0.  Repeated rows get a row each, a null
+    doc_id is kept, extra columns are ignored, an empty table gives an empty
+    table.  ``model_file`` must exist on every executor.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
+    lists = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", lists), ("scores", pa.list_(pa.float64())), ("others", pa.list_(lists)), ("round_trip", pa.bool_())])
 
     def run(batches):
         encoder = _worker_encoder(model_file, n)
         for b in _text.pieces(batches, keep_caches=True):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            ids, at, scores = encoder.encode(texts)
+            ids, at, scores, more = encoder.encode(texts)
             back = [encoder.v.decode(ids[at[i] : at[i + 1]].tolist()) == t.replace(SPACE, " ") for i, t in enumerate(texts)]
-            yield _text.batch_of(schema, doc_id=b.column("doc_id"), ids=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), scores=scores, round_trip=back)
+            inner = np.concatenate([[0], np.cumsum([len(x) for x in more])]).astype(np.int32)
+            outer = np.concatenate([[0], np.cumsum([len(x) - 1 for x in scores])]).astype(np.int32)
+            paths = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.int32), *more])))
+            yield _text.batch_of(
+                schema, doc_id=b.column("doc_id"), ids=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), scores=scores,
+                others=pa.ListArray.from_arrays(pa.array(outer), paths), round_trip=back,
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, scores array<double>, round_trip boolean"
+        run, "doc_id long, ids array<int>, scores array<double>, others array<array<int>>, round_trip boolean"
     )
 
 
