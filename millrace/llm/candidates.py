@@ -57,8 +57,8 @@ class Packer:
 
 
 def bucket_bits(partitions: int) -> int:
-    """Ranges of signatures: about 16 for each partition."""
-    return max(4, (partitions * 12).bit_length())
+    """Ranges of signatures: about 16 for each partition, 2**16 at most, as 48 more bits travel."""
+    return min(16, max(4, (partitions * 12).bit_length()))
 
 
 def groups(blocks: DataFrame, partitions: int) -> DataFrame:

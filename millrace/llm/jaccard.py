@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _text
 from millrace.llm._graph import components
-from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, stored
+from millrace.llm._store import free_name, input_bytes, key_filter, maybe_in, partitions_for, spread_join, stored
 from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, may_link, sketch
 from millrace.llm.paragraphs import verified
 
@@ -190,7 +190,7 @@ def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, details: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets of
@@ -198,24 +198,28 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5) ->
     component_id is the smallest doc_id reachable.  Texts without words, null
     or empty, link with nothing.  Equal sets are collapsed first, so groups of
     copies cost one set.  Repeated rows get a row each.  A null doc_id is no
-    smallest id: its component_id is that of its group, or null.
+    smallest id: its component_id is that of its group, or null.  Extra columns
+    are ignored; an empty table gives an empty table.  ``details`` adds
+    text_hash (xxhash64 of the text) and component (one number for each
+    component of texts with words, null for others).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
     parts = partitions_for(spark, input_bytes(docs), 6 << 20)
     bits = bucket_bits(parts)
-    table = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary())])
+    table = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary())])
 
     def describe(batches):
         for b in _text.pieces(batches):
             values, at, ident = _sets(b, shingle)
             n = np.diff(at)
             yield _text.batch_of(
-                table, doc_id=b.column("doc_id"), n=n, id=pa.array(ident.view(np.int64), mask=n == 0),
+                table, doc_id=b.column("doc_id"), th=b.column("th"), n=n, id=pa.array(ident.view(np.int64), mask=n == 0),
                 sketch=[sketch(values[at[i] : at[i + 1]], 1) if n[i] else None for i in range(len(n))],
             )
 
-    every = stored(docs.mapInArrow(describe, "doc_id long, n long, id long, sketch binary"))
+    every = stored(docs.mapInArrow(describe, "doc_id long, th long, n long, id long, sketch binary"))
     largest = every.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     model = spark.sparkContext.broadcast((Plan(int(largest), percent), _common_shingles(docs, shingle)))
 
@@ -278,7 +282,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5) ->
     # components of set identities become smallest document ids
     ids = facts.select("id", "doc_id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
     least = ids.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = ids.join(least, "c").select("id", "component_id")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "id").join(named, "id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = ids.join(least, "c").select("id", "component_id", "c")
+    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    more = [F.col("th").alias("text_hash"), F.col("c").alias("component")] if details else []
+    return every.select("doc_id", "th", F.col("n").alias("n_shingles"), "id").join(named, "id", "left").select("doc_id", "n_shingles", component, *more)
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked with an earlier document.
+
+    Of each component the document stays that is first by doc_id (null last)
+    and text hash.  Rows alike in doc_id and text are one document and stay or
+    go together; another text of the same doc_id is another document.  Texts
+    without words stay.
+    """
+    found = jaccard_components(docs, percent, shingle, details=True).where("component is not null").select("doc_id", "text_hash", "component")
+    found = stored(found)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
+    go = spread_join(found, first, ["component"], ["doc_id", "text_hash"], found.count()).where(order > F.col("f"))
+    own_d, own_th, other_d, other_th = (free_name(docs.columns, x) for x in ("own_d", "own_th", "other_d", "other_th"))
+    go = go.select(F.col("doc_id").alias(other_d), F.col("text_hash").alias(other_th)).distinct()
+    keyed = docs.withColumns({own_d: F.col("doc_id").cast("long"), own_th: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(go, F.col(own_d).eqNullSafe(F.col(other_d)) & (F.col(own_th) == F.col(other_th)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

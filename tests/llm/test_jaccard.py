@@ -100,3 +100,15 @@ def test_odd_rows(odd, none):
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
     assert out.count() == odd.count() and rows[1] == (0, 1) and rows[2] == (0, 2) and rows[5][1] == rows[4][1] == 4 and rows[None][1] is None
     assert jaccard.jaccard_components(none).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    """Null ids, repeated rows, another text of an id that goes, clashing columns."""
+    a, b, c = prose(1, 90), prose(2, 90), prose(3, 90)
+    rows = [(1, a), (2, a + " x"), (2, b), (2, b), (None, a), (None, c), (None, c + " y"), (3, None), (4, ""), (4, " "), (5, b)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id long, own_d long")
+    out = jaccard.one_of_each(docs)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    either = c if (None, c) in got else c + " y"
+    assert got == sorted([(1, a), (2, b), (2, b), (None, either), (3, None), (4, ""), (4, " ")], key=str)
+    assert out.columns == docs.columns and jaccard.one_of_each(docs.limit(0)).count() == 0
