@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import rstrip, strip
+from millrace.functions.text import bind, rstrip, strip
 
 
 def _col(c) -> Column:
@@ -14,15 +14,23 @@ def _col(c) -> Column:
 
 def canonical(deck, drop_edges: bool = True, collapse: bool = False) -> Column:
     """Lines without trailing white space; optionally inner spaces collapsed and blank lines at both ends dropped."""
-    out = F.transform(_col(deck), rstrip)
-    if collapse:
-        out = F.transform(out, lambda x: F.when(strip(x) == "", "").otherwise(F.regexp_replace(x, " {2,}", " ")))
-    if drop_edges:
+
+    def clean(line):
+        x = rstrip(line)
+        return bind(x, lambda v: F.when(strip(v) == "", "").otherwise(F.regexp_replace(v, " {2,}", " "))) if collapse else x
+
+    def inner(out):
         solid = F.transform(out, lambda x: strip(x) != "")
-        first = F.array_position(solid, True).cast("int")
-        last = F.size(out) - F.array_position(F.reverse(solid), True).cast("int") + 1
-        out = F.when(first > 0, F.slice(out, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))).otherwise(F.slice(out, 1, 0))
-    return out
+
+        def cut(flags):
+            first = F.array_position(flags, True).cast("int")
+            last = F.size(flags) - F.array_position(F.reverse(flags), True).cast("int") + 1
+            return F.when(first > 0, F.slice(out, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))).otherwise(F.slice(out, 1, 0))
+
+        return bind(solid, cut)
+
+    out = F.transform(_col(deck), clean)
+    return bind(out, inner) if drop_edges else out
 
 
 def split_tail(deck, n: int = 10) -> Column:

@@ -1,15 +1,14 @@
-"""The few scalar functions that need Python: sequence similarity, renaming with state, and trees."""
+"""The few scalar functions that need Python: sequence similarity and trees."""
 
 from __future__ import annotations
 
 import difflib
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
 
 @F.pandas_udf(DoubleType())
@@ -32,60 +31,47 @@ def edit_distance(a, b, mode: str = "compat") -> Column:
     return F.when(a == b, F.lit(0.0)).otherwise(1 - _ratio(F.when(a != b, a), F.when(a != b, b)))
 
 
-_NUMBERED = re.compile(r"(\d{1,4})\+?", re.ASCII)
-_VARIABLE = re.compile(r"\b([iyc])(\d+)\b")
+class _Node:
+    """What is known of a JSON object once its members are read: nesting, an index that is no plain value, and its keys."""
 
+    __slots__ = ("depth", "indexed", "keys", "members")
+    #: Members that nest: (those that must all be there, what they add); the first that fits holds.
+    NESTING = (({"lhs", "rhs"}, 1), ({"expr"}, 1), ({"index"}, 0))
 
-def alpha_rename(text: str | None) -> str | None:
-    """Statement numbers and variables renamed by first appearance; headers and everything else stay."""
-    if text is None:
-        return None
-    numbers: dict[str, str] = {}
-    names: dict[str, dict[str, str]] = {"i": {}, "y": {}, "c": {}}
-    out = []
-    for line in text.splitlines():
-        if not line.startswith("+"):
-            parts = line.split()
-            if parts and (m := _NUMBERED.fullmatch(parts[0])):
-                parts[0] = numbers.setdefault(m[1], f"{len(numbers) + 1:04d}") + "+"
-            line = _VARIABLE.sub(lambda m: names[m[1]].setdefault(m[0], f"{m[1]}{len(names[m[1]]) + 1}"), " ".join(parts))
-        out.append(line)
-    return "\n".join(out) + "\n"
+    def __init__(self, members: dict):
+        self.members, self.keys = members, members.keys()
+        nest = next(((names, more) for names, more in self.NESTING if names <= self.keys), (set(), 0))
+        self.depth = nest[1] + max((x.depth for x in map(members.get, nest[0]) if isinstance(x, _Node)), default=0)
+        index = members.get("index")
+        odd = {"cls", "index"} <= self.keys and not (isinstance(index, _Node) and index.keys == {"value"})
+        self.indexed = odd or any(x.indexed for x in _nodes(members.values()))
 
 
-@F.pandas_udf(StringType())
-def alpha_normalise(text: pd.Series) -> pd.Series:
-    return text.map(alpha_rename, na_action="ignore")
-
-
-def _depth(node) -> int:
-    if not isinstance(node, dict):
-        return 0
-    if {"lhs", "rhs"} <= node.keys():
-        return 1 + max(_depth(node["lhs"]), _depth(node["rhs"]))
-    if "expr" in node:
-        return 1 + _depth(node["expr"])
-    return _depth(node["index"]) if "index" in node else 0
-
-
-def _indexed(node) -> bool:
-    if isinstance(node, dict):
-        if {"cls", "index"} <= node.keys() and not (isinstance(node["index"], dict) and node["index"].keys() == {"value"}):
-            return True
-        return any(map(_indexed, node.values()))
-    return isinstance(node, list) and any(map(_indexed, node))
+def _nodes(values):
+    """The objects in lists of any nesting."""
+    todo = list(values)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Node):
+            yield x
+        elif isinstance(x, list):
+            todo += x
 
 
 def tree_facts(text: str | None):
-    """(depth or None, indexed, loop) of a program tree as JSON; an unreadable or missing tree has no depth."""
+    """(depth or None, indexed, loop) of a program tree as JSON; an unreadable or missing tree has no depth.
+
+    The parser makes a node of each object when its members are complete, so
+    the facts come up from the leaves.
+    """
     try:
-        tree = json.loads(text) if text else None
+        tree = json.loads(text, object_hook=_Node) if text else None
     except ValueError:
         tree = None
-    if not isinstance(tree, dict):
+    if not isinstance(tree, _Node):
         return None, False, False
-    statements = [s for s in tree.get("statements", []) if isinstance(s, dict)]
-    return max(map(_depth, statements), default=0), _indexed(tree), any({"end_stmt", "loop_var"} <= s.keys() for s in statements)
+    statements = [x for x in tree.members.get("statements", []) if isinstance(x, _Node)]
+    return max((x.depth for x in statements), default=0), tree.indexed, any({"end_stmt", "loop_var"} <= x.keys for x in statements)
 
 
 @F.pandas_udf(StructType().add("depth", IntegerType()).add("indexed", BooleanType()).add("loop", BooleanType()))

@@ -17,24 +17,31 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The same characters, as functions that trim take them.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c) -> Column:
     """Without white space at both ends, Unicode white space and separators included."""
-    return F.regexp_replace(_col(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(_col(c), F.lit(WHITE))
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(_col(c), f"{BLANK}+$", "")
+    return F.rtrim(_col(c), F.lit(WHITE))
 
 
 def lstrip(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{BLANK}+", "")
+    return F.ltrim(_col(c), F.lit(WHITE))
 
 
 def splitlines(c) -> Column:
     """Lines without their ends; a last empty one does not count, an empty text has none."""
-    parts = F.split(_col(c), LINE_END)
-    size = F.size(parts)
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, size - 1)).otherwise(parts)
+    return bind(F.split(_col(c), LINE_END), lambda parts: F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def words(c) -> Column:
@@ -103,6 +110,42 @@ def normalise_source(text) -> Column:
     return F.struct(F.when(error.isNull(), out).alias("text"), error.alias("error"))
 
 
+#: A mark that no source holds.
+_MARK = "\ue000"
+_NUMBER, _VARIABLE = r"^([0-9]{1,4})\+?(?= |$)", r"\b([iyc][0-9]+)\b"
+
+
+def alpha_normalise(text) -> Column:
+    """Source with statement numbers and variables renamed by their rank among the first appearances of their kind; headers stay.
+
+    A name's rank is its place in the distinct names of the text in order, so
+    the whole renaming is one expression.
+    """
+
+    def line(x):
+        return F.struct(x.startswith("+").alias("head"), F.when(x.startswith("+"), x).otherwise(F.array_join(words(x), " ")).alias("text"))
+
+    def rename(lines):
+        plain = F.transform(F.filter(lines, lambda x: ~x["head"]), lambda x: x["text"])
+        numbers = F.array_distinct(F.filter(F.transform(plain, lambda x: F.regexp_extract(x, _NUMBER, 1)), lambda n: n != ""))
+        bare = F.transform(plain, lambda x: F.regexp_replace(x, _NUMBER, ""))
+        names = F.array_distinct(F.regexp_extract_all(F.array_join(bare, "\n"), F.lit(_VARIABLE), F.lit(1)))
+        ranks = F.struct(numbers.alias("s"), *(of_kind(names, k).alias(k) for k in "iyc"))
+        return bind(ranks, lambda r: F.array_join(F.transform(lines, lambda x: F.when(x["head"], x["text"]).otherwise(renamed(x["text"], r))), "\n"))
+
+    def of_kind(names, kind):
+        return F.filter(names, lambda v: v.startswith(kind))
+
+    def renamed(x, r):
+        number = F.regexp_extract(x, _NUMBER, 1)
+        head = F.when(number != "", F.format_string("%04d+", F.array_position(r["s"], number))).otherwise("")
+        parts = F.split(F.regexp_replace(F.regexp_replace(x, _NUMBER, ""), _VARIABLE, f"{_MARK}$1{_MARK}"), _MARK)
+        place = lambda p: F.coalesce(*(F.nullif(F.array_position(r[k], p), F.lit(0)) for k in "iyc"))
+        return F.concat(head, F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.left(p, F.lit(1)), place(p).cast("string"))).otherwise(p)), ""))
+
+    return F.concat(bind(F.transform(splitlines(text), line), rename), F.lit("\n"))
+
+
 def shape_normalise(text) -> Column:
     """Source with statement numbers, variables, floats and integers masked."""
 

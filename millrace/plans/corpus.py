@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
 from millrace.functions import text as T
-from millrace.functions.python import alpha_normalise
 from millrace.operators import admit, split
 from millrace.operators.dedupe import keep_first
 from millrace.sources.programs import generate_programs
@@ -52,7 +51,7 @@ def with_hashes(df: DataFrame, source: str = "source", deck: str | None = None)
     """Adds surface, alpha and shape hash of the canonical source (the text as it is where it has no canonical form), and of the deck."""
     canonical = F.coalesce(T.normalise_source(F.col(source))["text"], F.col(source))
     out = df.withColumn("_canonical", canonical)
-    out = out.withColumns({"surface_hash": H.sha256("_canonical"), "alpha_hash": H.sha256(alpha_normalise("_canonical")), "shape_hash": H.sha256(T.shape_normalise("_canonical"))})
+    out = out.withColumns({"surface_hash": H.sha256("_canonical"), "alpha_hash": H.sha256(T.alpha_normalise("_canonical")), "shape_hash": H.sha256(T.shape_normalise("_canonical"))})
     return (out.withColumn("pit_hash", H.sha256(deck)) if deck else out).drop("_canonical")
 
 

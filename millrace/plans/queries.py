@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import deck as D
 from millrace.functions import hashing as H
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
-from millrace.functions.python import alpha_normalise, edit_distance
+from millrace.functions.python import edit_distance
 from millrace.operators import admit as A
 from millrace.operators import dedupe, monitor, report, retrieve, review, sample, sft, split
 from millrace.plans import corpus, evaluate
@@ -361,12 +361,28 @@ def q31_shape_hash(spark, d):
     return _t(spark, d, "events").select("event_id", F.sha2(T.shape_normalise(line), 256).alias("shape_hash"))
 
 
-@query("select event_id, '0001+ y1 z c1 s y1 f' || chr(10) || '0002+ t y1 c1 y2 ff' || chr(10) as alpha from events")
+_ALPHA_RANK = "len(list_distinct(list_filter(list_slice({all}, 1, list_position({all}, {x})), lambda v: left(v, 1) = left({x}, 1))))"
+
+
+# numbers and variables are told apart by their first character: a rank counts the distinct earlier names with the same first character
+@query(f"""
+  with e as (select event_id, '+ ' || user_id || ' i1' as head, cast(event_id % 9000 + 1 as varchar) as n1, cast((event_id + user_id) % 9000 + 1 as varchar) as n2,
+      'y' || (user_id % 5) as a, 'c' || (event_id % 4) as b, substr('iyc', cast(event_id % 3 as int) + 1, 1) || (user_id % 3) as c, 'i' || (event_id % 5) as k from events),
+    f as (select event_id, head, n1, n2, a, b, c, k, [n1] || (case when n2 = n1 then [] else [n2] end) as numbers, [a, b, c, a, k, b, c] as names from e),
+    g as (select event_id, head, k, numbers,
+      list_transform([a, b, c, k], lambda x: left(x, 1) || {_ALPHA_RANK.format(all="names", x="x")}) as t,
+      list_transform([n1, n2], lambda x: lpad(cast(list_position(numbers, x) as varchar), 4, '0') || '+') as m from f)
+  select event_id, head || chr(10) || m[1] || ' ' || t[1] || ' z ' || t[2] || ' s ' || t[3] || ' f' || chr(10) || m[2] || ' g 9 ' || t[1] || ' ' || k || 'k ' || t[4] || chr(10)
+    || m[1] || ' c' || k || ' ' || t[2] || ' ' || t[3] || ' ff' || chr(10) as alpha from g""")
 def q32_alpha_rename(spark, d):
-    e = _t(spark, d, "events")
-    a, b, c = (F.col("event_id") % 9000 + 1, F.col("user_id") + 1, F.col("event_id") % 77)
-    text = F.format_string("%d+ y%d z  c%d s y%d f\n%d+ t y%d c%d y%d ff", a, b, c, b, a + 1, b, c, b + 1)
-    return e.select("event_id", alpha_normalise(text).alias("alpha"))
+    number, name = lambda c: (c % 9000 + 1).cast("string"), lambda k, c: F.concat(k if isinstance(k, Column) else F.lit(k), c.cast("string"))
+    i, u = F.col("event_id"), F.col("user_id")
+    a, b, c, k = name("y", u % 5), name("c", i % 4), name(F.substring(F.lit("iyc"), (i % 3).cast("int") + 1, F.lit(1)), u % 3), name("i", i % 5)
+    text = F.concat(
+        F.lit("+ "), u.cast("string"), F.lit(" i1\n  "), number(i), F.lit("+ "), a, F.lit(" z  "), b, F.lit(" s "), c, F.lit(" f\n"),
+        number(i + u), F.lit(" g 9 "), a, F.lit("\t"), k, F.lit("k "), k, F.lit("\r\n"), number(i), F.lit("+ c"), k, F.lit(" "), b, F.lit(" "), c, F.lit(" ff"),
+    )
+    return _t(spark, d, "events").select("event_id", T.alpha_normalise(text).alias("alpha"))
 
 
 @query()

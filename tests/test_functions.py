@@ -9,7 +9,7 @@ from millrace.functions import deck as D
 from millrace.functions import hashing as H
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
-from millrace.functions.python import alpha_rename, edit_distance, tree_facts
+from millrace.functions.python import edit_distance, tree_facts
 
 
 def apply(spark, values, f, kind="string"):
@@ -40,8 +40,9 @@ def test_source_normalisation(spark):
 
 
 def test_alpha_and_shape(spark):
-    assert alpha_rename("0007+ y7 z c9 s y7 f\n0020+ t y7 ff\n") == "0001+ y1 z c1 s y1 f\n0002+ t y1 ff\n"
-    assert alpha_rename("+ 1 2\n5 g 9 ci1 i1k i3 f") == "+ 1 2\n0001+ g 9 ci1 i1k i1 f\n" and alpha_rename(None) is None
+    texts = ["0007+ y7 z c9 s y7 f\n0020+ t y7 ff\n", "+ 1 2\n5 g 9 ci1 i1k i3 f", None, " +7 y2\n12345 y2 y4\n\n7", "y3 y1\n+ y3\ni9 y1 c2 i9"]
+    want = ["0001+ y1 z c1 s y1 f\n0002+ t y1 ff\n", "+ 1 2\n0001+ g 9 ci1 i1k i1 f\n", None, "+7 y1\n12345 y1 y2\n\n0001+\n", "y1 y2\n+ y3\ni1 y2 c1 i1\n"]
+    assert apply(spark, texts, T.alpha_normalise) == want
     assert apply(spark, ["+ 1\n0007+ y7 z 12 9j f"], T.shape_normalise) == ["+ header\nstmt+ var z int float f\n"]
 
 
