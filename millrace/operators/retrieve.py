@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +18,60 @@ def exact_matches(queries: DataFrame, examples: DataFrame, text: str = "text", q
     return q.join(e, "_h").where("_q = _e").select(query_id, example_id)
 
 
-def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 8, mode: str = "compat") -> DataFrame:
-    """(query_id, example_id, score): the example with the highest similarity, the larger id on a tie.
+#: Queries that go over all examples at once.
+QUERIES = 256
+
+
+def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, example_id: str, grams: int, mode: str) -> DataFrame:
+    """(query_id, least): the best similarity to an example that shares one of the ``grams`` smallest word hashes; a bound from below."""
+    block = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+")), lambda w: F.xxhash64(w))), 1, grams)
+    q = queries.select(query_id, F.col(text).alias("_q"), F.explode(block).alias("_b"))
+    e = examples.select(F.col(text).alias("_e"), F.explode(block).alias("_b"))
+    pairs = q.join(e, "_b").drop("_b").distinct()
+    return pairs.groupBy(query_id).agg(F.max(1 - edit_distance("_q", "_e", mode)).alias("least"))
+
 
-    Exact texts are settled by a join.  The others are compared only with
-    examples that share a block: the hash of one of ``grams`` smallest word
-    hashes.  A query that shares none with any example gets none.
+def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 0, mode: str = "compat") -> DataFrame:
+    """(query_id, example_id, score): the example with the highest similarity of all, the larger id on a tie.
+
+    Exact texts are settled by a join.  The other queries, a stated set, go in
+    blocks of ``QUERIES`` over all examples; a task keeps the best example of
+    each.  Pairs whose lengths alone rule them out are not compared: with
+    ``grams``, candidates that share rare words give each query a bound from
+    below first.  Null texts match nothing; a query has no row only if there
+    is no example.
     """
     same = exact_matches(queries, examples, text, query_id, example_id).withColumn("score", F.lit(1.0))
-    rest = queries.join(same.select(query_id), query_id, "left_anti")
-    block = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+")), lambda w: F.xxhash64(w))), 1, grams)
-    q = rest.select(query_id, F.col(text).alias("_q"), F.explode(block).alias("_b"))
-    e = examples.select(example_id, F.col(text).alias("_e"), F.explode(block).alias("_b"))
-    pairs = q.join(e, "_b").drop("_b").dropDuplicates([query_id, example_id])
-    scored = pairs.withColumn("score", 1 - edit_distance("_q", "_e", mode))
-    top = scored.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"))
-    return same.unionByName(top.select(query_id, f"t.{example_id}", "t.score"))
+    rest = queries.where(F.col(text).isNotNull()).join(same.select(query_id), query_id, "left_anti").select(query_id, text)
+    examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e"))
+    if grams:
+        rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, example_id, grams, mode), query_id, "left")
+    else:
+        rest = rest.withColumn("least", F.lit(0.0))
+    kind = queries.schema[query_id].dataType.simpleString()
+    of = f"array<struct<id:{kind},q:string,least:double>>"
+    found, block = [same], []
+
+    def over_all(block):
+        shorter, longer = F.least(F.length("_e"), F.length("_q")), F.greatest(F.length("_e"), F.length("_q"))
+        most = 2 * shorter / (F.length("_e") + F.length("_q")) if mode == "compat" else shorter / longer
+        pairs = examples.withColumn("x", F.explode(F.from_json(F.lit(json.dumps(block)), of))).select(example_id, "_e", F.col("x.id").alias(query_id), F.col("x.q").alias("_q"), "x.least")
+        pairs = pairs.where((F.length("_e") + F.length("_q") == 0) | (most >= F.col("least") - 1e-9))
+        scored = pairs.withColumn("score", 1 - edit_distance("_q", "_e", mode))
+        top = scored.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"))
+        return top.select(query_id, f"t.{example_id}", "t.score")
+
+    for row in rest.toLocalIterator():
+        block.append({"id": row[query_id], "q": row[text], "least": row["least"] or 0.0})
+        if len(block) == QUERIES:
+            found.append(over_all(block))
+            block = []
+    if block:
+        found.append(over_all(block))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(query_id, example_id, F.col("score").cast("double").alias("score"))
 
 
 def few_shot(examples: DataFrame, k: int, order: list) -> DataFrame:

@@ -385,12 +385,20 @@ def q32_alpha_rename(spark, d):
     return _t(spark, d, "events").select("event_id", T.alpha_normalise(text).alias("alpha"))
 
 
-@query()
+# other characters than ASCII are masked, as DuckDB counts edits of bytes
+@query(r"""with q as (select item_id as query_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as q from benchmark),
+    l as (select doc_id, unnest(string_split(regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10))) as e, text from documents),
+    x as (select regexp_replace(e, '[^\x00-\x7F]', '?', 'g') as e, min(doc_id) as example_id from l where e <> '' group by 1),
+    same as (select query_id, min(example_id) as example_id, 1.0::double as score from q join x on q.q = x.e group by 1),
+    s as (select query_id, example_id, 1 - levenshtein(q, e)::double / greatest(length(q), length(e), 1) as score from q, x where query_id not in (select query_id from same)),
+    t as (select query_id, arg_max({'example_id': example_id, 'score': score}, {'score': score, 'example_id': example_id}) as t from s group by 1)
+  select * from same union all select query_id, t.example_id, t.score from t""")
 def q33_nearest(spark, d):
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("element_at(split(text, '\\n'), 1)").alias("text"))
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(T.splitlines("text")).alias("text"))
-    examples = lines.groupBy("text").agg(F.min("doc_id").alias("example_id"))
-    return retrieve.nearest(items, examples, mode="levenshtein")
+    ascii_only = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ascii_only("text").alias("text"))
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(T.splitlines("text")).alias("text")).where("text <> ''")
+    examples = lines.withColumn("text", ascii_only("text")).groupBy("text").agg(F.min("doc_id").alias("example_id"))
+    return retrieve.nearest(items, examples, mode="levenshtein", grams=8)
 
 
 @query("""select doc_id, lang from documents where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1)

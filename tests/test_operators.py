@@ -177,11 +177,44 @@ def test_retrieval(spark):
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta eta"), (3, "nothing shared")], "query_id int, text string")
     e = spark.createDataFrame([(10, "alpha beta gamma"), (9, "alpha beta gamma"), (11, "delta epsilon zeta theta"), (12, "delta x")], "example_id int, text string")
     got = {r.query_id: (r.example_id, r.score) for r in retrieve.nearest(q, e).collect()}
-    assert got[1] == (9, 1.0) and got[2][0] == 11 and 3 not in got
+    assert got[1] == (9, 1.0) and got[2][0] == 11 and got[3][0] == 11
     shots = retrieve.few_shot(e, 2, ["example_id"]).first().shots
     assert [s.example_id for s in shots] == [9, 10]
 
 
+@pytest.mark.parametrize("mode, grams", [("compat", 0), ("compat", 8), ("levenshtein", 0), ("levenshtein", 4)])
+def test_nearest_of_all_examples(spark, monkeypatch, mode, grams):
+    """Against a comparison of every pair, in several blocks of queries; ties go to the larger id, null texts match nothing."""
+    import difflib
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, left[j] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    def score(a, b):
+        return difflib.SequenceMatcher(a=a, b=b).ratio() if mode == "compat" else 1 - levenshtein(a, b) / max(len(a), len(b), 1)
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 6)))
+    examples = [(i, " ".join(word() for _ in range(r.randint(1, 8)))) for i in range(60)]
+    examples += [(100 + i, t) for i, t in examples[:10]]
+    queries = [(i, r.choice([" ".join(word() for _ in range(4)), examples[i][1], examples[i][1] + " x"])) for i in range(20)] + [(99, None), (98, ""), (97, "zzz")]
+    monkeypatch.setattr(retrieve, "QUERIES", 8)
+    q = spark.createDataFrame(queries, "query_id int, text string")
+    e = spark.createDataFrame([*examples, (500, None)], "example_id int, text string")
+    got = {x.query_id: (x.example_id, round(x.score, 9)) for x in retrieve.nearest(q, e, grams=grams, mode=mode).collect()}
+    want = {}
+    for i, t in queries[:-3] + queries[-2:]:
+        same = [j for j, x in examples if x == t]
+        best = max((score(t, x), j) for j, x in examples)
+        want[i] = (min(same), 1.0) if same else (best[1], round(best[0], 9))
+    assert got == want
+
+
 def test_monitor(spark):
     jobs = spark.createDataFrame([("k1", "", "p1"), ("k2", "x", None)], "key string, name string, pod string")
     meta = spark.createDataFrame([("k1", "old", 1), ("k1", "new", 2), ("k2", "y", 1)], "key string, name string, pos int")
