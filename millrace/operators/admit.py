@@ -6,51 +6,61 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import numbered
 
-def admit(df: DataFrame, quotas: dict[str, int], key: str = "alpha_hash", band: str = "band", order: list[str] = ("seed", "band"), exact: bool | None = None) -> DataFrame:
-    """Adds status (accepted or rejected), reason and ordinal (place among the accepted).
+#: Places that one task of a trailing frame looks at.
+RUN = 100_000
+
+
+def _decide(firsts: DataFrame, quotas: dict[str, int], band: str) -> DataFrame:
+    """(band, key, place, ordinal, full) of accepted keys: one ordered pass over as many rows as the quotas bound."""
+    schema = firsts.select(band, "_key", "_place").withColumn("ordinal", F.lit(0).cast("long")).withColumn("full", F.lit(False)).schema
+
+    def one_pass(part: pd.DataFrame) -> pd.DataFrame:
+        seen, taken, out = set(), dict.fromkeys(quotas, 0), []
+        for i in part.sort_values("_rank", kind="stable").index:
+            b, k = part.at[i, band], part.at[i, "_key"]
+            if taken.get(b, 0) < quotas.get(b, 0) and k not in seen:
+                seen.add(k)
+                taken[b] += 1
+                out.append((b, k, part.at[i, "_place"], len(out) + 1, taken[b] == quotas[b]))
+        return pd.DataFrame(out, columns=schema.names)
+
+    ranked = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_place")))
+    return ranked.groupBy().applyInPandas(one_pass, schema)
+
+
+def admit(df: DataFrame, quotas: dict[str, int], key: str = "alpha_hash", band: str = "band", order: list[str] = ("seed", "band")) -> DataFrame:
+    """Adds reason, status (accepted or rejected) and ordinal (place among the accepted), in place of columns so named.
 
     In order: a band at its quota rejects (quota_reached); a key that an
     accepted row of any band has rejects (duplicate); else the row is
-    accepted.  While no key lies in two bands, first-wins and then a quota
-    within each band gives the same and is what runs; else one ordered pass
-    decides, as each decision depends on those before it.  ``exact`` forces
-    the pass.
+    accepted.  Each decision depends on those before it, also in other bands,
+    but a band is full after as many different keys as all quotas together, so
+    the ordered pass looks at no more than that for each band, whatever the
+    size of the table.  The rows themselves are judged by what was accepted:
+    a row after the last accepted one of a full band met the quota, any other
+    one a duplicate.  ``order`` gives every row its own place; a null key is a
+    key like any other.
     """
+    total = sum(max(0, q) for q in quotas.values())
+    place = F.struct(*order)
+    rows = df.withColumns({"_key": F.col(key), "_place": place})
+    firsts = rows.where(F.col(band).isin([b for b, q in quotas.items() if q > 0])).groupBy(band, "_key").agg(F.min("_place").alias("_place"))
+    near = firsts.withColumn("_n", F.row_number().over(Window.partitionBy(band).orderBy("_place"))).where(F.col("_n") <= total).drop("_n")
+    taken = _decide(near, {b: q for b, q in quotas.items() if q > 0}, band)
+    # at most ``total`` accepted rows and one last row for each full band: the bound of both broadcasts
+    ends = taken.where("full").groupBy(F.col(band).alias("_b")).agg(F.max("_place").alias("_end"))
+    taken = taken.select(F.col(band).alias("_b"), F.col("_key").alias("_k"), F.col("_place").alias("_p"), F.col("ordinal").alias("_ordinal"))
+    rows = rows.join(F.broadcast(ends), F.col(band) == F.col("_b"), "left").drop("_b")
+    same = (F.col(band) == F.col("_b")) & F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p"))
+    rows = rows.join(F.broadcast(taken), same, "left")
     limit = F.create_map(*[F.lit(x) for b, q in sorted(quotas.items()) for x in (b, q)])[F.col(band)] if quotas else F.lit(0)
-    if exact is None:
-        exact = bool(df.groupBy(key).agg(F.min(band).alias("a"), F.max(band).alias("b")).where("a <> b").head(1))
-    if not exact:
-        first = F.row_number().over(Window.partitionBy(band, key).orderBy(*order)) == 1
-        firsts = df.withColumn("_first", first)
-        # the quota counts first copies only; a row after the last accepted one meets a full band
-        place = F.sum(F.col("_first").cast("long")).over(Window.partitionBy(band).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-        rows = firsts.withColumn("_before", F.coalesce(place, F.lit(0))).withColumn("_limit", F.coalesce(limit, F.lit(0)))
-        reason = F.when(F.col("_before") >= F.col("_limit"), "quota_reached").when(~F.col("_first"), "duplicate")
-        out = rows.withColumn("reason", reason).drop("_first", "_before", "_limit")
-    else:
-        names = df.columns
-        schema = df.withColumn("reason", F.lit(None).cast("string")).schema
-
-        def one_pass(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(list(order), kind="stable")
-            seen, taken, reasons = set(), dict.fromkeys(quotas, 0), []
-            for b, k in zip(part[band], part[key], strict=True):
-                if taken.get(b, 0) >= quotas.get(b, 0):
-                    reasons.append("quota_reached")
-                elif k in seen:
-                    reasons.append("duplicate")
-                else:
-                    seen.add(k)
-                    taken[b] += 1
-                    reasons.append(None)
-            return part[names].assign(reason=reasons)
-
-        out = df.groupBy().applyInPandas(one_pass, schema)
-    status = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
-    out = out.withColumn("status", status)
-    ordinal = F.row_number().over(Window.partitionBy("status").orderBy(*order))
-    return out.withColumn("ordinal", F.when(F.col("reason").isNull(), ordinal))
+    late = (F.coalesce(limit, F.lit(0)) <= 0) | F.coalesce(F.col("_place") > F.col("_end"), F.lit(False))
+    taken_ = F.col("_ordinal").isNotNull()
+    reason = F.when(taken_, None).when(late, "quota_reached").otherwise("duplicate").cast("string")
+    names = [c for c in df.columns if c not in ("reason", "status", "ordinal")]
+    return rows.select(*names, reason.alias("reason"), F.when(taken_, "accepted").otherwise("rejected").alias("status"), F.col("_ordinal").alias("ordinal"))
 
 
 def rejection_counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -65,9 +75,15 @@ def resume_state(done: DataFrame, band: str = "band", seed: str = "seed") -> Dat
 def novelty(df: DataFrame, key: str, order: list[str], trailing: int = 1000) -> DataFrame:
     """Adds first_seen, and novelty: the share of first-seen keys among the last ``trailing`` rows.
 
-    The trailing frame runs over one total order and so in one task; pass a
-    frame that is cut to its key and order columns.
+    Rows are numbered in order and dealt out in runs of places; each run gets
+    a copy of the ``trailing`` - 1 rows before it, so no task holds more than
+    a run.  ``order`` gives every row its own place.
     """
-    first = df.withColumn("first_seen", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1).cast("int"))
-    w = Window.orderBy(*order).rowsBetween(-(trailing - 1), 0)
-    return first.withColumn("novelty", F.avg("first_seen").over(w))
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    rows = df.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("first_seen", (F.struct(*order) == F.col("_first")).cast("int")).drop("_key", "_first")
+    run = max(RUN, trailing)
+    rows = numbered(rows, order, "_at").withColumn("_run", F.floor(F.col("_at") / run))
+    halo = (F.col("_at") % run >= run - trailing + 1) if trailing > 1 else F.lit(False)
+    runs = rows.withColumn("_of", F.explode(F.when(halo, F.array("_run", F.col("_run") + 1)).otherwise(F.array("_run"))))
+    share = F.avg("first_seen").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(-(trailing - 1), 0))
+    return runs.withColumn("novelty", share).where(F.col("_of") == F.col("_run")).drop("_at", "_run", "_of")

@@ -5,7 +5,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import admit, dedupe, monitor, report, retrieve, review, sample, sft, split
+from millrace.operators import admit, dedupe, monitor, order, report, retrieve, review, sample, sft, split
 
 
 def records(spark, sizes, extra=0):
@@ -110,13 +110,42 @@ def test_admission(spark, across):
     rows = [(f"{b}{i}", b, f"{'' if across else b}{r.randint(0, 8)}", i) for b in ("B0", "B1", "B2") for i in range(20)]
     df = spark.createDataFrame(rows, "id string, band string, alpha_hash string, seed long")
     quotas = {"B0": 3, "B1": 6, "B2": 30}
-    for exact in (None, True):
-        out = admit.admit(df, quotas, exact=exact)
-        assert {x.id: x.reason for x in out.collect()} == admission_model(rows, quotas)
+    out = admit.admit(df, quotas)
+    assert {x.id: x.reason for x in out.collect()} == admission_model(rows, quotas)
     taken = [x.ordinal for x in out.where("status = 'accepted'").collect()]
     assert sorted(taken) == list(range(1, len(taken) + 1))
 
 
+def test_admission_of_many(spark):
+    """More keys than the quotas let the ordered pass see, keys in several bands, a band without a quota, null keys."""
+    r = random.Random(9)
+    rows = [(f"x{i}", r.choice(["B0", "B1", "B2", "B9"]), r.choice([None, *(f"k{j}" for j in range(60))]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, band string, alpha_hash string, seed long")
+    for quotas in ({"B0": 5, "B1": 2, "B2": 9}, {"B0": 30, "B1": 30, "B2": 30}, {"B1": 0}, {}):
+        assert {x.id: x.reason for x in admit.admit(df, quotas).collect()} == admission_model(rows, quotas)
+
+
+def test_places_and_novelty(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, r.choice("abcdefgh") + r.choice(["", "x"]) * r.randint(0, 4)) for i in r.sample(range(5000), 700)]
+    df = spark.createDataFrame(rows, "pos long, k string").repartition(5)
+    ordered = sorted(rows)
+    got = {x.pos: x.at for x in order.numbered(df, ["pos"], "at", 7).collect()}
+    assert got == {p: i for i, (p, _) in enumerate(ordered)}
+    assert {x.pos: x.at for x in order.numbered(df, ["k", "pos"], "at").collect()} == {p: i for i, (k, p) in enumerate(sorted((k, p) for p, k in rows))}
+    for run, trailing in ((10, 40), (100, 40), (64, 1), (10**6, 1000)):
+        monkeypatch.setattr(admit, "RUN", run)
+        out = {x.pos: (x.first_seen, round(x.novelty, 9)) for x in admit.novelty(df, "k", ["pos"], trailing).collect()}
+        seen, flags, want = set(), [], {}
+        for p, k in ordered:
+            flags.append(int(k not in seen))
+            seen.add(k)
+            last = flags[-trailing:]
+            want[p] = (flags[-1], round(sum(last) / len(last), 9))
+        assert out == want
+    assert order.numbered(df.limit(0), ["pos"], "at").count() == 0
+
+
 def test_dedupe_and_upsert(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, None, 3), (4, None, 4)], "pos int, k string, v int")
     assert sorted(r.pos for r in dedupe.keep_first(df, ["k"], ["pos"]).collect()) == [1, 3]
