@@ -7,6 +7,8 @@ and not on the number of rows in a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
@@ -68,11 +70,18 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 worker_caches: list[dict] = []
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, so that a worker that is used again starts small."""
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches, column: str = "text", limit: int = PIECE_BYTES, keep_caches: bool = False):
     """Slices of record batches of at most ``limit`` text bytes, or of one row."""
     if not keep_caches:
         for cache in worker_caches:
             cache.clear()
+    _trim()
     for batch in batches:
         if not batch.num_rows:
             continue

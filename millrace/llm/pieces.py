@@ -4,8 +4,10 @@ A text's lattice has a node at every character and an arc for every vocabulary
 piece.  Forward Viterbi gives each node its best score from the start; these
 scores are exact heuristics for an A-star search backwards from the end, which
 therefore expands only arcs of the N best paths.  No piece spans the start of a
-new word, so the lattice falls apart into segments: each distinct segment is
-searched once per worker and a text's N best follow from its segments' lists.
+new word, so the lattice falls apart into segments.  Each distinct segment's best
+path, and what its second best loses, is found once per worker; of a text only
+the N - 1 segments that lose least can differ in its N best segmentations, and
+only those are searched further.
 
 Scores are those of the model file, but a piece that the file keeps and never
 merges (score -1e9) costs as much as an unknown character.  Only model files
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import insort
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from millrace.llm import _text
 
 SPACE = "▁"
 #: Estimated bytes of distinct segments kept by a worker before its cache starts anew, and those of an entry without its characters.
-CACHE_BYTES = 400 << 20
-ENTRY_BYTES = 600
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 250
 #: Characters without a piece cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -92,6 +95,53 @@ class Vocabulary:
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte.get(b, self.unk) for b in char.encode("utf-8", "replace"))
 
+    def best(self, segment: str) -> tuple[list[int], float, float]:
+        """Ids and score of the best path of a segment, and what the second best path loses against it.
+
+        The second best path leaves the best one once, at a node where its arc is
+        the second best, so two values for each node are enough.
+        """
+        size, root, unknown, low = len(segment), self.root, self.unknown, float("-inf")
+        best, second, back = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
+        for i in range(size):
+            here, children, j, lone = best[i], root, i, True
+            while j < size:
+                node = children.get(segment[j])
+                if node is None:
+                    break
+                j += 1
+                children, hit = node
+                if hit is not None:
+                    if j == i + 1:
+                        lone = False
+                    score = here + hit[1]
+                    if score > best[j]:
+                        second[j] = best[j]
+                        best[j] = score
+                        back[j] = (i, hit[0])
+                    elif score > second[j]:
+                        second[j] = score
+            if lone:
+                j, score = i + 1, here + unknown
+                if score > best[j]:
+                    second[j] = best[j]
+                    best[j] = score
+                    back[j] = (i, -1)
+                elif score > second[j]:
+                    second[j] = score
+        ids: list[int] = []
+        loss, at = float("inf"), size
+        while at:
+            if best[at] - second[at] < loss:
+                loss = best[at] - second[at]
+            at, i = back[at]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += self.fallback(segment[at])[::-1]
+        ids.reverse()
+        return ids, best[size], loss
+
     def nbest(self, segment: str, n: int) -> tuple[list[tuple[int, ...]], list[float]]:
         """Ids and scores of the n best paths of a segment, best first.
 
@@ -169,7 +219,7 @@ def document_nbest(lists: list[list[float]], n: int) -> list[tuple[float, tuple[
 
 
 class Encoder:
-    """Segment cache of one worker: ids of each segment's best path, what its other paths lose, and their ids."""
+    """Segment cache of one worker: ids and score of each segment's best path, what the second best loses, and the n best of a few."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
@@ -178,30 +228,32 @@ class Encoder:
     def _new(self):
         self.index: dict[str, int] = {}
         self.bytes = 0
-        self.others: list[list[tuple[int, ...]]] = []
+        self.further: dict[str, tuple] = {}
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.best, self.lost = np.zeros(0), np.zeros((0, max(0, self.n - 1)))
+        self.top, self.loss = np.zeros(0), np.zeros(0)
 
     def _add(self, paths: list):
         """Append newly searched segments to the arrays."""
-        if not paths:
-            return
-        ids = np.array([i for p, _ in paths for i in p[0]], np.int32)
-        ends = np.cumsum([len(p[0]) for p, _ in paths])
-        self.start = np.concatenate([self.start, self.start[-1] + ends])
-        self.flat = np.concatenate([self.flat, ids])
-        self.others += [p[1:] for p, _ in paths]
-        self.best = np.concatenate([self.best, [s[0] for _, s in paths]])
-        lost = np.full((len(paths), self.n), -np.inf)
-        for row, (_, s) in zip(lost, paths, strict=True):
-            row[: len(s)] = s
-        self.lost = np.concatenate([self.lost, lost[:, 1:] - lost[:, :1]])
+        if paths:
+            ids, top, loss = zip(*paths, strict=True)
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+            self.top, self.loss = np.concatenate([self.top, top]), np.concatenate([self.loss, loss])
+
+    def _nbest(self, segment: str):
+        """Ids of the n best paths of a segment and what each loses."""
+        hit = self.further.get(segment)
+        if hit is None:
+            ids, scores = self.v.nbest(segment, self.n)
+            self.bytes += ENTRY_BYTES + 200 * self.n
+            hit = self.further[segment] = ([np.array(x, np.int32) for x in ids], [x - scores[0] for x in scores])
+        return hit
 
     def encode(self, texts: list[str]):
         """(ids of the best segmentation, first id of each text, of each text the scores of its n best, and the ids of those after the best)."""
         if self.bytes > CACHE_BYTES:
             self._new()
-        index, found, new = self.index, [], []
+        index, found, new, cut, best = self.index, [], [], [], self.v.best
         for text in texts:
             segments = self.v.segments(text)
             own = list(map(index.get, segments))
@@ -212,37 +264,38 @@ class Encoder:
                         i = index.get(seg)
                         if i is None:
                             i = index[seg] = len(index)
-                            self.bytes += ENTRY_BYTES + 40 * len(seg)
-                            new.append(self.v.nbest(seg, self.n))
+                            self.bytes += ENTRY_BYTES + 8 * len(seg)
+                            new.append(best(seg))
                         own[k] = i
             found.append(np.array(own, np.int64))
+            cut.append(segments)
         self._add(new)
-        flat, start, best, lost = self.flat, self.start, self.best, self.lost
+        flat, start, tops, loss = self.flat, self.start, self.top, self.loss
         at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         every = np.concatenate(found) if found else np.zeros(0, np.int64)
         count = start[every + 1] - start[every]
         shift = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         ids = flat[np.arange(shift[-1]) + np.repeat(start[every] - shift[:-1], count)]
         scores, more = [], []
-        for i in range(len(texts)):
+        for i, segments in enumerate(cut):
             low = at[i]
             own = every[low : at[i + 1]]
-            top = float(best[own].sum())
+            score = float(tops[own].sum())
             if self.n > 1 and len(own):
-                first = lost[own, 0]
-                near = np.argpartition(-first, min(self.n - 2, len(own) - 1))[: self.n - 1]
+                near = np.argpartition(loss[own], min(self.n - 2, len(own) - 1))[: self.n - 1]
                 near.sort()
-                ways = document_nbest([[0.0, *(x for x in lost[own[k]].tolist() if x > -np.inf)] for k in near], self.n)
-                scores.append([top + d for d, _ in ways])
+                options = [self._nbest(segments[k]) for k in near]
+                ways = document_nbest([x[1] for x in options], self.n)
+                scores.append([score + d for d, _ in ways])
                 for _, way in ways[1:]:
                     parts, begin = [], shift[low]
-                    for k, option in zip(near, way, strict=True):
-                        if option:
-                            parts += [ids[begin : shift[low + k]], np.array(self.others[own[k]][option - 1], np.int32)]
+                    for k, option, choice in zip(near, options, way, strict=True):
+                        if choice:
+                            parts += [ids[begin : shift[low + k]], option[0][choice]]
                             begin = shift[low + k + 1]
                     more.append(np.concatenate([*parts, ids[begin : shift[at[i + 1]]]]))
             else:
-                scores.append([top])
+                scores.append([score])
         return ids, shift[at], scores, more
 
 

@@ -51,6 +51,9 @@ def test_nbest_against_all_segmentations(vocabulary):
         for n in (1, 3, 5):
             ids, scores = vocabulary.nbest(word, n)
             same_best((ids, scores), want, n)
+            best, top, loss = vocabulary.best(word)
+            assert tuple(best) == ids[0] and top == pytest.approx(scores[0])
+            assert loss == (pytest.approx(want[0][0] - want[1][0]) if len(want) > 1 else float("inf"))
             assert all(vocabulary.decode(i) == word[1:] for i in ids)
 
 
