@@ -84,13 +84,19 @@ def tail_category(reference, candidate, functional, exact, assemblable) -> Colum
     )
 
 
+def band_diffs(reference, candidate) -> Column:
+    """Positions that differ; the first line does not where only its leading blanks do."""
+    reference, candidate = _col(reference), _col(candidate)
+    indent = lstrip(D.line_at(reference, F.lit(0))) == lstrip(D.line_at(candidate, F.lit(0)))
+    both = (F.size(reference) > 0) & (F.size(candidate) > 0)
+    return F.filter(D.diff_indices(reference, candidate), lambda i: ~((i == 0) & both & indent))
+
+
 def band_category(reference, candidate, functional, exact, assemblable) -> Column:
     """Category of one non-exact case by whether only its last lines differ, and how its last line ends; no candidate is a category."""
     functional, exact, assemblable = (F.coalesce(_col(c), F.lit(False)) for c in (functional, exact, assemblable))
     reference, candidate = _col(reference), _col(candidate)
-    indent = lstrip(D.line_at(reference, F.lit(0))) == lstrip(D.line_at(candidate, F.lit(0)))
-    both = (F.size(reference) > 0) & (F.size(candidate) > 0)
-    diffs = F.filter(D.diff_indices(reference, candidate), lambda i: ~((i == 0) & both & indent))
+    diffs = band_diffs(reference, candidate)
     size = D.longest(reference, candidate)
     last = strip(F.coalesce(F.try_element_at(candidate, F.lit(-1)), F.lit("")))
     partial = last.rlike(r"(?:s00|s0| 00|i)$") | last.contains(" u0") | (last == "3         s")

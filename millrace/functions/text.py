@@ -272,3 +272,24 @@ def token_labels(prompt_tokens, completion_tokens, longest: int) -> Column:
     ids = F.slice(F.concat(p, c), 1, longest)
     labels = F.slice(F.concat(F.transform(p, lambda _: F.lit(-100)), c), 1, longest)
     return F.struct(ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), labels.alias("labels"))
+
+
+def trainable(labels) -> Column:
+    """Whether any label is left after the cut that is not masked."""
+    return F.exists(_col(labels), lambda x: x != -100)
+
+
+def symbolic_location(card) -> Column:
+    """The four digits before a card's last three fields of digits, as a number, else null."""
+    found = F.regexp_extract(_col(card), r"\b(\d{4})\s+[\d\-]{2}\s+\d{4}\s+\d{4}\s*$", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def rate_slug(value: float) -> str:
+    """A rate as part of a file name: 0.0002 is 0p0002, 1e-05 is 1em05."""
+    return f"{value:g}".translate(str.maketrans(".-", "pm"))
+
+
+def parsed(json_text) -> Column:
+    """JSON as a variant, null for text that is none."""
+    return F.try_parse_json(_col(json_text))

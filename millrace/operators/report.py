@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.dedupe import keep_last
+from millrace.operators.order import numbered
 
 METRICS = ("exact_match", "assemblable", "functional", "per_card_exact", "normalized_edit_distance")
 
@@ -110,3 +111,37 @@ def grid(spark, **axes: list) -> DataFrame:
         axis = spark.createDataFrame([(v,) for v in values], [name])
         out = axis if out is None else out.crossJoin(axis)
     return out
+
+
+def first_value(df: DataFrame, value: str, order: list, by: list[str] = ()) -> DataFrame:
+    """(by, value): the first value in order that is neither null nor empty."""
+    there = df.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "")
+    return there.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def chunked(df: DataFrame, order: list[str], size: int, name: str = "chunk") -> DataFrame:
+    """Adds the number, from 0, of the run of ``size`` rows in order that a row is in."""
+    return numbered(df, order, "_at").withColumn(name, F.floor(F.col("_at") / size)).drop("_at")
+
+
+def amortised(df: DataFrame, chunk: str, seconds: str, name: str) -> DataFrame:
+    """Adds each row's even share of its chunk's time."""
+    sizes = df.groupBy(chunk).agg(F.count("*").alias("_n"))  # a chunk is a few rows, so this is no hot key
+    return df.join(sizes, chunk).withColumn(name, F.col(seconds) / F.col("_n")).drop("_n")
+
+
+def elapsed(start, end) -> Column:
+    """Seconds between two timestamps, as a double."""
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+
+
+def total_seconds(generation, evaluation) -> Column:
+    """Sum of both times; null only if both are."""
+    g, e = (F.col(c) if isinstance(c, str) else c for c in (generation, evaluation))
+    return F.when(g.isNotNull() | e.isNotNull(), F.coalesce(g, F.lit(0.0)) + F.coalesce(e, F.lit(0.0)))
+
+
+def iso_seconds(time) -> Column:
+    """A timestamp in the session's time zone, to the second, with its offset."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")

@@ -90,3 +90,28 @@ def split_corpus(accepted: DataFrame, counts: dict[str, int] | None = None, key:
     if counts:
         return split.exact_splits(rows, counts, key=key)
     return rows.withColumn("split", H.hash_split("alpha_hash"))
+
+
+def records(df: DataFrame, package: str = "P1", version: str = "1") -> DataFrame:
+    """Nested records of accepted rows, in the schema of sources.records.REFERENCE.
+
+    ``df``: band, seed, source, header (JSON), tree (JSON), features, the four
+    hashes, and the columns of the oracle's stages where they are there.
+    """
+    there = set(df.columns)
+    text = lambda c: (F.col(c) if c in there else F.lit(None)).cast("string")
+    cards = lambda c: F.array_join(F.col(c), "\n") if c in there else F.lit(None).cast("string")
+    header = F.from_json("header", "struct<n_i:int,n_y:int,n_c:int,n_s:int,n_pkg:int,N:int>")
+    hashes = ("surface_hash", "alpha_hash", "shape_hash", "pit_hash")
+    translate = F.struct(
+        text("translate_status").alias("status"), F.lit(0 if "pit_cards" in there else None).cast("bigint").alias("upper_acc"),
+        text("pit_raw").alias("pit_raw"), cards("pit_cards").alias("pit_raw_canonical"),
+    )
+    assemble = F.struct(text("assemble_status").alias("status"), cards("soap_cards").alias("soap_output"))
+    run = F.struct(text("run_status").alias("status"), cards("input_cards").alias("input_deck"), cards("output_cards").alias("output_deck"))
+    return df.select(
+        H.record_id("band", "seed", "surface_hash", "alpha_hash", F.coalesce(text("pit_hash"), F.lit(""))).alias("id"), "band", F.col("seed").cast("bigint").alias("seed"),
+        F.lit(package).alias("runtime_package"), F.lit(version).alias("source_format"), F.struct(F.col("source").alias("it_text_v1"), header.alias("header")).alias("source"),
+        F.struct(*(text(h).alias(h) for h in hashes)).alias("hashes"), F.struct(translate.alias("translate"), assemble.alias("assemble"), run.alias("run")).alias("reference"),
+        F.struct(text("tree").alias("ast_json"), text("header").alias("bounds_json"), F.col("features")).alias("generator"),
+    )

@@ -27,14 +27,14 @@ SFT = "prompt string, completion string, target_text string, id string, source_t
 REJECTION = "band string, seed bigint, status string, reason string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, missing_ok: bool = True) -> DataFrame:
     """Records of a JSON-lines path; blank lines are skipped, a wrong one is an error, a missing path is an empty table."""
-    if missing_ok and not _exists(spark, path):
+    if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

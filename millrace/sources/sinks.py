@@ -14,6 +14,10 @@ from millrace.operators.dedupe import union_first
 from millrace.operators.sample import round_robin
 
 
+#: Names of the splits of a corpus (fixed values).
+SPLITS = ("train", "dev", "test", "golden", "adversarial_test")
+
+
 def _path(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
@@ -59,6 +63,48 @@ def archive(cases: DataFrame, target: str, name: str, by: str) -> DataFrame:
     return manifest
 
 
+def write_splits(df: DataFrame, target: str, split: str = "split", names: tuple[str, ...] = SPLITS, kind: str = "json") -> dict[str, int]:
+    """One table for each named split below ``target``, empty ones too; returns their sizes."""
+    counts = {r[0]: r[1] for r in df.groupBy(split).count().collect()}
+    if unknown := set(counts) - set(names):
+        raise ValueError(f"unknown splits: {sorted(map(str, unknown))}")
+    for name in names:
+        df.where(F.col(split) == name).drop(split).write.mode("overwrite").format(kind).save(f"{target}/{name}")
+    return {n: counts.get(n, 0) for n in names}
+
+
+def append_new(df: DataFrame, path: str, key: str, kind: str = "parquet") -> int:
+    """Append the rows whose key the table at ``path`` does not have yet; returns how many.
+
+    The first of several rows of one key is not defined: pass distinct keys.
+    A run that was cut short is made up for by calling it again.
+    """
+    spark = df.sparkSession
+    fs, target = _path(spark, path)
+    if fs.exists(target) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(target)):
+        df = df.join(spark.read.schema(df.schema).format(kind).load(path).select(key), key, "left_anti").select(*df.columns)
+    before = spark.read.schema(df.schema).format(kind).load(path).count() if fs.exists(target) else 0
+    df.write.mode("append").format(kind).save(path)
+    return spark.read.schema(df.schema).format(kind).load(path).count() - before
+
+
+def copy_files(spark: SparkSession, sources: list[str], target: str, missing_ok: bool = True) -> list[str]:
+    """Copy files of any file system into a folder; returns the new paths.  Names must differ."""
+    out = []
+    names = [s.rstrip("/").rpartition("/")[2] for s in sources]
+    if len(set(names)) < len(names):
+        raise ValueError("files of one name")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for source, name in zip(sources, names, strict=True):
+        fs, path = _path(spark, source)
+        if not fs.exists(path) and missing_ok:
+            continue
+        other, copy = _path(spark, f"{target}/{name}")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path, other, copy, False, True, hadoop)
+        out.append(f"{target}/{name}")
+    return out
+
+
 def slice_dataset(splits: dict[str, DataFrame], target: str, limits: dict[str, int], salt: str, ident: str = "alpha_hash", key: str = "id", band: str = "band") -> DataFrame:
     """Write a sample of each split, taking turns over bands, and the index of all: one row for each key, first split first."""
     parts = []
