@@ -64,5 +64,72 @@ def queries():
     return {f.__name__: f for f in every}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _sets(table: str, ident: str) -> str:
+    """SQL: the distinct five-word shingles of each text."""
+    return f"""select {ident}, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+    from (select {ident}, regexp_extract_all({_LOWER}, '{_WORD}') as w from {table})"""
+
+
+# windows of 400 bytes as hexadecimal text, counted by their digest; covering spans by gaps and islands
+_OP1 = """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+  w as (select doc_id, p, md5_number(substr(x, 2 * p + 1, 800)) as h from (select doc_id, x, unnest(range(n - 399)) as p from d where n >= 400)),
+  r as (select doc_id, p from w qualify count(*) over (partition by h) > 1),
+  i as (select doc_id, p, case when p - lag(p) over o <= 400 then 0 else 1 end as head from r window o as (partition by doc_id order by p)),
+  g as (select doc_id, p, sum(head) over (partition by doc_id order by p) as k from i),
+  s as materialized (select doc_id, k, min(p) as a, max(p) + 400 as b from g group by 1, 2),
+  t as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed from s group by 1),
+  e as (select doc_id, b as a from s union all select doc_id, 0 from d),
+  q as (select e.doc_id, e.a, coalesce(min(s.a), any_value(d.n)) as z from e join d using (doc_id) left join s on s.doc_id = e.doc_id and s.a >= e.a group by 1, 2),
+  kept as (select q.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' order by a) as y from q join d using (doc_id) group by 1)
+  select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(y)) as kept_sha256
+  from d join kept using (doc_id) left join t using (doc_id)"""
+
+_OP3 = f"""with recursive sets as materialized ({_sets('documents', 'doc_id')}), n as materialized (select doc_id, coalesce(len(s), 0)::bigint as n from sets),
+  x as materialized (select doc_id, unnest(s) as h from sets),
+  both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from x a join x b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+  links as materialized (select a, b from both_ join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+  edges as materialized (select a, b from links union all select b, a from links),
+  reach(doc_id, c) as (select doc_id, doc_id from n union select e.b, r.c from reach r join edges e on e.a = r.doc_id where r.c < e.b)
+  select n.doc_id, n.n as n_shingles, min(c) as component_id from n join reach using (doc_id) group by 1, 2"""
+
+_OP4 = """with recursive v as materialized (select vec_id, label, embedding::double[] as e from embeddings),
+  links as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+  reach(vec_id, c) as (select vec_id, vec_id from v union select l.b, r.c from reach r join links l on l.a = r.vec_id where r.c < l.b),
+  c as (select vec_id, min(c) as component_id from reach group by 1), k as (select a as vec_id, count(*) as n from links group by 1)
+  select vec_id, coalesce(n, 0)::bigint as n_links, component_id, component_id = vec_id as kept from c left join k using (vec_id)"""
+
+# a line goes if it is in a later copy of one of the shortest runs of 50 words from a line on or up to a line
+_OP6 = f"""with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as every from documents),
+  l as (select *, case when every[-1] = '' then every[:-2] else every end as x from d),
+  c as (select *, list_transform(x, lambda y: len(regexp_extract_all(y, '{_WORD}'))) as k from l),
+  s as materialized (select *, list_transform(range(1, len(x) + 1), lambda i: list_sum(k[1:i])) as cum from c),
+  pos as (select doc_id, x, cum, unnest(range(1, len(x) + 1)) as i from s where len(x) > 0),
+  runs as (select doc_id, x, i as a, len(list_filter(cum, lambda y: y < coalesce(cum[i - 1], 0) + 50)) + 1 as b from pos
+    union all select doc_id, x, len(list_filter(list_prepend(0, cum[:-2]), lambda y: y <= cum[i] - 50)) as a, i as b from pos),
+  keyed as (select distinct doc_id, a, b, md5(array_to_string(x[a:b], chr(10))) as h from runs where a >= 1 and b <= len(x)),
+  later as (select doc_id, a, b from keyed qualify (doc_id, a) > min((doc_id, a)) over (partition by h)),
+  gone as materialized (select distinct doc_id, unnest(range(a, b + 1)) as i from later),
+  g as (select doc_id, list(i order by i) as gone, count(*) as n from gone group by 1)
+  select doc_id, len(x)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, coalesce(len(list_filter(gone, lambda i: not list_contains(gone, i - 1))), 0)::bigint as n_spans,
+    sha256(case when n is null then coalesce(text, '') else array_to_string(list_filter(every, lambda y, i: not list_contains(gone, i)), chr(10)) end) as kept_sha256
+  from s left join g using (doc_id)"""
+
+_OP7 = f"""with sets as materialized ({_sets('documents', 'doc_id')}), items as materialized (select * from ({_sets('benchmark', 'item_id')}) where len(s) > 0),
+  x as (select doc_id, unnest(s) as h from sets), y as (select item_id, len(s) as n_item, unnest(s) as h from items)
+  select doc_id, item_id, n_item::bigint as n_item, count(*)::bigint as n_shared from x join y using (h) group by 1, 2, 3 having 100 * count(*) >= 80 * n_item"""
+
+
 def oracle_sql():
-    return {}
+    """SQL of the operators that it can express: all of them compare whole texts or all pairs of the table.
+
+    Segmentation, classifiers, MinHash, language models and licence rules are
+    compared with plain versions in tests/llm instead.
+    """
+    return {
+        "op1_suffix_array_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op4_embedding_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_benchmark_decontamination": _OP7,
+    }
