@@ -41,9 +41,12 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
     below first.  Null texts match nothing; a query has no row only if there
     is no example.
     """
+    spark = queries.sparkSession
     same = exact_matches(queries, examples, text, query_id, example_id).withColumn("score", F.lit(1.0))
     rest = queries.where(F.col(text).isNotNull()).join(same.select(query_id), query_id, "left_anti").select(query_id, text)
-    examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e"))
+    # comparing is the work, not the size of the table: as many parts as there are cores, several times
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e")).repartition(parts)
     if grams:
         rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, example_id, grams, mode), query_id, "left")
     else:
