@@ -24,7 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
@@ -246,11 +246,14 @@ class Encoder:
         if hit is None:
             ids, scores = self.v.nbest(segment, self.n)
             self.bytes += ENTRY_BYTES + 200 * self.n
-            hit = self.further[segment] = ([np.array(x, np.int32) for x in ids], [x - scores[0] for x in scores])
+            hit = self.further[segment] = (ids, [x - scores[0] for x in scores])
         return hit
 
     def encode(self, texts: list[str]):
-        """(ids of the best segmentation, first id of each text, of each text the scores of its n best, and the ids of those after the best)."""
+        """(ids of the best segmentation, first id of each text, of each text the scores of its n best, and the edits that make those after the best).
+
+        An edit is (place in the best ids, how many go, ids that come).
+        """
         if self.bytes > CACHE_BYTES:
             self._new()
         index, found, new, cut, best = self.index, [], [], [], self.v.best
@@ -288,30 +291,47 @@ class Encoder:
                 ways = document_nbest([x[1] for x in options], self.n)
                 scores.append([score + d for d, _ in ways])
                 for _, way in ways[1:]:
-                    parts, begin = [], shift[low]
+                    edits = []
                     for k, option, choice in zip(near, options, way, strict=True):
                         if choice:
-                            parts += [ids[begin : shift[low + k]], option[0][choice]]
-                            begin = shift[low + k + 1]
-                    more.append(np.concatenate([*parts, ids[begin : shift[at[i + 1]]]]))
+                            edits.append((int(shift[low + k] - shift[low]), int(count[low + k]), option[0][choice]))
+                    more.append(edits)
             else:
                 scores.append([score])
         return ids, shift[at], scores, more
 
 
+EDITS = "array<array<struct<at:int,drop:int,ids:array<int>>>>"
+
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def _nested(edits: list, scores: list) -> pa.Array:
+    """The edits of all segmentations after the best, by text."""
+    flat = [e for own in edits for e in own]
+    ids = pa.ListArray.from_arrays(_offsets([len(e[2]) for e in flat]), pa.array([i for e in flat for i in e[2]], pa.int32()))
+    fields = pa.StructArray.from_arrays([pa.array([e[0] for e in flat], pa.int32()), pa.array([e[1] for e in flat], pa.int32()), ids], ["at", "drop", "ids"])
+    return pa.ListArray.from_arrays(_offsets([len(x) - 1 for x in scores]), pa.ListArray.from_arrays(_offsets([len(x) for x in edits]), fields))
+
+
 def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
     """Encode whole texts.
 
     Columns: doc_id, ids (best segmentation), scores (of the n best
-    segmentations, best first; fewer where a text has fewer), others (ids of
-    the segmentations after the best, in that order), round_trip (decoding ids
-    gives the text back; U+2581 counts as a space).  Null and empty texts have
-    no ids, no others and the score 0.  Repeated rows get a row each, a null
-    doc_id is kept, extra columns are ignored, an empty table gives an empty
-    table.  ``model_file`` must exist on every executor.
+    segmentations, best first; fewer where a text has fewer), others (the
+    segmentations after the best, in that order, as edits of ids: at place
+    ``at`` from 0, ``drop`` ids go and ``ids`` come; see segmentations()),
+    round_trip (decoding ids gives the text back; U+2581 counts as a space).
+    Null and empty texts have no ids, no others and the score 0.  Repeated
+    rows get a row each, a null doc_id is kept, extra columns are ignored, an
+    empty table gives an empty table.  ``model_file`` must exist on every
+    executor.
     """
-    lists = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", lists), ("scores", pa.list_(pa.float64())), ("others", pa.list_(lists)), ("round_trip", pa.bool_())])
+    number = pa.int32()
+    edits = pa.list_(pa.list_(pa.struct([("at", number), ("drop", number), ("ids", pa.list_(number))])))
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(number)), ("scores", pa.list_(pa.float64())), ("others", edits), ("round_trip", pa.bool_())])
 
     def run(batches):
         encoder = _worker_encoder(model_file, n)
@@ -319,19 +339,31 @@ def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, at, scores, more = encoder.encode(texts)
             back = [encoder.v.decode(ids[at[i] : at[i + 1]].tolist()) == t.replace(SPACE, " ") for i, t in enumerate(texts)]
-            inner = np.concatenate([[0], np.cumsum([len(x) for x in more])]).astype(np.int32)
-            outer = np.concatenate([[0], np.cumsum([len(x) - 1 for x in scores])]).astype(np.int32)
-            paths = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.int32), *more])))
             yield _text.batch_of(
                 schema, doc_id=b.column("doc_id"), ids=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), scores=scores,
-                others=pa.ListArray.from_arrays(pa.array(outer), paths), round_trip=back,
+                others=_nested(more, scores), round_trip=back,
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, scores array<double>, others array<array<int>>, round_trip boolean"
+        run, f"doc_id long, ids array<int>, scores array<double>, others {EDITS}, round_trip boolean"
     )
 
 
+def segmentations(ids="ids", others="others") -> Column:
+    """Column: array of the ids of all n best segmentations, best first, from columns of encode()."""
+    ids, others = (F.col(c) if isinstance(c, str) else c for c in (ids, others))
+    start = F.struct(F.slice(ids, 1, 0).alias("made"), F.lit(0).alias("next"))
+
+    def edit(state, e):
+        made = F.concat(state["made"], F.slice(ids, state["next"] + 1, e["at"] - state["next"]), e["ids"])
+        return F.struct(made.alias("made"), (e["at"] + e["drop"]).alias("next"))
+
+    def whole(state):
+        return F.concat(state["made"], F.slice(ids, state["next"] + 1, F.greatest(F.size(ids) - state["next"], F.lit(0))))
+
+    return F.concat(F.array(ids), F.transform(others, lambda edits: F.aggregate(edits, start, edit, whole)))
+
+
 _encoders: dict = {}
 _text.worker_caches.append(_encoders)
 

@@ -59,11 +59,13 @@ def test_nbest_against_all_segmentations(vocabulary):
 
 def test_ids_of_the_nbest_of_texts_against_all_segmentations(spark, vocabulary):
     texts = ["the end.", "a b, c", "on\nit", "é 日x", "aa aa", "x"]
-    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, n=5).collect()
+    out = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, n=5)
+    rows = out.withColumn("every", pieces.segmentations()).collect()
     for row in rows:
         text = texts[row.doc_id]
         want = sorted(every(vocabulary, "▁" + text.replace(" ", "▁")), reverse=True)
-        ids = [tuple(row.ids), *map(tuple, row.others)]
+        ids = list(map(tuple, row.every))
+        assert ids[0] == tuple(row.ids) and len(row.others) == len(ids) - 1
         same_best((ids, list(row.scores)), want, 5)
         assert all(vocabulary.decode(i) == text for i in ids)
 
@@ -91,7 +93,7 @@ def test_a_cache_that_starts_anew_changes_nothing(spark, docs_of, monkeypatch, v
     monkeypatch.setattr(pieces, "CACHE_BYTES", 1000)
     single = [two.encode([t]) for t in texts]
     assert whole[0].tolist() == [i for x in single for i in x[0].tolist()] and whole[2] == [x[2][0] for x in single]
-    assert [x.tolist() for x in whole[3]] == [y.tolist() for x in single for y in x[3]]
+    assert whole[3] == [y for x in single for y in x[3]]
 
 
 def test_encode_and_decode(spark, odd, none, vocabulary):
