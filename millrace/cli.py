@@ -166,7 +166,7 @@ def review_bands(spark, a):
     """The review of several bands' failures by how their decks end."""
     bands = sft.parse_bands(a.bands)
     found = reviews.band_review(read(spark, a.predictions), read(spark, a.references), bands)
-    return {"report": reviews.write_review(found, a.output, f"{'/'.join(bands)} Failure Review", reviews.BAND_CATEGORIES, bands)}
+    return {"report": reviews.write_review(found, a.output, f"{'/'.join(bands)} Failure Review", X.BAND_CATEGORIES, bands)}
 
 
 @command("compare-reports", INPUT, option("--base", default="zero_shot"), option("--metrics", default="exact_match,assemblable,functional"))

@@ -20,7 +20,7 @@ from millrace.functions import text as T
 from millrace.functions.python import edit_distance
 from millrace.operators import admit as A
 from millrace.operators import dedupe, monitor, report, retrieve, review, sample, sft, split
-from millrace.plans import corpus, evaluate
+from millrace.plans import corpus, evaluate, reviews
 from millrace.streaming import incremental
 
 QUERIES: dict = {}
@@ -510,3 +510,118 @@ def q46_reevaluate(spark, d):
     )
     refs = c.select(F.struct("conv_id", "turn").cast("string").alias("id"), F.col("cards").alias("reference_cards"), out.alias("reference_output"))
     return evaluate.reevaluate(preds, refs).select("conv_id", "turn", "exact_match", "assemblable", "functional", "failure_type")
+
+
+# -- categories by line, archives, phases, command lines, tokens ---------------------------------------------------------
+
+_DECKS = f"""decks as (select doc_id, {_LINES} as ref, toxic = 1 as functional, quality = 1 as exact, quality + toxic > 0 as assemblable,
+    list_transform({_LINES}, lambda x, i: case when (doc_id + i) % 29 = 0 then 'tra' || x when (doc_id + i) % 7 = 0 then 'a ' || x else x end)[1:greatest(len({_LINES}) - doc_id % 3, 0)] as all_,
+    doc_id % 10 = 0 as missing from documents join labels using (doc_id)), cards as (select * exclude (all_), case when not missing then all_ end as cand from decks)"""
+
+
+def _decks(spark, d):
+    """Lines of labelled documents as reference decks, and changed lines, some missing, as candidates."""
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id").withColumn("ref", T.splitlines("text"))
+    at = lambda i, n: (F.col("doc_id") + i + 1) % n == 0
+    changed = F.transform("ref", lambda x, i: F.when(at(i, 29), F.concat(F.lit("tra"), x)).when(at(i, 7), F.concat(F.lit("a "), x)).otherwise(x))
+    cut = F.slice(changed, 1, F.greatest(F.size("ref") - (F.col("doc_id") % 3).cast("int"), F.lit(0)))
+    cand = F.when(F.col("doc_id") % 10 != 0, cut)
+    return docs.select("doc_id", "ref", cand.alias("cand"), (F.col("toxic") == 1).alias("functional"), (F.col("quality") == 1).alias("exact"), (F.col("quality") + F.col("toxic") > 0).alias("assemblable"))
+
+
+_DIFFS = "list_filter(range(greatest(len(ref), len(cand))), lambda i: ref[i + 1] is distinct from cand[i + 1])"
+_LABEL = "regexp_extract(lower(trim({x})), '^(\\S+)', 1)"
+_A_LABEL = f"starts_with(case when {_LABEL.format(x='coalesce(ref[i + 1], chr(32))')} <> '' then {_LABEL.format(x='coalesce(ref[i + 1], chr(32))')} else {_LABEL.format(x='coalesce(cand[i + 1], chr(32))')} end, 'a')"
+
+
+@query(f"""with {_DECKS}, k as (select *, {_DIFFS} as diffs, greatest(len(ref), len(cand)) as size from cards where not missing)
+  select doc_id, case when functional and not exact then 'functional_success_exact_failure' when not assemblable then 'malformed_pit' when len(diffs) = 0 then 'functional_success_exact_failure'
+    when len(list_filter(diffs, lambda i: regexp_matches(lower(coalesce(ref[i + 1], '') || chr(10) || coalesce(cand[i + 1], '')), '{'|'.join(X.TRANSFERS)}'))) > 0 then 'wrong_transfer_target'
+    when len(diffs) <= 2 and len(list_filter(diffs, lambda i: {_A_LABEL})) = len(diffs) then 'wrong_constant_card'
+    when len(list_filter(diffs, lambda i: {_A_LABEL} or i >= size - 10)) > 0 then 'symbolic_tail_or_reservation_drift' else 'assembles_but_misexecutes_small_diff' end as category from k""")
+def q47_tail_category(spark, d):
+    return _decks(spark, d).where("cand is not null").select("doc_id", X.tail_category("ref", "cand", "functional", "exact", "assemblable").alias("category"))
+
+
+@query(f"""with {_DECKS}, k as (select *, case when not missing then list_filter({_DIFFS}, lambda i: not (i = 0 and len(ref) > 0 and len(cand) > 0 and ltrim(ref[1]) = ltrim(cand[1]))) end as diffs,
+    greatest(len(ref), len(cand)) as size, trim(coalesce(cand[-1], '')) as last from cards)
+  select doc_id, case when missing then 'candidate_missing' when functional and not exact then 'functional_success_exact_failure' when not assemblable then 'malformed_pit'
+    when len(diffs) = 0 then 'functional_success_exact_failure' when len(list_filter(diffs, lambda i: i >= size - 12)) < len(diffs) then 'non_tail_divergence'
+    when regexp_matches(last, '(?:s00|s0| 00|i)$') or contains(last, ' u0') or last = '3         s' then 'partial_dictionary_tail_truncation'
+    when starts_with(last, '4         a') or starts_with(last, '3         a') then 'final_a_dictionary_drop' else 'tail_only_other' end as category from k""")
+def q48_band_category(spark, d):
+    return _decks(spark, d).select("doc_id", X.band_category("ref", "cand", "functional", "exact", "assemblable").alias("category"))
+
+
+@query("select user_id, arg_min(v, (ts, event_id)) as v from (select *, case when event_id % 3 > 0 then event_type || event_id % 5 else '' end as v from events) where v <> '' group by user_id")
+def q49_first_value(spark, d):
+    value = F.when(F.col("event_id") % 3 > 0, F.concat("event_type", (F.col("event_id") % 5).cast("string"))).otherwise("")
+    return report.first_value(_t(spark, d, "events").withColumn("v", value), "v", ["ts", "event_id"], ["user_id"])
+
+
+@query("""with c as (select event_id, value, (row_number() over (order by ts, event_id) - 1) // 64 as chunk from events)
+  select event_id, chunk::bigint as chunk, value / count(*) over (partition by chunk) as each from c""")
+def q50_chunks(spark, d):
+    rows = report.chunked(_t(spark, d, "events").select("event_id", "ts", "value"), ["ts", "event_id"], 64)
+    return report.amortised(rows, "chunk", "value", "each").select("event_id", F.col("chunk").cast("bigint").alias("chunk"), "each")
+
+
+@query("""select event_id, case when event_id % 11 = 0 or event_id % 13 = 0 then 'failed' when event_id % 4 > 0 and user_id % 6 = 0 then 'remote_generate' when event_id % 17 = 0 then 'remote_train'
+    when user_id % 5 = 0 then 'remote_bootstrap' when user_id % 7 = 0 then 'remote_train' when event_id % 2 = 0 then 'training' else 'remote_complete' end as phase,
+    case when event_id % 3 = 0 then 'failed' when event_id % 3 = 1 then 'local_reevaluate' when user_id % 2 = 0 and user_id % 4 = 3 then 'complete'
+      when user_id % 2 = 0 or user_id % 4 > 0 then 'local_reevaluate' else 'pending' end as output_phase from events""")
+def q51_phases(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    state = F.struct(
+        F.when(e % 11 == 0, "lost").alias("error"), F.when(e % 13 == 0, "failed").otherwise("running").alias("status"),
+        F.when(u % 6 == 0, F.create_map(F.lit("few_shot"), F.struct((e % 4).alias("lines"), F.lit(3).cast("bigint").alias("expected")))).alias("progress"),
+        F.lit(None).cast("string").alias("process"), F.lit(None).cast("string").alias("bootstrap_process"),
+        F.when(e % 17 == 0, F.struct(F.lit(0).cast("bigint").alias("current"), F.lit(0).cast("bigint").alias("total"))).alias("training"),
+        (u % 5 > 0).alias("repo_exists"), (u % 7 > 0).alias("output_exists"), (e % 2 == 0).alias("active_process"), F.lit(None).cast("string").alias("phase"),
+    )
+    rows = _t(spark, d, "events").select("event_id", "user_id", state.cast(monitor.REMOTE).alias("r"))
+    finalizer = F.when(e % 3 == 0, "failed").when(e % 3 == 1, "running")
+    output = monitor.output_phase(finalizer, u % 2 == 0, u % 4, F.lit(3))
+    return rows.select("event_id", monitor.remote_phase("r").alias("phase"), output.alias("output_phase"))
+
+
+@query("""select event_id as pid, event_id % 60 || ':00' as elapsed, event_type || ' ' || user_id as name, case when event_id % 2 = 0 then (event_id % 9)::bigint end as "limit",
+    case when event_id % 3 > 0 then event_id::bigint end as example_count, event_id % 5 = 0 as detached from events where event_id % 4 > 0""")
+def q52_process_list(spark, d):
+    e = F.col("event_id")
+    script = F.when(e % 4 > 0, "/opt/jobs/run_job.py").otherwise("/opt/jobs/other.py")
+    line = F.concat_ws(
+        " ", F.concat(F.lit("  "), e.cast("string")), F.concat((e % 60).cast("string"), F.lit(":00")), F.lit("python"), script, F.concat(F.lit("--name '"), "event_type", F.lit(" "), "user_id", F.lit("'")),
+        F.when(e % 2 == 0, F.concat(F.lit("--limit "), (e % 9).cast("string"))), F.when(e % 3 > 0, F.concat(F.lit("--max-examples "), e.cast("string"))), F.when(e % 5 == 0, F.lit("--detach-remote")),
+    )
+    return monitor.process_table(_t(spark, d, "events").select(line.alias("value")), "run_job.py").select("pid", "elapsed", "name", "limit", "example_count", "detached")
+
+
+@query(f"""with {_TURN_PAIRS}, p as (select conv_id, turn, list_transform(xa, lambda x: length(x)) as a, list_transform(xb, lambda x: length(x)) as b from pairs),
+  t as (select conv_id, turn, list_concat(a, b)[1:40] as ids, list_concat(list_transform(a, lambda x: -100), b)[1:40] as labels from p)
+  select conv_id, turn, list_sum(ids)::bigint as ids, list_sum(labels)::bigint as labels, len(ids)::int as n from t where len(list_filter(labels, lambda x: x <> -100)) > 0""")
+def q53_token_labels(spark, d):
+    lengths = lambda c: F.transform(c, F.length)
+    rows = _turn_pairs(spark, d).withColumn("t", T.token_labels(lengths("xa"), lengths("xb"), 40)).where(T.trainable("t.labels"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return rows.select("conv_id", "turn", total("t.input_ids").alias("ids"), total("t.labels").alias("labels"), F.size("t.input_ids").alias("n"))
+
+
+@query("select event_id, case when event_id % 3 > 0 then (event_id % 9999)::int end as location from events")
+def q54_symbolic_location(spark, d):
+    e = F.col("event_id")
+    card = F.format_string("x %04d 6%s %04d %04d  ", e % 9999, F.when(e % 3 > 0, "0").otherwise("0x"), e % 77, e % 99)
+    return _t(spark, d, "events").select("event_id", T.symbolic_location(card).alias("location"))
+
+
+@query(f"""with {_SCORED}, f as (select doc_id, case when exact_match then 'exact_match' when n_chars % 5 > 0 then 'kind' || n_chars % 3 end as failure_type from scored),
+    r as (select * from f where failure_type is not null and failure_type <> 'exact_match' order by doc_id limit 25)
+  select failure_type, count(*) as n, any_value(null) as name from r group by rollup (failure_type)
+  union all select failure_type, 1, lpad(row_number() over (order by doc_id)::varchar, 4, '0') || '_' || doc_id from r""")
+def q55_failure_archive(spark, d):
+    scored = _scored(spark, d)
+    kind = F.when(F.col("exact_match"), "exact_match").when(F.col("n_chars") % 5 > 0, F.concat(F.lit("kind"), (F.col("n_chars") % 3).cast("string")))
+    predictions = scored.select(F.col("doc_id").alias("id"), kind.alias("failure_type"))
+    cases = reviews.failure_cases(predictions, scored.select(F.col("doc_id").alias("id"), "lang"), ["id"], 25)
+    manifest = reviews.failure_manifest(cases).withColumn("name", F.lit(None).cast("string"))
+    return manifest.unionByName(cases.select("failure_type", F.lit(1).cast("bigint").alias("n"), "name"))

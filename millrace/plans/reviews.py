@@ -18,11 +18,7 @@ from millrace.functions import taxonomy as X
 from millrace.operators import report, review
 from millrace.sources.sinks import read_text, write_text
 
-#: Order of the categories in reports (fixed values); those of the tail review are in the taxonomy.
-BAND_CATEGORIES = [
-    "partial_dictionary_tail_truncation", "final_a_dictionary_drop", "tail_only_other", "candidate_missing",
-    "non_tail_divergence", "malformed_pit", "functional_success_exact_failure",
-]
+#: Columns of a case.
 CASE = ["id", "band", "category", "failure_type", "exact_match", "per_card_exact", "normalized_edit_distance", "assemblable", "functional", "diff_count", "first_diff_index"]
 
 

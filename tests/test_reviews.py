@@ -85,7 +85,7 @@ def test_band_review(spark, tables, tmp_path):
         chosen += [r for r in rows if r["category"] == c and r not in chosen][:n]
     chosen += [r for r in rows if r not in chosen][: max(0, 12 - len(chosen))]
     assert [r.name for r in found.chosen.orderBy("name").collect()] == [f"{k:04d}_{r['id']}" for k, r in enumerate(worst_first(chosen), 1)]
-    text = reviews.write_review(found, f"file://{tmp_path}/review", "B2/B3 Failure Review", reviews.BAND_CATEGORIES, bands, ["More."])
+    text = reviews.write_review(found, f"file://{tmp_path}/review", "B2/B3 Failure Review", X.BAND_CATEGORIES, bands, ["More."])
     assert f"- Non-exact cases: {len(want)}" in text and "## Feature Footprint" in text and text.count("diff_count=") == len(chosen)
 
 
