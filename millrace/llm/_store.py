@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set a temporary one, which only local sessions can share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -47,10 +50,10 @@ def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     rows = (
         keys.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("b"))
         .select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
-        .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     )
     words = np.zeros(bits // 64, np.int64)
-    words[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    words[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return words
 
 

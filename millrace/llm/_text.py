@@ -70,8 +70,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 worker_caches: list[dict] = []
 
 
-def _trim() -> None:
-    """Give freed memory back to the system, so that a worker that is used again starts small."""
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker that is used again, or the driver, stays small."""
     with contextlib.suppress(OSError, AttributeError):  # C libraries without it
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -81,7 +81,7 @@ def pieces(batches, column: str = "text", limit: int = PIECE_BYTES, keep_caches:
     if not keep_caches:
         for cache in worker_caches:
             cache.clear()
-    _trim()
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue

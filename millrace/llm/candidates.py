@@ -125,6 +125,8 @@ def may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
 
 #: Members of a group that are compared at once; larger groups are cut into blocks, compared two by two.
 BLOCK_MEMBERS = 512
+#: Possible pairs that a task remembers, so as not to emit one of them twice.
+MOST_PAIRS = 500_000
 
 
 def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -143,19 +145,27 @@ def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         key, held, seen = None, [], np.zeros((0, 2), np.int64)
+
+        def out():
+            return _text.batch_of(pair, a=seen[:, 0], b=seen[:, 1])
+
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("sig", "lo", "hi", "mine", "id", "c", "size", "sketch")), strict=True):
                 if row[:3] != key:
                     if held:
                         seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
                     key, held = row[:3], []
+                    if len(seen) > MOST_PAIRS:
+                        yield out()
+                        seen = seen[:0]
                 held.append(row[3:])
         if held:
             seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
-        for s in range(0, len(seen), 100_000):
-            yield _text.batch_of(pair, a=seen[s : s + 100_000, 0], b=seen[s : s + 100_000, 1])
+        if len(seen):
+            yield out()
 
     keys = ("sig", "lo", "hi")
+    parts = max(parts, -(-rest.count() // 100_000))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 

@@ -186,8 +186,8 @@ def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(64)) == 0)
     count = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
-    rows = count.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+    rows = count.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(rows.column("h").to_numpy().view(np.uint64))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, details: bool = False) -> DataFrame:

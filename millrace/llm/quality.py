@@ -73,9 +73,9 @@ _BARE[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
 
 def bare_words(buf: np.ndarray, offs: np.ndarray):
-    """(hashes, first word of each text) of words without ASCII punctuation."""
+    """(32 bits of the hashes, first word of each text) of words without ASCII punctuation."""
     h, _, _, first = _text.words(_BARE[buf], offs)
-    return h, first
+    return h.astype(np.uint32), first
 
 
 def meta_features(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,9 +100,10 @@ class Linear:
 
     def fit(self, x, y: np.ndarray, weight: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.5, decay: float = 1e-5):
         rows, cols, values, n = x
-        order = np.argsort(rows, kind="stable")
-        cols, values = cols[order], values[order]
-        at = np.searchsorted(rows[order], np.arange(n + 1))
+        if (rows[1:] < rows[:-1]).any():
+            order = np.argsort(rows, kind="stable")
+            rows, cols, values = rows[order], cols[order], values[order]
+        at = np.searchsorted(rows, np.arange(n + 1))
         gw, gb = np.full(len(self.w), 1e-6), 1e-6
         shuffle = np.random.default_rng(7)
         for _ in range(epochs):
@@ -149,11 +150,11 @@ def _loss(p, y):
 
 
 class Lexicon:
-    """Weights of words (64-bit hashes) for one class of rows against the others, and the threshold above which a text is of that class."""
+    """Weights of words (32 bits of their hashes) for one class of rows against the others, and the threshold above which a text is of that class."""
 
     def __init__(self, words: list[np.ndarray], y: np.ndarray, keep: float = 0.9995):
         """words: the distinct words of each row."""
-        self.word, self.weight, self.threshold = np.zeros(0, np.uint64), np.zeros(0), np.inf
+        self.word, self.weight, self.threshold = np.zeros(0, np.uint32), np.zeros(0), np.inf
         held = np.arange(len(y)) % 4 == 0
         if len(y) < 20 or y[~held].min() == y[~held].max():
             return
@@ -254,14 +255,14 @@ _SPARSE = [(c, pa.list_(t)) for c, t in (("tc", pa.int32()), ("tv", pa.float32()
 
 def _features(rows: DataFrame):
     """Rows (doc_id, th, y, toxic) of a bounded table with their features, on the driver, in the order of doc_id and th."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("y", pa.float64()), ("toxic", pa.float64()), ("words", pa.list_(pa.int64())), *_SPARSE])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("y", pa.float64()), ("toxic", pa.float64()), ("words", pa.list_(pa.int32())), *_SPARSE])
 
     def run(batches):
         for b in _text.pieces(batches):
             lists = {}
             buf, offs = _text.column_bytes(b.column("text"))
             h, first = bare_words(buf, offs)
-            own = [np.unique(h[s:e]).view(np.int64) for s, e in zip(first[:-1], first[1:], strict=True)]
+            own = [np.unique(h[s:e]).view(np.int32) for s, e in zip(first[:-1], first[1:], strict=True)]
             for name, (rows, cols, values) in (("t", text_features(buf, offs)), ("m", meta_features(b))):
                 order = np.argsort(rows, kind="stable")
                 at = pa.array(np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32))
@@ -269,8 +270,8 @@ def _features(rows: DataFrame):
                 lists[name + "v"] = pa.ListArray.from_arrays(at, pa.array(values[order].astype(np.float32)))
             yield _text.batch_of(schema, **{c: b.column(c) for c in ("doc_id", "th", "y", "toxic")}, words=own, **lists)
 
-    ddl = "doc_id long, th long, y double, toxic double, words array<long>, tc array<int>, tv array<float>, mc array<int>, mv array<float>"
-    table = rows.mapInArrow(run, ddl).dropDuplicates(["doc_id", "th"]).toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
+    ddl = "doc_id long, th long, y double, toxic double, words array<int>, tc array<int>, tv array<float>, mc array<int>, mv array<float>"
+    table = rows.mapInArrow(run, ddl).dropDuplicates(["doc_id", "th"]).orderBy("doc_id", "th").toArrow()  # of bounded size
 
     def matrix(c, v):
         lists = table.column(c).combine_chunks()
@@ -303,7 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     table, xt, xm = _features(view.join(F.broadcast(chosen), ["doc_id", "th"]))
     if not table.num_rows:
         return None
-    y = table.column("y").to_numpy()
+    y, toxic = table.column("y").to_numpy(), table.column("toxic").fill_null(0.0).to_numpy()
+    words = table.column("words").combine_chunks()
+    at, flat = words.offsets.to_numpy(), words.flatten().to_numpy().view(np.uint32)
+    lexicon = Lexicon([flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], toxic)
+    del table, words, at, flat
     used: list[DataFrame] = []
 
     def confident(views, good):
@@ -347,10 +352,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
 
     model = cotrain(xt, xm, y, confident, rounds)
     if model is not None:
-        words = table.column("words").combine_chunks()
-        at = words.offsets.to_numpy()
-        flat = words.flatten().to_numpy().view(np.uint64)
-        model.toxic = Lexicon([flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], table.column("toxic").fill_null(0.0).to_numpy())
+        model.toxic = lexicon
+    del xt, xm
+    _text.trim()
     return model
 
 
