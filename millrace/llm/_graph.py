@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._store import forget, stored
+from millrace.llm._store import forget, spread_join, stored
 
 #: Edges (16 bytes each) that one task may hold.
 SMALL = 100_000
@@ -36,27 +36,34 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _block_forest(frames):
-    held: list[np.ndarray] = []
+EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def flush():
-        both = np.concatenate(held)
-        x, y = forest(both[:, 0], both[:, 1])
-        return np.column_stack([x, y])
+
+def _block_forest(batches):
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def reduced():
+        x, y = (np.concatenate(c) for c in zip((u, v), *held, strict=True))
+        held.clear()
+        return forest(x, y)
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=EDGES)
 
     rows = 0
-    for f in frames:
-        held.append(f[["u", "v"]].to_numpy(np.int64))
-        rows += len(f)
+    for b in batches:
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+        rows += b.num_rows
         if rows > 1_000_000:
-            both = flush()
-            if len(both) > 800_000:  # a forest of that many nodes goes on as it is
-                yield pd.DataFrame(both, columns=["u", "v"])
-                held, rows = [], 0
-            else:
-                held, rows = [both], len(both)
+            u, v = reduced()
+            if len(u) > 800_000:  # a forest of that many nodes goes on as it is
+                yield out()
+                u, v = u[:0], v[:0]
+            rows = len(u)
     if rows:
-        yield pd.DataFrame(flush(), columns=["u", "v"])
+        u, v = reduced()
+        yield out()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,18 +77,19 @@ def components(edges: DataFrame) -> DataFrame:
     an empty table.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    now = stored(edges.mapInPandas(_block_forest, "u long, v long"))
-    if now.count() <= SMALL:
-        return stored(now.coalesce(1).mapInPandas(_block_forest, "u long, v long"))
+    now = stored(edges.mapInArrow(_block_forest, "u long, v long"))
+    size = now.count()
+    if size <= SMALL:
+        return stored(now.coalesce(1).mapInArrow(_block_forest, "u long, v long"))
     seen = None
     while True:  # ends: each round lowers some label until none can be lowered
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low, ["u"], ["v"], 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            spread_join(down, low, ["u"], ["v"], 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
@@ -91,4 +99,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
         if state == seen or not state[0]:
             return now
-        seen = state
+        seen, size = state, state[0]

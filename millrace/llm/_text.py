@@ -72,6 +72,7 @@ worker_caches: list[dict] = []
 
 def trim() -> None:
     """Give freed memory back to the system, so that a worker that is used again, or the driver, stays small."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # C libraries without it
         ctypes.CDLL(None).malloc_trim(0)
 

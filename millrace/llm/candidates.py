@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _text
 from millrace.llm._graph import components
-from millrace.llm._store import forget, stored
-
-BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
-BLOCK_DDL = "bucket int, block binary"
+from millrace.llm._store import forget, spread_join, stored
+
+BLOCK = pa.schema([("bucket", pa.int32()), ("heavy", pa.bool_()), ("block", pa.binary())])
+BLOCK_DDL = "bucket int, heavy boolean, block binary"
+#: Signatures that a sample finds frequent, at most; their pairs are dealt out by id.
+HEAVY = 10_000
+#: How often a signature must be in the sample, which holds every ``SAMPLED``-th text.
+OFTEN, SAMPLED = 64, 64
+_LOW = np.uint64((1 << 48) - 1)
 #: Pairs that a task gathers before it emits blocks.
 GATHER = 1 << 19
 
@@ -30,8 +35,9 @@ GATHER = 1 << 19
 class Packer:
     """Gathers (signature, id) pairs of a task and turns them into blocks by signature range."""
 
-    def __init__(self, bits: int):
-        self.bits, self.held, self.n = bits, [], 0
+    def __init__(self, bits: int, heavy: np.ndarray = np.zeros(0, np.uint64)):
+        """heavy: sorted signatures, as heavy_signatures() finds them."""
+        self.bits, self.heavy, self.held, self.n = bits, heavy, [], 0
 
     def add(self, sig: np.ndarray, ident: np.ndarray):
         """Blocks to emit now, usually none."""
@@ -44,16 +50,58 @@ class Packer:
             return
         sig, ident = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        order = np.argsort(sig)
-        sig, ident = sig[order], ident[order]
-        bucket = (sig >> np.uint64(64 - self.bits)).astype(np.int64)
-        low = ((sig << np.uint64(self.bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-        row = np.concatenate([low, ident.view(np.uint8).reshape(-1, 8)], axis=1)
+        often = _isin_sorted(self.heavy, sig)
+        yield from self._blocks(sig[~often], ident[~often], (sig[~often] >> np.uint64(64 - self.bits)).astype(np.int64), False)
+        sig, ident = sig[often], ident[often]
+        yield from self._blocks(sig, ident, (_text.mix(ident.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64), True)
+
+    def _blocks(self, sig: np.ndarray, ident: np.ndarray, bucket: np.ndarray, heavy: bool):
+        if not len(sig):
+            return
+        order = np.argsort(bucket if heavy else sig, kind="stable")
+        sig, ident, bucket = sig[order], ident[order], bucket[order]
+        # 48 bits travel: the place among the heavy ones, or the bits after the bucket's
+        part = np.searchsorted(self.heavy, sig).astype(np.uint64) if heavy else _low_bits(sig, self.bits)
+        row = np.concatenate([part.view(np.uint8).reshape(-1, 8)[:, :6], ident.view(np.uint8).reshape(-1, 8)], axis=1)
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         end = np.append(start[1:], len(bucket))
         for i in range(0, len(start), 256):
             part = [row[s:e].tobytes() for s, e in zip(start[i : i + 256], end[i : i + 256], strict=True)]
-            yield _text.batch_of(BLOCK, bucket=bucket[start[i : i + 256]].astype(np.int32), block=part)
+            yield _text.batch_of(BLOCK, bucket=bucket[start[i : i + 256]].astype(np.int32), heavy=[heavy] * len(part), block=part)
+
+
+def _low_bits(sig: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits of a signature after those of its bucket."""
+    return (sig << np.uint64(bits)) >> np.uint64(16)
+
+
+def _isin_sorted(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def heavy_signatures(docs: DataFrame, sign, key: str = "doc_id") -> np.ndarray:
+    """Sorted signatures found ``OFTEN`` times in a sample of ``docs``; ``sign(packer)`` makes the map function.
+
+    They only decide to which tasks pairs go.
+    """
+    schema = pa.schema([("sig", pa.int64())])
+
+    class Every:
+        """Gathers signatures as a Packer does."""
+
+        def add(self, sig, ident):
+            for s in range(0, len(sig), 500_000):
+                yield _text.batch_of(schema, sig=sig[s : s + 500_000].view(np.int64))
+
+        def flush(self):
+            return ()
+
+    some = docs.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SAMPLED)) == 0)
+    counts = some.mapInArrow(sign(Every), "sig long").groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = counts.orderBy(F.desc("n"), "sig").limit(HEAVY).select("sig").toArrow()
+    return np.sort(rows.column("sig").to_numpy().view(np.uint64))
 
 
 def bucket_bits(partitions: int) -> int:
@@ -61,21 +109,30 @@ def bucket_bits(partitions: int) -> int:
     return min(16, max(4, (partitions * 12).bit_length()))
 
 
-def groups(blocks: DataFrame, partitions: int) -> DataFrame:
-    """(sig, id, n): signatures that two or more ids share, with all their ids and how many they are."""
+def groups(blocks: DataFrame, partitions: int, bits: int, heavy: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """(sig, id, n): signatures that two or more ids share, with all their ids and how many they are.
+
+    The ids of heavy signatures are in several tasks, each with its own number.
+    """
     schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
+    code = ((heavy >> np.uint64(64 - bits)) << np.uint64(48)) | _low_bits(heavy, bits)
+
     def reduce(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
         for b in batches:
-            for k, x in zip(b.column("bucket").to_pylist(), b.column("block"), strict=True):
-                held.setdefault(k, []).append(np.frombuffer(x.as_buffer(), np.uint8).copy())
-        for k in sorted(held):
-            row = np.concatenate(held.pop(k)).reshape(-1, 14)
+            for k, h, x in zip(b.column("bucket").to_pylist(), b.column("heavy").to_pylist(), b.column("block"), strict=True):
+                held.setdefault((k, h), []).append(np.frombuffer(x.as_buffer(), np.uint8).copy())
+        for k, often in sorted(held):
+            row = np.concatenate(held.pop((k, often))).reshape(-1, 14)
             sig = np.zeros((len(row), 8), np.uint8)
             sig[:, :6] = row[:, :6]
             sig = sig.view(np.uint64).ravel()
             ident = np.ascontiguousarray(row[:, 6:]).view(np.int64).ravel()
+            if often:
+                pair = np.unique(np.column_stack([sig.view(np.int64), ident]), axis=0)
+                yield _text.batch_of(schema, sig=code[pair[:, 0]].view(np.int64), id=pair[:, 1], n=np.bincount(pair[:, 0])[pair[:, 0]])
+                continue
             order = np.argsort(sig)
             sig, ident = sig[order], ident[order]
             same = sig[1:] == sig[:-1]
@@ -136,8 +193,9 @@ def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     meet in one task and only possible pairs leave it.
     """
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    sizes = rest.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_MEMBERS))).cast("int").alias("blocks"))
-    rows = rest.select("sig", "id", "c").join(sizes, "sig").join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
+    total = rest.count()
+    sizes = rest.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_MEMBERS))).cast("int").alias("blocks"), F.count("*").alias("n"))
+    rows = spread_join(rest.select("sig", "id", "c"), sizes, ["sig"], ["id"], total).drop("n").join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
     mine = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "c", "size", "sketch")
@@ -165,7 +223,7 @@ def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             yield out()
 
     keys = ("sig", "lo", "hi")
-    parts = max(parts, -(-rest.count() // 100_000))
+    parts = max(parts, -(-total // 100_000))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -204,23 +262,28 @@ def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], D
     """
     company = members.groupBy("id").agg(F.sum("n").alias("w"))
     members = stored(members.select("sig", "id").join(company, "id"))
+    total = members.count()
     rank = F.struct("w", F.col("id"))
-    lead = members.groupBy("sig").agg(F.max_by("id", rank).alias("l"))
-    pairs = members.join(lead, "sig").where("id <> l").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
+    lead = members.groupBy("sig").agg(F.max_by("id", rank).alias("l"), F.count("*").alias("n"))
+    pairs = spread_join(members, lead, ["sig"], ["id"], total).where("id <> l")
+    pairs = pairs.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
     edges = None
     for _ in range(rounds):
         good = verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = stored(good if edges is None else edges.unionByName(good))
         comp = components(edges).select(F.col("u").alias("id"), F.col("v").alias("c"))
         now = members.join(comp, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"), F.max_by("c", rank).alias("top")).where("lo <> hi")
-        apart = apart.groupBy("ids").agg(F.min("sig").alias("sig"), F.first("top").alias("top"))  # groups of the same ids once
-        rest = stored(now.join(apart.select("sig", "top"), "sig"))
+        ids = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+        apart = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), ids.alias("ids"), F.max_by("c", rank).alias("top"), F.count("*").alias("n")).where("lo <> hi")
+        apart = apart.groupBy("ids").agg(F.min_by(F.struct("sig", "top", "n"), "sig").alias("x")).select("x.*")  # groups of the same ids once
+        rest = stored(spread_join(now, apart, ["sig"], ["id"], total).drop("n"))
         if not rest.head(1):
             forget(members)
             return edges
-        lead = rest.where("c <> top").groupBy("sig").agg(F.max_by(F.struct("id", "c"), rank).alias("l"))
-        pairs = rest.join(lead, "sig").where("c <> l.c").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+        other = F.when(F.col("c") != F.col("top"), rank)
+        lead = rest.groupBy("sig").agg(F.max_by(F.struct("id", "c"), other).alias("l"), F.count("*").alias("n"))
+        pairs = spread_join(rest, lead, ["sig"], ["id"], total).where("c <> l.c")
+        pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
     forget(members)
     pairs = near_pairs(rest, facts, percent)
     return stored(edges.unionByName(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))))

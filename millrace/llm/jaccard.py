@@ -19,6 +19,7 @@ verification is exact.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 from millrace.llm._graph import components
 from millrace.llm._store import free_name, input_bytes, key_filter, maybe_in, partitions_for, spread_join, stored
-from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, may_link, sketch
+from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, heavy_signatures, linked, may_link, sketch
 from millrace.llm.paragraphs import verified
 
 #: Ratio of the largest to the smallest size of a band.
@@ -223,9 +224,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, det
     largest = every.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     model = spark.sparkContext.broadcast((Plan(int(largest), percent), _common_shingles(docs, shingle)))
 
-    def sign(batches):
+    def sign(make, batches):
         plan, common = model.value
-        packer = Packer(bits)
+        packer = make()
         for b in _text.pieces(batches):
             values, at, ident = _sets(b, shingle)
             _, own = np.unique(ident, return_index=True)
@@ -242,7 +243,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, det
                 yield from packer.add(sig, who)
         yield from packer.flush()
 
-    members = groups(docs.mapInArrow(sign, BLOCK_DDL), parts)
+    heavy = heavy_signatures(docs, lambda every: partial(sign, every))
+    members = groups(docs.mapInArrow(partial(sign, lambda: Packer(bits, heavy)), BLOCK_DDL), parts, bits, heavy)
     sets_schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     facts = every.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

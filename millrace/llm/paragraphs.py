@@ -17,6 +17,7 @@ bits.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _text
 from millrace.llm._graph import components
 from millrace.llm._store import input_bytes, key_filter, maybe_in, partitions_for, spread_join, stored
-from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, linked, sketch
+from millrace.llm.candidates import BLOCK_DDL, Packer, bucket_bits, groups, heavy_signatures, linked, sketch
 from millrace.llm.lines import line_spans
 from millrace.llm.suffixes import _merge, _sliding_minimum
 
@@ -91,8 +92,8 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
             take = pa.array(owner[use])
             yield _text.batch_of(occurrence, d=b.column("doc_id").take(take), th=b.column("th").take(take), pos=pos[use], id=code[use].view(np.int64))
 
-    def sign(batches):
-        packer, seen = Packer(bits), np.zeros(0, np.uint64)
+    def sign(make, batches):
+        packer, seen = make(), np.zeros(0, np.uint64)
         for b in _text.pieces(batches):
             _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
             use = use[np.unique(code[use], return_index=True)[1]]
@@ -105,7 +106,8 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
         yield from packer.flush()
 
     where = stored(_keyed(docs).mapInArrow(scan, "d long, th long, pos long, id long").dropDuplicates(["d", "th", "pos"]))
-    members = groups(_keyed(docs).mapInArrow(sign, BLOCK_DDL), parts)
+    heavy = heavy_signatures(_keyed(docs), lambda every: partial(sign, every))
+    members = groups(_keyed(docs).mapInArrow(partial(sign, lambda: Packer(bits, heavy)), BLOCK_DDL), parts, bits, heavy)
     set_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("s", pa.binary())])
 
     members = stored(members)

@@ -86,8 +86,11 @@ def test_sketch_never_hides_a_link():
     assert not candidates.may_link(candidates.sketch(a), candidates.sketch(rng.integers(0, 1 << 63, 700, dtype=np.uint64)), len(a), 700, 80)
 
 
-def test_a_text_and_many_edits(docs_of):
-    """A group whose members link only through the text they come from."""
+@pytest.mark.parametrize("often", [64, 1])
+def test_a_text_and_many_edits(docs_of, monkeypatch, often):
+    """A group whose members link only through the text they come from; with signatures that a sample finds frequent, too."""
+    monkeypatch.setattr(candidates, "OFTEN", often)
+    monkeypatch.setattr(candidates, "SAMPLED", 64 if often > 1 else 2)
     r = random.Random(3)
     base = prose(70, 200)
     texts = [edited(base, r, 4) for _ in range(40)] + [base] + [edited(base, r, 7) for _ in range(20)]

@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from millrace.llm import paragraphs
+import pytest
+
+from millrace.llm import candidates, paragraphs
 
 from .conftest import prose
 from .test_jaccard import edited, sets
@@ -34,7 +36,10 @@ def test_bands_are_tuned():
     assert 1 - (1 - 0.8**4) ** paragraphs.tuned_bands(80, 0.999) >= 0.999 > 1 - (1 - 0.8**4) ** 13
 
 
-def test_against_brute_force(docs_of):
+@pytest.mark.parametrize("often", [64, 2])
+def test_against_brute_force(docs_of, monkeypatch, often):
+    monkeypatch.setattr(candidates, "OFTEN", often)
+    monkeypatch.setattr(candidates, "SAMPLED", 64 if often > 2 else 1)
     r = random.Random(8)
     base = [prose(k, r.choice([20, 25, 40, 90])) for k in range(8)]
     pick = lambda: r.choice([lambda: r.choice(base), lambda: edited(r.choice(base), r, 1), lambda: edited(r.choice(base), r, 3), lambda: prose(r.randrange(10**6), 25), lambda: "short one"])()
