@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """Give Python workers this package as a zip, once per context, so that it need not be installed on executors."""
     context = spark.sparkContext
     if spark.conf.get(BATCH_ROWS) == "10000":  # only Spark's own default is changed
-        spark.conf.set(BATCH_ROWS, "2000")
+        spark.conf.set(BATCH_ROWS, "1000")
     if not getattr(context, "_millrace_shipped", False):
         root = Path(__file__).resolve().parent
         path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
