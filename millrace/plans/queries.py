@@ -17,10 +17,11 @@ from millrace.functions import deck as D
 from millrace.functions import hashing as H
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
-from millrace.functions.python import edit_distance
+from millrace.functions.python import depth_bucket, edit_distance, tree_columns
 from millrace.operators import admit as A
 from millrace.operators import dedupe, monitor, report, retrieve, review, sample, sft, split
-from millrace.plans import corpus, evaluate, reviews
+from millrace.plans import corpus, curriculum, evaluate, reviews
+from millrace.sources import records
 from millrace.streaming import incremental
 
 QUERIES: dict = {}
@@ -625,3 +626,99 @@ def q55_failure_archive(spark, d):
     cases = reviews.failure_cases(predictions, scored.select(F.col("doc_id").alias("id"), "lang"), ["id"], 25)
     manifest = reviews.failure_manifest(cases).withColumn("name", F.lit(None).cast("string"))
     return manifest.unionByName(cases.select("failure_type", F.lit(1).cast("bigint").alias("n"), "name"))
+
+
+# -- sources, prompts, trees and paths -----------------------------------------------------------------------------------
+
+
+@query("""select event_id, case when event_id % 7 = 0 then 'header' when event_id % 11 = 0 then 'statement' when event_id % 13 = 0 then 'unterminated' end as error,
+    case when event_id % 7 > 0 and event_id % 11 > 0 and event_id % 13 > 0 then '+ ' || event_id || ' 2 0 ' || user_id || ' 9' || chr(10) || lpad((event_id % 999)::varchar, 4, '0') || '+ y1 z c' || user_id || ' f' || chr(10)
+      || '0' || lpad((user_id % 90 + 100)::varchar, 3, '0') || '+ t y1 ff' || chr(10) end as source from events""")
+def q56_normalise_source(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    text = F.concat(
+        F.when(e % 7 == 0, "+ 1 2 3").otherwise(F.concat(F.lit("+   "), e.cast("string"), F.lit(" 02 000\t"), u.cast("string"), F.lit("  9 "))), F.lit("\n\n"),
+        (e % 999).cast("string"), F.lit("   Y1  Z c"), u.cast("string"), F.lit("  F \r\n"), F.when(e % 11 == 0, "no statement\n").otherwise(""),
+        (u % 90 + 100).cast("string"), F.lit("+ T\ty1 "), F.when(e % 13 == 0, "f").otherwise("FF"), F.lit("\nleft over"),
+    )
+    # what is left over counts only where nothing ended the program
+    text = F.when(e % 13 == 0, F.regexp_replace(text, "\nleft over$", "")).otherwise(text)
+    out = T.normalise_source(text)
+    return _t(spark, d, "events").select("event_id", out["error"].alias("error"), out["text"].alias("source"))
+
+
+@query("""select event_id, sha256(event_type || chr(10) || user_id || chr(10) || sha256(props) || chr(10) || sha256(event_type) || chr(10) || coalesce(case when event_id % 3 > 0 then 'p' end, null)) as id from events""")
+def q57_record_id(spark, d):
+    deck = F.when(F.col("event_id") % 3 > 0, "p")
+    return _t(spark, d, "events").select("event_id", H.record_id("event_type", "user_id", H.sha256("props"), H.sha256("event_type"), deck).alias("id"))
+
+
+@query("""select event_id, case when event_id % 4 = 3 then event_type || ' ' || user_id else '  ' || event_type || chr(10) || user_id end as deck,
+    case when event_id % 4 = 0 then 'because ' || user_id else '' end as trace, case when event_id % 2 = 0 then props end as source from events""")
+def q58_completions(spark, d):
+    e = F.col("event_id")
+    body = F.concat(F.lit("  "), "event_type", F.lit("\n"), F.col("user_id").cast("string"))
+    said = (
+        F.when(e % 4 == 0, F.concat(F.lit("because "), F.col("user_id").cast("string"), F.lit(" <PIT>\n"), body, F.lit("\n</PIT> done")))
+        .when(e % 4 == 1, F.concat(F.lit("<PIT>\n"), body, F.lit("\n</PIT>"))).when(e % 4 == 2, F.concat(F.lit("<PIT>\n"), body))
+        .otherwise(F.concat("event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit("</PIT> more")))
+    )
+    asked = F.when(e % 2 == 0, T.prompt(F.concat("props", F.lit("\n")), "system")).otherwise("no source here")
+    return _t(spark, d, "events").select("event_id", T.completion_deck(said).alias("deck"), T.thinking_trace(said).alias("trace"), T.source_of_prompt(asked).alias("source"))
+
+
+@query("""select event_id, case when event_id % 5 < 4 then (event_id % 5)::int end as depth, event_id % 5 in (2, 3) and event_id % 2 = 0 as indexed, event_id % 5 < 4 and event_id % 3 = 0 as loop,
+    case event_id % 5 when 0 then '1' when 1 then '1' when 2 then '2' when 3 then '3' else 'unknown' end as bucket from events""")
+def q59_tree_facts(spark, d):
+    e = F.col("event_id")
+    subscript = F.when(e % 2 == 0, '{"lhs":{"value":1},"rhs":{"value":2}}').otherwise('{"value":1}')
+    leaf = F.concat(F.lit('{"cls":"c","index":'), F.when(e % 5 >= 2, subscript).otherwise('{"value":3}'), F.lit("}"))
+    # a subscript with two sides is one level itself
+    less = F.when((e % 2 == 0) & (e % 5 >= 2), 1).otherwise(0)
+    tree = leaf
+    for k in (1, 2, 3):
+        tree = F.when(e % 5 - less >= k, F.concat(F.lit('{"lhs":{"value":1},"rhs":'), tree, F.lit("}"))).otherwise(tree)
+    loop = F.when(e % 3 == 0, ',{"end_stmt":3,"loop_var":{"value":1}}').otherwise("")
+    # an expression counts one level only where it is a member, so statements hold their sides themselves
+    text = F.concat(F.lit('{"statements":['), tree, loop, F.lit("]}"))
+    out = tree_columns(F.when(e % 5 == 4, "{broken").otherwise(text))
+    rows = _t(spark, d, "events").select("event_id", out.alias("t"))
+    return rows.select("event_id", "t.depth", "t.indexed", "t.loop", depth_bucket("t.depth").alias("bucket"))
+
+
+@query("""select event_id, case when event_id % 2 = 0 then '/data/' || event_type else '/base/x/' || event_type end as path, case when event_id % 3 = 0 then '/new/' || user_id else '/other/' || user_id end as moved,
+    (case when event_id % 5 = 0 then -1 else 1 end) * user_id as accumulator, case when event_id % 4 > 0 then event_id % 50 end as done, case when event_id % 4 > 0 then 50 end as total from events""")
+def q60_paths_and_logs(spark, d):
+    e = F.col("event_id")
+    path = F.concat(F.when(e % 2 == 0, "/data/").otherwise("x/"), "event_type")
+    moved = F.concat(F.when(e % 3 == 0, "/old/").otherwise("/other/"), F.col("user_id").cast("string"))
+    log = F.when(e % 4 > 0, F.concat(F.lit("start 1/50\n"), (e % 50).cast("string"), F.lit("/50 steps\nwaiting"))).otherwise("nothing yet")
+    signed = F.concat(F.col("user_id").cast("string"), F.when(e % 5 == 0, "-").otherwise("+"))
+    rows = _t(spark, d, "events").select("event_id", records.resolve_path(path, "/base/").alias("path"), F.struct(moved.alias("to")).alias("m"), T.signed_accumulator(signed).alias("accumulator"), T.last_progress(log).alias("p"))
+    return records.rewrite_prefix(rows, ["m.to"], "/old", "/new").select("event_id", "path", F.col("m.to").alias("moved"), "accumulator", "p.done", "p.total")
+
+
+@query("select doc_id, n_chars from documents where n_chars > 3000")
+def q61_over_budget(spark, d):
+    return report.over_budget(_t(spark, d, "documents"), "doc_id", "n_chars", 3000)
+
+
+@query("""with s as (select doc_id, source, lang, n_chars from documents), k as (select distinct source from s where lang = 'en'),
+    j as (select doc_id, source, case when n_chars % 2 = 0 then 'complete' when n_chars % 3 = 0 then 'running' end as status from s)
+  select doc_id, status from j where source not in (select source from k) and coalesce(status <> 'complete', true)""")
+def q62_detached(spark, d):
+    docs = _t(spark, d, "documents")
+    status = F.when(F.col("n_chars") % 2 == 0, "complete").when(F.col("n_chars") % 3 == 0, "running")
+    jobs = docs.select("doc_id", "source", status.alias("status"))
+    return monitor.detached(jobs, docs.where("lang = 'en'"), "source").select("doc_id", "status")
+
+
+@query("""with t as (select doc_id, lang, source from documents), p as (select doc_id, lang, source from t where doc_id % 4 > 0),
+    a as (select *, row_number() over (partition by lang order by sha256('c:s100_en_e12:train:' || lang || ':' || source || ':' || doc_id), doc_id) - 1 as rn from p),
+    w as (select *, rn // (case when upper(lang) = 'EN' then 4 else 1 end) as turn from a)
+  select doc_id, lang from w order by turn, lang, rn limit 100""")
+def q63_curriculum_step(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "source")
+    step = curriculum.Step(100, 12, {"EN": 4})
+    train, _ = curriculum.step_tables(step, docs.where("doc_id % 4 > 0"), [docs.where("doc_id % 4 = 0")], "c", ident="source", key="doc_id", band="lang")
+    return train.select("doc_id", "lang")
