@@ -145,3 +145,9 @@ def total_seconds(generation, evaluation) -> Column:
 def iso_seconds(time) -> Column:
     """A timestamp in the session's time zone, to the second, with its offset."""
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def mode_metrics(df: DataFrame, modes: list[str], metrics: tuple[str, ...] = METRICS, mode: str = "mode") -> DataFrame:
+    """(mode, metrics) of the given modes that have a report, that is any metric at all."""
+    some = F.coalesce(*(F.col(m).cast("string") for m in metrics)).isNotNull()
+    return df.where(F.col(mode).isin(modes) & some).select(mode, *metrics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -108,3 +110,41 @@ def source_lock(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+#: Text fields and number fields of a saved job (fixed names).
+JOB_FIELDS = ("name", "run_mode", "dataset_name", "dataset_index", "remote_output", "local_output", "pod_id", "status")
+JOB_NUMBERS = ("limit", "example_count")
+
+
+def job_metadata(spark: SparkSession, path: str, name: str = ".runpod_job.json") -> DataFrame:
+    """Saved jobs below a folder: path and fields; of several files of one local_output the last by path holds, those without one are dropped.
+
+    Spark's sources pass over names that begin with a dot, so the driver lists and reads these few small files itself.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, rows = fs.listFiles(top, True), []
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName() == name:
+            stream = fs.open(at)
+            try:
+                rows.append((at.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    found = spark.createDataFrame(rows, "path string, text string").select("path", F.try_parse_json("text").alias("body")).where(F.col("body").isNotNull())
+    fields = [F.try_variant_get("body", f"$.{f}", "string").alias(f) for f in JOB_FIELDS] + [F.try_variant_get("body", f"$.{f}", "bigint").alias(f) for f in JOB_NUMBERS]
+    rows = found.select("path", *fields).where(F.coalesce("local_output", F.lit("")) != "")
+    return rows.groupBy("local_output").agg(F.max_by(F.struct("path", *(f for f in (*JOB_FIELDS, *JOB_NUMBERS) if f != "local_output")), "path").alias("j")).select("local_output", "j.*")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """A small JSON object; a missing file is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    made = json.loads(spark.read.text(path, wholetext=True).first().value)
+    if not isinstance(made, dict):
+        raise ValueError(f"{path} is no JSON object")
+    return made

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Iterator
@@ -117,6 +118,29 @@ def slice_dataset(splits: dict[str, DataFrame], target: str, limits: dict[str, i
     return index
 
 
+def archive_dataset(splits: dict[str, DataFrame], columns: list[str], target: str) -> str:
+    """Write only the given columns of the chosen splits below ``target``/<fingerprint>, unless they are there; returns that folder.
+
+    The fingerprint covers the columns, the split names and the rows of each,
+    whatever their order, so an equal archive is written once.
+    """
+    spark = next(iter(splits.values())).sparkSession
+    parts = []
+    for name, df in sorted(splits.items()):
+        row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+        # sums of 60 bits of each row's digest do not depend on the order and need no sort
+        bits = [F.conv(F.substring(row, k, 15), 16, 10).cast("decimal(38,0)") for k in (1, 16, 31)]
+        parts.append([name, *map(str, df.agg(F.count("*"), *(F.sum(b) for b in bits)).first())])
+    mark = hashlib.sha256(json.dumps([columns, parts]).encode()).hexdigest()[:16]
+    folder = f"{target}/{mark}"
+    fs, done = _path(spark, f"{folder}/manifest.json")
+    if not fs.exists(done):
+        for name, df in splits.items():
+            df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}")
+        write_text(spark, f"{folder}/manifest.json", json.dumps({"columns": columns, "rows": {p[0]: int(p[1]) for p in parts}}, indent=2, sort_keys=True))
+    return folder
+
+
 class Locked(RuntimeError):
     """Another writer holds the path."""
 

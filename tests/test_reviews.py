@@ -109,6 +109,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.copy_files(spark, [f"{top}/x.txt", f"{top}/none.txt"], f"{top}/copy") == [f"{top}/copy/x.txt"] and sinks.read_text(spark, f"{top}/copy/x.txt") == "hello"
 
 
+def test_saved_jobs_manifests_and_dataset_archives(spark, tmp_path):
+    top = f"file://{tmp_path}"
+    for k, body in enumerate(['{"local_output": "a", "name": "old", "limit": 3}', '{"local_output": "a", "name": "new", "status": "running"}', "{broken", '{"name": "none"}', '{"local_output": "b"}']):
+        (tmp_path / "jobs" / f"j{k}").mkdir(parents=True)
+        (tmp_path / "jobs" / f"j{k}" / ".runpod_job.json").write_text(body)
+    got = {r.local_output: r for r in records.job_metadata(spark, f"{top}/jobs").collect()}
+    assert set(got) == {"a", "b"} and (got["a"].name, got["a"].status, got["a"].limit) == ("new", "running", None)
+    df = spark.createDataFrame([(i, f"t{i}", None) for i in range(20)], "id long, text string, other string")
+    folder = sinks.archive_dataset({"train": df, "dev": df.limit(3)}, ["id", "text"], f"{top}/arch")
+    assert sinks.archive_dataset({"dev": df.limit(3), "train": df.repartition(3)}, ["id", "text"], f"{top}/arch") == folder
+    assert sinks.archive_dataset({"train": df.where("id > 0"), "dev": df.limit(3)}, ["id", "text"], f"{top}/arch") != folder
+    assert records.read_manifest(spark, f"{folder}/manifest.json")["rows"] == {"dev": 3, "train": 20} and spark.read.parquet(f"{folder}/train").columns == ["id", "text"]
+    with pytest.raises(FileNotFoundError):
+        records.read_manifest(spark, f"{top}/none.json")
+
+
 def test_report_pieces(spark):
     df = spark.createDataFrame([(3, "b", "z"), (1, "b", None), (2, "b", ""), (4, "a", "q"), (5, "a", "r")], "pos int, k string, mode string")
     assert {r.k: r.mode for r in report.first_value(df, "mode", ["pos"], ["k"]).collect()} == {"a": "q", "b": "z"} and report.first_value(df, "mode", ["pos"]).first().mode == "z"
@@ -117,6 +133,8 @@ def test_report_pieces(spark):
     row = spark.sql("select timestamp'2024-01-02 03:04:05.5' as a, timestamp'2024-01-02 03:04:07' as b")
     got = row.select(report.elapsed("a", "b").alias("e"), report.iso_seconds("a").alias("i"), report.total_seconds(F.lit(1.5), F.lit(None)).alias("t")).first()
     assert (got.e, got.i, got.t) == (1.5, "2024-01-02T03:04:05Z", 1.5)
+    modes = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.1)], "mode string, exact_match double")
+    assert [(r.mode, r.exact_match) for r in report.mode_metrics(modes, ["a", "b"], ("exact_match",)).collect()] == [("a", 0.5)]
     assert [T.rate_slug(x) for x in (0.0002, 1e-5, 2.0)] == ["0p0002", "1em05", "2"]
     cards = spark.createDataFrame([("x 1234 60 0001 0002 ",), ("1234 6 0001 0002",), (None,)], "c string")
     assert [r.o for r in cards.select(T.symbolic_location("c").alias("o")).collect()] == [1234, None, None]
