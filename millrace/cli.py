@@ -181,6 +181,15 @@ def ablation(spark, a):
     return {"rows": _rows(report.pair_deltas(read(spark, a.input), a.by, a.flag, a.metrics.split(",")))}
 
 
+@command("write-research-report", PREDS, option("--title", default="Training Report"), option("--training", help="JSON object"), OUT)
+def research_report(spark, a):
+    """Rates, failures and differences of each mode's scored predictions, as Markdown."""
+    training = records.read_manifest(spark, a.training) if a.training else {}
+    text = reviews.training_report(read(spark, a.predictions), a.title, training)
+    sinks.write_text(spark, a.output, text)
+    return {"output": a.output}
+
+
 @command("canonicalize-pit", option("--decks", required=True, help="folder of deck files"), option("--collapse", action="store_true"), OUT)
 def canonicalise(spark, a):
     """Decks without trailing blanks and blank edge cards."""

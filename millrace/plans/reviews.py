@@ -8,6 +8,7 @@ band review, features.  Both have one row for each id.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -77,6 +78,7 @@ def band_review(predictions: DataFrame, references: DataFrame, bands: list[str],
     return Review(cases, by_band.groupBy("category").agg(F.sum("n").alias("n")), by_band, features, _numbered(chosen))
 
 
+# The headings and bullets of the reports.
 def markdown(found: Review, title: str, categories: list[str], bands: list[str] | None = None, advice: list[str] = ()) -> str:
     """The report of a review: its counts are a few rows, its cases at most the chosen ones."""
     counts = {r.category: r.n for r in found.counts.collect()}
@@ -122,3 +124,34 @@ def failure_cases(predictions: DataFrame, references: DataFrame, order: list[str
 def failure_manifest(cases: DataFrame) -> DataFrame:
     """(failure_type, n), with the number of all cases where failure_type is null."""
     return cases.rollup("failure_type").agg(F.count("*").alias("n"))
+
+
+#: Modes in the order of reports, the base of the differences, and short names of the rates (fixed values).
+REPORT_MODES, BASE_MODE = ("zero_shot", "few_shot", "fine_tuned"), "zero_shot"
+RATES = {"exact": "exact_match", "assemblability": "assemblable", "functional": "functional", "per_card": "per_card_exact", "edit_distance": "normalized_edit_distance"}
+
+
+def mode_rates(scored: DataFrame, modes: tuple[str, ...] = REPORT_MODES) -> DataFrame:
+    """(mode, n, rates, differences to the base mode, failures: failure_type -> n) of scored predictions with a mode."""
+    rows = scored.where(F.col("mode").isin(list(modes)))
+    kind = F.coalesce("failure_type", F.lit("unclassified"))
+    kinds = rows.groupBy("mode", kind.alias("kind")).agg(F.count("*").alias("k")).groupBy("mode").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "k")))).alias("failures"))
+    rates = rows.groupBy("mode").agg(F.count("*").alias("n"), *(report.rate(m).alias(m) for m in RATES.values()))
+    base = rates.where(F.col("mode") == BASE_MODE).count()  # one row or none
+    rates = report.deltas(rates, "mode", BASE_MODE, list(RATES.values())) if base else rates
+    return rates.join(kinds, "mode")
+
+
+def training_report(scored: DataFrame, title: str, training: dict[str, object], modes: tuple[str, ...] = REPORT_MODES) -> str:
+    """Markdown: what was trained, each mode's rates and failures, and the differences to the base mode; one row for each mode."""
+    rows = {r["mode"]: r.asDict() for r in mode_rates(scored, modes).collect()}
+    lines = [f"# {title}", "", "## Training", "", *(f"- {k}: {v}" for k, v in training.items()), "", "## Mode Metrics", ""]
+    for m in modes:
+        r = rows.get(m, {})
+        shown = ", ".join(f"{short}={r.get(c) or 0.0:.3f}" for short, c in RATES.items())
+        lines += [f"### {m}", "", f"- predictions: {r.get('n', 0)}", f"- metrics: {shown}", f"- failure_taxonomy: {json.dumps(r.get('failures') or {}, sort_keys=True)}", ""]
+    lines += ["## Baseline Delta", ""]
+    for m in modes:
+        r = rows.get(m, {})
+        lines += [f"### {m}", ""] + [f"- {c}: value={r.get(c)}, delta_vs_{BASE_MODE}={r.get(f'delta_{c}')}" for c in RATES.values() if f"delta_{c}" in r] + [""]
+    return "\n".join(lines)

@@ -109,6 +109,20 @@ def test_sinks(spark, tmp_path):
     assert sinks.copy_files(spark, [f"{top}/x.txt", f"{top}/none.txt"], f"{top}/copy") == [f"{top}/copy/x.txt"] and sinks.read_text(spark, f"{top}/copy/x.txt") == "hello"
 
 
+def test_training_report(spark, tmp_path):
+    rows = [("zero_shot", True, "exact_match"), ("zero_shot", False, None), ("fine_tuned", True, "exact_match"), ("other", True, "x")]
+    scored = spark.createDataFrame(rows, "mode string, exact_match boolean, failure_type string").withColumns({"assemblable": F.col("exact_match"), "functional": F.col("exact_match"), "per_card_exact": F.lit(0.5), "normalized_edit_distance": F.lit(0.25)})
+    got = {r["mode"]: r for r in reviews.mode_rates(scored).collect()}
+    assert set(got) == {"zero_shot", "fine_tuned"} and got["fine_tuned"].delta_exact_match == 0.5 and got["zero_shot"].delta_exact_match is None
+    assert got["zero_shot"].failures == {"exact_match": 1, "unclassified": 1}
+    scored.write.parquet(f"file://{tmp_path}/s")
+    (tmp_path / "t.json").write_text('{"train_examples": 9}')
+    cli.main(["write-research-report", "--predictions", f"file://{tmp_path}/s", "--training", f"file://{tmp_path}/t.json", "--output", f"file://{tmp_path}/r.md"], spark)
+    text = (tmp_path / "r.md").read_text()
+    assert "- train_examples: 9" in text and "exact=0.500, assemblability=0.500" in text and "- exact_match: value=1.0, delta_vs_zero_shot=0.5" in text and "### few_shot" in text
+    assert "delta" not in reviews.training_report(scored.where("mode = 'fine_tuned'"), "x", {}).split("## Baseline Delta")[1]
+
+
 def test_saved_jobs_manifests_and_dataset_archives(spark, tmp_path):
     top = f"file://{tmp_path}"
     for k, body in enumerate(['{"local_output": "a", "name": "old", "limit": 3}', '{"local_output": "a", "name": "new", "status": "running"}', "{broken", '{"name": "none"}', '{"local_output": "b"}']):
