@@ -34,6 +34,8 @@ MAX_LABELLED = 6000
 ROUNDS = 3
 #: Rows that each view hands to the other in a round.
 HANDED = 300
+#: Cost of rejecting a good labelled row, in bad rows kept.
+GOOD_COST = 5.0
 #: Words of the lexicon at most.
 LEXICON = 4096
 
@@ -149,10 +151,23 @@ def _loss(p, y):
     return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
 
+def cheapest_cut(badness: np.ndarray, bad: np.ndarray) -> float:
+    """The value above which to reject at the lowest cost: one for a bad row that stays, ``GOOD_COST`` for a good row that goes.
+
+    It lies between two values; of equal costs the one that rejects least.
+    """
+    values = np.unique(badness)
+    gone = len(badness) - bad.sum() - np.searchsorted(np.sort(badness[~bad]), values, "right")
+    stay = np.searchsorted(np.sort(badness[bad]), values, "right")
+    cost = GOOD_COST * gone + stay
+    best = len(values) - 1 - int(np.argmin(cost[::-1]))
+    return float(values[best] if best == len(values) - 1 else (values[best] + values[best + 1]) / 2)
+
+
 class Lexicon:
     """Weights of words (32 bits of their hashes) for one class of rows against the others, and the threshold above which a text is of that class."""
 
-    def __init__(self, words: list[np.ndarray], y: np.ndarray, keep: float = 0.9995):
+    def __init__(self, words: list[np.ndarray], y: np.ndarray):
         """words: the distinct words of each row."""
         self.word, self.weight, self.threshold = np.zeros(0, np.uint32), np.zeros(0), np.inf
         held = np.arange(len(y)) % 4 == 0
@@ -169,8 +184,7 @@ class Lexicon:
         self.word, self.weight = inside[0][best], weight[best]
         sizes = np.array([0, *(len(w) for w in words)])
         own = self.score(np.concatenate(words), np.cumsum(sizes))
-        clean = own[held & (y == 0)]
-        self.threshold = max(float(np.quantile(clean, keep)) if len(clean) else 0.0, 1.0)
+        self.threshold = max(cheapest_cut(own[held], y[held] == 1), 1.0)
 
     def score(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Weight of the strongest word of each text ``h[first[i]:first[i + 1]]``."""
@@ -207,7 +221,7 @@ def _joined(a, b):
     return np.concatenate([a[0], b[0] + a[3]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]]), a[3] + b[3]
 
 
-def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS, keep_good: float = 0.998) -> CoTrained | None:
+def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS) -> CoTrained | None:
     """Fit both views on labelled rows (xt, xm, y) and on the rows that each hands to the other; None without both classes.
 
     ``confident(views, good)`` takes (model, slope, intercept) of the text and
@@ -220,17 +234,19 @@ def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS, keep_good: f
     if y[held].min() == y[held].max():
         return None
     lt, lm, ly = _rows(xt, ~held), _rows(xm, ~held), y[~held]
+    ht, hm = _rows(xt, held), _rows(xm, held)
     data = [(lt, ly, np.ones(len(ly))), (lm, ly, np.ones(len(ly)))]
     dims = (TEXT_DIMS + SHAPES, META_DIMS)
     for step in range(rounds + 1):
         text, meta = (Linear(d).fit(*own) for own, d in zip(data, dims, strict=True))
         if step == rounds:
             break
-        views = [(view, *_calibrate(view.logit(own), ly)) for view, own in ((text, lt), (meta, lm))]
+        # sureness is measured on rows that the views were not fitted on
+        views = [(view, *_calibrate(view.logit(own), y[held])) for view, own in ((text, ht), (meta, hm))]
         more = confident(views, float(ly.mean()))
         data = [(_joined(x, new), np.concatenate([z, label]), np.concatenate([w, np.full(len(label), 0.5)])) for (x, z, w), (new, label) in zip(data, more, strict=True)]
     yh = y[held]
-    zt, zm = text.logit(_rows(xt, held)), meta.logit(_rows(xm, held))
+    zt, zm = text.logit(ht), meta.logit(hm)
     ct, cm = _calibrate(zt, yh), _calibrate(zm, yh)
     zt, zm = ct[0] * zt + ct[1], cm[0] * zm + cm[1]
     base = _loss(np.full(len(yh), yh.mean()), yh)
@@ -238,8 +254,7 @@ def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS, keep_good: f
     weights = gain / max(gain.max(), 1e-9)
     prior = float(np.log(yh.mean() / (1 - yh.mean())))
     model = CoTrained(text, meta, ct, cm, weights, 0.5, prior)
-    good = np.sort(model.combined(zt, zm)[yh > 0])
-    model.threshold = float(min(0.5, good[int((1 - keep_good) * len(good))]))
+    model.threshold = min(0.5, -cheapest_cut(-model.combined(zt, zm), yh == 0))
     return model
 
 

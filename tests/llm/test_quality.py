@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -91,3 +92,28 @@ def test_odd_rows(labelled, odd):
     assert rows[1].kept and rows[2].kept and rows[3].kept and len(rows) == 10
     kept = quality.score(odd, model, keep_columns=True)
     assert kept.columns == odd.columns and {1, 2, 3} <= {r.doc_id for r in kept.collect()}
+
+
+def test_cheapest_cut():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(r.integers(2, 30))
+        score, bad = r.integers(0, 8, n) / 2.0, r.random(n) < 0.4
+        t = quality.cheapest_cut(score, bad)
+        cost = lambda t: quality.GOOD_COST * ((score > t) & ~bad).sum() + ((score <= t) & bad).sum()
+        assert cost(t) == min(cost(x) for x in score) and t <= score.max()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_labels_that_the_fit_has_not_seen(spark):
+    """Fitted on every other label of the real table, judged on the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    rest = labels.where("doc_id % 2 = 1").select("doc_id", "quality", (labels["toxic"] == 1).alias("is_toxic"))
+    rows = quality.score(docs, model).join(rest, "doc_id").collect()
+    share = lambda of, hit: sum(map(hit, own := [r for r in rows if of(r)])) / len(own)
+    assert share(lambda r: r.quality == 1, lambda r: r.score < model.threshold) <= 0.005
+    assert share(lambda r: r.quality == 0, lambda r: r.score < model.threshold) >= 0.88
+    assert share(lambda r: r.is_toxic, lambda r: r.toxic) >= 0.75 and share(lambda r: not r.is_toxic, lambda r: r.toxic) <= 0.01
