@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard, licences, lines, neighbours, paragraphs, pieces, ppm, quality, suffixes
+from millrace.llm import decontaminate, filter_audit, jaccard, licences, lines, neighbours, paragraphs, pieces, ppm, quality, repeats, suffixes, token_counts
 
 
 def _read(spark, sf_dir, table):
@@ -59,8 +59,23 @@ def op10_license_scan(spark, sf_dir):
     return licences.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_word_runs(spark, sf_dir):
+    return repeats.word_runs(_read(spark, sf_dir, "documents"), stretch=True)
+
+
 def queries():
-    every = (op1_suffix_array_dedup, op2_sentencepiece_nbest, op3_ngram_jaccard, op4_embedding_near_dedup, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan)
+    every = (op1_suffix_array_dedup, op2_sentencepiece_nbest, op3_ngram_jaccard, op4_embedding_near_dedup, op5_quality_cotraining, op6_line_dedup, op7_benchmark_decontamination, op8_paragraph_dedup, op9_ppm_scoring, op10_license_scan,
+        op11_token_counts, op12_filter_audit, op13_word_runs)
     return {f.__name__: f for f in every}
 
 
@@ -123,6 +138,24 @@ _OP7 = f"""with sets as materialized ({_sets('documents', 'doc_id')}), items as
   x as (select doc_id, unnest(s) as h from sets), y as (select item_id, len(s) as n_item, unnest(s) as h from items)
   select doc_id, item_id, n_item::bigint as n_item, count(*)::bigint as n_shared from x join y using (h) group by 1, 2, 3 having 100 * count(*) >= 80 * n_item"""
 
+# every document against every order: no cells, no sets of filters
+_OP12 = f"""with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+  w as (select doc_id, part, t, regexp_extract_all(t, '{_WORD}') as w, min(doc_id) over (partition by t) as least from d),
+  m as materialized (select doc_id, part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) as c,
+    regexp_matches(t, '[#$%&*|]') as d, coalesce(doc_id > least, false) as e from w),
+  l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as bad from labels where doc_id is not null group by 1),
+  x as materialized (select part, coalesce(good, false) as good, coalesce(bad, false) as bad,
+    case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end as fails
+    from m left join l using (doc_id)),
+  orders(filter_order) as (select '' union all select filter_order || f from orders, (select unnest(['A', 'B', 'C', 'D', 'E']) as f) where not contains(filter_order, f)),
+  s as (select filter_order, unnest(range(1, 6)) as step from orders where len(filter_order) = 5),
+  y as (select part, filter_order, step, fails, good, bad, filter_order[step] as f,
+    case when fails = '' then 9 else list_min(list_transform(string_split(fails, ''), lambda z: strpos(filter_order, z))) end as gone from x, s),
+  z as (select part, filter_order, step, any_value(f) as f, count(*) filter (gone > step) as kept, count(*) filter (gone = step) as removed,
+    count(*) filter (gone < step and contains(fails, f)) as redundant, count(*) filter (fails = f) as unique_fails, count(*) filter (gone = step and good) as good_lost,
+    count(*) filter (gone = step and bad) as toxic_lost from y group by 1, 2, 3)
+  select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from z"""
+
 
 def oracle_sql():
     """SQL of the operators that it can express: all of them compare whole texts or all pairs of the table.
@@ -132,4 +165,5 @@ def oracle_sql():
     """
     return {
         "op1_suffix_array_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op4_embedding_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_benchmark_decontamination": _OP7,
+        "op12_filter_audit": _OP12,
     }
