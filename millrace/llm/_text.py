@@ -163,7 +163,7 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, size: int = 5):
     factor = [np.uint64(pow(0xD1342543DE82EF95, j + 1, 1 << 64)) for j in range(size)]
     full = np.zeros(max(0, n - size + 1), np.uint64)
     for j in range(size):
-        full += word_hashes[j : n - size + 1 + j] * factor[j]
+        full += word_hashes[j : j + len(full)] * factor[j]
     made = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     out_first = np.zeros(len(first), np.int64)
     np.cumsum(made, out=out_first[1:])

@@ -115,3 +115,35 @@ def test_one_of_each_group_stays(spark):
     either = c if (None, c) in got else c + " y"
     assert got == sorted([(1, a), (2, b), (2, b), (None, either), (3, None), (4, ""), (4, " ")], key=str)
     assert out.columns == docs.columns and jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("several", [False, True])
+@pytest.mark.parametrize("n", range(13))
+def test_shingles_of_pieces_of_few_words(n, several):
+    """A piece of any number of words, in one text or spread over several."""
+    from millrace.llm import _text
+
+    names = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    cuts = sorted({0, *(([1, 3, 4] if several else [])), n} - {x for x in (1, 3, 4) if x > n})
+    for size in (1, 2, 3, 5, 7):
+        s, first = _text.shingles(names, np.array(cuts if n else [0, 0], np.int64), size)
+        sets = [names[a:b] for a, b in zip(cuts, cuts[1:])] if n else [names]
+        assert np.diff(first).tolist() == [max(len(x) - size + 1, min(len(x), 1)) for x in sets]
+        for k, x in enumerate(sets):  # each text gives what it gives alone
+            alone = _text.shingles(np.concatenate([x, np.arange(9, dtype=np.uint64)]), np.array([0, len(x), len(x) + 9]), size)
+            assert s[first[k] : first[k + 1]].tolist() == alone[0][: alone[1][1]].tolist()
+
+
+@pytest.mark.parametrize("texts", [["zz yy xx"], ["ab cd", "ef", None]])
+def test_tables_of_few_words(docs_of, spark, texts):
+    """Tables whose only batch holds very few words, here and in the other users of shingles."""
+    import corpus_pipeline
+    from millrace.llm import decontaminate, paragraphs
+
+    docs = docs_of(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (int(bool(t)), texts.index(t) if t else i) for i, t in enumerate(texts)}
+    items = spark.createDataFrame([(9, "zz yy xx")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated_pairs(docs, items).collect()] == [(i, 9, 1, 1) for i, t in enumerate(texts) if t == "zz yy xx"]
+    assert paragraphs.dedup_paragraphs(docs).count() == len(texts)
+    assert corpus_pipeline.ngram_jaccard(spark, docs, "").count() == len({t for t in texts if t}) + texts.count(None)
