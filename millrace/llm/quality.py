@@ -174,6 +174,8 @@ class Lexicon:
         if len(y) < 20 or y[~held].min() == y[~held].max():
             return
         inside, outside = (np.unique(np.concatenate([words[i] for i in np.flatnonzero(~held & (y == k))]), return_counts=True) for k in (1, 0))
+        if not len(inside[0]) or not len(outside[0]):  # texts without words on one side teach nothing
+            return
         at = np.minimum(np.searchsorted(outside[0], inside[0]), len(outside[0]) - 1)
         other = np.where(outside[0][at] == inside[0], outside[1][at], 0)
         n, m = (y[~held] == 1).sum(), (y[~held] == 0).sum()
@@ -250,7 +252,7 @@ def cotrain(xt, xm, y: np.ndarray, confident, rounds: int = ROUNDS) -> CoTrained
     ct, cm = _calibrate(zt, yh), _calibrate(zm, yh)
     zt, zm = ct[0] * zt + ct[1], cm[0] * zm + cm[1]
     base = _loss(np.full(len(yh), yh.mean()), yh)
-    gain = np.array([max(0.0, base - _loss(1 / (1 + np.exp(-z)), yh)) for z in (zt, zm)])
+    gain = np.array([max(0.0, base - _loss(1 / (1 + np.exp(-np.clip(z, -30, 30))), yh)) for z in (zt, zm)])
     weights = gain / max(gain.max(), 1e-9)
     prior = float(np.log(yh.mean() / (1 - yh.mean())))
     model = CoTrained(text, meta, ct, cm, weights, 0.5, prior)
@@ -401,7 +403,7 @@ def score(docs: DataFrame, model: CoTrained | None, keep_columns: bool = False)
         blank = np.bincount(np.repeat(np.arange(b.num_rows), np.diff(offs))[~_text.SPACE[buf]], minlength=b.num_rows) == 0
         zt[blank] = m.prior
         p = m.combined(zt, zm)
-        return 1 / (1 + np.exp(-zt)), 1 / (1 + np.exp(-zm)), p, toxicity, ((p >= m.threshold) & (toxicity <= 1)) | blank
+        return 1 / (1 + np.exp(-np.clip(zt, -700, 700))), 1 / (1 + np.exp(-np.clip(zm, -700, 700))), p, toxicity, ((p >= m.threshold) & (toxicity <= 1)) | blank
 
     def scores(batches):
         for b in _text.pieces(batches):

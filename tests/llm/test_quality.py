@@ -117,3 +117,16 @@ def test_labels_that_the_fit_has_not_seen(spark):
     assert share(lambda r: r.quality == 1, lambda r: r.score < model.threshold) <= 0.005
     assert share(lambda r: r.quality == 0, lambda r: r.score < model.threshold) >= 0.88
     assert share(lambda r: r.is_toxic, lambda r: r.toxic) >= 0.75 and share(lambda r: not r.is_toxic, lambda r: r.toxic) <= 0.01
+
+
+def test_texts_without_words_teach_nothing():
+    """Only white texts on the side of the others: no lexicon, no fault."""
+    import numpy as np
+
+    none = np.zeros(0, np.uint32)
+    for toxic in (1.0, 0.0):
+        y = np.array([toxic if i % 2 else 1 - toxic for i in range(40)])
+        words = [np.array([7, 9], np.uint32) if v == 1 else none for v in y]
+        lexicon = quality.Lexicon(words, y)
+        assert lexicon.score(np.array([7], np.uint32), np.array([0, 1])).tolist() == [0.0]
+        assert quality.Lexicon([none] * 40, y).threshold == np.inf
