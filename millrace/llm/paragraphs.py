@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
@@ -190,19 +190,20 @@ def selected_grams(hashes: np.ndarray, first: np.ndarray, gram: int, least: int)
 
 
 def repeated_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
-    """(d, th, s, e): byte spans of passages of ``least`` words or more that an earlier text, or an earlier place, holds too.
+    """(d, th, s, e, source, shift): words s to e of a text that the text ``source`` holds too, ``shift`` words on.
 
     Selected runs of ``gram`` words that occur before are matched with their
-    first occurrence.  Where the neighbouring selected run is no match, the
-    words up to the passage's end are compared one by one.  Matches that
-    overlap or touch are one passage; shorter ones stay.
+    first occurrence.  Where the neighbouring selected run is no match of the
+    same source and shift, the words up to the passage's end are compared one
+    by one.  Matches of one source and shift that overlap or touch are one
+    passage; those of ``least`` words or more go, others stay.
     """
     if 2 * gram < least + 1:
         raise ValueError("selected runs must be longer than the gaps between them")
     spark, reach = docs.sparkSession, least - gram
     counted = pa.schema([("id", pa.int64()), ("n", pa.int64())])
     names = ("d", "th", "at", "id", "id2")
-    found = pa.schema([*((c, pa.int64()) for c in names), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+    found = pa.schema([*((c, pa.int64()) for c in (*names, "room")), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
 
     def count(batches):
         for b in _text.pieces(batches):
@@ -227,28 +228,46 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE
             take = pa.array(owner)
             yield _text.batch_of(
                 found, d=b.column("doc_id").take(take), th=b.column("th").take(take), at=at - first[owner], id=one.view(np.int64), id2=two.view(np.int64),
-                before=_lists(h, low, at), after=_lists(h, at + gram, high),
+                room=first[owner + 1] - at - gram, before=_lists(h, low, at), after=_lists(h, at + gram, high),
             )
 
-    rows = _keyed(docs).mapInArrow(find, ", ".join(f"{c} long" for c in names) + ", before array<long>, after array<long>")
+    rows = _keyed(docs).mapInArrow(find, ", ".join(f"{c} long" for c in (*names, "room")) + ", before array<long>, after array<long>")
     rows = stored(rows.join(again, "id", "left_semi").dropDuplicates(["d", "th", "at"]))
     order = F.struct(F.col("d").isNull(), "d", "th", "at")
     heads = stored(rows.groupBy("id", "id2").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1"))
     later = spread_join(rows, heads, ["id", "id2"], ["d", "th", "at"], rows.count()).where(order > F.col("f"))
-    later = stored(later.select("d", "th", "at", "before", "after", F.col("f.th").alias("th0"), F.col("f.at").alias("at0")))
-    edge = F.size("before") + F.size("after") > 0
-    there = _words_around(docs, later.where(edge).select(F.col("th0").alias("th"), F.col("at0").alias("at")).distinct(), gram, reach)
-    there = there.select(F.col("th").alias("th0"), F.col("at").alias("at0"), F.col("before").alias("b0"), F.col("after").alias("a0"))
+    later = later.select("d", "th", "at", "room", "before", "after", F.col("f.th").alias("th0"), (F.col("f.at") - F.col("at")).alias("shift"))
+    # where the next run that was found is of another source or shift, words on that side have not been sent along
+    text = Window.partitionBy("d", "th").orderBy("at")
+
+    def goes_on(step):
+        other = step(F.struct("th0", "shift", "at"), 1).over(text)
+        return F.coalesce((other["th0"] == F.col("th0")) & (other["shift"] == F.col("shift")) & (F.abs(other["at"] - F.col("at")) <= gram), F.lit(False))
+
+    later = later.withColumns({
+        "open_before": (F.size("before") == 0) & (F.col("at") > 0) & ~goes_on(F.lag), "open_after": (F.size("after") == 0) & (F.col("room") > 0) & ~goes_on(F.lead),
+    }).drop("room")
+    later = stored(later)
+    open_ = F.col("open_before") | F.col("open_after")
+    edge = open_ | (F.size("before") + F.size("after") > 0)
+    ends, inner = later.where(edge), later.where(~edge)
+    places = ends.select(F.col("th0").alias("th"), (F.col("at") + F.col("shift")).alias("at")).unionByName(later.where(open_).select("th", "at"))
+    there = stored(_words_around(docs, places.distinct(), gram, reach))
+    source = there.select(F.col("th").alias("th0"), F.col("at").alias("at0"), F.col("before").alias("b0"), F.col("after").alias("a0"))
+    own = there.select("th", "at", F.col("before").alias("b1"), F.col("after").alias("a1"))
 
     def shared(mine, other):
         place = F.array_position(F.zip_with(mine, other, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
         return F.when(place == 0, F.greatest(F.size(mine), F.size(other))).otherwise(place - 1)
 
-    ends = later.where(edge).join(there, ["th0", "at0"]).select(
-        "d", "th", (F.col("at") - shared(F.reverse("before"), F.reverse("b0"))).alias("s"), (F.col("at") + gram + shared(F.col("after"), F.col("a0"))).alias("e")
+    known = ends.where(~open_).withColumns({"b1": F.col("before"), "a1": F.col("after")})
+    asked = ends.where(open_).join(own, ["th", "at"])
+    asked = asked.withColumns({"b1": F.when(F.col("open_before"), F.col("b1")).otherwise(F.col("before")), "a1": F.when(F.col("open_after"), F.col("a1")).otherwise(F.col("after"))})
+    ends = known.unionByName(asked).withColumn("at0", F.col("at") + F.col("shift")).join(source, ["th0", "at0"]).select(
+        "d", "th", (F.col("at") - shared(F.reverse("b1"), F.reverse("b0"))).alias("s"), (F.col("at") + gram + shared(F.col("a1"), F.col("a0"))).alias("e"), "th0", "shift"
     )
-    inner = later.where(~edge).select("d", "th", F.col("at").alias("s"), (F.col("at") + gram).alias("e"))
-    return inner.unionByName(ends).select("d", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    inner = inner.select("d", "th", F.col("at").alias("s"), (F.col("at") + gram).alias("e"), "th0", "shift")
+    return inner.unionByName(ends).select("d", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("th0").alias("source"), "shift")
 
 
 def _lists(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
@@ -289,6 +308,20 @@ def _words_around(docs: DataFrame, places: DataFrame, gram: int, reach: int) ->
     return texts.join(per_text, "th").mapInArrow(around, "th long, at long, before array<long>, after array<long>")
 
 
+_SPAN = ("s", "e", "source", "shift")
+
+
+def _passages(s: np.ndarray, e: np.ndarray, source: np.ndarray, shift: np.ndarray):
+    """Spans of ``PASSAGE`` words or more; only matches of one source and shift are joined."""
+    order = np.lexsort((shift, source))
+    s, e, source, shift = s[order], e[order], source[order], shift[order]
+    cuts = np.flatnonzero((source[1:] != source[:-1]) | (shift[1:] != shift[:-1])) + 1
+    made = [_merge(a, b) for a, b in zip(np.split(s, cuts), np.split(e, cuts), strict=True)]
+    s, e = (np.concatenate(c) for c in zip(*made, strict=True))
+    long = e - s >= PASSAGE
+    return s[long], e[long]
+
+
 def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = MIN_WORDS, recall: float = 0.999, passages: bool = True) -> DataFrame:
     """(doc_id, n_paragraphs, removed, n_bytes, n_removed, n_spans, starts, ends, kept): texts without later copies.
 
@@ -297,7 +330,8 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
     the others, which go with their line breaks.  Paragraphs of fewer than
     ``min_words`` words are not compared.  A passage inside longer paragraphs
     is no near-duplicate paragraph: with ``passages``, later copies of equal
-    passages of ``PASSAGE`` words or more go too; see repeated_passages().  ``starts`` and ``ends`` are the maximal removed byte
+    passages of ``PASSAGE`` words or more go too, if one earlier text or place
+    holds them whole; see repeated_passages().  ``starts`` and ``ends`` are the maximal removed byte
     spans, n_removed their bytes, ``kept`` the rest.  Null texts count as
     empty.  Rows alike in doc_id and text are treated alike.
     """
@@ -308,25 +342,34 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
     first = each.groupBy("c").agg(F.min("own").alias("f"), F.sum("n").alias("all")).where("all > 1")
     first = stored(each.join(first, "c").select("id", "f", "n"))
     later = spread_join(where, first, ["id"], ["d", "th", "pos"], where.count()).where(order > F.col("f"))
-    later = later.select("d", "th", F.col("pos").alias("s"), F.lit(-1).cast("long").alias("e"))
+    none = F.lit(-1).cast("long")
+    later = later.select("d", "th", F.col("pos").alias("s"), none.alias("e"), none.alias("source"), none.alias("shift"))
     if passages:
         later = later.unionByName(repeated_passages(docs))
-    spans = later.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("w"))  # of one text each
-    spans = spans.select("d", "th", F.expr("transform(w, x -> x.s)").alias("s"), F.expr("transform(w, x -> x.e)").alias("e"))
+    spans = later.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "source", "shift")).alias("w"))  # of one text each
+    spans = stored(spans.select("d", "th", *(F.expr(f"transform(w, x -> x.{c})").alias(c) for c in _SPAN)))
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(spans.select("th").distinct(), "th"))
     docs = _keyed(docs)
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["th"] == spans["th"]), "left").select("doc_id", "text", "s", "e")
+
+    def chosen(inside, batches):
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(wanted.value, b.column("th").to_numpy()) == inside))
+
+    changed = docs.mapInArrow(partial(chosen, True), docs.schema)  # only these texts are shuffled
+    changed = changed.join(spans, changed["doc_id"].eqNullSafe(spans["d"]) & (changed["th"] == spans["th"]), "left").select("doc_id", "text", *_SPAN)
     kinds = {"doc_id": "long", "n_paragraphs": "long", "removed": "array<long>", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "starts": "array<long>", "ends": "array<long>", "kept": "binary"}
     arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
     schema = pa.schema([(c, arrow[k]) for c, k in kinds.items()])
 
     def cut(batches):
         for b in _text.pieces(batches):
+            lists = [b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in _SPAN]
             buf, offs = _text.column_bytes(b.column("text"))
             starts, _, first = line_spans(buf, offs) if len(buf) else (np.zeros(0, np.int64), None, np.zeros(b.num_rows + 1, np.int64))
             _, word_starts, word_ends, word_first = _text.words(buf, offs)
             rows = []
             for i in range(b.num_rows):
-                x, s, e = buf[offs[i] : offs[i + 1]].tobytes(), b.column("s")[i].as_py(), b.column("e")[i].as_py()
+                x, (s, e, source, shift) = buf[offs[i] : offs[i + 1]].tobytes(), (c[i] for c in lists)
                 n = int(first[i + 1] - first[i])
                 if not s:
                     rows.append((n, [], len(x), 0, 0, [], [], x))
@@ -337,8 +380,8 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
                 gone = np.sort(s[line])
                 from_, to = own[gone], own[gone + 1]
                 if not line.all():
-                    s, e = _merge(s[~line], e[~line])
-                    s, e = s[e - s >= PASSAGE] + word_first[i], e[e - s >= PASSAGE] + word_first[i]
+                    s, e = _passages(*(np.array(c)[~line] for c in (s, e, source, shift)))
+                    s, e = s + word_first[i], e + word_first[i]
                     from_, to = np.concatenate([from_, word_starts[s] - offs[i]]), np.concatenate([to, word_ends[e - 1] - offs[i]])
                 if not len(from_):
                     rows.append((n, [], len(x), 0, 0, [], [], x))
@@ -348,4 +391,5 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
                 rows.append((n, gone.tolist(), len(x), len(x) - len(kept), len(s), s.tolist(), e.tolist(), kept))
             yield _text.batch_of(schema, doc_id=b.column("doc_id"), **dict(zip(list(kinds)[1:], map(list, zip(*rows, strict=True)), strict=True)))
 
-    return joined.mapInArrow(cut, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    ddl = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return changed.mapInArrow(cut, ddl).unionByName(docs.mapInArrow(lambda batches: cut(chosen(False, batches)), ddl))

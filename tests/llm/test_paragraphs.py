@@ -64,7 +64,7 @@ def test_passages_inside_longer_paragraphs(docs_of):
 
 
 def test_passages_against_brute_force(docs_of):
-    """Every removed word is in a run that an earlier place holds, and nearly all such passages of enough words go as a whole."""
+    """Every removed word is in a run of 50 words that an earlier place holds, and nearly all such passages of enough words go as a whole."""
     r = random.Random(5)
     bank = [prose(700 + k, 130).split() for k in range(4)]
     texts = []
@@ -79,23 +79,36 @@ def test_passages_against_brute_force(docs_of):
     words = [t.split() for t in texts]
     seen, left, whole = set(), 0, 0
     for k, w in enumerate(words):
-        must, may = set(), set()
-        for n, out in ((50, must), (26, may)):
-            for i in range(len(w) - n + 1):
-                g = tuple(w[i : i + n])
-                if (n, g) in seen or any(tuple(w[j : j + n]) == g for j in range(i)):
-                    out.update(range(i, i + n))
+        must = set()
+        for i in range(len(w) - 49):
+            g = tuple(w[i : i + 50])
+            if g in seen or any(tuple(w[j : j + 50]) == g for j in range(i)):
+                must.update(range(i, i + 50))
         gone, at = set(), 0
         for i, x in enumerate(w):
             if any(s <= at < e for s, e in zip(got[k].starts, got[k].ends)):
                 gone.add(i)
             at += len(x) + 1
-        assert gone <= may
+        assert gone <= must
         left, whole = left + len(must - gone), whole + len(must)
-        seen |= {(n, tuple(w[i : i + n])) for n in (50, 26) for i in range(len(w) - n + 1)}
+        seen |= {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
     assert whole > 500 and left <= 0.1 * whole  # a run first found elsewhere with other words around it may keep the passage's ends
 
 
+def test_matches_of_different_sources_are_no_passage(docs_of):
+    """Two repeated runs of 45 words side by side, each from another text, are no repeated passage; one of 55 beside one of 45 is."""
+    texts = []
+    for k in range(20):
+        p, q, r = prose(100 + k, 45), prose(200 + k, 45), prose(300 + k, 55)
+        texts += [f"{prose(400 + k, 30)} {p} {prose(500 + k, 30)}", f"{prose(600 + k, 30)} {q} {prose(700 + k, 30)}", f"{prose(800 + k, 30)} {r} {prose(900 + k, 30)}"]
+        texts += [f"{prose(1000 + k, 30)} {p} {q} {prose(1100 + k, 30)}", f"{prose(1200 + k, 30)} {p} {r} {q} {prose(1300 + k, 30)}"]
+    got = paragraphs.dedup_paragraphs(docs_of(list(enumerate(texts))), min_words=10_000).orderBy("doc_id").collect()
+    for i, (row, text) in enumerate(zip(got, texts, strict=True)):
+        r = prose(300 + i // 5, 55)
+        start = text.find(r) if i % 5 == 4 else -1
+        assert (list(row.starts), list(row.ends)) == (([start], [start + len(r)]) if start >= 0 else ([], [])), i
+
+
 def test_selected_runs_are_in_every_common_passage():
     import numpy as np
 
