@@ -131,8 +131,8 @@ def amortised(df: DataFrame, chunk: str, seconds: str, name: str) -> DataFrame:
 
 
 def elapsed(start, end) -> Column:
-    """Seconds between two timestamps, as a double."""
-    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    """Seconds between two timestamps, with or without a time zone, as a double."""
+    start, end = ((F.col(c) if isinstance(c, str) else c).cast("timestamp") for c in (start, end))
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 
 
@@ -144,7 +144,7 @@ def total_seconds(generation, evaluation) -> Column:
 
 def iso_seconds(time) -> Column:
     """A timestamp in the session's time zone, to the second, with its offset."""
-    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.date_format((F.col(time) if isinstance(time, str) else time).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
 def mode_metrics(df: DataFrame, modes: list[str], metrics: tuple[str, ...] = METRICS, mode: str = "mode") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import difflib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.python import edit_distance
+from millrace.session import cut
 
 
 def exact_matches(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id") -> DataFrame:
@@ -31,50 +34,92 @@ def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, ex
     return pairs.groupBy(query_id).agg(F.max(1 - edit_distance("_q", "_e", mode)).alias("least"))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 0, mode: str = "compat") -> DataFrame:
+#: Examples that one row of work holds.
+EXAMPLES = 2048
+#: Classes of characters whose counts bound a similarity from above.
+CLASSES = 128
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each class of characters (code point modulo ``CLASSES``) occurs in each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) % CLASSES
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(owner * CLASSES + points, minlength=len(texts) * CLASSES).reshape(len(texts), CLASSES).astype(np.int32)
+
+
+def _bounds(q: np.ndarray, n: int, e: np.ndarray, sizes: np.ndarray, mode: str) -> np.ndarray:
+    """Similarities to a query of ``n`` characters that no example can exceed: only characters that both have can match."""
+    shared = np.minimum(q, e).sum(axis=1)
+    return 2 * shared / np.maximum(n + sizes, 1) if mode == "compat" else shared / np.maximum(np.maximum(n, sizes), 1)
+
+
+def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 0, mode: str = "compat", details: bool = False) -> DataFrame:
     """(query_id, example_id, score): the example with the highest similarity of all, the larger id on a tie.
 
-    Exact texts are settled by a join.  The other queries, a stated set, go in
-    blocks of ``QUERIES`` over all examples; a task keeps the best example of
-    each.  Pairs whose lengths alone rule them out are not compared: with
-    ``grams``, candidates that share rare words give each query a bound from
-    below first.  Null texts match nothing; a query has no row only if there
-    is no example.
+    Exact texts are settled by a join.  The other queries, a stated set, meet
+    all examples in blocks of about ``QUERIES`` by ``EXAMPLES``.  In a block,
+    counts of characters bound each similarity from above; a query visits
+    examples from the highest bound down and stops where bounds fall below the
+    best that it has found (``compat``), or only pairs whose bound reaches
+    ``least`` leave it, to be compared in the JVM (``levenshtein``).  With
+    ``grams``, candidates that share rare words give each query that bound
+    from below first.  ``details`` adds ``compared``, the pairs compared for a
+    query.  Null texts match nothing; a query has no row only if there is no
+    example.
     """
     spark = queries.sparkSession
     same = exact_matches(queries, examples, text, query_id, example_id).withColumn("score", F.lit(1.0))
     rest = queries.where(F.col(text).isNotNull()).join(same.select(query_id), query_id, "left_anti").select(query_id, text)
-    # comparing is the work, not the size of the table: as many parts as there are cores, several times
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e")).repartition(parts)
+    examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e"))
     if grams:
         rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, example_id, grams, mode), query_id, "left")
     else:
         rest = rest.withColumn("least", F.lit(0.0))
-    kind = queries.schema[query_id].dataType.simpleString()
-    of = f"array<struct<id:{kind},q:string,least:double>>"
-    found, block = [same], []
-
-    def over_all(block):
-        shorter, longer = F.least(F.length("_e"), F.length("_q")), F.greatest(F.length("_e"), F.length("_q"))
-        most = 2 * shorter / (F.length("_e") + F.length("_q")) if mode == "compat" else shorter / longer
-        pairs = examples.withColumn("x", F.explode(F.from_json(F.lit(json.dumps(block)), of))).select(example_id, "_e", F.col("x.id").alias(query_id), F.col("x.q").alias("_q"), "x.least")
-        pairs = pairs.where((F.length("_e") + F.length("_q") == 0) | (most >= F.col("least") - 1e-9))
-        scored = pairs.withColumn("score", 1 - edit_distance("_q", "_e", mode))
-        top = scored.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"))
-        return top.select(query_id, f"t.{example_id}", "t.score")
-
-    for row in rest.toLocalIterator():
-        block.append({"id": row[query_id], "q": row[text], "least": row["least"] or 0.0})
-        if len(block) == QUERIES:
-            found.append(over_all(block))
-            block = []
-    if block:
-        found.append(over_all(block))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select(query_id, example_id, F.col("score").cast("double").alias("score"))
+    rest = cut(rest.withColumn("least", F.coalesce("least", F.lit(0.0))))
+    blocks = max(1, -(-rest.count() // QUERIES))
+    # comparing is the work, not the size of the table: as many parts as there are cores, several times
+    parts = max(-(-examples.count() // EXAMPLES), 4 * spark.sparkContext.defaultParallelism)
+    asked = rest.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(query_id, text, "least")).alias("q"))
+    packs = examples.groupBy(F.pmod(F.xxhash64(example_id), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(example_id, "_e")).alias("e"))
+    work = packs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "_block")
+    work = work.repartition(parts * blocks if parts * blocks < 10_000 else parts, "_part", "_block").select("q", "e")
+    qid, eid = (t.schema[c].dataType.simpleString() for t, c in ((queries, query_id), (examples, example_id)))
+    kinds_of_ids = [t.select(c).limit(0).toArrow().schema.field(0).type for t, c in ((queries, query_id), (examples, example_id))]
+
+    def compare(batches):
+        for b in batches:
+            for q, e in zip(b.column("q"), b.column("e"), strict=True):
+                ids, texts = zip(*((x[example_id], x["_e"]) for x in e.as_py()), strict=True)
+                counts, sizes = _counts(list(texts)), np.array([len(t) for t in texts])
+                rows = []
+                for x in q.as_py():
+                    bound = _bounds(_counts([x[text]])[0], len(x[text]), counts, sizes, mode)
+                    if mode != "compat":
+                        rows += [(x[query_id], x[text], ids[i], texts[i]) for i in np.flatnonzero(bound >= x["least"] - 1e-9)]
+                        continue
+                    best, n = None, 0
+                    for i in np.argsort(-bound, kind="stable"):
+                        if bound[i] < (best[0] if best else x["least"]) - 1e-9:
+                            break
+                        n += 1
+                        here = (difflib.SequenceMatcher(a=x[text], b=texts[i]).ratio(), ids[i])
+                        best = here if best is None or here > best else best
+                    rows.append((x[query_id], *((best[1], best[0]) if best else (None, None)), n))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    if mode == "compat":
+        names, kinds = [query_id, example_id, "score", "compared"], [*kinds_of_ids, pa.float64(), pa.int64()]
+        found = work.mapInArrow(compare, f"`{query_id}` {qid}, `{example_id}` {eid}, score double, compared long")
+        counted = F.sum("compared")
+    else:
+        names, kinds = [query_id, "_q", example_id, "_e"], [kinds_of_ids[0], pa.string(), kinds_of_ids[1], pa.string()]
+        found = work.mapInArrow(compare, f"`{query_id}` {qid}, _q string, `{example_id}` {eid}, _e string").withColumn("score", 1 - edit_distance("_q", "_e", mode))
+        counted = F.count("*")
+    top = found.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.when(F.col("score").isNotNull(), F.struct("score", example_id))).alias("t"), counted.cast("long").alias("compared"))
+    top = top.where("t.score is not null").select(query_id, f"t.{example_id}", "t.score", "compared")
+    out = same.withColumn("compared", F.lit(0).cast("long")).unionByName(top)
+    return out.select(query_id, example_id, F.col("score").cast("double").alias("score"), *(["compared"] if details else []))
 
 
 def few_shot(examples: DataFrame, k: int, order: list) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+
 
 def band_map(values: dict[str, int], column, default: int = 1) -> Column:
     """A band's number from a literal map, ``default`` where it has none."""
@@ -42,3 +44,12 @@ def repeated(df: DataFrame, repeats: dict[str, int], band: str = "band") -> Data
 def sft_rows(df: DataFrame, prompt: Column, completion: Column, repeats: dict[str, int], ident: str = "id", band: str = "band") -> DataFrame:
     rows = df.select(prompt.alias("prompt"), completion.alias("completion"), F.col(ident).alias("id"), F.col(band).alias("band"))
     return repeated(rows, repeats, "band")
+
+
+def training_rows(df: DataFrame, source: str, target: str, system: str, repeats: dict[str, int], ident: str = "id", band: str = "band") -> DataFrame:
+    """All columns of a training row: prompt, completion, target_text, id, source_text, source_alpha, band and repeat_index."""
+    rows = df.select(
+        T.prompt(source, system).alias("prompt"), T.wrap_completion(target).alias("completion"), F.col(target).alias("target_text"), F.col(ident).alias("id"),
+        F.col(source).alias("source_text"), T.alpha_normalise(source).alias("source_alpha"), F.col(band).alias("band"),
+    )
+    return repeated(rows, repeats, "band")

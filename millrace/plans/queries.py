@@ -376,14 +376,18 @@ _ALPHA_RANK = "len(list_distinct(list_filter(list_slice({all}, 1, list_position(
   select event_id, head || chr(10) || m[1] || ' ' || t[1] || ' z ' || t[2] || ' s ' || t[3] || ' f' || chr(10) || m[2] || ' g 9 ' || t[1] || ' ' || k || 'k ' || t[4] || chr(10)
     || m[1] || ' c' || k || ' ' || t[2] || ' ' || t[3] || ' ff' || chr(10) as alpha from g""")
 def q32_alpha_rename(spark, d):
+    return _t(spark, d, "events").select("event_id", T.alpha_normalise(source_of_event()).alias("alpha"))
+
+
+def source_of_event() -> Column:
+    """A program text made of an event's ids."""
     number, name = lambda c: (c % 9000 + 1).cast("string"), lambda k, c: F.concat(k if isinstance(k, Column) else F.lit(k), c.cast("string"))
     i, u = F.col("event_id"), F.col("user_id")
     a, b, c, k = name("y", u % 5), name("c", i % 4), name(F.substring(F.lit("iyc"), (i % 3).cast("int") + 1, F.lit(1)), u % 3), name("i", i % 5)
-    text = F.concat(
+    return F.concat(
         F.lit("+ "), u.cast("string"), F.lit(" i1\n  "), number(i), F.lit("+ "), a, F.lit(" z  "), b, F.lit(" s "), c, F.lit(" f\n"),
         number(i + u), F.lit(" g 9 "), a, F.lit("\t"), k, F.lit("k "), k, F.lit("\r\n"), number(i), F.lit("+ c"), k, F.lit(" "), b, F.lit(" "), c, F.lit(" ff"),
     )
-    return _t(spark, d, "events").select("event_id", T.alpha_normalise(text).alias("alpha"))
 
 
 # other characters than ASCII are masked, as DuckDB counts edits of bytes

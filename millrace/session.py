@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts or sets are large: smaller Arrow batches bound the memory of Python workers.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -29,6 +31,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one named by ``spark.checkpoint.dir``; where none is set a temporary one, which only local sessions can share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder}/millrace-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back, so that no later plan works it out again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benches: UTC, adaptive execution, few shuffle partitions, no UI."""
     builder = (

@@ -6,9 +6,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from millrace.functions.text import splitlines
+from millrace.sources.trees import read_tree
 
 #: Schemas of the record kinds (fixed field names); explicit, so nothing is inferred.
 REFERENCE = (
@@ -85,6 +86,52 @@ def rewrite_prefix(df: DataFrame, fields: list[str], old: str, new: str) -> Data
     return df
 
 
+def map_strings(value: Column, kind: DataType, change) -> Column:
+    """The value with ``change`` applied to every string in it, in structs, arrays and the values of maps, however deep."""
+    if not _has_strings(kind):
+        return value
+    if isinstance(kind, StringType):
+        return change(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: map_strings(x, kind.elementType, change))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: map_strings(x, kind.valueType, change))
+    made = F.struct(*(map_strings(value.getField(f.name), f.dataType, change).alias(f.name) for f in kind.fields))
+    return F.when(value.isNotNull(), made)
+
+
+def _has_strings(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_strings(f.dataType) for f in kind.fields)
+    if isinstance(kind, (ArrayType, MapType)):
+        return _has_strings(kind.elementType if isinstance(kind, ArrayType) else kind.valueType)
+    return isinstance(kind, StringType)
+
+
+def moved(value: Column, old: str, new: str) -> Column:
+    """The text with a leading ``old`` replaced by ``new``."""
+    return F.when(value.startswith(old), F.concat(F.lit(new), F.substring(value, len(old) + 1, 1 << 30))).otherwise(value)
+
+
+def rewrite_strings(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Every string of every column, at any depth, with a leading ``old`` replaced by ``new``; map keys stay, nulls stay."""
+    return df.select(*(map_strings(F.col(f"`{f.name}`"), f.dataType, lambda x: moved(x, old, new)).alias(f.name) for f in df.schema.fields))
+
+
+def rewrite_json(text, old: str, new: str) -> Column:
+    """The same for a JSON document of any structure, as text; keys are sorted, a text that is no JSON is null.
+
+    In a document without free white space a quote after a colon, comma or
+    bracket opens a string, as quotes inside strings have a backslash before
+    them; a string with a colon behind it is a key.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    old, new = (json.dumps(x, ensure_ascii=False)[1:-1] for x in (old, new))
+    quoted = "".join("\\" + x if x in r"\.^$|?*+()[]{}/-" else x for x in old)
+    pattern = rf'((?:^|[:,\[])"){quoted}(?=(?:[^"\\]|\\.)*"(?!:))'
+    return F.regexp_replace(F.to_json(F.try_parse_json(text)), pattern, "$1" + new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
 def sample_roots(df: DataFrame, path: str, depth: int) -> DataFrame:
     """Distinct first ``depth`` parts of a path."""
     return df.select(F.substring_index(path, "/", depth).alias("root")).distinct()
@@ -120,21 +167,9 @@ JOB_NUMBERS = ("limit", "example_count")
 def job_metadata(spark: SparkSession, path: str, name: str = ".runpod_job.json") -> DataFrame:
     """Saved jobs below a folder: path and fields; of several files of one local_output the last by path holds, those without one are dropped.
 
-    Spark's sources pass over names that begin with a dot, so the driver lists and reads these few small files itself.
+    Executors list and read the files, dot-files too.
     """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files, rows = fs.listFiles(top, True), []
-    while files.hasNext():
-        at = files.next().getPath()
-        if at.getName() == name:
-            stream = fs.open(at)
-            try:
-                rows.append((at.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            finally:
-                stream.close()
-    found = spark.createDataFrame(rows, "path string, text string").select("path", F.try_parse_json("text").alias("body")).where(F.col("body").isNotNull())
+    found = read_tree(spark, path, name).select("path", F.try_parse_json(F.decode("content", "UTF-8")).alias("body")).where(F.col("body").isNotNull())
     fields = [F.try_variant_get("body", f"$.{f}", "string").alias(f) for f in JOB_FIELDS] + [F.try_variant_get("body", f"$.{f}", "bigint").alias(f) for f in JOB_NUMBERS]
     rows = found.select("path", *fields).where(F.coalesce("local_output", F.lit("")) != "")
     return rows.groupBy("local_output").agg(F.max_by(F.struct("path", *(f for f in (*JOB_FIELDS, *JOB_NUMBERS) if f != "local_output")), "path").alias("j")).select("local_output", "j.*")

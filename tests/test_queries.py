@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from millrace.plans import flows  # noqa: F401 (adds its queries)
 from millrace.plans import queries as own
 
 FOLDER = "/root/testdata/sf0.001"
