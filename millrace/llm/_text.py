@@ -132,12 +132,12 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return h
 
 
-def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (hashes, starts, ends, first word of each text)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray):
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the first word of each text."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, np.zeros(len(offs), np.int64)
+        return z, z, np.zeros(len(offs), np.int64)
     solid = ~SPACE[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
@@ -147,8 +147,13 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True):
     after = np.empty(n, bool)
     after[-1], after[:-1] = True, ~solid[1:]
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    hashes = span_hash(LOWER[buf] if lower else buf, starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offs)
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True):
+    """The words of each text: (hashes, starts, ends, first word of each text)."""
+    starts, ends, first = word_spans(buf, offs)
+    return span_hash(LOWER[buf] if lower else buf, starts, ends), starts, ends, first
 
 
 def shingles(word_hashes: np.ndarray, first: np.ndarray, size: int = 5):

@@ -366,7 +366,8 @@ def dedup_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_w
             lists = [b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in _SPAN]
             buf, offs = _text.column_bytes(b.column("text"))
             starts, _, first = line_spans(buf, offs) if len(buf) else (np.zeros(0, np.int64), None, np.zeros(b.num_rows + 1, np.int64))
-            _, word_starts, word_ends, word_first = _text.words(buf, offs)
+            if any(e and max(e) >= 0 for e in lists[1]):  # no words are looked for where only lines go
+                word_starts, word_ends, word_first = _text.word_spans(buf, offs)
             rows = []
             for i in range(b.num_rows):
                 x, (s, e, source, shift) = buf[offs[i] : offs[i + 1]].tobytes(), (c[i] for c in lists)
