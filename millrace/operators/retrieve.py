@@ -30,10 +30,13 @@ def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, ex
     block = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+")), lambda w: F.xxhash64(w))), 1, grams)
     q = queries.select(query_id, F.col(text).alias("_q"), F.explode(block).alias("_b"))
     e = examples.select(F.col(text).alias("_e"), F.explode(block).alias("_b"))
-    pairs = q.join(e, "_b").drop("_b").distinct()
+    # comparing is the work, not the size of the table: as many parts as there are cores, several times
+    pairs = q.join(e, "_b").drop("_b").distinct().repartition(4 * queries.sparkSession.sparkContext.defaultParallelism)
     return pairs.groupBy(query_id).agg(F.max(1 - edit_distance("_q", "_e", mode)).alias("least"))
 
 
+#: Characters of all queries up to which they are broadcast.
+BROADCAST_CHARS = 1 << 25
 #: Examples that one row of work holds.
 EXAMPLES = 2048
 #: Classes of characters whose counts bound a similarity from above.
@@ -47,23 +50,17 @@ def _counts(texts: list[str]) -> np.ndarray:
     return np.bincount(owner * CLASSES + points, minlength=len(texts) * CLASSES).reshape(len(texts), CLASSES).astype(np.int32)
 
 
-def _bounds(q: np.ndarray, n: int, e: np.ndarray, sizes: np.ndarray, mode: str) -> np.ndarray:
-    """Similarities to a query of ``n`` characters that no example can exceed: only characters that both have can match."""
-    shared = np.minimum(q, e).sum(axis=1)
-    return 2 * shared / np.maximum(n + sizes, 1) if mode == "compat" else shared / np.maximum(np.maximum(n, sizes), 1)
-
-
 def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 0, mode: str = "compat", details: bool = False) -> DataFrame:
     """(query_id, example_id, score): the example with the highest similarity of all, the larger id on a tie.
 
     Exact texts are settled by a join.  The other queries, a stated set, meet
-    all examples in blocks of about ``QUERIES`` by ``EXAMPLES``.  In a block,
-    counts of characters bound each similarity from above; a query visits
-    examples from the highest bound down and stops where bounds fall below the
-    best that it has found (``compat``), or only pairs whose bound reaches
-    ``least`` leave it, to be compared in the JVM (``levenshtein``).  With
-    ``grams``, candidates that share rare words give each query that bound
-    from below first.  ``details`` adds ``compared``, the pairs compared for a
+    all examples in blocks of about ``QUERIES``.  For ``compat`` a task takes
+    about ``EXAMPLES`` examples at once: counts of characters bound each
+    similarity from above, a query visits examples from the highest bound down
+    and stops where bounds fall below the best that it has found.  For
+    ``levenshtein`` pairs whose lengths rule them out go and the others are
+    compared in the JVM.  With ``grams``, candidates that share rare words
+    give each query a bound from below first.  ``details`` adds ``compared``, the pairs compared for a
     query.  Null texts match nothing; a query has no row only if there is no
     example.
     """
@@ -76,16 +73,18 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
     else:
         rest = rest.withColumn("least", F.lit(0.0))
     rest = cut(rest.withColumn("least", F.coalesce("least", F.lit(0.0))))
-    blocks = max(1, -(-rest.count() // QUERIES))
+    count, chars = rest.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    blocks = max(1, -(-count // QUERIES))
+    hint = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
+    asked = hint(rest.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(query_id, text, "least")).alias("q")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
     # comparing is the work, not the size of the table: as many parts as there are cores, several times
-    parts = max(-(-examples.count() // EXAMPLES), 4 * spark.sparkContext.defaultParallelism)
-    asked = rest.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(query_id, text, "least")).alias("q"))
-    packs = examples.groupBy(F.pmod(F.xxhash64(example_id), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(example_id, "_e")).alias("e"))
-    work = packs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "_block")
-    work = work.repartition(parts * blocks if parts * blocks < 10_000 else parts, "_part", "_block").select("q", "e")
+    parts = 4 * spark.sparkContext.defaultParallelism
     qid, eid = (t.schema[c].dataType.simpleString() for t, c in ((queries, query_id), (examples, example_id)))
     kinds_of_ids = [t.select(c).limit(0).toArrow().schema.field(0).type for t, c in ((queries, query_id), (examples, example_id))]
 
+    names, kinds = [query_id, example_id, "score", "compared"], [*kinds_of_ids, pa.float64(), pa.int64()]
+
     def compare(batches):
         for b in batches:
             for q, e in zip(b.column("q"), b.column("e"), strict=True):
@@ -93,10 +92,8 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
                 counts, sizes = _counts(list(texts)), np.array([len(t) for t in texts])
                 rows = []
                 for x in q.as_py():
-                    bound = _bounds(_counts([x[text]])[0], len(x[text]), counts, sizes, mode)
-                    if mode != "compat":
-                        rows += [(x[query_id], x[text], ids[i], texts[i]) for i in np.flatnonzero(bound >= x["least"] - 1e-9)]
-                        continue
+                    shared = np.minimum(_counts([x[text]])[0], counts).sum(axis=1)  # only characters that both have can match
+                    bound = 2 * shared / np.maximum(len(x[text]) + sizes, 1)
                     best, n = None, 0
                     for i in np.argsort(-bound, kind="stable"):
                         if bound[i] < (best[0] if best else x["least"]) - 1e-9:
@@ -109,14 +106,19 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     if mode == "compat":
-        names, kinds = [query_id, example_id, "score", "compared"], [*kinds_of_ids, pa.float64(), pa.int64()]
+        packed = F.pmod(F.xxhash64(example_id), F.lit(max(-(-examples.count() // EXAMPLES), parts))).alias("_part")
+        packs = examples.groupBy(packed).agg(F.collect_list(F.struct(example_id, "_e")).alias("e"))
+        work = packs.withColumn("_block", every).join(asked, "_block").select("q", "e").repartition(parts)
         found = work.mapInArrow(compare, f"`{query_id}` {qid}, `{example_id}` {eid}, score double, compared long")
         counted = F.sum("compared")
     else:
-        names, kinds = [query_id, "_q", example_id, "_e"], [kinds_of_ids[0], pa.string(), kinds_of_ids[1], pa.string()]
-        found = work.mapInArrow(compare, f"`{query_id}` {qid}, _q string, `{example_id}` {eid}, _e string").withColumn("score", 1 - edit_distance("_q", "_e", mode))
+        pairs = examples.repartition(parts).withColumn("_block", every).join(asked, "_block").select(example_id, "_e", F.explode("q").alias("x"))
+        pairs = pairs.select(example_id, "_e", F.col(f"x.{query_id}").alias(query_id), F.col(f"x.{text}").alias("_q"), "x.least")
+        most = F.least(F.length("_e"), F.length("_q")) / F.greatest(F.length("_e"), F.length("_q"), F.lit(1))
+        pairs = pairs.where((F.length("_e") + F.length("_q") == 0) | (most >= F.col("least") - 1e-9))
+        found = pairs.withColumn("score", 1 - edit_distance("_q", "_e", mode))
         counted = F.count("*")
-    top = found.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.when(F.col("score").isNotNull(), F.struct("score", example_id))).alias("t"), counted.cast("long").alias("compared"))
+    top = found.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"), counted.cast("long").alias("compared"))
     top = top.where("t.score is not null").select(query_id, f"t.{example_id}", "t.score", "compared")
     out = same.withColumn("compared", F.lit(0).cast("long")).unionByName(top)
     return out.select(query_id, example_id, F.col("score").cast("double").alias("score"), *(["compared"] if details else []))

@@ -89,11 +89,10 @@ def q67_admission_shared_keys(spark, d):
 
 @query()
 def q68_nearest_ratio(spark, d):
-    """Benchmark items against paragraphs of documents, by the ratio of matching blocks."""
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(T.splitlines("text")).alias("text")).where("text <> ''")
-    examples = lines.groupBy("text").agg(F.min("doc_id").alias("example_id"))
-    return retrieve.nearest(items, examples, grams=8, details=True)
+    """Hosts of all pages against all addresses, by the ratio of matching blocks."""
+    pages = _t(spark, d, "pages")
+    hosts = pages.select(F.substring_index(F.substring_index("url", "/", 3), "/", -1).alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
+    return retrieve.nearest(hosts, pages.select(F.col("page_id").alias("example_id"), F.col("url").alias("text")))
 
 
 @query("""select conv_id || '/' || lpad(turn::varchar, 4, '0') || '_' || role || '.txt' as name, octet_length(encode(text))::bigint as length, sha256(text) as digest from conversations
