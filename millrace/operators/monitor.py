@@ -12,15 +12,15 @@ from millrace.operators.dedupe import keep_last
 
 
 def filled(value, other) -> Column:
-    """``value`` unless it is null or empty, else ``other``."""
+    """``value`` unless it is null or empty, else ``other``, which has the same type."""
     value, other = (F.col(c) if isinstance(c, str) else c for c in (value, other))
-    return F.coalesce(F.nullif(value.cast("string"), F.lit("")), other.cast("string"))
+    return F.coalesce(F.when(value.cast("string") != "", value), other)
 
 
 def fill_from(df: DataFrame, metadata: DataFrame, key: str, fields: list[str], order: list[str] | None = None, force: bool = False) -> DataFrame:
-    """Falsy fields filled from the last metadata row of the same key; ``force`` lets the metadata win."""
+    """Null and empty fields filled from the last metadata row of the same key; ``force`` lets the metadata win; types stay."""
     meta = keep_last(metadata, [key], order) if order else metadata
-    meta = meta.select(key, *(F.col(f).alias(f"_m_{f}") for f in fields))
+    meta = meta.select(key, *(F.col(f).cast(df.schema[f].dataType).alias(f"_m_{f}") for f in fields))
     joined = df.join(meta, key, "left")
     value = {f: filled(f"_m_{f}", f) if force else filled(f, f"_m_{f}") for f in fields}
     return joined.select(*(value[c].alias(c) if c in value else F.col(c) for c in df.columns))

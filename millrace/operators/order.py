@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows sampled for each part, to choose the bounds of the parts.
-SAMPLED = 20
+from millrace.session import cut
 
 
-def numbered(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Adds ``name``: the place of each row, from 0, by the columns ``order``, nulls first.
+def numbered(df: DataFrame, order: list[str | Column], name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the place of each row, from 0, by ``order`` (a column by its name goes up, nulls first).
 
-    Bounds from a sample (by hash, so the same at every run; of ``SAMPLED``
-    rows a part) deal the rows to parts that follow each other; parts are
-    numbered by themselves and their sizes, one row each, give the offsets.
+    Ranges of the order are dealt to parts and sorted there, in one shuffle; the
+    stored rows carry their part and their place in it, and the sizes of the
+    parts, one row each, give the offsets.  Rows alike in ``order`` meet in one
+    part, so a column that tells them apart should stand last in it.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*order)
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    some = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(SAMPLED * parts).orderBy(*order).collect()
-    bounds = [tuple(r) for r in some[SAMPLED // 2 :: SAMPLED]]
-    known = F.array(*(F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(b, kind.fields, strict=True))) for b in bounds)) if bounds else None
-    part = F.size(F.filter(known, lambda b: b <= key)) if bounds else F.lit(0)
-    rows = df.withColumn("_part", part)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the id has the number of the partition above 33 bits of the place inside it
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    rows = rows.withColumn("_in", inside).join(F.broadcast(starts), "_part")
-    return rows.withColumn(name, (F.col("_start") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_start")
+    inside = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_id", "_start")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +79,27 @@ def zero_filled(counts: DataFrame, categories: list[str], category: str = "categ
     return fixed.join(counts.select(category, n), category, "left").select("ord", category, F.coalesce(n, F.lit(0)).alias(n))
 
 
+def medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, median): the exact median of each group that has a value; no task holds a group.
+
+    Values are numbered in order over all groups, so a group's first place and
+    size name its middle places, and a join by place, a key without repeats,
+    fetches them.  A random number behind equal values spreads them over parts.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"), F.rand(0).alias("_spread"))
+    placed = numbered(rows, [*by, "_value", "_spread"], "_at")
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    middle = F.array_distinct(F.array(F.expr("_first + (_n - 1) div 2"), F.expr("_first + _n div 2")))
+    wanted = groups.where("_n > 0").select(*by, F.explode(middle).alias("_at"))
+    return placed.select("_at", "_value").join(wanted, "_at").groupBy(*by).agg(((F.min("_value") + F.max("_value")) / 2).alias("median"))
+
+
 def timing_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, n, total, mean, median): nulls are skipped; the median is exact."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    """(by, n, total, mean, median): nulls are skipped; the median is exact, the mean of both middle values."""
+    stats = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    middle = medians(df, value, by).select(*(F.col(b).alias(f"_b_{b}") for b in by), "median")
+    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by), F.lit(True))
+    return stats.join(middle, same, "left").select(*by, "n", "total", "mean", "median")
 
 
 def budget_report(df: DataFrame, ident: str, tokens: str, cap: int, order: list[str]) -> DataFrame:

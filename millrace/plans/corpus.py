@@ -12,6 +12,7 @@ from millrace.functions import text as T
 from millrace.operators import admit, split
 from millrace.operators.dedupe import keep_first
 from millrace.sources.programs import generate_programs
+from millrace.sources.records import deck_text
 
 #: Sizes and band weights of the stages (fixed values).
 STAGES = {
@@ -92,26 +93,31 @@ def split_corpus(accepted: DataFrame, counts: dict[str, int] | None = None, key:
     return rows.withColumn("split", H.hash_split("alpha_hash"))
 
 
-def records(df: DataFrame, package: str = "P1", version: str = "1") -> DataFrame:
+def records(df: DataFrame, package: str = "P1", version: str = "it_text_v1", provenance: dict[str, str] | None = None) -> DataFrame:
     """Nested records of accepted rows, in the schema of sources.records.REFERENCE.
 
     ``df``: band, seed, source, header (JSON), tree (JSON), features, the four
-    hashes, and the columns of the oracle's stages where they are there.
+    hashes, and the columns of the oracle's stages where they are there: decks
+    become text, a stage's log its stdout_log.  ``provenance``: where programs,
+    oracle and hashes come from; what it lacks is null.
     """
-    there = set(df.columns)
+    there, known = set(df.columns), provenance or {}
     text = lambda c: (F.col(c) if c in there else F.lit(None)).cast("string")
-    cards = lambda c: F.array_join(F.col(c), "\n") if c in there else F.lit(None).cast("string")
+    cards = lambda c: F.when(F.col(c).isNotNull(), deck_text(c)) if c in there else F.lit(None).cast("string")
+    logs = lambda stage: [text(f"{stage}_{k}").alias(n) for k, n in (("console_log", "console_log"), ("log", "stdout_log"), ("print_log", "print_log"))]
     header = F.from_json("header", "struct<n_i:int,n_y:int,n_c:int,n_s:int,n_pkg:int,N:int>")
     hashes = ("surface_hash", "alpha_hash", "shape_hash", "pit_hash")
     translate = F.struct(
-        text("translate_status").alias("status"), F.lit(0 if "pit_cards" in there else None).cast("bigint").alias("upper_acc"),
-        text("pit_raw").alias("pit_raw"), cards("pit_cards").alias("pit_raw_canonical"),
+        text("translate_status").alias("status"), text("upper_acc").cast("bigint").alias("upper_acc"), text("pit_raw").alias("pit_raw"),
+        cards("pit_cards").alias("pit_raw_canonical"), cards("reservation_cards").alias("reservation_cards"), cards("translation_body").alias("translation_body"), *logs("translate"),
     )
-    assemble = F.struct(text("assemble_status").alias("status"), cards("soap_cards").alias("soap_output"))
-    run = F.struct(text("run_status").alias("status"), cards("input_cards").alias("input_deck"), cards("output_cards").alias("output_deck"))
+    assemble = F.struct(text("assemble_status").alias("status"), cards("phase2_cards").alias("pit_phase2_input_p1"), cards("soap_cards").alias("soap_output"), *logs("assemble"))
+    run = F.struct(text("run_status").alias("status"), cards("input_cards").alias("input_deck"), cards("spit_cards").alias("spit_p1"), cards("output_cards").alias("output_deck"), *logs("run"))
+    origin = ("simh_source", "simh_commit_or_checksum", "generator_version", "normalizer_version")
     return df.select(
         H.record_id("band", "seed", "surface_hash", "alpha_hash", F.coalesce(text("pit_hash"), F.lit(""))).alias("id"), "band", F.col("seed").cast("bigint").alias("seed"),
         F.lit(package).alias("runtime_package"), F.lit(version).alias("source_format"), F.struct(F.col("source").alias("it_text_v1"), header.alias("header")).alias("source"),
         F.struct(*(text(h).alias(h) for h in hashes)).alias("hashes"), F.struct(translate.alias("translate"), assemble.alias("assemble"), run.alias("run")).alias("reference"),
         F.struct(text("tree").alias("ast_json"), text("header").alias("bounds_json"), F.col("features")).alias("generator"),
+        F.struct(*(F.lit(known.get(x)).cast("string").alias(x) for x in origin)).alias("provenance"),
     )

@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing as H
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
 from millrace.operators import admit, monitor, report, retrieve, sft
-from millrace.plans import curriculum, evaluate, reviews
+from millrace.plans import corpus, curriculum, evaluate, reviews
 from millrace.plans.queries import _SCORED, SQL, _decks, _scored, _t, query, source_of_event
 from millrace.session import cut, shared_folder
-from millrace.sources import records, trees
+from millrace.sources import oracle, records, trees
 from millrace.sources.sinks import write_splits
 from millrace.streaming import admission, incremental, ledger
 
@@ -258,3 +259,35 @@ def q83_first_existing(spark, d):
     tail = F.substring_index("place", "/", -3)
     read = trees.read_tree(spark, target).select(F.col("name").alias("tail"), F.decode("content", "UTF-8").alias("n_name"))
     return found.join(read, tail == F.col("tail")).select("n_nationkey", "r_name", "n_name")
+
+
+# values are not rounded, and the empty type holds all rows
+@query("""with v as (select event_type, value from events union all select '', value from events), m as (select event_type, list_sort(list(value)) as l from v where value is not null group by 1)
+  select event_type, (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 as median from m""")
+def q84_exact_medians(spark, d):
+    events = _t(spark, d, "events").select("event_type", "value")
+    return report.medians(events.unionByName(events.withColumn("event_type", F.lit(""))), "value", ["event_type"])
+
+
+_DECK = "case when len({0}) > 0 then sha256(array_to_string({0}, chr(10)) || chr(10)) when {0} is not null then sha256('') end"
+
+
+@query(f"""with d as (select *, string_split(text, chr(10)) as x from documents),
+    p as (select *, case when len(x) >= 10 then x[len(x) - 9:] end as tail, case when len(x) >= 10 then x[:len(x) - 10] end as body from d), q as (select *, list_concat(list_append(tail, 'names'), body) as phase2 from p)
+  select sha256(lang || chr(10) || doc_id || chr(10) || sha256(text) || chr(10) || sha256(source) || chr(10) || sha256(text || lang)) as id, doc_id as seed, (doc_id % 7)::int as n_i, sha256(source) as alpha_hash,
+    {_DECK.format('x')} as deck, {_DECK.format('tail')} as reservation_cards, {_DECK.format('body')} as translation_body, case when tail is not null then {_DECK.format('phase2')} end as phase2,
+    'log ' || source as stdout_log, n_chars::bigint as upper_acc, 'ok' as status, 'v1' as generator_version, null::varchar as normalizer_version from q""")
+def q85_records(spark, d):
+    """Whole records of documents, with decks, reservations, logs and provenance; decks as digests."""
+    rows = _t(spark, d, "documents").withColumns({
+        "band": F.col("lang"), "seed": F.col("doc_id"), "header": F.concat(F.lit('{"n_i":'), F.col("doc_id") % 7, F.lit("}")), "tree": F.lit(None), "features": F.array("lang"),
+        "surface_hash": H.sha256("text"), "alpha_hash": H.sha256("source"), "shape_hash": H.sha256("lang"), "pit_hash": H.sha256(F.concat("text", "lang")), "pit_cards": F.split("text", "\n"),
+        "upper_acc": F.col("n_chars"), "translate_status": F.lit("ok"), "translate_log": F.concat(F.lit("log "), "source"), "source": F.col("text"),
+    })
+    made = corpus.records(oracle.assembly_input(rows, ["names"]), provenance={"generator_version": "v1"})
+    t, digest = "reference.translate.", lambda c: F.sha2(c, 256)
+    return made.select(
+        "id", "seed", "source.header.n_i", "hashes.alpha_hash", digest(f"{t}pit_raw_canonical").alias("deck"), digest(f"{t}reservation_cards").alias("reservation_cards"),
+        digest(f"{t}translation_body").alias("translation_body"), digest("reference.assemble.pit_phase2_input_p1").alias("phase2"), f"{t}stdout_log", f"{t}upper_acc", f"{t}status",
+        "provenance.generator_version", "provenance.normalizer_version",
+    )

@@ -8,8 +8,6 @@ operator is a limit.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +19,7 @@ from millrace.functions.python import depth_bucket, edit_distance, tree_columns
 from millrace.operators import admit as A
 from millrace.operators import dedupe, monitor, report, retrieve, review, sample, sft, split
 from millrace.plans import corpus, curriculum, evaluate, reviews
+from millrace.session import shared_folder
 from millrace.sources import records
 from millrace.streaming import incremental
 
@@ -418,18 +417,17 @@ def q34_subset_union(spark, d):
 @query("select event_type, user_id % 100 as u, count(distinct user_id) as n from events group by all")
 def q35_stream_dedupe(spark, d):
     stream = incremental.read_folder(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema).select("event_type", "user_id")
-    seen = incremental.run_to_table(incremental.dedupe(stream, ["event_type", "user_id"]), _name(), "append")
+    folder = shared_folder(spark)
+    incremental.run_available(incremental.dedupe(stream, ["event_type", "user_id"]), f"{folder}/out", f"{folder}/checkpoint")
+    seen = spark.read.schema(stream.schema).parquet(f"{folder}/out")
     return seen.groupBy("event_type", (F.col("user_id") % 100).alias("u")).agg(F.count("*").alias("n"))
 
 
 @query("select event_type, count(*) as n from events group by event_type")
 def q36_stream_progress(spark, d):
     stream = incremental.read_folder(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema)
-    return incremental.run_to_table(incremental.progress(stream, "event_type"), _name())
-
-
-def _name() -> str:
-    return f"millrace_{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    return incremental.run_whole(incremental.progress(stream, "event_type"), f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("""select source, count(*) as n_files, sha256(string_agg(lpad(doc_id::varchar, 12, '0') || chr(0) || sha256(text) || chr(0), '' order by lpad(doc_id::varchar, 12, '0'))) as digest

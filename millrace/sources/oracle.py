@@ -73,12 +73,13 @@ STEP_BUDGET, SECONDS = "50M", 30.0
 
 
 def translate(df: DataFrame, command: list[str], source: str = "source", seconds: float = SECONDS) -> DataFrame:
-    """Adds translate_status and pit_cards: compile_error where the accumulator is not zero or no deck comes out."""
+    """Adds translate_status, translate_log, upper_acc, pit_raw and pit_cards: compile_error where the accumulator is not zero or no deck comes out."""
     out = run_commands(df, command, source, seconds=seconds)
     cards = D.canonical(splitlines("output"))
     wrong = F.coalesce(accumulator(F.col("log")) != 0, F.lit(False)) | (F.coalesce(F.size(cards), F.lit(0)) <= 0)
     status = F.when(F.col("status") == "timeout", "timeout").when(wrong, "compile_error").otherwise("ok")
-    return out.select(*df.columns, status.alias("translate_status"), F.when(status == "ok", cards).alias("pit_cards"))
+    told = (F.col("log").alias("translate_log"), accumulator(F.col("log")).alias("upper_acc"), F.col("output").alias("pit_raw"))
+    return out.select(*df.columns, status.alias("translate_status"), *told, F.when(status == "ok", cards).alias("pit_cards"))
 
 
 def assembly_input(df: DataFrame, dictionary: list[str], cards: str = "pit_cards") -> DataFrame:
@@ -89,19 +90,20 @@ def assembly_input(df: DataFrame, dictionary: list[str], cards: str = "pit_cards
     return out.withColumn("phase2_cards", D.joined("reservation_cards", names, "translation_body"))
 
 
-def _deck_stage(df: DataFrame, command: list[str], cards: str, status: str, out: str, error: str, seconds: float) -> DataFrame:
+def _deck_stage(df: DataFrame, command: list[str], cards: str, stage: str, out: str, seconds: float) -> DataFrame:
+    status, log, error = f"{stage}_status", f"{stage}_log", f"{stage}_error"
     ready = df.withColumn("_in", F.concat(F.array_join(F.col(cards), "\n"), F.lit("\n")))
     done = run_commands(ready.where(F.col("_in").isNotNull()), command, "_in", seconds=seconds)
     made = splitlines("output")
     good = (F.col("status") == "ok") & (F.coalesce(F.size(made), F.lit(0)) > 0)
-    done = done.select(*df.columns, F.when(good, "ok").when(F.col("status") == "timeout", "timeout").otherwise(error).alias(status), F.when(good, made).alias(out))
-    skipped = ready.where(F.col("_in").isNull()).select(*df.columns, F.lit("skipped").alias(status), F.lit(None).cast("array<string>").alias(out))
+    done = done.select(*df.columns, F.when(good, "ok").when(F.col("status") == "timeout", "timeout").otherwise(error).alias(status), F.col("log").alias(log), F.when(good, made).alias(out))
+    skipped = ready.where(F.col("_in").isNull()).select(*df.columns, F.lit("skipped").alias(status), F.lit(None).cast("string").alias(log), F.lit(None).cast("array<string>").alias(out))
     return done.unionByName(skipped)
 
 
 def assemble(df: DataFrame, command: list[str], cards: str = "phase2_cards", seconds: float = SECONDS) -> DataFrame:
-    """Adds assemble_status (ok, assemble_error, timeout, skipped) and soap_cards."""
-    return _deck_stage(df, command, cards, "assemble_status", "soap_cards", "assemble_error", seconds)
+    """Adds assemble_status (ok, assemble_error, timeout, skipped), assemble_log and soap_cards."""
+    return _deck_stage(df, command, cards, "assemble", "soap_cards", seconds)
 
 
 def program_deck(df: DataFrame, loader: list[str], data: str | None = None, cards: str = "soap_cards") -> DataFrame:
@@ -113,8 +115,8 @@ def program_deck(df: DataFrame, loader: list[str], data: str | None = None, card
 
 
 def run_programs(df: DataFrame, command: list[str], cards: str = "spit_cards", steps: str = STEP_BUDGET, seconds: float = SECONDS) -> DataFrame:
-    """Adds run_status (ok, run_error, timeout, skipped) and output_cards; ``{steps}`` in the command is the step limit."""
-    return _deck_stage(df, [w.replace("{steps}", steps) for w in command], cards, "run_status", "output_cards", "run_error", seconds)
+    """Adds run_status (ok, run_error, timeout, skipped), run_log and output_cards; ``{steps}`` in the command is the step limit."""
+    return _deck_stage(df, [w.replace("{steps}", steps) for w in command], cards, "run", "output_cards", seconds)
 
 
 def pipeline(df: DataFrame, commands: dict[str, list[str]], dictionary: list[str], loader: list[str], source: str = "source", data: str | None = None, steps: str = STEP_BUDGET, seconds: float = SECONDS) -> DataFrame:

@@ -12,18 +12,21 @@ from millrace.functions.text import splitlines
 from millrace.sources.trees import read_tree
 
 #: Schemas of the record kinds (fixed field names); explicit, so nothing is inferred.
+_LOGS = "console_log:string,stdout_log:string,print_log:string"
 REFERENCE = (
     "id string, band string, seed bigint, runtime_package string, source_format string, "
     "source struct<it_text_v1:string, header:struct<n_i:int,n_y:int,n_c:int,n_s:int,n_pkg:int,N:int>>, "
     "hashes struct<surface_hash:string, alpha_hash:string, shape_hash:string, pit_hash:string>, "
-    "reference struct<translate:struct<status:string,upper_acc:bigint,pit_raw:string,pit_raw_canonical:string>,"
-    "assemble:struct<status:string,soap_output:string>,run:struct<status:string,input_deck:string,output_deck:string>>, "
-    "generator struct<ast_json:string, bounds_json:string, features:array<string>>"
+    f"reference struct<translate:struct<status:string,upper_acc:bigint,pit_raw:string,pit_raw_canonical:string,reservation_cards:string,translation_body:string,{_LOGS}>,"
+    f"assemble:struct<status:string,pit_phase2_input_p1:string,soap_output:string,{_LOGS}>,run:struct<status:string,input_deck:string,spit_p1:string,output_deck:string,{_LOGS}>>, "
+    "generator struct<ast_json:string, bounds_json:string, features:array<string>>, "
+    "provenance struct<simh_source:string, simh_commit_or_checksum:string, generator_version:string, normalizer_version:string>"
 )
 PREDICTION = (
-    "id string, mode string, band string, pit_raw_canonical string, prompt_path string, raw_completion_path string, "
+    "id string, mode string, band string, pit_raw_canonical string, prompt_path string, retrieval map<string,string>, "
+    "raw_completion_path string, thinking_trace_path string, "
     "metrics struct<exact_match:boolean, per_card_exact:double, normalized_edit_distance:double>, "
-    "assemblable boolean, functional boolean, failure_type string, "
+    "assemble struct<status:string>, run struct<status:string>, assemblable boolean, functional boolean, failure_type string, "
     "timings struct<generation_seconds:double, evaluation_seconds:double, total_seconds:double>"
 )
 SFT = "prompt string, completion string, target_text string, id string, source_text string, source_alpha string, band string, repeat_index int"

@@ -32,7 +32,13 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     stream.writeStream.format(kind).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The result of all that is there, as an in-memory table of that name."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_whole(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Process all that is there; each batch replaces the files of ``target`` by the whole result so far, which is read back.
+
+    A batch that fails half way is written anew by the next start.
+    """
+    whole = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    whole.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(target)).start().awaitTermination()
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(target)  # there was no batch
+    return spark.read.schema(stream.schema).parquet(target)

@@ -144,6 +144,8 @@ def test_places_and_novelty(spark, monkeypatch):
             want[p] = (flags[-1], round(sum(last) / len(last), 9))
         assert out == want
     assert order.numbered(df.limit(0), ["pos"], "at").count() == 0
+    down = order.numbered(df, [F.desc("k"), "pos"], "at", 3).collect()
+    assert {x.pos: x.at for x in down} == {p: i for i, (p, _) in enumerate(sorted(sorted(rows), key=lambda x: x[1], reverse=True))}
 
 
 def test_dedupe_and_upsert(spark):
@@ -168,6 +170,31 @@ def test_timings(spark):
     assert (g.median, e.mean, t.median, g.n) == (4.0, 1.5, 5.5, 3)
 
 
+def test_medians_of_a_hot_group(spark):
+    """Most rows are in one group, most of these alike; unrounded values, null groups and values."""
+    from statistics import median
+
+    r = random.Random(8)
+    rows = [("hot", r.choice([0.1, 0.1, 0.1, r.random()])) for _ in range(3001)] + [(r.choice(["a", "b", None]), r.choice([None, r.random()])) for _ in range(60)] + [("none", None)]
+    want = {}
+    for k, v in rows:
+        want.setdefault(k, [])
+        want[k] += [] if v is None else [v]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {x.k: (x.n, x["median"]) for x in report.timing_stats(df, "v", ["k"]).collect()}
+    assert got == {k: (len(v), median(v) if v else None) for k, v in want.items()}
+    assert report.timing_stats(df.limit(0), "v", ["k"]).count() == 0
+    assert report.timing_stats(df, "v", []).first()["median"] == median(v for _, v in rows if v is not None)
+
+
+def test_fill_keeps_types(spark):
+    jobs = spark.createDataFrame([("a", None, ""), ("b", 7, "x"), ("c", 0, None)], "key string, n long, name string")
+    meta = spark.createDataFrame([("a", 3, "m"), ("b", 4, None), ("c", 5, "z")], "key string, n int, name string")
+    got = monitor.fill_from(jobs, meta, "key", ["n", "name"])
+    assert got.schema == jobs.schema
+    assert {x.key: (x.n, x.name) for x in got.collect()} == {"a": (3, "m"), "b": (7, "x"), "c": (0, "z")}
+
+
 def test_selection(spark):
     df = spark.createDataFrame([("a", 0.65, 0.45, 0.84, 0.97), ("b", 0.6, 0.4, 0.86, 0.99), ("c", 0.9, 0.9, 0.9, 0.5)], "run string, functional double, exact_match double, per_card_exact double, assemblability double")
     s = df.withColumn("s", review.selection_score())

@@ -237,6 +237,7 @@ def test_stages(spark):
     got = {r.id: r for r in oracle.pipeline(rows, commands, ["dict"], ["load"], steps="9M").collect()}
     assert {k: r.status for k, r in got.items()} == {"good": "ok", "short": "skipped", "wrong": "compile_error", "empty": "compile_error"}
     good = got["good"]
+    assert (good.upper_acc, got["wrong"].upper_acc, good.translate_log.strip(), got["short"].run_log) == (0, -12, "acc 0", None) and good.pit_raw.startswith("L0\n")
     assert good.reservation_cards == [f"L{i}" for i in range(2, 12)] and good.phase2_cards == [*good.reservation_cards, "dict", "L0", "L1"] and good.output_cards == ["9M", "14"]
 
 
@@ -246,6 +247,13 @@ def test_records(spark):
     assert {f.name for f in out.schema} == {f.name for f in spark.createDataFrame([], records.REFERENCE).schema}
     row = out.first()
     assert len(row.id) == 64 and row.source.header.n_pkg == 265 and row.hashes.alpha_hash and row.generator.features
+    assert row.reference.translate.reservation_cards is None and row.provenance.simh_source is None
+    deck = made.withColumns({"pit_cards": F.array(*(F.lit(f"c{i}") for i in range(11))), "translate_log": F.lit("acc 0"), "run_log": F.lit("r")})
+    row = corpus.records(oracle.assembly_input(deck, ["d"]), provenance={"simh_source": "s", "normalizer_version": "n"}).first()
+    t = row.reference.translate
+    assert t.translation_body == "c0\n" and t.reservation_cards.split() == [f"c{i}" for i in range(1, 11)] and (t.stdout_log, t.console_log) == ("acc 0", None)
+    assert row.reference.assemble.pit_phase2_input_p1.endswith("c10\nd\nc0\n") and row.reference.run.stdout_log == "r"
+    assert (row.provenance.simh_source, row.provenance.normalizer_version, row.provenance.generator_version) == ("s", "n", None)
 
 
 def test_tokens(spark, tmp_path):

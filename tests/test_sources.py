@@ -57,8 +57,14 @@ def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         incremental.run_available(incremental.dedupe(incremental.read_folder(spark, source, schema), ["k"]), target, state)
         assert spark.read.parquet(target).count() == want
-    n = incremental.run_to_table(incremental.progress(incremental.read_folder(spark, source, schema), "k"), "progress_of_k")
-    assert {r.k: r.n for r in n.collect()} == {"a": 2, "b": 2, "c": 1}
+    counted = lambda: incremental.run_whole(incremental.progress(incremental.read_folder(spark, source, schema), "k"), f"{target}_k", f"{state}_k")
+    assert {r.k: r.n for r in counted().collect()} == {"a": 2, "b": 2, "c": 1}
+    assert {r.k: r.n for r in counted().collect()} == {"a": 2, "b": 2, "c": 1}  # nothing new
+    spark.createDataFrame([("c", 4)], schema).write.mode("append").parquet(source)
+    assert {r.k: r.n for r in counted().collect()} == {"a": 2, "b": 2, "c": 2}
+    (tmp_path / "none").mkdir()
+    empty = incremental.progress(incremental.read_folder(spark, str(tmp_path / "none"), schema), "k")
+    assert incremental.run_whole(empty, f"{target}_0", f"{state}_0").collect() == []
 
 
 def test_sinks(spark, tmp_path):
