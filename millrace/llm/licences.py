@@ -2,13 +2,16 @@
 
 A paragraph's words are normalised, so that line breaks, comment marks, case,
 punctuation and spelling do not matter.  From every place where a sentence may
-begin, the spans up to the next ends of sentences are looked up in a map of
-known licence sentences; the longest known one is an identifier.  Ordered rules
-over the sequence of identifiers name the licences.
+begin, the spans up to the next ends of sentences are compared, whole, with the
+known licence sentences; the longest known one is an identifier.  A sentence of
+n words is known with up to n // 10 words inserted, left out or changed (not its
+first), or cut short after eight words or more; it then counts as modified.
+Ordered rules over the sequence of identifiers name the licences.  A licence is
+modified if a sentence of its rule is, or if other words stand between them.
 
 A sentence of the kind "this software is licensed under ..." is a known
-opening, from a table made of subjects and verbs, followed by a known name, from
-a table made of families, versions and forms.
+opening, from a table made of subjects and verbs, followed by known names, from
+a table made of families, versions and forms, joined by "or" or "and".
 """
 
 from __future__ import annotations
@@ -53,12 +56,38 @@ SENTENCES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("wtfpl", "You just DO WHAT THE FUCK YOU WANT TO."),
     ("reserved", "All rights reserved."),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("json-good", "The Software shall be used for Good, not Evil."),
+    ("bsd-liable", "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc-liable", "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib-liable", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-origin", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("zlib-altered", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("zlib-notice", "This notice may not be removed or altered from any source distribution."),
+    ("gpl-see", "See the GNU General Public License for more details."),
+    ("gpl-see", "See the GNU Lesser General Public License for more details."),
+    ("gpl-see", "See the GNU Affero General Public License for more details."),
+    ("gpl-received", "You should have received a copy of the GNU Lesser General Public License along with this program"),
+    ("gpl-received", "You should have received a copy of the GNU Affero General Public License along with this program"),
+    ("gnu-verbatim", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("gpl3-head", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("gpl3-freedom", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    ("gpl2-head", "The licenses for most software are designed to take away your freedom to share and change it."),
+    ("agpl3-head", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("lgpl3-head", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("lgpl21-head", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("epl-use", "ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("epl2-head", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")."),
+    ("apache2-grant", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("unlicense-any", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 # Ordered rules; a rule matches where its identifiers follow each
 # other in this order.  Longer rules stand before shorter ones.  An identifier
 # ending in * is followed by the licence that the sentence itself names.
 RULES = [
+    ("JSON", ["mit-grant", "mit-notice", "json-good"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-grant"]),
@@ -75,6 +104,13 @@ RULES = [
     ("*", ["spdx*"]),
     ("Zlib", ["zlib-asis", "zlib-grant"]),
     ("BSL-1.0", ["bsl-grant"]),
+    ("GPL-3.0-only", ["gpl3-head"]),
+    ("GPL-2.0-only", ["gpl2-head"]),
+    ("AGPL-3.0-only", ["agpl3-head"]),
+    ("LGPL-3.0-only", ["lgpl3-head"]),
+    ("LGPL-2.1-only", ["lgpl21-head"]),
+    ("EPL-2.0", ["epl2-head", "epl-use"]),
+    ("Apache-2.0", ["apache2-grant"]),
     ("Unlicense", ["unlicense"]),
     ("WTFPL", ["wtfpl"]),
 ]
@@ -112,22 +148,27 @@ CC_WORDS = {"BY": ("by", "attribution"), "NC": ("nc", "noncommercial", "non comm
 CC_KINDS = (("BY",), ("BY", "SA"), ("BY", "ND"), ("BY", "NC"), ("BY", "NC", "SA"), ("BY", "NC", "ND"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 CC_ENDS = ("", "license", "international", "international license", "public license", "international public license", "unported", "unported license", "generic", "generic license")
-SUBJECTS = ("", *(f"{this}{thing} is" for this in ("this ", "") for thing in ("work", "software", "project", "file", "code", "source code", "program", "library", "package", "module", "text", "page", "article", "document", "content", "dataset", "material")))
+SUBJECTS = ("", "it is", *(f"{this}{thing} is" for this in ("this ", "") for thing in ("work", "software", "project", "file", "code", "source code", "program", "library", "package", "module", "text", "page", "article", "document", "content", "dataset", "material")))
 VERBS = ("licensed", "released", "distributed", "available", "made available", "provided", "published", "offered", "free software released", "open source software released", "dual licensed")
 TERMS = ("", "terms of", "terms and conditions of", "conditions of")
 #: What may follow a name in the same sentence.
-TAILS = ("", "license", "as published by free software foundation", "see license", "see license file", "see license file for details")
+TAILS = ("", "license", "licenses", "at your option", "as published by free software foundation", "see license", "see license file", "see license file for details")
 OPENERS = ("this source code form is subject to terms of", "subject to terms of", "this program and accompanying materials are made available under terms of")
 
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|\bspdx|\bmpl\b|rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)|unencumbered|\b(?:under|by) (?:the )?(?:mit|gpl|lgpl|agpl|apache|bsd|isc|wtfpl|epl|eupl|cddl)\b"
+TRIGGER = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|\bspdx|\bmpl\b|rights reserved|public domain|creative commons|\bcc[ -]?(?:by|0)|unencumbered|for good, not evil|freedom to share|redistribution|\b(?:under|by) (?:the )?(?:mit|gpl|lgpl|agpl|apache|bsd|isc|wtfpl|epl|eupl|cddl)\b"
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"[A-Za-z0-9+]+(?:\.[0-9A-Za-z+]+)*")
 _SPELLING = {"licence": "license", "licences": "licenses", "licenced": "licensed", "relicenced": "relicensed", "ver": "version", "v": "version", "cc0": "cc0", "sublicence": "sublicense"}
 _DROPPED = {"the", "a", "an"}
 #: Kinds of ends: of a paragraph, a sentence, a line.
 _BREAK, _END, _SOFT = 3, 2, 1
-#: Words of the beginning that is enough to know a longer sentence by.
+#: Words of a known sentence that was cut short, at least.
 BEGINNING = 8
+#: One word of so many may differ.
+TOLERANCE = 10
+#: Words between two sentences of a rule that make the licence a modified one.
+FOREIGN = 3
+_LINK = re.compile(r"\S*(?:https?://|www\.)\S*")
 
 
 def _normal(word: str) -> tuple[str, ...]:
@@ -152,10 +193,12 @@ def _unnumbered(words: tuple[str, ...]) -> tuple[str, ...]:
 def _name_table() -> dict[tuple[str, ...], str]:
     out = {normalise(form): name for name, forms in NAMES.items() for form in forms}
     for family, forms in GNU.items():
-        for form, version, gnu, word in product(forms, GNU_VERSIONS[family], ("GNU ", ""), ("version ", "")):
+        for form, version, gnu, word in product(forms, GNU_VERSIONS[family], ("GNU ", ""), ("", "version ", "as published by the Free Software Foundation version ")):
             base = f"{gnu}{form} {word}{version}"
-            out |= {normalise(base): f"{family}-{version}-only", normalise(base + " only"): f"{family}-{version}-only"}
-            out |= {normalise(f"{base} {x}"): f"{family}-{version}-or-later" for x in LATER}
+            for end in ("", " of the License") if word else ("",):
+                out |= {normalise(base + end): f"{family}-{version}-only", normalise(base + end + " only"): f"{family}-{version}-only"}
+                for either, later in product((word, word.replace("version", "either version")), LATER):
+                    out[normalise(f"{gnu}{form} {either}{version}{end} {later}")] = f"{family}-{version}-or-later"
     for kind, version, end in product(CC_KINDS, CC_VERSIONS, CC_ENDS):
         for words in product(*(CC_WORDS[k] for k in kind)):
             for first in ("creative commons", "cc", "creative commons cc"):
@@ -171,17 +214,21 @@ def _opening_table() -> set[tuple[str, ...]]:
 
 _NAMES, _OPENINGS = _name_table(), _opening_table()
 _TAILS = {normalise(x) for x in TAILS}
-_LONGEST_TAIL = max(map(len, _TAILS))
+_LONGEST_NAME = max(map(len, _NAMES))
 _OPENING_SIZES = sorted({len(x) for x in _OPENINGS}, reverse=True)
 _WHOLE = {_unnumbered(normalise(text)): name for name, text in SENTENCES}
-_BEGUN = {k[:BEGINNING]: name for k, name in reversed(_WHOLE.items()) if len(k) >= BEGINNING + 2 and name != "0bsd-grant"}
+_CUT = {k[:size]: (name, len(k) - size) for k, name in reversed(_WHOLE.items()) for size in range(BEGINNING, len(k))}
+_SIZED: dict[int, list] = {}  # known sentences by the lengths that they can have with words changed
+for _k, _name in _WHOLE.items():
+    for _n in range(len(_k) - len(_k) // TOLERANCE, len(_k) + len(_k) // TOLERANCE + 1):
+        _SIZED.setdefault(_n, []).append((_k, frozenset(_k), _name))
 _REGISTERED = {x.lower(): x for x in (*_NAMES.values(), *NAMES)}
 _REGISTERED |= {x.lower().removesuffix("-only"): x for x in _NAMES.values() if x.endswith("-only")}  # names of older lists
 _REGISTERED |= {x.lower().removesuffix("-or-later") + "+": x for x in _NAMES.values() if x.endswith("-or-later")}
 _GNU_NAMES = {_unnumbered(normalise("GNU " + form)): family for family, forms in GNU.items() for form in forms}
 _FREE = normalise("free software you can redistribute it and or modify it under the terms of the")
 _ENDORSE = normalise("may be used to endorse or promote products derived from this software without specific prior written permission")
-MOST_WORDS = max(max(map(len, _WHOLE)), 60)
+MOST_WORDS = max(max(_SIZED) + 1, 60)
 _FIRST = {x[0] for x in (*_WHOLE, *_OPENINGS)} | {"neither", "spdx", "copyright", "c"}
 
 
@@ -209,11 +256,63 @@ def _registered(expression: str) -> str:
     return " ".join(w.upper() if w.upper() in ("AND", "OR", "WITH") else _REGISTERED.get(w.lower(), w) for w in words).replace("( ", "(").replace(" )", ")")
 
 
-def identify(words: tuple[str, ...]) -> tuple[str, str | None, int] | None:
-    """(identifier, licence that the sentence names or None, how it may end) of the normalised words of a known sentence, or None.
+def distance(a: tuple[str, ...], b: tuple[str, ...], most: int) -> int:
+    """Words inserted, left out or changed between two sentences; above ``most`` any number above it."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    far = most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, row[low - 1] = row[low - 1], i if low == 1 else far  # above and to the left
+        for j in range(low, high + 1):
+            above = row[j] if j < i + most else far
+            last, row[j] = above, min(last + (x != b[j - 1]), above + 1, row[j - 1] + 1)
+        if min(row[low - 1 : high + 1]) > most:
+            return far
+    return row[len(b)]
+
+
+def nearest_known(key: tuple[str, ...]) -> tuple[str, int] | None:
+    """The known sentence with the fewest words changed, at most one in ``TOLERANCE`` of its own, the first listed of several, and their number."""
+    best, found = len(key) + 1, None
+    words = frozenset(key)
+    for known, has, name in _SIZED.get(len(key), ()):
+        most = min(len(known) // TOLERANCE, best - 1)
+        if len(has) - len(has & words) <= most and (d := distance(key, known, most)) <= most:
+            best, found = d, (name, d)
+    return found
+
+
+def _named(words: tuple[str, ...], choice: bool) -> str | None:
+    """The expression of one or several names, with a known tail or none; ``choice``: "and" stands between licences to choose from."""
+    names, links = [], set()
+    if words[:1] == ("either",):
+        words = words[1:]
+    while True:
+        size = next((n for n in range(min(_LONGEST_NAME, len(words)), 0, -1) if words[:n] in _NAMES), 0)
+        if not size:
+            return None
+        names.append(_NAMES[words[:size]])
+        words = words[size:]
+        if words in _TAILS:
+            break
+        link = next((x for x in (("and", "or"), ("or",), ("and",)) if words[: len(x)] == x), None)
+        if not link:
+            return None
+        links.add(link[-1])
+        words = words[len(link) :]
+    if len(links) > 1:  # which of them bind first is not said
+        return None
+    return (" AND " if links == {"and"} and not choice else " OR ").join(dict.fromkeys(names))
+
+
+def identify(words: tuple[str, ...], ends: bool = True) -> tuple[str, str | None, int, int] | None:
+    """(identifier, licence that the sentence names or None, how it ends, words changed or missing) of the normalised words of a known sentence, or None.
 
-    A sentence known as a whole ends with its last word; one known by its
-    beginning goes on to the end of a sentence, a copyright line to that of a line.
+    A whole sentence may end with any line, a notice ends with its first
+    sentence and a copyright line with its line.  ``ends``: the words go on to
+    the end of a sentence, so modified ones are compared too.
     """
     if words and (words[0].isdigit() or len(words[0]) == 1 and words[0] != "c"):  # numbers of a list
         words = words[1:]
@@ -221,22 +320,20 @@ def identify(words: tuple[str, ...]) -> tuple[str, str | None, int] | None:
         return None
     key = _unnumbered(words)
     if name := _WHOLE.get(key):
-        return name, None, 0
+        return name, None, 0, 0
     for size in _OPENING_SIZES:
-        if words[:size] in _OPENINGS:
-            rest = words[size:]
-            for tail in range(min(_LONGEST_TAIL, len(rest) - 1) + 1):
-                licence = _NAMES.get(rest[: len(rest) - tail])
-                if licence and rest[len(rest) - tail :] in _TAILS:
-                    return "named", licence, 0
+        if words[:size] in _OPENINGS and (licence := _named(words[size:], "dual" in words[:size])):
+            return "named", licence, 0, 0
     if words[0] == "neither" and words[-len(_ENDORSE) :] == _ENDORSE:
-        return "bsd-endorse", None, 0
-    if len(key) >= BEGINNING and (name := _BEGUN.get(key[:BEGINNING])):
-        return name, None, _END
+        return "bsd-endorse", None, 0, 0
     if words[0] in ("copyright", "c") and any(len(w) == 4 and w.isdigit() for w in words[1:4]):
-        return "copyright", None, _SOFT
-    licence = _free_software(words)
-    return ("gpl-free", licence, _END) if licence else None
+        return "copyright", None, _SOFT, 0
+    if not ends:
+        return None
+    if licence := _free_software(words):
+        return "gpl-free", licence, _END, 0
+    other = nearest_known(key) or _CUT.get(key)
+    return (other[0], None, 0, other[1]) if other else None
 
 
 _MARKS = re.compile(r"[.;:!?](?:\s|[\"')\]]|$)")
@@ -273,7 +370,7 @@ def _subject(words: tuple[str, ...], after: list[int], i: int) -> bool:
 
 
 def _known(text: str, offset: int):
-    """Known sentences of a paragraph as (identifier, licence, start, end), and how many others look legal."""
+    """Known sentences of a paragraph as (identifier, licence, start, end, words changed), and how many others look legal."""
     words, place, stop = [], [], []  # normalised words, their token; kind of end after each
     spans = []
     for m in _WORD.finditer(text):
@@ -309,20 +406,22 @@ def _known(text: str, offset: int):
                 j = i
                 while j < len(words) and spans[place[j]][0] < inside[1]:
                     j += 1
-                got = (("spdx", inside[2]), j)
+                got = (("spdx", inside[2], 0), j)
             elif every[i] in _FIRST or every[i].isdigit() or len(every[i]) == 1 or _subject(every, after, i):
                 for j in range(i + 1, min(len(words), i + MOST_WORDS) + 1):
                     if after[j - 1]:
-                        hit = identify(every[i:j])
-                        if hit and after[j - 1] >= hit[2] and not (got and hit[2]):
-                            got = (hit[:2], j)
-                            if hit[2]:
-                                break
+                        hit = identify(every[i:j], after[j - 1] >= _END)
+                        # a whole sentence goes before a changed one, unless only a line ends with it
+                        firm = got and not got[0][2] and after[got[1] - 1] >= _END
+                        if hit and (not got or not hit[3] and not hit[2] or hit[3] and not firm and (not got[0][2] or hit[3] < got[0][2])):
+                            got = ((hit[0], hit[1], hit[3]), j)
+                        if hit and hit[2]:
+                            break
                         if after[j - 1] == _BREAK:
                             break
         if got:
-            (name, licence), covered = got
-            found.append((name, licence, offset + spans[place[i]][0], offset + spans[place[covered - 1]][1]))
+            (name, licence, changed), covered = got
+            found.append((name, licence, offset + spans[place[i]][0], offset + spans[place[covered - 1]][1], changed))
             sentence_known = True
         if after[i] >= _END or i + 1 == len(words):
             if not sentence_known and i >= covered and _TRIGGER.search(text, spans[place[sentence_start]][0], spans[place[i]][1]):
@@ -332,10 +431,9 @@ def _known(text: str, offset: int):
     return found, unknown
 
 
-def match_rules(known: list[tuple[str, str | None]]) -> list[str]:
-    """Sorted licences that the rules find in a sequence of identifiers; one pass for each rule, each identifier is used once."""
+def _matches(known: list[tuple[str, str | None]]):
+    """(licence, places of its sentences) of the rules that a sequence of identifiers meets; one pass for each rule, each identifier is used once."""
     free = [True] * len(known)
-    found = set()
     for licence, order in RULES:
         state, used = 0, []
         for i, (name, own) in enumerate(known):
@@ -344,24 +442,43 @@ def match_rules(known: list[tuple[str, str | None]]) -> list[str]:
                 used.append(i)
                 state += 1
                 if state == len(order):
-                    found.add(known[used[0]][1] if licence == "*" else licence)
+                    yield known[used[0]][1] if licence == "*" else licence, used
                     for u in used:
                         free[u] = False
                     state, used = 0, []
-    return sorted(found)
 
 
-def scan(text: str):
-    """Licences, known sentence identifiers, their spans in characters, and the number of unknown legal sentences."""
+def match_rules(known: list[tuple[str, str | None]]) -> list[str]:
+    """Sorted licences that the rules find in a sequence of identifiers."""
+    return sorted({licence for licence, _ in _matches(known)})
+
+
+def inspect(text: str):
+    """Licences, known sentence identifiers, their spans in characters, the number of unknown legal sentences, and the modified licences."""
     known, unknown = [], 0
     for start, end in paragraphs(text):
         found, other = _known(text[start:end], start)
         known += found
         unknown += other
-    return match_rules([k[:2] for k in known]), [k[0] for k in known], [k[2:] for k in known], unknown
+    # whether other words stand before a known sentence, behind the one before it; sums tell it for any two of them
+    foreign = [0]
+    for a, b in zip(known, known[1:]):
+        between = text[a[3] : b[2]]
+        foreign.append(foreign[-1] + (len(between) > FOREIGN and len(normalise(_LINK.sub(" ", between))) >= FOREIGN))
+    names, modified = set(), set()
+    for licence, used in _matches([k[:2] for k in known]):
+        names.add(licence)
+        if any(known[u][4] for u in used) or foreign[used[-1]] > foreign[used[0]]:
+            modified.add(licence)
+    return sorted(names), [k[0] for k in known], [k[2:4] for k in known], unknown, sorted(modified)
+
+
+def scan(text: str):
+    """Licences, known sentence identifiers, their spans in characters, and the number of unknown legal sentences."""
+    return inspect(text)[:4]
 
 
-SCHEMA = "doc_id long, licences array<string>, sentences array<string>, span_starts array<long>, span_ends array<long>, n_unknown long"
+SCHEMA = "doc_id long, licences array<string>, sentences array<string>, span_starts array<long>, span_ends array<long>, n_unknown long, modified array<string>"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -369,20 +486,21 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, licences (sorted registered names), sentences
     (identifiers in text order), span_starts and span_ends (characters),
-    n_unknown (sentences that look legal but are unknown).  Null and empty
+    n_unknown (sentences that look legal but are unknown), modified (licences
+    whose sentences are changed, cut short or parted by other words).  Null and empty
     texts give no row; repeated rows give a row each; a null doc_id is kept;
     extra columns are ignored; an empty table gives an empty table.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.string())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("n_unknown", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.string())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("n_unknown", pa.int64()), ("modified", pa.list_(pa.string()))])
 
     def run(batches):
         for b in _text.pieces(batches):
             b = b.filter(pc.fill_null(pc.match_substring_regex(b.column("text"), TRIGGER), False))
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                names, ids, spans, unknown = scan(text)
+                names, ids, spans, unknown, modified = inspect(text)
                 if ids:
-                    rows.append((i, names, ids, [s for s, _ in spans], [e for _, e in spans], unknown))
+                    rows.append((i, names, ids, [s for s, _ in spans], [e for _, e in spans], unknown, modified))
             if rows:
                 yield _text.batch_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 

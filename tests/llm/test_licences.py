@@ -136,3 +136,72 @@ def test_scan_of_a_table_finds_what_was_planted(docs_of, odd, none):
     assert {x.doc_id: list(x.licences) for x in got if x.doc_id is not None and x.doc_id < 5000} == want
     assert [list(x.licences) for x in got if x.doc_id is None or x.doc_id == 5000] == [["MIT"]] * 3
     assert licences.license_scan(odd).count() == 0 and licences.license_scan(none).count() == 0
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under the GNU General Public License, either version 3 of the License, or (at your option) any later version.", ["GPL-3.0-or-later"]),
+    ("Dual licensed under the MIT License and the GPL version 2.", ["MIT OR GPL-2.0-only"]),
+    ("It is released under MIT or Apache-2.0.", ["MIT OR Apache-2.0"]),
+    ("Licensed under either the MIT License or the Apache License, Version 2.0 at your option.", ["MIT OR Apache-2.0"]),
+    ("This software is licensed under the MIT License and the ISC License.", ["MIT AND ISC"]),
+    ("Licensed under MIT or the moon.", []),
+    ("Licensed under MIT or ISC and Zlib.", []),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.", ["GPL-3.0-only"]),
+])
+def test_joined_names_and_heads(text, names):
+    found = licences.inspect(f"{prose(1, 9)}.\n\n{text}\n\n{prose(2, 9)}")
+    assert found[0] == names and found[4] == []
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_changed_sentences_are_those_of_brute_force():
+    """Sentences with words changed against the plain distance to every known one, and the same inside texts."""
+    r = random.Random(11)
+    known = [(n, licences._unnumbered(licences.normalise(t))) for n, t in licences.SENTENCES]
+    for _ in range(200):
+        _, words = r.choice(known)
+        words = list(words)
+        for _ in range(r.randint(1, 1 + len(words) // 7)):
+            at = r.randrange(len(words)) if words else 0
+            words[at : at + r.randint(0, 1)] = [r.choice(["banana", "shall", "not"])] * r.randint(0, 1)
+        words = tuple(words)
+        scores = [(plain_distance(words, k), k, n) for n, k in known]
+        near = [(d, n) for d, k, n in scores if d <= len(k) // licences.TOLERANCE]
+        best = min((d for d, _ in near), default=None)
+        got = licences.nearest_known(words)
+        assert got in {(n, d) for d, n in near if d == best} if near else got is None
+
+
+@pytest.mark.parametrize("name", ["mit-grant", "bsl-grant", "bsd-binary", "apache2-asis", "zlib-grant", "isc-asis"])
+def test_changed_and_other_sentences(name):
+    whole = sentence(name)
+    words = whole.split()
+    one = " ".join([*words[:5], "purple", *words[6:]])
+    end = "" if whole[-1] in ".:;" else "."
+    body = f"{prose(1, 9)}.\n\n{wrapped(one + end, 60)}\n\n{prose(2, 9)}"
+    assert licences.scan(body)[1] == [name]
+    other = " ".join([*words[:8], *prose(5, len(words)).split()])
+    assert licences.scan(f"{prose(1, 9)}.\n\n{wrapped(other, 60)}.\n\n{prose(2, 9)}")[1] == []
+
+
+def test_modified_licences():
+    mit = [sentence("mit-grant"), sentence("mit-notice"), f"{sentence('mit-asis')} {sentence('mit-liable')}"]
+    show = lambda parts: licences.inspect("\n\n".join(wrapped(p, 60) for p in parts))
+    assert show(mit)[0::4] == (["MIT"], [])
+    assert show([mit[0].replace("free of charge", "for one coin"), *mit[1:]])[0::4] == (["MIT"], ["MIT"])
+    assert show([mit[0], "The Software shall be used by nobody on Sundays.", *mit[1:]])[0::4] == (["MIT"], ["MIT"])
+    assert show([mit[0], "See https://example.org/a/very/long/address/of/it.", *mit[1:]])[0::4] == (["MIT"], [])
+    assert show([*mit[:2], "The Software shall be used for Good, not Evil.", mit[2]])[0::4] == (["JSON"], [])
+    boost = sentence("bsl-grant").replace("free of charge", "free of cost")
+    assert show([boost])[0::4] == (["BSL-1.0"], ["BSL-1.0"])
+    for name, parts in FULL.items():
+        assert show(parts)[0::4] == ([name], [])
