@@ -39,6 +39,12 @@ def test_source_normalisation(spark):
     assert [o.error for o in out[2:]] == ["empty", "header", "continuation", "statement", "unterminated"]
 
 
+def test_source_normalisation_works_out_each_step_once(spark):
+    rows = spark.createDataFrame([("+ 1 2 3 4 5\n1 a ff",)], "v string").select(T.normalise_source(F.col("v")).alias("o")).select("o.text", "o.error")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and len(plan) < 20_000
+
+
 def test_alpha_and_shape(spark):
     texts = ["0007+ y7 z c9 s y7 f\n0020+ t y7 ff\n", "+ 1 2\n5 g 9 ci1 i1k i3 f", None, " +7 y2\n12345 y2 y4\n\n7", "y3 y1\n+ y3\ni9 y1 c2 i9"]
     want = ["0001+ y1 z c1 s y1 f\n0002+ t y1 ff\n", "+ 1 2\n0001+ g 9 ci1 i1k i1 f\n", None, "+7 y1\n12345 y1 y2\n\n0001+\n", "y1 y2\n+ y3\ni1 y2 c1 i1\n"]
