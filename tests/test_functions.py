@@ -9,7 +9,7 @@ from millrace.functions import deck as D
 from millrace.functions import hashing as H
 from millrace.functions import taxonomy as X
 from millrace.functions import text as T
-from millrace.functions.python import edit_distance, tree_facts
+from millrace.functions.python import drop_one_line_digests, edit_distance, tree_facts
 
 
 def apply(spark, values, f, kind="string"):
@@ -57,6 +57,14 @@ def test_counts_and_buckets(spark):
     assert apply(spark, [1, 3, 4, 20, 21], T.count_bucket, "int") == ["1_3", "1_3", "4_8", "9_20", "21_plus"]
 
 
+def test_digests_of_shrink_candidates(spark):
+    texts = [None, "", "a", "a\nb", "a\nb\nc\nd", "\n\n\n", *odd_strings(60), *("é\n\n日本\r\n" * n for n in range(1, 9))]
+    want = apply(spark, texts, lambda c: F.transform(T.drop_one_line(c), lambda x: F.sha2(F.array_join(x, "\n"), 256)))
+    assert [x or [] for x in apply(spark, texts, drop_one_line_digests)] == [x or [] for x in want]
+    # 20,000 lines: their candidates together hold 400 million lines
+    assert len(set(apply(spark, ["\n".join(map(str, range(20_000)))], drop_one_line_digests)[0])) == 19_998
+
+
 def test_completions_and_prompts(spark):
     cases = ["x <PIT>\n  a\nb\n</PIT> y", "<PIT>\n    a\nb", "plain\n", "a</PIT>b"]
     assert apply(spark, cases, T.completion_deck) == ["  a\nb", "    a\nb", "plain", "a"]
