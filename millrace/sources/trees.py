@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import time
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,6 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Folder of unfinished writes below the target.
 ATTEMPTS = "_attempts"
+#: Partitions of a read, about; folders in one partition, at least and at most.
+PARTITIONS, FEWEST, MOST = 256, 16, 1024
+#: Moves that the commit has under way at once.
+MOVES = 32
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -46,16 +53,26 @@ class TreeWriter(DataSourceWriter):
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
+        store, top = _at(path)
+        self.job = f"{top}/{ATTEMPTS}/{uuid.uuid4().hex}"
+        store.create_dir(self.job, recursive=True)
+
+    def _make(self, store: fs.FileSystem, at: str, made: set) -> None:
+        """The folder and those above it, up to the job's own: a task that outlives the job's end finds that gone and fails."""
+        if at not in made and at != self.job:
+            self._make(store, posixpath.dirname(at), made)
+            store.create_dir(at, recursive=False)
+            made.add(at)
 
     def write(self, iterator: Iterator) -> Written:
-        store, top = _at(self.path)
-        attempt, names = f"{top}/{ATTEMPTS}/{uuid.uuid4().hex}", []
+        store, _ = _at(self.path)
+        attempt, names, made = f"{self.job}/{uuid.uuid4().hex}", [], set()
         for row in iterator:
             name = _inside(row["folder"])
-            store.create_dir(f"{attempt}/{name}", recursive=True)
+            self._make(store, f"{attempt}/{name}", made)
             for file, text in (row["files"] or {}).items():
                 at = f"{attempt}/{name}/{_inside(file)}"
-                store.create_dir(posixpath.dirname(at), recursive=True)
+                self._make(store, posixpath.dirname(at), made)
                 with store.open_output_stream(at) as out:
                     out.write((text or "").encode("latin-1", "replace") if row["latin1"] else (text or "").encode())
             names.append(name)
@@ -68,14 +85,25 @@ class TreeWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError("several rows have one folder")
+        # folders below one folder go in turn, as one may lie in another
+        below = defaultdict(list)
         for attempt, name in places:
-            there = store.get_file_info(f"{top}/{name}").type != fs.FileType.NotFound
-            if there and not self.overwrite:
-                raise FileExistsError(f"{top}/{name}")
-            if there:
-                store.delete_dir(f"{top}/{name}")
-            store.create_dir(posixpath.dirname(f"{top}/{name}"), recursive=True)
-            store.move(f"{attempt}/{name}", f"{top}/{name}")
+            below[name.split("/")[0]].append((attempt, name))
+
+        def move(first: str) -> None:
+            for attempt, name in below[first]:
+                there = store.get_file_info(f"{top}/{name}").type != fs.FileType.NotFound
+                if there and not self.overwrite:
+                    raise FileExistsError(f"{top}/{name}")
+                if there:
+                    store.delete_dir(f"{top}/{name}")
+                if "/" in name:
+                    store.create_dir(posixpath.dirname(f"{top}/{name}"), recursive=True)
+                store.move(f"{attempt}/{name}", f"{top}/{name}")
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(move, below):
+                pass
         self._clean()
 
     def abort(self, messages: list) -> None:
@@ -83,37 +111,50 @@ class TreeWriter(DataSourceWriter):
 
     def _clean(self) -> None:
         store, top = _at(self.path)
-        if store.get_file_info(f"{top}/{ATTEMPTS}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{top}/{ATTEMPTS}")
+        for left in reversed(range(50)):  # tasks that still write may add a file while the folder goes
+            try:
+                if store.get_file_info(f"{top}/{ATTEMPTS}").type != fs.FileType.NotFound:
+                    store.delete_dir(f"{top}/{ATTEMPTS}")
+                return
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 @dataclass
-class Folder(InputPartition):
-    path: str
+class Folders(InputPartition):
+    """Names of folders right below the path, or the path itself, whose folders do not count."""
+
+    names: list[str]
     recursive: bool
 
 
 class TreeReader(DataSourceReader):
-    """One partition for each folder right below the path, and one for the files beside them; executors list and read."""
+    """Partitions hold some of the folders right below the path, and one the files beside them; executors list and read."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern = path, pattern
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Folders]:
         store, top = _at(self.path)
         if store.get_file_info(top).type == fs.FileType.NotFound:
             return []
         found = store.get_file_info(fs.FileSelector(top))
-        return [Folder(top, False), *(Folder(x.path, True) for x in found if x.type == fs.FileType.Directory and x.base_name != ATTEMPTS)]
+        names = sorted(x.base_name for x in found if x.type == fs.FileType.Directory and x.base_name != ATTEMPTS)
+        each = min(max(-(-len(names) // PARTITIONS), FEWEST), MOST)
+        return [Folders([""], False), *(Folders(names[i : i + each], True) for i in range(0, len(names), each))]
 
-    def read(self, partition: Folder | None) -> Iterator[tuple]:
+    def read(self, partition: Folders | None) -> Iterator[tuple]:
         if partition is None:  # there is no folder
             return
         store, top = _at(self.path)
-        for x in sorted(store.get_file_info(fs.FileSelector(partition.path, recursive=partition.recursive)), key=lambda x: x.path):
-            if x.type == fs.FileType.File and fnmatch.fnmatchcase(x.base_name, self.pattern):
-                with store.open_input_stream(x.path) as f:
-                    yield x.path[len(top) + 1 :], x.path, x.size, f.read()
+        for name in partition.names:
+            folder = f"{top}/{name}".rstrip("/")
+            for x in sorted(store.get_file_info(fs.FileSelector(folder, recursive=partition.recursive)), key=lambda x: x.path):
+                if x.type == fs.FileType.File and fnmatch.fnmatchcase(x.base_name, self.pattern):
+                    with store.open_input_stream(x.path) as f:
+                        yield x.path[len(top) + 1 :], x.path, x.size, f.read()
 
 
 class Tree(DataSource):
@@ -144,7 +185,9 @@ def write_tree(df: DataFrame, path: str, folder: str = "folder", files: str = "f
     spark = df.sparkSession
     spark.dataSource.register(Tree)
     rows = df.select(F.col(folder).cast("string").alias("folder"), F.col(files).cast("map<string,string>").alias("files"), F.lit(latin1).alias("latin1"))
-    rows.write.format("file_tree").option("path", path).mode("overwrite").save()
+    # making files is the work, not the size of the table: as many parts as there are cores, several times
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts, "folder").write.format("file_tree").option("path", path).mode("overwrite").save()
 
 
 def first_existing(df: DataFrame, path: str, bases: list[str], name: str = "resolved") -> DataFrame:

@@ -142,6 +142,15 @@ def test_every_string_of_json_is_rewritten(spark):
     assert {i: json.loads(t) for i, t in got.items()} == {i: change(d) for i, d in enumerate(docs)}
 
 
+def test_many_folders_share_partitions(spark, tmp_path):
+    names = [f"c{k:03}" if k % 3 else f"n/{k}/o" for k in range(400)]
+    df = spark.createDataFrame([(n, {".meta": n, "a/b.txt": n * 2}) for n in names], "folder string, files map<string,string>")
+    trees.write_tree(df, str(tmp_path / "t"))
+    read = trees.read_tree(spark, str(tmp_path / "t"))
+    assert read.rdd.getNumPartitions() < 30  # one for each folder before
+    assert {r.name: bytes(r.content).decode() for r in read.collect()} == {f"{n}/{x}": t for n in names for x, t in ((".meta", n), ("a/b.txt", n * 2))}
+
+
 def test_trees_are_written_as_a_whole(spark, tmp_path):
     target = f"file://{tmp_path}/t"
     rows = [(f"d{k}/x", {"a.txt": f"é{k}", ".hid": "", "sub/_b": None}) for k in range(30)]
