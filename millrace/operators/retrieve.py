@@ -6,7 +6,7 @@ import difflib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.python import edit_distance
@@ -25,13 +25,21 @@ def exact_matches(queries: DataFrame, examples: DataFrame, text: str = "text", q
 QUERIES = 256
 
 
-def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, example_id: str, grams: int, mode: str) -> DataFrame:
-    """(query_id, least): the best similarity to an example that shares one of the ``grams`` smallest word hashes; a bound from below."""
+#: Candidates of a query that give it a bound from below.
+CANDIDATES = 64
+
+
+def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, grams: int, mode: str) -> DataFrame:
+    """(query_id, least): the best similarity to some examples that share most of the ``grams`` smallest word hashes; a bound from below."""
     block = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+")), lambda w: F.xxhash64(w))), 1, grams)
-    q = queries.select(query_id, F.col(text).alias("_q"), F.explode(block).alias("_b"))
-    e = examples.select(F.col(text).alias("_e"), F.explode(block).alias("_b"))
+    q = queries.select(query_id, F.explode(block).alias("_b"))
+    e = examples.select(F.xxhash64(text).alias("_x"), F.explode(block).alias("_b"))
+    shared = q.join(e, "_b").groupBy(query_id, "_x").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("n"), "_x"))
+    some = shared.withColumn("_place", place).where(F.col("_place") <= CANDIDATES).select(query_id, "_x")
+    pairs = some.join(examples.select(F.col(text).alias("_e"), F.xxhash64(text).alias("_x")), "_x").join(queries.select(query_id, F.col(text).alias("_q")), query_id)
     # comparing is the work, not the size of the table: as many parts as there are cores, several times
-    pairs = q.join(e, "_b").drop("_b").distinct().repartition(4 * queries.sparkSession.sparkContext.defaultParallelism)
+    pairs = pairs.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism)
     return pairs.groupBy(query_id).agg(F.max(1 - edit_distance("_q", "_e", mode)).alias("least"))
 
 
@@ -39,6 +47,8 @@ def _guess(queries: DataFrame, examples: DataFrame, text: str, query_id: str, ex
 BROADCAST_CHARS = 1 << 25
 #: Examples that one row of work holds.
 EXAMPLES = 2048
+#: Examples that a query's edits are counted for at once, and those before, which give a bound that long examples do not reach.
+AT_ONCE, FIRST = 8192, 256
 #: Classes of characters whose counts bound a similarity from above.
 CLASSES = 128
 
@@ -50,16 +60,77 @@ def _counts(texts: list[str]) -> np.ndarray:
     return np.bincount(owner * CLASSES + points, minlength=len(texts) * CLASSES).reshape(len(texts), CLASSES).astype(np.int32)
 
 
+def _edits(text: str, alphabet: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Edits between a text and each of some others: ``size`` places of ``alphabet`` from ``start`` on in ``codes``.
+
+    Myers' bit vectors: 64 rows of the table are one word, and a step takes one
+    column of all tables, so the work is numpy's.
+    """
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not len(points) or not len(size):
+        return np.maximum(size, len(points))
+    order = np.argsort(-size, kind="stable")
+    start, length = start[order], size[order]
+    n_words, top = -(-len(points) // 64), np.uint64((len(points) - 1) % 64)
+    masks = np.zeros((n_words, max(1, len(alphabet))), np.uint64)
+    row, place = np.arange(len(points)), np.searchsorted(alphabet, points)
+    known = np.flatnonzero(place < len(alphabet))
+    known = known[alphabet[place[known]] == points[known]]
+    np.bitwise_or.at(masks, (row[known] // 64, place[known]), np.uint64(1) << (row[known] % 64).astype(np.uint64))
+    more, less = np.full((n_words, len(size)), ~np.uint64(0)), np.zeros((n_words, len(size)), np.uint64)
+    edits, one, high = np.full(len(size), len(points), np.uint64), np.uint64(1), np.uint64(63)
+    eq, xv, xh, ph, mh, t, *carry = (np.empty(len(size), np.uint64) for _ in range(10))
+    left = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # others that are longer than each column's number
+    for j, n in enumerate(left.tolist()):
+        c = codes[start[:n] + j]
+        up, down, next_up, next_down = (x[:n] for x in carry)
+        up.fill(1)
+        down.fill(0)
+        e, v, h, p, m, u = eq[:n], xv[:n], xh[:n], ph[:n], mh[:n], t[:n]
+        for w in range(n_words):
+            pv, mv = more[w, :n], less[w, :n]
+            np.take(masks[w], c, out=e, mode="clip")
+            np.bitwise_or(e, mv, out=v)
+            np.bitwise_or(e, down, out=e)
+            np.bitwise_and(e, pv, out=h)
+            np.add(h, pv, out=h)
+            np.bitwise_xor(h, pv, out=h)
+            np.bitwise_or(h, e, out=h)
+            np.bitwise_or(h, pv, out=p)
+            np.invert(p, out=p)
+            np.bitwise_or(p, mv, out=p)
+            np.bitwise_and(pv, h, out=m)
+            if w == n_words - 1:
+                for x, f in ((p, np.add), (m, np.subtract)):
+                    np.right_shift(x, top, out=u)
+                    np.bitwise_and(u, one, out=u)
+                    f(edits[:n], u, out=edits[:n])
+            else:
+                np.right_shift(p, high, out=next_up)
+                np.right_shift(m, high, out=next_down)
+            np.left_shift(p, one, out=p)
+            np.bitwise_or(p, up, out=p)
+            np.left_shift(m, one, out=m)
+            np.bitwise_or(m, down, out=m)
+            np.bitwise_or(v, p, out=u)
+            np.invert(u, out=u)
+            np.bitwise_or(m, u, out=pv)
+            np.bitwise_and(p, v, out=mv)
+            up, down, next_up, next_down = next_up, next_down, up, down
+    out = np.empty(len(size), np.int64)
+    out[order] = edits.astype(np.int64)
+    return out
+
+
 def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_id: str = "query_id", example_id: str = "example_id", grams: int = 0, mode: str = "compat", details: bool = False) -> DataFrame:
     """(query_id, example_id, score): the example with the highest similarity of all, the larger id on a tie.
 
     Exact texts are settled by a join.  The other queries, a stated set, meet
-    all examples in blocks of about ``QUERIES``.  For ``compat`` a task takes
-    about ``EXAMPLES`` examples at once: counts of characters bound each
-    similarity from above, a query visits examples from the highest bound down
-    and stops where bounds fall below the best that it has found.  For
-    ``levenshtein`` pairs whose lengths rule them out go and the others are
-    compared in the JVM.  With ``grams``, candidates that share rare words
+    all examples in blocks of about ``QUERIES``.  A task takes about
+    ``EXAMPLES`` examples at once: counts of characters bound each similarity
+    from above, a query visits examples from the highest bound down and stops
+    where bounds fall below the best that it has found.  For ``levenshtein`` it
+    visits ``AT_ONCE`` of them at a time.  With ``grams``, candidates that share rare words
     give each query a bound from below first.  ``details`` adds ``compared``, the pairs compared for a
     query.  Null texts match nothing; a query has no row only if there is no
     example.
@@ -69,17 +140,23 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
     rest = queries.where(F.col(text).isNotNull()).join(same.select(query_id), query_id, "left_anti").select(query_id, text)
     examples = examples.where(F.col(text).isNotNull()).select(example_id, F.col(text).alias("_e"))
     if grams:
-        rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, example_id, grams, mode), query_id, "left")
+        rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, grams, mode), query_id, "left")
     else:
         rest = rest.withColumn("least", F.lit(0.0))
     rest = cut(rest.withColumn("least", F.coalesce("least", F.lit(0.0))))
     count, chars = rest.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
-    blocks = max(1, -(-count // QUERIES))
+    # comparing is the work, not the size of the table: as many parts as there are cores, several times
+    parts = 4 * spark.sparkContext.defaultParallelism
+    n_examples = examples.count()
+    if mode == "compat":
+        packs = max(-(-n_examples // EXAMPLES), parts)
+        blocks = max(1, -(-count // QUERIES))
+    else:  # long vectors pay, so queries are dealt to tasks where examples make few packs
+        packs = max(1, -(-n_examples // AT_ONCE))
+        blocks = max(1, -(-count // QUERIES), min(count, -(-parts // packs)))
     hint = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
     asked = hint(rest.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(query_id, text, "least")).alias("q")))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    # comparing is the work, not the size of the table: as many parts as there are cores, several times
-    parts = 4 * spark.sparkContext.defaultParallelism
     qid, eid = (t.schema[c].dataType.simpleString() for t, c in ((queries, query_id), (examples, example_id)))
     kinds_of_ids = [t.select(c).limit(0).toArrow().schema.field(0).type for t, c in ((queries, query_id), (examples, example_id))]
 
@@ -105,20 +182,33 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    if mode == "compat":
-        packed = F.pmod(F.xxhash64(example_id), F.lit(max(-(-examples.count() // EXAMPLES), parts))).alias("_part")
-        packs = examples.groupBy(packed).agg(F.collect_list(F.struct(example_id, "_e")).alias("e"))
-        work = packs.withColumn("_block", every).join(asked, "_block").select("q", "e").repartition(parts)
-        found = work.mapInArrow(compare, f"`{query_id}` {qid}, `{example_id}` {eid}, score double, compared long")
-        counted = F.sum("compared")
-    else:
-        pairs = examples.repartition(parts).withColumn("_block", every).join(asked, "_block").select(example_id, "_e", F.explode("q").alias("x"))
-        pairs = pairs.select(example_id, "_e", F.col(f"x.{query_id}").alias(query_id), F.col(f"x.{text}").alias("_q"), "x.least")
-        most = F.least(F.length("_e"), F.length("_q")) / F.greatest(F.length("_e"), F.length("_q"), F.lit(1))
-        pairs = pairs.where((F.length("_e") + F.length("_q") == 0) | (most >= F.col("least") - 1e-9))
-        found = pairs.withColumn("score", 1 - edit_distance("_q", "_e", mode))
-        counted = F.count("*")
-    top = found.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"), counted.cast("long").alias("compared"))
+    def count_edits(batches):
+        for b in batches:
+            for q, e in zip(b.column("q"), b.column("e"), strict=True):
+                ids, texts = zip(*((x[example_id], x["_e"]) for x in e.as_py()), strict=True)
+                counts, sizes = _counts(list(texts)), np.array([len(t) for t in texts])
+                alphabet, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+                codes, start = codes.astype(np.uint16 if len(alphabet) < 1 << 16 else np.uint32), np.cumsum(sizes) - sizes
+                rows = []
+                for x in q.as_py():
+                    longest = np.maximum(np.maximum(len(x[text]), sizes), 1)
+                    bound = np.minimum(_counts([x[text]])[0], counts).sum(axis=1) / longest
+                    order, best, n = np.argsort(-bound, kind="stable"), None, 0
+                    while n < len(order) and bound[order[n]] >= (best[0] if best else x["least"]) - 1e-9:
+                        some = order[n : n + (AT_ONCE if n else FIRST)]
+                        some = some[bound[some] >= (best[0] if best else x["least"]) - 1e-9]
+                        score = 1 - _edits(x[text], alphabet, codes, start[some], sizes[some]) / longest[some]
+                        here = float(score.max()), max(ids[i] for i in some[score == score.max()])
+                        best, n = here if best is None else max(best, here), n + len(some)
+                    rows.append((x[query_id], *((best[1], best[0]) if best else (None, None)), n))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    packed = F.pmod(F.xxhash64(example_id, "_e"), F.lit(packs)).alias("_part")
+    held = examples.groupBy(packed).agg(F.collect_list(F.struct(example_id, "_e")).alias("e"))
+    work = held.withColumn("_block", every).join(asked, "_block").select("q", "e").repartition(parts)
+    found = work.mapInArrow(compare if mode == "compat" else count_edits, f"`{query_id}` {qid}, `{example_id}` {eid}, score double, compared long")
+    top = found.groupBy(query_id).agg(F.max_by(F.struct(example_id, "score"), F.struct("score", example_id)).alias("t"), F.sum("compared").alias("compared"))
     top = top.where("t.score is not null").select(query_id, f"t.{example_id}", "t.score", "compared")
     out = same.withColumn("compared", F.lit(0).cast("long")).unionByName(top)
     return out.select(query_id, example_id, F.col("score").cast("double").alias("score"), *(["compared"] if details else []))

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,19 @@ def test_the_first_base_that_has_a_path(spark, tmp_path):
     assert got == [f"{tmp_path}/one/a", f"{tmp_path}/two/b", f"{tmp_path}/one/c", f"{tmp_path}/two/b", "/none", None]
 
 
+def test_edits_of_many_texts_at_once(spark):
+    r = random.Random(8)
+    text = lambda most: "".join(r.choice("ab é日") for _ in range(r.randint(0, most)))
+    texts = ["", *(text(most) for most in (3, 70, 200) for _ in range(15))]
+    pairs = [(q, t) for q in ["", "a" * 64, "b" * 63, "ab" * 64, "x" * 65, text(200), text(10)] for t in texts]
+    rows = spark.createDataFrame(pairs, "q string, t string").select("q", "t", F.levenshtein("q", "t").alias("n")).collect()
+    want = {(x.q, x.t): x.n for x in rows}
+    alphabet, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    size = np.array([len(t) for t in texts])
+    for q in {q for q, _ in pairs}:
+        assert retrieve._edits(q, alphabet, codes, np.cumsum(size) - size, size).tolist() == [want[q, t] for t in texts]
+
+
 @pytest.mark.parametrize("mode, grams", [("compat", 0), ("compat", 4), ("levenshtein", 0), ("levenshtein", 4)])
 def test_nearest_against_all_pairs(spark, monkeypatch, mode, grams):
     monkeypatch.setattr(retrieve, "QUERIES", 7)
