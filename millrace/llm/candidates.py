@@ -180,85 +180,207 @@ def may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
     return 100 * most >= percent * (nx + ny - most)
 
 
-#: Members of a group that are compared at once; larger groups are cut into blocks, compared two by two.
-BLOCK_MEMBERS = 512
-#: Possible pairs that a task remembers, so as not to emit one of them twice.
-MOST_PAIRS = 500_000
+#: Members of a group that meet in one task; larger groups are cut into blocks, compared two by two.
+BLOCK_MEMBERS = 4096
+#: Elements that a sample of the sets finds frequent, at most; they only decide the order in which elements are compared.
+FREQUENT = 1 << 18
+#: Bytes of prefixes that a task compares at once, and candidates that it tries at once.
+COMPARED, TRIED = 8 << 20, 1 << 20
 
 
-def near_pairs(rest: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of one group but two components that the sketches leave possible.
+def frequent_elements(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements found in three or more of every eighth set of (id, s), sorted, and their ranks, the rarest first: a cost estimate, not a filter."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
-    ``rest`` has (sig, id, c), ``facts`` (id, n, sketch).  Blocks of a group
-    meet in one task and only possible pairs leave it.
+    def run(batches):
+        for b in _text.pieces(batches, "s"):
+            h, n = np.unique(_text.column_bytes(b.column("s"))[0].view(np.int64), return_counts=True)
+            yield _text.batch_of(schema, h=h, n=n)
+
+    some = sets.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(8)) == 0)
+    count = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
+    rows = count.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - order).astype(np.uint64)
+
+
+def prefixes(s: pa.Array, often: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets (sorted 64-bit values) and their first elements, as 32-bit names, in one order for all sets: the rare ones first.
+
+    Sets that are linked share an element among the first
+    ``size * (100 - percent) // 100 + 1`` of each.
+    """
+    buf, offs = _text.column_bytes(s)
+    values, at = np.frombuffer(buf.tobytes(), np.uint64), offs // 8
+    size = np.diff(at)
+    place = np.minimum(np.searchsorted(often, values), max(0, len(often) - 1))
+    known = often[place] == values if len(often) else np.zeros(len(values), bool)
+    name = _text.mix(values ^ np.uint64(0xA0761D6478BD642F))
+    key = name >> np.uint64(20)
+    key[known] |= rank[place[known]] << np.uint64(44)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((key, owner))
+    first = np.arange(len(values)) - at[owner] <= size[owner] * (100 - percent) // 100
+    name = (name[order[first]] >> np.uint64(32)).astype(np.uint32)
+    return size, name
+
+
+def near_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of one group but two components; every linked one is among them.
+
+    ``rest`` has (sig, id, c), ``sets`` (id, s: sorted 64-bit values) for its ids.  If the
+    elements of all sets stand in one order, two linked sets share an element
+    at places that leave enough elements behind them.  With the rare elements
+    first, copies of one text with many edits each begin with their own edits, so that the pairs
+    tried grow with the members of a group and not with their square.
+    Blocks of a group meet in one task and only candidates leave it.
     """
+    model = rest.sparkSession.sparkContext.broadcast(frequent_elements(sets))
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    short = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("prefix", pa.binary()), ("sketch", pa.binary())])
+
+    def shorten(batches):
+        for b in _text.pieces(batches, "s"):
+            size, name = prefixes(b.column("s"), *model.value, percent)
+            offs = np.concatenate([[0], np.cumsum(4 * (size * (100 - percent) // 100 + (size > 0)))]).astype(np.int32)
+            prefix = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(name)])
+            sketches = [sketch(np.frombuffer(x.as_buffer(), np.uint64), 1) for x in b.column("s")]
+            yield _text.batch_of(short, id=b.column("id"), size=size, prefix=prefix, sketch=sketches)
+
     total = rest.count()
     sizes = rest.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_MEMBERS))).cast("int").alias("blocks"), F.count("*").alias("n"))
-    rows = spread_join(rest.select("sig", "id", "c"), sizes, ["sig"], ["id"], total).drop("n").join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
+    rows = spread_join(rest.select("sig", "id", "c"), sizes, ["sig"], ["id"], total).drop("n").join(sets.mapInArrow(shorten, "id long, size long, prefix binary, sketch binary"), "id")
     mine = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "c", "size", "sketch")
+    rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "c", "size", "prefix", "sketch")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
-        key, held, seen = None, [], np.zeros((0, 2), np.int64)
-
-        def out():
-            return _text.batch_of(pair, a=seen[:, 0], b=seen[:, 1])
-
+        held, size, limit = [], 0, COMPARED
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("sig", "lo", "hi", "mine", "id", "c", "size", "sketch")), strict=True):
-                if row[:3] != key:
-                    if held:
-                        seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
-                    key, held = row[:3], []
-                    if len(seen) > MOST_PAIRS:
-                        yield out()
-                        seen = seen[:0]
-                held.append(row[3:])
+            held.append(b)
+            size += b.column("prefix").nbytes
+            if size < limit:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = int(_group_starts(rows)[-1])  # the last group may go on
+            if last:
+                yield from _candidates(rows.slice(0, last), percent, pair)
+            held = rows.slice(last).to_batches()
+            size = sum(x.column("prefix").nbytes for x in held)
+            limit = max(COMPARED, 2 * size)
         if held:
-            seen = np.unique(np.concatenate([seen, _possible(key, held, percent)]), axis=0)
-        if len(seen):
-            yield out()
+            yield from _candidates(pa.Table.from_batches(held).combine_chunks(), percent, pair)
 
     keys = ("sig", "lo", "hi")
     parts = max(parts, -(-total // 100_000))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 
-def _possible(key, held, percent: int) -> np.ndarray:
-    """Pairs of two blocks, or of one block with itself."""
-    _, lo, hi = key
-    mine, ident, comp, size = (np.array([h[i] for h in held], np.int64) for i in range(4))
-    counts = [_counts(h[4]) for h in held]
-    classes = min(map(len, counts))
-    table = np.stack([_folded(x, classes) for x in counts])
-    left = np.flatnonzero(mine == lo)
-    right = left if lo == hi else np.flatnonzero(mine == hi)
-    out = [np.zeros((0, 2), np.int64)]
-    for i in left:
-        j = right[(comp[right] != comp[i]) & (np.minimum(size[right], size[i]) * 100 >= np.maximum(size[right], size[i]) * percent)]
-        if lo == hi:
-            j = j[ident[j] > ident[i]]
-        most = np.minimum(table[j], table[i]).sum(1)
-        j = j[100 * most >= percent * (size[j] + size[i] - most)]
-        if len(j):
-            out.append(np.column_stack([np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])]))
-    return np.concatenate(out)
-
-
-def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    keys = [rows.column(c).to_numpy() for c in ("sig", "lo", "hi")]
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _candidates(rows: pa.Table, percent: int, schema: pa.Schema):
+    """Pairs of whole groups, each of two blocks or of one block with itself, that share an element early enough and that the sketches leave possible."""
+    start = _group_starts(rows)
+    count = np.diff(np.append(start, rows.num_rows))
+    group = np.repeat(np.arange(len(start)), count)
+    ident, mine, size = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "mine", "size"))
+    comp = np.unique(rows.column("c").to_numpy(), return_inverse=True)[1]
+    one_block = rows.column("lo").to_numpy() == rows.column("hi").to_numpy()
+    least = np.repeat(np.minimum.reduceat(size, start), count)
+    buf, offs = _text.column_bytes(rows.column("prefix"))
+    names, at = np.frombuffer(buf.tobytes(), np.uint32), offs // 4
+    turns = max(1, -(-len(names) // (COMPARED // 2)))
+    found = [np.zeros(0, np.int64)]
+    for turn in range(turns):
+        take = np.flatnonzero(names % np.uint32(turns) == turn) if turns > 1 else np.arange(len(names))
+        row = np.searchsorted(at, take, "right") - 1
+        # an element at this place is the first shared one only with sets of at most reach / percent elements
+        reach = 100 * size[row] - (100 + percent) * (take - at[row])
+        use = reach >= percent * least[row]
+        take, row, reach = take[use], row[use], reach[use]
+        key = group[row].astype(np.uint64) << np.uint64(32) | names[take]
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+        order = order[np.lexsort((comp[row[order]], key[order]))]
+        if not len(order):
+            continue
+        row, reach, key = row[order], reach[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        run = np.concatenate([[True], new[1:] | (comp[row[1:]] != comp[row[:-1]])])
+        place = np.arange(len(row))
+        list_start = np.maximum.accumulate(np.where(new, place, 0))
+        other = np.maximum.accumulate(np.where(run, place, 0)) - list_start  # members of other components before
+        total = np.concatenate([[0], np.cumsum(other)])
+        s = 0
+        while s < len(row):
+            e = max(s + 1, int(np.searchsorted(total, total[s] + TRIED, "right")) - 1)
+            x = np.repeat(place[s:e], other[s:e])
+            y = list_start[x] + np.arange(len(x)) - (total[x] - total[s])
+            i, j = row[x], row[y]
+            fit = (percent * size[i] <= reach[y]) & (percent * size[j] <= reach[x]) & (one_block[i] | (mine[i] != mine[j]))
+            i, j = i[fit], j[fit]
+            code = np.unique(np.minimum(i, j) * rows.num_rows + np.maximum(i, j))
+            i, j = np.divmod(code, rows.num_rows)
+            found.append(code[_possible(rows.column("sketch"), size, i, j, percent)])
+            if sum(map(len, found)) > TRIED:
+                found = [np.unique(np.concatenate(found))]
+                if len(found[0]) > TRIED // 2:
+                    yield _pairs(found.pop(), ident, schema)
+            s = e
+    yield _pairs(np.concatenate([np.zeros(0, np.int64), *found]), ident, schema)
+
+
+def _possible(sketches, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows the sketches leave possible, as may_link() does for one pair."""
+    keep = np.zeros(len(i), bool)
+    own, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    counts = [_counts(x) for x in sketches.take(pa.array(own)).to_pylist()]
+    length = np.array([len(x) for x in counts], np.int64)
+    a, b = at[: len(i)], at[len(i) :]
+    classes = np.minimum(length[a], length[b])
+    for c in np.unique(classes):
+        these = np.flatnonzero(classes == c)
+        used, place = np.unique(np.concatenate([a[these], b[these]]), return_inverse=True)
+        table = np.stack([_folded(counts[k], c) for k in used])
+        table = table.astype(np.uint8) if table.max() < 256 else table
+        x, y = place[: len(these)], place[len(these) :]
+        step = max(1, (1 << 22) // int(c))
+        for s in range(0, len(these), step):
+            most = np.minimum(table[x[s : s + step]], table[y[s : s + step]]).sum(1, dtype=np.int64)
+            p = these[s : s + step]
+            keep[p] = 100 * most >= percent * (size[i[p]] + size[j[p]] - most)
+    return keep
+
+
+def _pairs(code: np.ndarray, ident: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    a, b = ident[code // len(ident)], ident[code % len(ident)]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return _text.batch_of(schema, a=a[new], b=b[new])
+
+
+def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """Edges (u, v) whose components are those of all verified pairs within groups.
 
-    ``members`` has (sig, id, n), ``facts`` (id, n, sketch).  ``verify`` takes distinct pairs (a, b),
-    a < b, and returns those that are linked.  A group's leader is its member
+    ``members`` has (sig, id, n).  ``sets_of`` gives (id, s: sorted 64-bit values) for
+    distinct ids.  ``verify`` takes distinct pairs (a, b), a < b, and returns those that are linked.  A group's leader is its member
     with the most company over all groups: of a text and its edited copies
     that is the text itself, which shares every unedited part, so one turn
     joins them.  Up to ``rounds`` turns are taken, each with a leader outside
     the component of the one before.  Then every pair of members that are in
-    one group but not in one component is compared, by sketches within blocks
-    and exactly where those leave it possible, so no link is lost.
+    one group but not in one component is looked at, by their rarest elements within
+    blocks and exactly where those leave it possible, so no link is lost.
     """
     company = members.groupBy("id").agg(F.sum("n").alias("w"))
     members = stored(members.select("sig", "id").join(company, "id"))
@@ -285,5 +407,5 @@ def linked(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], D
         pairs = spread_join(rest, lead, ["sig"], ["id"], total).where("c <> l.c")
         pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
     forget(members)
-    pairs = near_pairs(rest, facts, percent)
+    pairs = near_pairs(rest, stored(sets_of(rest.select("id").distinct())), percent)
     return stored(edges.unionByName(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))))

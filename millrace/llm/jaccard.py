@@ -261,7 +261,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, det
         c = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         left = stored(pairs.join(a, "a").join(c, "b").where(near).mapInArrow(possible, "a long, b long"))
-        wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return verified(left, sets_of(left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent)
+
+    def sets_of(wanted):
         home = stored(facts.join(wanted, "id").select("id", "doc_id"))
         filters = spark.sparkContext.broadcast((key_filter(home, "id"), key_filter(home, "doc_id")))
 
@@ -277,9 +279,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle: int = 5, det
                 if len(own):
                     yield _text.batch_of(sets_schema, id=ident[own].view(np.int64), s=[values[at[i] : at[i + 1]].tobytes() for i in own])
 
-        return verified(left, docs.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), percent)
+        return docs.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
 
-    edges = linked(members, facts, verify, percent)
+    edges = linked(members, sets_of, verify, percent)
     label = components(edges)
     # components of set identities become smallest document ids
     ids = facts.select("id", "doc_id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))

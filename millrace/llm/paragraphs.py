@@ -129,7 +129,10 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     def verify(pairs):
         return verified(pairs, found, percent)
 
-    edges = linked(members, found, verify, percent)
+    def sets_of(wanted):
+        return found.select("id", "s").join(wanted, "id")
+
+    edges = linked(members, sets_of, verify, percent)
     return where, components(edges)
 
 

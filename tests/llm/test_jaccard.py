@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import candidates, jaccard
@@ -98,6 +99,72 @@ def test_a_text_and_many_edits(docs_of, monkeypatch, often):
     assert [(r.n_shingles, r.component_id) for r in got] == brute(texts)
 
 
+def near_rows(sets, groups, comp, mine=None, blocks=(0, 0)):
+    """One table as near_pairs() deals it out: the groups (lists of set numbers) with the sets' prefixes and sketches."""
+    count = np.unique(np.concatenate(sets), return_counts=True)
+    often = count[0][count[1] >= 3]
+    rank = np.argsort(np.argsort(count[1][count[1] >= 3], kind="stable"), kind="stable").astype(np.uint64) + np.uint64(1)
+    size, name = candidates.prefixes(pa.array([x.tobytes() for x in sets], pa.binary()), often, rank, 80)
+    at = np.concatenate([[0], np.cumsum(size * 20 // 100 + 1)])
+    rows = [(g, *blocks, mine[i] if mine else 0, i, comp[i], int(size[i]), name[at[i] : at[i + 1]].tobytes(), candidates.sketch(sets[i], 1)) for g, x in enumerate(groups) for i in x]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["sig", "lo", "hi", "mine", "id", "c", "size", "prefix", "sketch"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+@pytest.mark.parametrize("compared", [8 << 20, 400])
+@pytest.mark.parametrize("tried", [1 << 20, 7])
+def test_no_linked_pair_of_a_group_is_left_out(monkeypatch, compared, tried):
+    monkeypatch.setattr(candidates, "COMPARED", compared)
+    monkeypatch.setattr(candidates, "TRIED", tried)
+    rng = np.random.default_rng(4)
+    values = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    base = [values(n) for n in (1, 4, 9, 60, 60, 300)]
+    sets = []
+    for k in range(150):
+        x = base[k % 6]
+        gone = rng.integers(0, len(x) // 6 + 1)
+        sets.append(np.unique(np.concatenate([x[rng.permutation(len(x))[gone:]], values(rng.integers(0, len(x) // 8 + 1))])))
+    groups = [list(range(150)), list(range(0, 150, 6)), list(range(3, 150, 6))]
+    comp = [k // 12 for k in range(150)]
+    mine = [k % 2 for k in range(150)]
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+
+    want = {(i, j) for i, j in itertools.combinations(range(150), 2) if comp[i] != comp[j] and linked(i, j)}
+    got = {(r["a"], r["b"]) for b in candidates._candidates(near_rows(sets, groups, comp), 80, PAIR) for r in b.to_pylist()}
+    assert len(want) > 300 and want <= got and all(comp[i] != comp[j] for i, j in got)
+    across = {(r["a"], r["b"]) for b in candidates._candidates(near_rows(sets, groups, comp, mine, (0, 1)), 80, PAIR) for r in b.to_pylist()}
+    assert {x for x in want if mine[x[0]] != mine[x[1]]} <= across and all(mine[i] != mine[j] for i, j in across)
+
+
+def test_edits_of_one_text_are_not_compared_pair_by_pair(monkeypatch):
+    """Copies with many edits each share a signature, but none is tried with all others."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(400)[60:]], rng.integers(0, 1 << 63, 60, dtype=np.uint64)])) for _ in range(400)]
+    tried = []
+    possible = candidates._possible
+    monkeypatch.setattr(candidates, "_possible", lambda sketches, size, i, j, percent: tried.append(len(i)) or possible(sketches, size, i, j, percent))
+    rows = near_rows(sets, [list(range(400))], list(range(400)))
+    assert sum(b.num_rows for b in candidates._candidates(rows, 80, PAIR)) == 0 and sum(tried) < 400
+
+
+def test_blocks_of_a_group(docs_of, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK_MEMBERS", 7)
+    r = random.Random(9)
+    base = prose(71, 120)
+    texts = [edited(base, r, 4) for _ in range(30)]
+    texts += [edited(t, r, 1) for t in texts[:15]]
+    got = jaccard.jaccard_components(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == brute(texts)
+
+
 def test_odd_rows(odd, none):
     out = jaccard.jaccard_components(odd)
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
