@@ -43,8 +43,8 @@ def tuned_bands(percent: int, recall: float, rows: int = ROWS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows)))
 
 
-def _paragraphs(b, shingle: int, min_words: int):
-    """Of a piece: (owner, position, identity, sorted distinct shingles, first shingle) of paragraphs with enough words."""
+def _paragraphs(b, min_words: int):
+    """Of a piece: (owner, position, identity) of its paragraphs, their words' hashes, each one's first word, and which have enough words."""
     buf, offs = _text.column_bytes(b.column("text"))
     starts, ends, first = line_spans(buf, offs) if len(buf) else (np.zeros(0, np.int64),) * 2 + (np.zeros(len(offs), np.int64),)
     h, word_starts, _, _ = _text.words(buf, offs)
@@ -52,9 +52,17 @@ def _paragraphs(b, shingle: int, min_words: int):
     owner = np.repeat(np.arange(b.num_rows), np.diff(first))
     pos = np.arange(len(starts)) - first[:-1][owner]
     enough = np.diff(at) >= max(1, min_words)
-    s, s_at = _text.shingles(h, at, shingle)
     code = _text.sequence_hash(h, at)  # identity: the words in their order
-    return owner, pos, code, s, s_at, np.flatnonzero(enough)
+    return owner, pos, code, h, at, np.flatnonzero(enough)
+
+
+def _shingle_sets(h: np.ndarray, at: np.ndarray, use: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The shingles of some of the runs ``h[at[i]:at[i + 1]]``, repeated ones too."""
+    size = at[use + 1] - at[use]
+    first = np.zeros(len(use) + 1, np.int64)
+    np.cumsum(size, out=first[1:])
+    s, to = _text.shingles(h[np.arange(first[-1]) + np.repeat(at[use] - first[:-1], size)], first, shingle)
+    return [s[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
 
 
 def _minhash(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -88,20 +96,20 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
 
     def scan(batches):
         for b in _text.pieces(batches):
-            owner, pos, code, _, _, use = _paragraphs(b, shingle, min_words)
+            owner, pos, code, _, _, use = _paragraphs(b, min_words)
             take = pa.array(owner[use])
             yield _text.batch_of(occurrence, d=b.column("doc_id").take(take), th=b.column("th").take(take), pos=pos[use], id=code[use].view(np.int64))
 
     def sign(make, batches):
         packer, seen = make(), np.zeros(0, np.uint64)
         for b in _text.pieces(batches):
-            _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
+            _, _, code, h, at, use = _paragraphs(b, min_words)
             use = use[np.unique(code[use], return_index=True)[1]]
             use = use[~np.isin(code[use], seen)]
             if not len(use):
                 continue
             seen = np.concatenate([seen, code[use]])[-500_000:]
-            sig = _minhash([s[at[i] : at[i + 1]] for i in use], bands, ROWS)
+            sig = _minhash(_shingle_sets(h, at, use, shingle), bands, ROWS)
             yield from packer.add(sig.ravel(), np.repeat(code[use], bands))
         yield from packer.flush()
 
@@ -116,12 +124,12 @@ def paragraph_components(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     def sets(batches):
         seen = np.zeros(0, np.uint64)
         for b in _text.pieces(batches):
-            _, _, code, s, at, use = _paragraphs(b, shingle, min_words)
+            _, _, code, h, at, use = _paragraphs(b, min_words)
             use = use[np.unique(code[use], return_index=True)[1]]
             use = use[maybe_in(filters.value, code[use]) & ~np.isin(code[use], seen)]
             seen = np.concatenate([seen, code[use]])[-500_000:]
             if len(use):
-                own = [np.unique(s[at[i] : at[i + 1]]) for i in use]
+                own = [np.unique(x) for x in _shingle_sets(h, at, use, shingle)]
                 yield _text.batch_of(set_schema, id=code[use].view(np.int64), n=[len(x) for x in own], sketch=[sketch(x, 3) for x in own], s=[x.tobytes() for x in own])
 
     found = stored(_keyed(docs).mapInArrow(sets, "id long, n long, sketch binary, s binary").dropDuplicates(["id"]))
@@ -171,12 +179,13 @@ def selected_grams(hashes: np.ndarray, first: np.ndarray, gram: int, least: int)
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(gram):
-        step = np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
-        one += _text.mix(hashes[j : j + n] + step)
-        two += _text.mix(hashes[j : j + n] ^ step)
-    one, two = _text.mix(one), _text.mix(two)
+    steps = [np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) for j in range(gram)]
+    one = np.zeros(n, np.uint64)
+    for s in range(0, n, 1 << 15):  # so that a stretch stays in the cache
+        total = one[s : s + (1 << 15)]
+        for j, step in enumerate(steps):
+            total += _text.mix(hashes[s + j : s + j + len(total)] + step)
+    one = _text.mix(one)
     count = np.diff(first)
     owner = np.repeat(np.arange(len(count)), count)
     start = np.arange(n - width + 1)
@@ -189,7 +198,10 @@ def selected_grams(hashes: np.ndarray, first: np.ndarray, gram: int, least: int)
         key = (one[s : e + width - 1] & ~places) | np.arange(e + width - 1 - s, dtype=np.uint64)
         picks.append((_sliding_minimum(key, width) & places).astype(np.int64)[whole[s:e]] + s)
     at = np.unique(np.concatenate(picks))
-    return owner[at], at, one[at], two[at]
+    two = np.zeros(len(at), np.uint64)
+    for j, step in enumerate(steps):
+        two += _text.mix(hashes[at + j] ^ step)
+    return owner[at], at, one[at], _text.mix(two)
 
 
 def repeated_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import candidates, paragraphs
@@ -129,3 +130,16 @@ def test_odd_rows(odd, none):
     assert bytes(rows[1].kept) == b"" == bytes(rows[2].kept) and rows[2].n_paragraphs == 0 and list(rows[5].removed) == [0] and bytes(rows[5].kept) == b""
     assert list(rows[4].removed) == [] and rows[4].n_removed == 0 and rows[6].n_paragraphs == 40 and rows[6].n_removed == 0
     assert paragraphs.dedup_paragraphs(none).count() == 0
+
+
+def test_runs_are_named_twice_only_where_selected(monkeypatch):
+    """Second identities are made for selected runs only, and are those of the runs' words in their order."""
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    mix, seen = paragraphs._text.mix, []
+    monkeypatch.setattr(paragraphs._text, "mix", lambda h: seen.append(len(h)) or mix(h))
+    _, at, one, two = paragraphs.selected_grams(hashes, np.array([0, 15_000, 40_000]), 26, 50)
+    assert sum(seen) < 35 * len(hashes)
+    step = [np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) for j in range(26)]
+    for k in (0, len(at) // 2, len(at) - 1):
+        run = hashes[at[k] : at[k] + 26]
+        assert one[k] == mix(np.sum(mix(run + step), keepdims=True))[0] and two[k] == mix(np.sum(mix(run ^ step), keepdims=True))[0]
