@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import hashing
+from millrace.functions import edits, hashing
 from millrace.operators import admit, retrieve, sft
 from millrace.sources import records, trees
 from millrace.streaming import admission, incremental, ledger
@@ -228,6 +228,50 @@ def test_nearest_against_all_pairs(spark, monkeypatch, mode, grams):
     assert retrieve.nearest(q, e.limit(0), mode=mode).collect() == [] and retrieve.nearest(q.limit(0), e, mode=mode).collect() == []
 
 
+def _all_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("four, two", [(0, 0), (0, 99), (99, 99)])
+def test_edits_up_to_a_most(monkeypatch, four, two):
+    """Exact up to ``most``, above it elsewhere, with words of 16, 32 and 64 rows and most words left out."""
+    monkeypatch.setattr(edits, "FOUR", four)
+    monkeypatch.setattr(edits, "TWO", two)
+    r, points = random.Random(3), lambda t: np.array([ord(c) for c in t], np.uint32)
+    for letters, most_chars in (("ab", 150), ("abcdefghijkl", 150), ("ab é日", 70), ("abc", 9)):
+        text = lambda most: "".join(r.choice(letters) for _ in range(r.randint(0, most)))  # noqa: E731, B023
+        q = text(most_chars) + "a"
+        texts = ["", q, q[::-1], *(q[: (k := r.randint(0, len(q)))] + text(3) + q[k + 2 :] for _ in range(6)), *(text(2 * most_chars) for _ in range(12))]
+        held, want = edits.Texts(points("".join(texts)), np.array([len(t) for t in texts])), np.array([_all_edits(q, t) for t in texts])
+        for most in (want, np.maximum(want - 1, 0), want + 3, np.full(len(texts), 5), np.full(len(texts), len(q) // 3)):
+            for some in (slice(None), np.array([1, 4, 9, 20])):
+                got, n, m = edits.edits(points(q), held, some, most[some]), want[some], most[some]
+                assert (np.where(n <= m, got == n, got > m)).all()
+
+
+def test_nearest_in_small_packs_of_one_length(spark, monkeypatch):
+    """Some examples first, many packs, several lots in a pack: the same as all pairs, with few pairs compared and ties to the larger id."""
+    for name, n in (("FIRST", 4), ("FIRST_LEAST", 4), ("CHARS", 900), ("AT_ONCE", 5)):
+        monkeypatch.setattr(retrieve, name, n)
+    r = random.Random(5)
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.choice([3, 12, 40, 90])))
+    examples = [(i, text()) for i in range(150)] + [(900, "x" * 700), (901, ""), (902, None)]
+    queries = [(k, text()) for k in range(6)] + [(k, t[:-3] + "yz") for k, t in examples[50:62]] + [(300, ""), (301, "日" * 9)]
+    want = {}
+    for k, q in queries:
+        top = max((1 - _all_edits(q, e) / max(len(q), len(e), 1), i) for i, e in examples if e is not None)
+        want[k] = top[1], pytest.approx(top[0])
+    q, e = spark.createDataFrame(queries, "query_id int, text string"), spark.createDataFrame(examples, "example_id int, text string")
+    out = retrieve.nearest(q, e, grams=5, mode="levenshtein", details=True).collect()
+    assert {x.query_id: (x.example_id, x.score) for x in out} == want
+    assert sum(x.compared for x in out) < 0.3 * len(queries) * len(examples)
+
+
 def test_training_rows_have_all_columns(spark):
     df = spark.createDataFrame([("i", "B1", "+ 1 i1\n1+ y3 z c2 f\n", "\nline\n")], "id string, band string, s string, t string")
     out = sft.training_rows(df, "s", "t", "sys", {"B1": 2})
