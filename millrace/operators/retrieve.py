@@ -175,7 +175,7 @@ def nearest(queries: DataFrame, examples: DataFrame, text: str = "text", query_i
     examples = examples.select(example_id, F.col(text).alias("_e")).where("_e is not null")
     if mode == "levenshtein":
         examples = cut(examples.withColumn("_n", F.length("_e")))  # it is read for each bound
-    same = exact_matches(queries.withColumnRenamed(text, "_e"), examples, "_e", query_id, example_id).withColumn("score", F.lit(1.0))
+    same = cut(exact_matches(queries.withColumnRenamed(text, "_e"), examples, "_e", query_id, example_id)).withColumn("score", F.lit(1.0))
     rest = queries.where(F.col(text).isNotNull()).join(same.select(query_id), query_id, "left_anti").select(query_id, text)
     if grams and (rest.agg(F.sum(F.length(text))).first()[0] or 0) <= LOOKED_FOR:
         rest = rest.join(_guess(rest, examples.withColumnRenamed("_e", text), text, query_id, grams, mode), query_id, "left")
